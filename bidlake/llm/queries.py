@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, host_rules, token_counts
 
 QUERIES = {
+    "op2_host_rules": host_rules.op2_host_rules,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op9_decontam": decontam.op9_decontam,
 }
 
+#: A query without an entry can't be said in SQL; its test holds it against brute force.
 ORACLE_SQL = {
+    "op2_host_rules": host_rules.ORACLE,
     "op9_decontam": decontam.ORACLE,
 }
