@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, host_rules, token_counts
+from . import decontam, host_rules, packing, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_host_rules": host_rules.op2_host_rules,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op6_packing": packing.op6_packing,
     "op9_decontam": decontam.op9_decontam,
 }
 
 #: A query without an entry can't be said in SQL; its test holds it against brute force.
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
     "op2_host_rules": host_rules.ORACLE,
     "op9_decontam": decontam.ORACLE,
 }

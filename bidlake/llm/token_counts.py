@@ -17,30 +17,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import default_vocabulary, encoder
+from .tokens import default_files, encoder
 
 #: Lengths per block of the suffix sums: blocks are summed first, then lengths
 #: within a block, so no task needs the whole histogram.
 BLOCK = 1024
 
 
-def lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def lengths(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     """One row (n_tokens) per document."""
     small_batches(docs.sparkSession)
-    vocabulary = vocabulary or default_vocabulary()
+    files = files or default_files()
 
     def count(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(*files)
         for batch in batches:
-            n = [enc.count(t) if t else 0 for t in batch.column(0).to_pylist()]
+            n = [len(enc.ids(t)) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens long")
 
 
-def histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def histogram(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     """(n_tokens, docs): how many documents have exactly this length."""
-    return lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return lengths(docs, files).groupBy("n_tokens").agg(F.count("*").alias("docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
