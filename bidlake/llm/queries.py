@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, host_rules, langid, line_dedup, ngram_join, packing, token_counts, warc
+from . import decontam, host_rules, langid, line_dedup, ngram_join, packing, pii, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontam": decontam.op9_decontam,
+    "op10_pii": pii.op10_pii,
 }
 
 #: A query without an entry can't be said in SQL; its test holds it against brute force.
