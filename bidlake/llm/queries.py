@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, host_rules, langid, line_dedup, ngram_join, packing, pii, token_counts, warc
+from . import decontam, host_rules, langid, licenses, line_dedup, ngram_join, packing, pii, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_host_rules": host_rules.op2_host_rules,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_licenses": licenses.op4_licenses,
     "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
     "op7_ngram_join": ngram_join.op7_ngram_join,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
     "op2_host_rules": host_rules.ORACLE,
+    "op4_licenses": licenses.ORACLE,
     "op9_decontam": decontam.ORACLE,
 }
