@@ -55,12 +55,25 @@ def fingerprints_of(words: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarr
     low = np.zeros(w - 1, np.uint64)
     most = _slide(np.concatenate([low, _slide(h, w, np.minimum), low]), w, np.maximum)
     chosen = most == h
-    # Where one word stands over and over all hashes are equal: one in MARGIN / 2 will do.
-    chosen[1:] &= (h[1:] != h[:-1]) | (np.arange(1, len(h)) % (MARGIN // 2) == 0)
     at = np.flatnonzero(chosen)
+    if len(np.unique(h[at])) < len(at):
+        at = thinned(h, at, w // 2)
     return h[at], at
 
 
+def thinned(h: np.ndarray, at: np.ndarray, apart: int) -> np.ndarray:
+    """Of equal fingerprints in one text, those at least ``apart`` words apart: text of
+    a short period would else have one at every repeat, each at another distance from
+    the origin.  A run of k + w - 1 words still holds one where the period is short."""
+    last: dict[int, int] = {}
+    kept = []
+    for p, value in zip(at.tolist(), h[at].tolist(), strict=True):
+        if p - last.get(value, -apart) >= apart:
+            last[value] = p
+            kept.append(p)
+    return np.array(kept, np.int64)
+
+
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends in bytes) of the words."""
     data = text.encode() if text else b""
