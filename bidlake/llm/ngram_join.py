@@ -185,7 +185,7 @@ def _overlap(values: list[np.ndarray]) -> np.ndarray:
     if not len(token):
         return total
     token = np.unique(token, return_inverse=True)[1]  # sorted: the tokens of a chunk lie together
-    width = max(1, 4_000_000 // m)
+    width = max(1, min(int(token[-1]) + 1, 4_000_000 // m))
     for lo in range(0, int(token[-1]) + 1, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         has = np.zeros((m, width), np.float32)
