@@ -1 +1,209 @@
-"""Queries."""
+"""Search, ranking, adoption and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import adopt, vectors
+from ..operators import search as S
+from .base import Tables, over, query
+
+#: Queries: customers ask for a code, a SKU, a full name, a word of names, or a barcode.
+QUERIES_CTE = """q AS (SELECT c_custkey AS query_id, c_nationkey AS company_id, CASE c_custkey % 5 WHEN 0 THEN 'p-' || (c_custkey * 25 + c_nationkey) WHEN 1 THEN 'sku' || (c_custkey % 900) WHEN 2 THEN p_name WHEN 3 THEN split_part(p_name, ' ', 2) ELSE p_brand END AS query,
+ CASE WHEN c_custkey % 2 = 0 THEN 'PRODUCT' END AS q_type, c_custkey % 9 AS q_category_id FROM customer JOIN part ON p_partkey = c_custkey % 2000 WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0)"""
+
+
+def asked(t: Tables):
+    k = F.col("c_custkey")
+    c = t.raw("customer").where("c_custkey % 5 = 0 or c_custkey % 3 = 0").join(t.raw("part"), F.col("p_partkey") == k % 2000)
+    text = F.when(k % 5 == 0, F.concat(F.lit("p-"), k * 25 + F.col("c_nationkey"))).when(k % 5 == 1, F.concat(F.lit("sku"), k % 900)).when(k % 5 == 2, F.col("p_name")).when(k % 5 == 3, F.split("p_name", " ")[1]).otherwise(F.col("p_brand"))
+    return c.select(k.alias("query_id"), F.col("c_nationkey").alias("company_id"), text.alias("query"), F.when(k % 2 == 0, "PRODUCT").alias("q_type"), (k % 9).alias("q_category_id"))
+
+
+def texts(catalog):
+    """One row per searched field of an item."""
+    return catalog.select("company_id", F.col("item_id").alias("text_id"), F.explode(F.array("code", "sku", "barcode", "name", "description")).alias("text"))
+
+
+@query("search_customers", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), '0007') OR contains(lower(c_mktsegment), '0007') OR contains(lower(c_mktsegment), 'build')")
+def search_customers(spark, sf):
+    c = Tables(spark, sf).raw("customer")
+    return c.where(S.contains_any("0007", ["c_name", "c_mktsegment"]) | S.contains_any("BUILD", ["c_mktsegment"])).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("search_library", f"{over('library')} SELECT item_id, name FROM library WHERE is_active AND maker = 'Brand#3' AND (contains(lower(name), 'ring') OR contains(lower(model_number), 'ring') OR (item_id % 7 = 0 AND contains('alias ring ' || item_id, 'ring')) OR contains(gtin, 'ring'))")
+def search_library(spark, sf):
+    items = Tables(spark, sf).library()
+    aliases = items.where("item_id % 7 = 0").select("item_id", F.concat(F.lit("Alias Ring "), "item_id").alias("alias"))
+    ids = items.select("item_id", F.col("gtin").alias("normalized_value"))
+    return S.search_library(S.tenant_scope(items), aliases, ids, "RING", ["name", "model_number"], maker="Brand#3").select("item_id", "name")
+
+
+@query("filter_by_identifier", f"{over('library')} SELECT item_id, name FROM library WHERE gtin = lpad('37', 13, '0')")
+def filter_by_identifier(spark, sf):
+    items = Tables(spark, sf).library()
+    ids = items.select("item_id", F.lit("GTIN_13").alias("identifier_type"), F.col("gtin").alias("normalized_value"))
+    return S.filter_by_identifier(items, ids, "GTIN_13", "37".rjust(13, "0")).select("item_id", "name")
+
+
+@query("search_dimension", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 1 AND contains(lower(n_name), 'nation') ORDER BY n_name, n_nationkey LIMIT 3")
+def search_dimension(spark, sf):
+    n = Tables(spark, sf).raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    return S.search_dimension(n, "NATION", ["name"], 3, n_regionkey=1).select("id", "name")
+
+
+@query("keyset_page", "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' OR (o_orderdate = TIMESTAMP '1998-01-01' AND o_orderkey > 500) ORDER BY o_orderdate DESC, o_orderkey LIMIT 51")
+def keyset_page(spark, sf):
+    o = Tables(spark, sf).raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return S.keyset_page(o, F.to_timestamp(F.lit("1998-01-01")), 500, 50)
+
+
+@query("list_page", "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
+def list_page(spark, sf):
+    o = Tables(spark, sf).raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return S.list_page(o, [F.desc("created_at"), "id"], 3, 25)
+
+
+@query("page_info", "SELECT count(*) AS total, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages FROM orders WHERE o_orderstatus = 'O'")
+def page_info(spark, sf):
+    return S.page_info(Tables(spark, sf).raw("orders").where("o_orderstatus = 'O'"), 25)
+
+
+EXACT = """ex AS (SELECT DISTINCT query_id, item_id FROM q JOIN catalog USING (company_id) WHERE lower(code) = query OR lower(sku) = query OR lower(barcode) = query OR lower(name) = lower(query))"""
+PARTIAL = """pa AS (SELECT DISTINCT query_id, item_id FROM q JOIN catalog USING (company_id) WHERE contains(lower(code || chr(1) || sku || chr(1) || barcode || chr(1) || name || chr(1) || description), lower(query)))"""
+
+
+def _exact(t, q, catalog):
+    keys = catalog.select("company_id", "item_id", F.explode(F.array_distinct(F.array(F.lower("code"), F.lower("sku"), F.lower("barcode"), F.lower("name")))).alias("key"))
+    return S.exact_hits(q, keys, ["company_id"]).select("query_id", "item_id")
+
+
+@query("exact_retrieval", f"{over('catalog')}, {QUERIES_CTE}, {EXACT} SELECT * FROM ex")
+def exact_retrieval(spark, sf):
+    t = Tables(spark, sf)
+    return _exact(t, asked(t), t.catalog())
+
+
+@query("partial_retrieval", f"{over('catalog')}, {QUERIES_CTE}, {PARTIAL} SELECT * FROM pa")
+def partial_retrieval(spark, sf):
+    t = Tables(spark, sf)
+    return S.contains_join(asked(t), texts(t.catalog()), ["company_id"]).select("query_id", F.col("text_id").alias("item_id"))
+
+
+@query("contains_join_documents", "SELECT n_nationkey AS query_id, doc_id AS text_id FROM nation JOIN documents ON contains(lower(text), 'on ' || chr(CAST(97 + n_nationkey AS INT)) || 'n')")
+def contains_join_documents(spark, sf):
+    t = Tables(spark, sf)
+    q = t.raw("nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ON "), F.char(F.lit(97) + F.col("n_nationkey")), F.lit("n")).alias("query"))
+    return S.contains_join(q, t.raw("documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+POOL = f"""{over('catalog')}, {QUERIES_CTE}, {EXACT}, {PARTIAL}, sz AS (SELECT query_id, 6 AS n FROM q),
+e AS (SELECT * FROM (SELECT query_id, item_id, n, 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS r FROM ex JOIN sz USING (query_id)) WHERE r <= least(n, 10)),
+p AS (SELECT * FROM (SELECT query_id, item_id, n, 1 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, item_id) AS r FROM pa JOIN catalog USING (item_id) JOIN sz USING (query_id)) WHERE r <= n),
+o AS (SELECT query_id, item_id, min(priority) AS priority, arg_min(r, (priority, r)) AS r, any_value(n) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM p) GROUP BY query_id, item_id),
+pool AS (SELECT query_id, item_id, priority = 0 AS is_exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, r, item_id) AS place FROM o) WHERE place <= n)"""
+
+
+def _pool(t):
+    q, catalog = asked(t), t.catalog()
+    partial = S.contains_join(q, texts(catalog), ["company_id"]).select("query_id", F.col("text_id").alias("item_id"))
+    return q, catalog, S.pools(_exact(t, q, catalog), partial, catalog, q.select("query_id", F.lit(6).alias("n")), 10)
+
+
+@query("candidate_pools", f"{POOL} SELECT * FROM pool")
+def candidate_pools(spark, sf):
+    return _pool(Tables(spark, sf))[2]
+
+
+RANKED = f"""{POOL}, s AS (SELECT pool.query_id, item_id, name, lower(query) AS qq, code, sku, barcode, description, type, q_type, category_id, q_category_id FROM pool JOIN q USING (query_id) JOIN catalog USING (item_id)),
+sc AS (SELECT *, CASE WHEN lower(code) = qq OR lower(sku) = qq THEN 10000 WHEN barcode = qq THEN 9000 WHEN lower(name) = qq THEN 7000 WHEN contains(lower(name), qq) OR contains(lower(description), qq) THEN 4000 ELSE 0 END
+ + CASE WHEN category_id = q_category_id THEN 20 ELSE 0 END + CASE WHEN coalesce(type = q_type, false) THEN 10 ELSE 0 END + 100 AS score,
+ list_filter([CASE WHEN lower(code) = qq OR lower(sku) = qq THEN 'EXACT_CODE' END, CASE WHEN barcode = qq THEN 'EXACT_IDENTIFIER' END, CASE WHEN lower(name) = qq THEN 'EXACT_NAME' END, CASE WHEN lower(name) <> qq AND (contains(lower(name), qq) OR contains(lower(description), qq)) THEN 'PARTIAL_NAME_MATCH' END, CASE WHEN category_id = q_category_id THEN 'CATEGORY_MATCH' END, CASE WHEN type = q_type THEN 'TYPE_MATCH' END, 'COMPANY_CATALOG_PRIORITY'], lambda x: x IS NOT NULL) AS reasons FROM s),
+rk AS (SELECT query_id, item_id, CAST(score AS DOUBLE) AS score, array_to_string(reasons, ',') AS match_reasons, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, item_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM sc)"""
+
+
+def _ranked(t):
+    q, catalog, pool = _pool(t)
+    none = F.lit(None).cast("string")
+    c = pool.join(q, "query_id").join(catalog.drop("company_id"), "item_id").select(
+        "query_id", "item_id", "query", "q_type", "q_category_id", F.lit(None).cast("long").alias("q_manufacturer_id"), F.lit(None).cast("long").alias("q_brand_id"), F.lit("COMPANY_CATALOG").alias("origin"), "code", "sku", "barcode", none.alias("model_number"),
+        F.col("name").alias("display_name"), none.alias("name_ar"), none.alias("name_en"), "description", none.alias("description_ar"), none.alias("description_en"), "type", "category_id", F.lit(None).cast("long").alias("manufacturer_id"), F.lit(None).cast("long").alias("brand_id"),
+        F.array().cast("array<string>").alias("identifiers"), F.array().cast("array<string>").alias("aliases"),
+    )
+    return S.rank_candidates(S.scored(c), 5)
+
+
+@query("ranked_candidates", f"{RANKED} SELECT query_id, item_id, score, match_reasons, rank, total_candidates FROM rk WHERE rank <= 5")
+def ranked_candidates(spark, sf):
+    r = _ranked(Tables(spark, sf))
+    return r.select("query_id", "item_id", F.col("score").cast("double").alias("score"), F.array_join("match_reasons", ",").alias("match_reasons"), "rank", "total_candidates")
+
+
+@query("retrieval_metrics", f"{RANKED} SELECT query_id, count(*) AS final_count, count(*) FILTER (WHERE score >= 7000) AS exact_count, max(score) AS top_score, arg_min(match_reasons, rank) AS top_reasons FROM rk WHERE rank <= 5 GROUP BY query_id")
+def retrieval_metrics(spark, sf):
+    m = S.retrieval_metrics(_ranked(Tables(spark, sf)))
+    return m.select("query_id", "final_count", "exact_count", F.col("top_score").cast("double").alias("top_score"), F.array_join("top_reasons", ",").alias("top_reasons"))
+
+
+@query("adoption_collapse", f"""{over('catalog')}, c AS (SELECT s_suppkey AS query_id, s_nationkey AS company_id, p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN 'COMPANY_CATALOG' ELSE 'UNIVERSAL_LIBRARY' END AS origin, p_name AS display_name, CAST(1000 + p_partkey % 77 AS DOUBLE) AS score
+ FROM supplier JOIN part ON p_partkey % 25 = s_nationkey AND p_partkey % 40 = s_suppkey % 40), a AS (SELECT p_partkey % 25 AS company_id, p_partkey AS lib, p_partkey + 25 * (p_partkey % 4 + 1) AS cat FROM part WHERE p_partkey % 2 = 0),
+l AS (SELECT a.company_id, lib, cat, catalog.name FROM a JOIN catalog ON cat = item_id AND a.company_id = catalog.company_id AND is_active),
+f AS (SELECT query_id, c.company_id, 'COMPANY_CATALOG' AS origin, cat AS item_id, l.name AS display_name, score, lib AS linked, 1 AS o FROM c JOIN l ON c.company_id = l.company_id AND item_id = lib WHERE origin = 'UNIVERSAL_LIBRARY' UNION ALL SELECT query_id, company_id, origin, item_id, display_name, score, NULL, 0 FROM c WHERE origin = 'COMPANY_CATALOG')
+SELECT query_id, company_id, origin, item_id, arg_min(display_name, o) AS display_name, max(score) AS score, min(linked) IS NOT NULL AS is_adopted, min(linked) AS linked_id FROM f GROUP BY query_id, company_id, origin, item_id
+UNION ALL SELECT query_id, c.company_id, origin, item_id, display_name, score, false, NULL FROM c WHERE origin = 'UNIVERSAL_LIBRARY' AND NOT EXISTS (SELECT 1 FROM l WHERE l.company_id = c.company_id AND lib = item_id)""")
+def adoption_collapse(spark, sf):
+    t = Tables(spark, sf)
+    s, p, k = t.raw("supplier"), t.raw("part"), F.col("p_partkey")
+    c = p.withColumn("s_nationkey", (k % 25).cast("int")).withColumn("m", k % 40).join(s.withColumn("m", F.col("s_suppkey") % 40), ["s_nationkey", "m"])
+    c = c.select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("company_id"), k.alias("item_id"), F.when(k % 3 == 0, "COMPANY_CATALOG").otherwise("UNIVERSAL_LIBRARY").alias("origin"), F.col("p_name").alias("display_name"), (F.lit(1000.0) + k % 77).alias("score"), F.array(F.lit("EXACT_NAME")).alias("match_reasons"))
+    a = p.where("p_partkey % 2 = 0").select((k % 25).cast("int").alias("company_id"), k.alias("universal_item_id"), (k + (k % 4 + 1) * 25).alias("catalog_item_id"))
+    return S.collapse_adopted(c, a, t.catalog()).drop("match_reasons")
+
+
+@query("bulk_adoption", f"""{over('library', 'catalog')}, r AS (SELECT l_orderkey * 8 + l_linenumber AS request_id, l_partkey % 25 AS company_id, CASE WHEN l_partkey % 29 = 0 THEN l_partkey + 10000000 ELSE l_partkey END AS lib, CASE l_suppkey % 6 WHEN 0 THEN 'BAD CODE' WHEN 1 THEN 'P-' || l_partkey WHEN 2 THEN 'NEW-' || (l_partkey % 300) ELSE 'UCL-' || CASE WHEN l_partkey % 29 = 0 THEN l_partkey + 10000000 ELSE l_partkey END END AS code,
+ CASE WHEN l_suppkey % 23 = 0 THEN CAST(-1 AS DOUBLE) ELSE l_quantity END AS price, l_suppkey % 8 AS unit_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS one FROM lineitem) WHERE one = 1),
+v AS (SELECT r.*, name, CASE WHEN code = 'BAD CODE' THEN 'CODE_INVALID' WHEN price < 0 THEN 'PRICE_INVALID' WHEN item_id IS NULL THEN 'ITEM_NOT_FOUND' WHEN NOT is_active THEN 'ITEM_INACTIVE' WHEN lib % 13 = 0 THEN 'EXISTING' WHEN unit_id > 4 THEN 'UNIT_NOT_FOUND' WHEN EXISTS (SELECT 1 FROM catalog c WHERE c.company_id = r.company_id AND c.code = r.code) THEN 'CODE_TAKEN' ELSE 'NEW' END AS v FROM r LEFT JOIN library ON item_id = lib),
+w AS (SELECT *, min(request_id) FILTER (WHERE v = 'NEW') OVER (PARTITION BY company_id, lib) AS i1, min(request_id) FILTER (WHERE v = 'NEW') OVER (PARTITION BY company_id, code) AS c1 FROM v),
+z AS (SELECT *, CASE WHEN v = 'NEW' AND request_id <> i1 THEN 'EXISTING' WHEN v = 'NEW' AND request_id <> c1 THEN 'CODE_TAKEN' ELSE v END AS verdict FROM w)
+SELECT request_id, company_id, lib AS universal_item_id, verdict, CASE WHEN verdict = 'NEW' THEN code END AS code, CASE WHEN verdict = 'NEW' THEN name END AS name, CASE WHEN verdict = 'NEW' THEN price END AS sale_price, CASE WHEN verdict = 'EXISTING' AND v = 'EXISTING' THEN lib + 1 END AS catalog_item_id FROM z""")
+def bulk_adoption(spark, sf):
+    from pyspark.sql import Window
+
+    t = Tables(spark, sf)
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    one = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    lib = F.when(p % 29 == 0, p + 10000000).otherwise(p)
+    code = F.when(s % 6 == 0, F.lit("bad code")).when(s % 6 == 1, F.concat(F.lit("p-"), p)).when(s % 6 == 2, F.concat(F.lit("new-"), p % 300))
+    r = t.raw("lineitem").withColumn("one", one).where("one = 1").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"), (p % 25).cast("int").alias("company_id"), lib.alias("universal_item_id"), code.alias("code"), F.when(s % 23 == 0, -1.0).otherwise(F.col("l_quantity")).alias("sale_price"), (s % 8).alias("unit_id"), F.lit(None).cast("long").alias("tax_rate_id"))
+    items = t.library()
+    adoptions = items.where("item_id % 13 = 0").select((F.col("item_id") % 25).cast("int").alias("company_id"), F.col("item_id").alias("universal_item_id"), (F.col("item_id") + 1).alias("catalog_item_id"))
+    units = t.raw("region").select(F.col("r_regionkey").cast("long").alias("unit_id"), F.lit(None).cast("int").alias("company_id"))
+    return adopt.adopt_items(r, items, adoptions, t.catalog(), units, t.tax_rates())
+
+
+@query("searchable_text", f"{over('library')} SELECT item_id, name || ' | Model: ' || model_number || ' | Manufacturer: ' || maker || CASE WHEN item_id % 2 = 0 THEN ' | Category: ' || type_name ELSE '' END || ' | Aliases: ' || lower(name) || ', a' || item_id || ' | Attributes: gtin: ' || gtin AS text FROM library")
+def searchable_text(spark, sf):
+    i = Tables(spark, sf).library()
+    text = vectors.searchable_text("name", "model_number", "maker", F.lit(" "), F.when(F.col("item_id") % 2 == 0, F.col("type_name")), F.array(F.lower("name"), F.lit(" "), F.concat(F.lit("a"), "item_id")), F.array(F.struct(F.lit("gtin").alias("code"), F.col("gtin").alias("value"))))
+    return i.select("item_id", text.alias("text"))
+
+
+@query("vector_topk", """SELECT query_id, item_id, rank, round(s, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)) WHERE rank <= 10""")
+def vector_topk(spark, sf):
+    e = Tables(spark, sf).raw("embeddings")
+    top = vectors.vector_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10)
+    return top.select("query_id", "item_id", "rank", F.round("similarity", 3).alias("similarity"))
+
+
+@query("pair_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def pair_cosine(spark, sf):
+    e = Tables(spark, sf).raw("embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(b, "vec_id").select("vec_id", F.round(vectors.cosine("embedding", "next"), 6).alias("similarity"))
+
+
+@query("first_aliases", f"{over('library')} SELECT item_id, array_to_string([a FOR a, i IN list_sort(list({{'id': k, 'a': 'a' || k}})) IF i <= 3], ',') AS aliases FROM library JOIN (SELECT l_partkey AS item_id, l_orderkey AS k FROM lineitem) USING (item_id) GROUP BY item_id".replace("[a FOR a, i IN list_sort(list({'id': k, 'a': 'a' || k})) IF i <= 3]", "list_transform(list_sort(list(k))[1:3], lambda x: 'a' || x)"))
+def first_aliases(spark, sf):
+    t = Tables(spark, sf)
+    li = t.raw("lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_orderkey").alias("id"), F.concat(F.lit("a"), "l_orderkey").alias("alias"))
+    return S.first_children(t.library().select("item_id").join(li.select("item_id").distinct(), "item_id", "left_semi"), li, "alias", "aliases", 3).select("item_id", F.array_join("aliases", ",").alias("aliases"))
