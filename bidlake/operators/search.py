@@ -80,10 +80,10 @@ def page_info(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).alias("pages"))
 
 
-def _grams(text: Column, n: Column | int) -> Column:
-    n = F.lit(n) if isinstance(n, int) else n
-    last = F.length(text) - n + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters, by n passes of matches side by side."""
+    passes = [F.regexp_extract_all(F.substr(text, F.lit(s + 1)), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for s in range(n)]
+    return F.array_distinct(F.flatten(F.array(*passes)))
 
 
 def contains_join(queries: DataFrame, texts: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def contains_join(queries: DataFrame, texts: DataFrame, on: list[str] | None = N
     q = q.withColumn("n", F.least(F.length("q"), F.lit(3)))
     low = texts.select("text_id", F.lower("text").alias("t"), *on).where("t is not null")
     sizes = [r[0] for r in q.select("n").distinct().collect()]  # 1, 2, 3 at most
-    asked = q.select("*", F.explode(_grams(F.col("q"), F.col("n"))).alias("gram"))
+    asked = q.select("*", F.explode(F.when(F.col("n") == 1, _grams(F.col("q"), 1)).when(F.col("n") == 2, _grams(F.col("q"), 2)).otherwise(_grams(F.col("q"), 3))).alias("gram"))
     # Only pieces that some query has leave the scan, and without the texts.
     pieces = reduce(DataFrame.unionByName, [low.select("text_id", *on, F.explode(_grams(F.col("t"), n)).alias("gram")) for n in sizes or [3]])
     pieces = pieces.join(asked.select(*on, "gram").distinct(), [*on, "gram"], "left_semi")
