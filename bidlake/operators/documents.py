@@ -121,7 +121,7 @@ def claim_pending(records: DataFrame, now: Column, most: int = 50) -> DataFrame:
 def recoverable_jobs(quotations: DataFrame, now: Column, most: int) -> DataFrame:
     """Localization work to take up again, oldest first."""
     idle = F.col("lease_until").isNull() | (F.col("lease_until") < now)
-    again = (F.col("localization_status") == "PENDING") | ((F.col("localization_status") == "FAILED") & F.col("error_code").isin("PROVIDER_TIMEOUT", "PROVIDER_UNAVAILABLE", "STALE_LEASE"))
+    again = (F.col("localization_status") == "PENDING") | ((F.col("localization_status") == "FAILED") & F.col("error_code").isin("TRANSLATION_TIMEOUT", "TRANSLATION_PROVIDER_ERROR", "TRANSLATION_UNEXPECTED_ERROR"))
     fit = ~F.col("is_deleted") & F.col("signature").isNotNull() & (F.col("attempts") < 3) & idle & again
     return quotations.where(fit).orderBy(F.asc_nulls_last("requested_at"), F.asc_nulls_last("updated_at"), "id").limit(most)
 

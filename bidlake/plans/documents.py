@@ -87,7 +87,7 @@ def recoverable_jobs(spark, sf):
     k = F.col("event_id")
     q = Tables(spark, sf).raw("events").select(
         k.alias("id"), (k % 10 == 0).alias("is_deleted"), F.when(k % 7 > 0, "s").alias("signature"), (F.col("user_id") % 5).alias("attempts"), F.when(k % 2 > 0, F.col("ts")).alias("lease_until"),
-        F.when(F.col("event_type") == "click", "PENDING").when(F.col("event_type") == "error", "FAILED").alias("localization_status"), F.when(k % 3 == 0, "PROVIDER_TIMEOUT").otherwise("OTHER").alias("error_code"), F.when(k % 4 > 0, F.col("ts")).alias("requested_at"), F.col("ts").alias("updated_at"),
+        F.when(F.col("event_type") == "click", "PENDING").when(F.col("event_type") == "error", "FAILED").alias("localization_status"), F.when(k % 3 == 0, "TRANSLATION_TIMEOUT").otherwise("OTHER").alias("error_code"), F.when(k % 4 > 0, F.col("ts")).alias("requested_at"), F.col("ts").alias("updated_at"),
     )
     return D.recoverable_jobs(q, F.to_timestamp(F.lit("2024-01-10")), 200).select("id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, feed, identity, localize, money, search
+from . import documents, feed, identity, localize, money, search, streams
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documents", "feed", "identity", "localize", "money", "search"]
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "feed", "identity", "localize", "money", "search", "streams"]

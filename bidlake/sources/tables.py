@@ -45,7 +45,7 @@ def merge_by_key(existing: DataFrame, updates: DataFrame, keys: list[str], reset
     is there."""
     reset = reset or {}
     columns = existing.columns
-    order = (["fetched_at"] if "fetched_at" in updates.columns else []) + sorted(updates.columns)
+    order = sorted(updates.columns, key=lambda c: (c != "fetched_at", c))
     last = updates.groupBy(*keys).agg(F.max(F.struct(*order)).alias("u")).select(*[F.col(f"u.{c}").alias(f"__u_{c}") for c in updates.columns], F.lit(True).alias("__new"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in keys])
     both = existing.withColumn("__old", F.lit(True)).join(last, on, "full_outer")
