@@ -140,30 +140,77 @@ def buckets(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, dept
     return out
 
 
+_SLOTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("leaves", pa.binary())])
+_SLOTS_DDL = "path long, i int, j int, part int, doc_id long, n long, leaves binary"
 _PARTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("leaves", pa.binary())])
 _PARTS_DDL = "path long, i int, j int, part int, doc_id long, copies long, tokens binary, leaves binary"
 
 
-def _parts(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """Every set once for each (bucket, pair of blocks) it is compared in."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a (bucket, pair of blocks) side by side."""
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "doc_id")
 
-    def emit(batches):
+
+def _groups(batches, width: int):
+    """((path, i, j), rows without these) of dealt rows; a group of one has no pair."""
+    key, held = None, []
+    for batch in batches:
+        for path, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in range(width)), strict=True):
+            if (path, i, j) != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = (path, i, j), []
+            held.append(rest)
+    if len(held) > 1:
+        yield key, held
+
+
+def _slots(members: DataFrame, block: int, threshold: float) -> DataFrame:
+    """(doc_id, path, i, j, part, leaves): where a set must be compared.  Of each bucket
+    only those sets stay that have a partner of a fitting size which they meet here
+    first; this is known without the sets, so few of them have to travel."""
+
+    def place(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, copies, inside in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tokens = np.unique((shingles(text) >> np.uint64(32)).astype("<u4")).tobytes()
+            for doc_id, n, inside in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 leaves = np.sort(np.array([x["path"] for x in inside], np.int64)).tobytes()
+                mixed = mix64(np.array([doc_id], np.int64).view(np.uint64))[0]
                 for x in inside:
                     blocks = -(-x["m"] // block)
-                    own = int(mix64(np.array([doc_id], np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                    for other in range(blocks):
-                        rows.append((x["path"], min(own, other), max(own, other), own, doc_id, copies, tokens, leaves))
+                    own = int(mixed % np.uint64(blocks))
+                    rows += [(x["path"], min(own, o), max(own, o), own, doc_id, n, leaves) for o in range(blocks)]
+            yield _batch(rows, _SLOTS)
+
+    def choose(batches):
+        rows = []
+        for (path, i, j), held in _groups(batches, 7):
+            leaves = [np.frombuffer(h[3], np.int64) for h in held]
+            meet = first_here(path, fitting(np.array([h[0] for h in held]), np.array([h[2] for h in held], np.float32), i != j, threshold), leaves)
+            rows += [(path, i, j, held[x][0], *held[x][1:]) for x in np.flatnonzero(meet.any(1)).tolist()]
+            if len(rows) >= 5000:
+                yield _batch(rows, _SLOTS)
+                rows = []
+        yield _batch(rows, _SLOTS)
+
+    return _dealt(members.select("__id", "n", "inside").mapInArrow(place, _SLOTS_DDL)).mapInArrow(choose, _SLOTS_DDL)
+
+
+def _parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets themselves, once for each slot; wanted: (__id, copies, slots)."""
+
+    def emit(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text, copies, slots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens = np.unique((shingles(text) >> np.uint64(32)).astype("<u4")).tobytes()
+                rows += [(x["path"], x["i"], x["j"], x["part"], doc_id, copies, tokens, x["leaves"]) for x in slots]
                 if len(rows) >= 2000:
                     yield _batch(rows, _PARTS)
                     rows = []
             yield _batch(rows, _PARTS)
 
-    return _with_list(docs, members).select("doc_id", "text", "copies", "inside").mapInArrow(emit, _PARTS_DDL)
+    return _with_list(docs, wanted).select("doc_id", "text", "copies", "slots").mapInArrow(emit, _PARTS_DDL)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -194,27 +241,35 @@ def _overlap(values: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def compare(path: int, side: np.ndarray, tokens: list[np.ndarray], leaves: list[np.ndarray], cross: bool, threshold: float) -> np.ndarray:
-    """Which pairs are linked and meet in this bucket first (a symmetric matrix)."""
-    size = np.array([len(t) for t in tokens], np.float32)
-    both = size[:, None] + size[None, :]
+def fitting(side: np.ndarray, size: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
+    """Which pairs have sizes that allow the similarity (a symmetric matrix)."""
     fits = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-3
     np.fill_diagonal(fits, False)
     if cross:
         fits &= side[:, None] != side[None, :]
-    if not fits.any():
-        return fits
+    return fits
+
+
+def first_here(path: int, pairs: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+    """Those of the pairs that share no earlier bucket."""
+    some = np.flatnonzero(pairs.any(1))
+    if len(some):
+        earlier = _overlap([leaves[i][: np.searchsorted(leaves[i], path)] for i in some])
+        pairs[np.ix_(some, some)] &= earlier == 0
+    return pairs
+
+
+def compare(path: int, side: np.ndarray, tokens: list[np.ndarray], leaves: list[np.ndarray], cross: bool, threshold: float) -> np.ndarray:
+    """Which pairs are linked and meet in this bucket first (a symmetric matrix)."""
+    size = np.array([len(t) for t in tokens], np.float32)
+    fits = fitting(side, size, cross, threshold)
     some = np.flatnonzero(fits.any(1))  # sets without a partner of a fitting size need no work
     near = np.zeros_like(fits)
-    inner = _overlap([tokens[i] for i in some])
-    # |a & b| / |a | b| >= threshold, in whole numbers of tokens
-    near[np.ix_(some, some)] = inner * (1 + threshold) >= threshold * both[np.ix_(some, some)] - 1e-3
-    near &= fits
-    some = np.flatnonzero(near.any(1))
     if len(some):
-        earlier = _overlap([leaves[i][: np.searchsorted(leaves[i], path)] for i in some])
-        near[np.ix_(some, some)] &= earlier == 0
-    return near
+        inner, both = _overlap([tokens[i] for i in some]), size[some][:, None] + size[some][None, :]
+        # |a & b| / |a | b| >= threshold, in whole numbers of tokens
+        near[np.ix_(some, some)] = inner * (1 + threshold) >= threshold * both - 1e-3
+    return first_here(path, near & fits, leaves)
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -238,22 +293,9 @@ def _found(parts: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, root, links) for every linked set of a bucket: how many documents it
     is linked to there, and the root of its tree."""
 
-    def groups(batches):
-        key, held = None, []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for path, i, j, part, *rest in zip(*columns, strict=True):
-                if (path, i, j) != key:
-                    if len(held) > 1:
-                        yield key, held
-                    key, held = (path, i, j), []
-                held.append((part, *rest))
-        if len(held) > 1:
-            yield key, held
-
     def search(batches):
         rows = []
-        for (path, i, j), held in groups(batches):
+        for (path, i, j), held in _groups(batches, 8):
             tokens = [np.frombuffer(h[3], "<u4") for h in held]
             leaves = [np.frombuffer(h[4], np.int64) for h in held]
             near = compare(path, np.array([h[0] for h in held]), tokens, leaves, i != j, threshold)
@@ -267,8 +309,7 @@ def _found(parts: DataFrame, threshold: float) -> DataFrame:
                 rows = []
         yield _batch(rows, _FOUND)
 
-    dealt = parts.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "doc_id")
-    return dealt.mapInArrow(search, "doc_id long, root long, links long")
+    return _dealt(parts).mapInArrow(search, "doc_id long, root long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,8 +343,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     reps = sets.where("sig is not null").join(classes.select(F.col("sig").alias("__sig"), "rep", "copies"), (F.col("sig") == F.col("__sig")) & (F.col("doc_id") == F.col("rep")))
     leaves = buckets(docs, reps, threshold, depth, block)
     inside = leaves.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("path", "m")).alias("inside"))
-    members = written(inside.join(classes.groupBy(F.col("rep").alias("__id")).agg(F.sum("copies").alias("copies")), "__id"), "join-members")
-    found = written(_found(_parts(docs, members, block), threshold), "join-found")
+    sizes = reps.groupBy(F.col("rep").alias("__id")).agg(F.max("n").alias("n"))
+    copies = classes.groupBy(F.col("rep").alias("__id")).agg(F.sum("copies").alias("copies"))
+    members = written(inside.join(sizes, "__id").join(copies, "__id"), "join-members")
+    slots = _slots(members, block, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("path", "i", "j", "part", "leaves")).alias("slots"))
+    wanted = written(slots.join(members.select("__id", "copies"), "__id"), "join-slots")
+    found = written(_found(_parts(docs, wanted), threshold), "join-found")
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     per = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
