@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 from .tokens import default_files, encoder
 
 #: Lengths per block of the suffix sums: blocks are summed first, then lengths
@@ -39,8 +39,9 @@ def lengths(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
 
 
 def histogram(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
-    """(n_tokens, docs): how many documents have exactly this length."""
-    return lengths(docs, files).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    """(n_tokens, docs): how many documents have exactly this length; written, since
+    what is asked of it reads it several times."""
+    return written(lengths(docs, files).groupBy("n_tokens").agg(F.count("*").alias("docs")), "token-histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
