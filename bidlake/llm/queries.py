@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op2_host_rules": host_rules.ORACLE,
     "op4_licenses": licenses.ORACLE,
     "op9_decontam": decontam.ORACLE,
+    "op10_pii": pii.ORACLE,
 }
