@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_OWN_ROOTS: dict[str, str] = {}
+from ..sources.tables import work_root, written
+
+__all__ = ["FOLD", "mix64", "new_folder", "small_batches", "window_hashes", "word_bounds", "word_hashes", "written"]
 
 #: Rows per Arrow batch handed to a Python worker.  Texts may be long, so the
 #: batch is kept small; it bounds a worker's memory, not the work done.
@@ -22,34 +23,11 @@ FOLD = bytes(
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOTS:
-        _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="bidlake-")
-    return _OWN_ROOTS[app]
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the cluster's shared one."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, so
-    a lost executor costs a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

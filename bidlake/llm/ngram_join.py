@@ -392,3 +392,16 @@ def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD
                 p, q = sorted((top(a), top(b)))
                 label[q] = p
     return {i: (top(i), links[i]) for i in sets}
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * c >= 8 * (na.n + nb.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE a = d.doc_id), d.doc_id)) AS class_id, least(d.doc_id, coalesce((SELECT min(b) FROM l WHERE a = d.doc_id AND same), d.doc_id)) AS copy_of,
+       (SELECT count(*) FROM l WHERE a = d.doc_id) AS n_links
+FROM d
+"""

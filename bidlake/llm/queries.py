@@ -22,6 +22,7 @@ ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
     "op2_host_rules": host_rules.ORACLE,
     "op4_licenses": licenses.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
     "op9_decontam": decontam.ORACLE,
     "op10_pii": pii.ORACLE,
 }
