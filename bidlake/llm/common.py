@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import work_root, written
 
-__all__ = ["FOLD", "mix64", "new_folder", "small_batches", "window_hashes", "word_bounds", "word_hashes", "written"]
+__all__ = ["FOLD", "join_lists", "mix64", "new_folder", "small_batches", "window_hashes", "word_bounds", "word_hashes", "written"]
 
 #: Rows per Arrow batch handed to a Python worker.  Texts may be long, so the
 #: batch is kept small; it bounds a worker's memory, not the work done.
@@ -28,6 +29,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of (id, list) rows, about, up to which that side of a join is broadcast.
+MAX_BROADCAST_BYTES = 128_000_000
+
+
+def join_lists(docs: DataFrame, lists: DataFrame, size: Column, how: str = "inner") -> DataFrame:
+    """docs joined to lists (__id, ...), which are tables in a folder already.  ``size``
+    is about the bytes of a row; while their sum is within the bound the lists are
+    broadcast and the texts stay where they are, beyond it the join is shuffled."""
+    total = lists.agg(F.sum(size + 64)).first()[0] or 0
+    small = total <= MAX_BROADCAST_BYTES
+    return docs.join(F.broadcast(lists) if small else lists, F.col("doc_id") == F.col("__id"), how)
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -195,6 +195,8 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     start, end = word_bounds(data.translate(FOLD))
     out, at = [], 0
     for a, b in spans:
+        if b > len(start):
+            continue  # another text under the same id
         out.append(data[at : start[a]])
         at = int(start[b]) if b < len(start) else int(end[b - 1])
     return b"".join([*out, data[at:]]).decode(errors="ignore")

@@ -13,7 +13,6 @@ Only doc_id, text and (to learn) lang are read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,6 @@ SAMPLE_DOCS, PLACES, CHARS = 600, 3, 200
 MAX_LANGUAGES = 64
 HIDDEN, SEGMENT, LANES = 16, 128, 2048
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,7 +135,7 @@ class Network:
         """(language, mean probability) of each whole text."""
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        data = [t.lower().encode() if t and _LETTER.search(t) else b"" for t in texts]
+        data = [t.lower().encode() if t and any(map(str.isalpha, t)) else b"" for t in texts]
         total = np.zeros((len(texts), len(self.languages)))
         rows, owners = [], []
         for i, d in enumerate(data):

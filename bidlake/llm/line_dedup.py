@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, window_hashes, word_bounds, word_hashes, written
+from .common import join_lists, small_batches, window_hashes, word_bounds, word_hashes, written
 
 K, W = 25, 26
 MIN_WORDS = K + W - 1
@@ -33,9 +33,6 @@ MIN_WORDS = K + W - 1
 MARGIN = 64
 #: Words of an origin document that are compared as one piece.
 BLOCK = 256
-#: Rows of (id, small list) up to which the side of a join is broadcast; beyond
-#: it the join is shuffled.
-MAX_BROADCAST_ROWS = 500_000
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -98,13 +95,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").mapInArrow(winnow, "hash long, doc_id long, pos int")
 
 
-def _with_list(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined to (__id, list); lists is broadcast while it is small."""
-    lists = written(lists, "dedup-lists")
-    small = lists.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return docs.join(F.broadcast(lists) if small else lists, F.col("doc_id") == F.col("__id"), how)
-
-
 _REGION = "odoc long, oblock int, doc_id long, diag int, first int, words binary"
 
 
@@ -124,7 +114,8 @@ def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _REGION.split(", ")])
 
-    return _with_list(docs, lists, "inner").select("doc_id", "text", "ranges").mapInArrow(emit, _REGION)
+    lists = written(lists, "dedup-lists")
+    return join_lists(docs, lists, F.size("ranges") * 40).select("doc_id", "text", "ranges").mapInArrow(emit, _REGION)
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray, k: int = K) -> list[tuple[int, int]]:
@@ -217,7 +208,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             rows.append((cut(t, spans) if spans else t, sum(b - a for a, b in spans), len(spans)))
         return pd.DataFrame(rows, columns=["text", "n_removed", "n_runs"])
 
-    joined = _with_list(docs, found, "left").withColumn("__new", F.when(F.col("runs").isNotNull(), clean("text", "runs")))
+    joined = join_lists(docs, written(found, "dedup-runs"), F.size("runs") * 40, "left").withColumn("__new", F.when(F.col("runs").isNotNull(), clean("text", "runs")))
     changed = F.coalesce(F.col("__new.n_runs") > 0, F.lit(False))
     new = {"text": F.when(changed, F.col("__new.text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

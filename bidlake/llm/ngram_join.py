@@ -32,12 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, mix64, small_batches, window_hashes, word_bounds, word_hashes, written
+from .common import FOLD, join_lists, mix64, small_batches, window_hashes, word_bounds, word_hashes, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 DEPTH, BLOCK = 3, 512
-#: Rows of (id, small list) up to which the side of a join is broadcast.
-MAX_BROADCAST_ROWS = 500_000
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -95,12 +93,6 @@ def sketches(docs: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(sketch, "doc_id long, n long, sig binary, paths array<long>")
 
 
-def _with_list(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """docs joined to (__id, ...); the lists are broadcast while they are few."""
-    small = lists.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return docs.join(F.broadcast(lists) if small else lists, F.col("doc_id") == F.col("__id"))
-
-
 def _deeper(docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """(path, doc_id) one level below the given (path, doc_id)."""
     lists = written(rows.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("path").alias("paths")), "join-split")
@@ -117,7 +109,7 @@ def _deeper(docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
                 ids.append(np.full(len(got), doc_id, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], names=["path", "doc_id"])
 
-    return _with_list(docs, lists).select("doc_id", "text", "paths").mapInArrow(split, "path long, doc_id long").distinct()
+    return join_lists(docs, lists, F.size("paths") * 8).select("doc_id", "text", "paths").mapInArrow(split, "path long, doc_id long").distinct()
 
 
 def buckets(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -210,7 +202,8 @@ def _parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows = []
             yield _batch(rows, _PARTS)
 
-    return _with_list(docs, wanted).select("doc_id", "text", "copies", "slots").mapInArrow(emit, _PARTS_DDL)
+    size = F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + 40 + F.octet_length(x["leaves"]))
+    return join_lists(docs, wanted, size).select("doc_id", "text", "copies", "slots").mapInArrow(emit, _PARTS_DDL)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
