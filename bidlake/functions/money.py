@@ -73,7 +73,7 @@ def document_totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """
     checked = with_line_amounts(lines.withColumn("__error", line_error()))
     sums = checked.groupBy("doc_id").agg(
-        F.count("*").alias("line_count"), F.count_distinct("position").alias("__positions"),
+        F.count("*").alias("line_count"), F.size(F.collect_set("position")).alias("__positions"),
         F.min(F.when(F.col("__error").isNotNull(), F.struct("position", F.col("__error").alias("e")))).alias("__first"),
         F.sum(F.col("subtotal") - F.col("discount_amount")).alias("__net"), F.sum("tax_amount").alias("__tax"),
     )
