@@ -7,8 +7,11 @@ a run of K + W - 1 words in two places is therefore sure to share one.  The
 earliest place (doc_id, then position) of a fingerprint is its origin; other places
 are joined to it, the words around both are compared and the match is extended
 both ways as far as they agree, and runs of at least ``min_words`` words are
-deleted where they come later.  A deleted word always has an equal, earlier one
-in an equal context, so the first copy of a passage stays.
+deleted where they come later.  The origin may hold less of a passage than two later
+texts share: runs of ``min_words`` words around fingerprints that this leaves open are
+hashed whole, and each is joined to its own earliest place and compared likewise.
+Deleted is every word inside a run of ``min_words`` words that also stands at an
+earlier place, and no other, so the first copy of a passage stays.
 
 Defined results: a null text stays null and an empty one empty; documents without
 an id are left as they are; rows of one id count as one document; a document that
@@ -24,13 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_lists, small_batches, window_hashes, word_bounds, word_hashes, written
+from .common import join_lists, mix64, small_batches, window_hashes, word_bounds, word_hashes, written
 
 K, W = 25, 26
 MIN_WORDS = K + W - 1
-#: Words compared beyond the outermost fingerprints, more than a match can extend
-#: without another fingerprint.
-MARGIN = 64
 #: Words of an origin document that are compared as one piece.
 BLOCK = 256
 
@@ -44,18 +44,63 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     return out if size == w else f(out[: len(x) - w + 1], out[w - size :])
 
 
-def fingerprints_of(words: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the window minima; none for texts under k + w - 1 words."""
-    h = window_hashes(words, k)
+def fingerprints_of(words: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, thin) of the window minima; none for texts under k + w - 1 words.
+    thin: equal ones of this text were left out."""
+    return minima(window_hashes(words, k), w)
+
+
+def minima(h: np.ndarray, w: int = W) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(h) < w:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     low = np.zeros(w - 1, np.uint64)
     most = _slide(np.concatenate([low, _slide(h, w, np.minimum), low]), w, np.maximum)
-    chosen = most == h
-    at = np.flatnonzero(chosen)
+    at = every = np.flatnonzero(most == h)
     if len(np.unique(h[at])) < len(at):
         at = thinned(h, at, w // 2)
-    return h[at], at
+        return h[at], at, np.isin(h[at], h[np.setdiff1d(every, at, assume_unique=True)])
+    return h[at], at, np.zeros(len(at), bool)
+
+
+def reach_of(h: np.ndarray, at: np.ndarray, length: int, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the runs of ``length`` words of which each fingerprint is
+    the smallest hash; last < first where there is none."""
+    first, last = at + 1, np.full(len(at), -1, np.int64)
+    n = len(h) + k - length
+    if n < 1 or not len(at):
+        return first, last
+    lowest = _slide(h, w, np.minimum)[:n]
+    for d in range(w):
+        start = at - d
+        good = (start >= 0) & (start < n)
+        good[good] = lowest[start[good]] == h[at[good]]
+        first = np.where(good, start, first)
+        last = np.where(good, np.maximum(last, start), last)
+    return first, last
+
+
+def runs_of(words: np.ndarray, places: np.ndarray, thin: np.ndarray, settled: list[tuple[int, int]], length: int, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the runs of ``length`` words outside the settled spans of which
+    one of the places is the smallest hash, or any with its hash where it is thin."""
+    h = window_hashes(words, k)
+    n = len(words) - length + 1
+    inside = places < len(h)  # others are of another text under the same id
+    places, thin = places[inside], thin[inside]
+    if n < 1 or not len(places):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lowest = _slide(h, w, np.minimum)[:n]
+    wanted = np.isin(lowest, h[places[thin]])
+    for d in range(w):
+        start = places - d
+        start = start[(start >= 0) & (start < n)]
+        wanted[start[lowest[start] == h[start + d]]] = True
+    for a, b in settled:
+        wanted[a : max(a, b - length + 1)] = False
+    at = np.flatnonzero(wanted)
+    total = np.zeros(len(at), np.uint64)
+    for j in [*range(0, length - k, k), length - k]:
+        total = mix64(total + h[at + j])
+    return total, at
 
 
 def thinned(h: np.ndarray, at: np.ndarray, apart: int) -> np.ndarray:
@@ -78,21 +123,63 @@ def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(data, start, end), start, end
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, pos)."""
+def _columns(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
+    """Arrays of several texts, one after the other, as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *(r[i] for r in rows)]).astype(k)) for i, k in enumerate(kinds)], names=names.split())
+
+
+def fingerprints(docs: DataFrame, length: int = MIN_WORDS) -> DataFrame:
+    """(hash, doc_id, pos, thin, first, last): the last two as in ``reach_of``."""
 
     def winnow(batches):
         for batch in batches:
-            hashes, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, at = fingerprints_of(words_of(text)[0])
-                hashes.append(h)
-                ids.append(np.full(len(at), doc_id, np.int64))
-                places.append(at)
-            columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(places).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "doc_id", "pos"])
+                every = window_hashes(words_of(text)[0], K)
+                h, at, thin = minima(every)
+                first, last = reach_of(every, at, length)
+                rows.append((h.view(np.int64), np.full(len(at), doc_id, np.int64), at, thin, at - first, at - last))
+            yield _columns(rows, "hash doc_id pos thin first last", [np.int64, np.int64, np.int32, bool, np.int32, np.int32])
 
-    return docs.where("text is not null").mapInArrow(winnow, "hash long, doc_id long, pos int")
+    return docs.where("text is not null").mapInArrow(winnow, "hash long, doc_id long, pos int, thin boolean, first int, last int").withColumns({c: F.col("pos") - F.col(c) for c in ("first", "last")})
+
+
+def open_runs(docs: DataFrame, marked: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """(hash, doc_id, pos) of the runs of ``length`` words that the origins of their
+    fingerprints leave open.  A run around a fingerprint's origin is the earliest of its
+    kind, and those equal to it are settled, unless fingerprints were left out."""
+    kind = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("places", "thin", "spans")])
+
+    @F.pandas_udf(kind)
+    def left_open(places, runs):
+        import pandas as pd
+
+        rows = []
+        for ps, rs in zip(places, runs, strict=True):
+            spans = spans_of(rs, length) if rs is not None else []
+            starts, ends = np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64)
+            p = np.array([(x["pos"], x["thin"], x["first"], x["last"]) for x in ps], np.int64).reshape(-1, 4)
+            i = np.searchsorted(starts, p[:, 2], "right") - 1
+            covered = (i >= 0) & (ends[i] >= p[:, 3] + length) if len(spans) else np.zeros(len(p), bool)
+            p = p[(p[:, 1] == 1) | ((p[:, 3] >= p[:, 2]) & ~covered)]
+            rows.append((p[:, 0].tolist(), p[:, 1].tolist(), [x for s in spans for x in s]))
+        return pd.DataFrame(rows, columns=["places", "thin", "spans"])
+
+    asked = marked.where(F.col("thin") | (F.col("doc_id") != F.col("odoc")) | (F.col("pos") != F.col("opos")))
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.col("thin").cast("int").alias("thin"), "first", "last")).alias("places"))
+    lists = asked.join(_by_document(runs), F.col("doc_id") == F.col("__id"), "left").select(F.col("doc_id").alias("__id"), left_open("places", "runs").alias("o"))
+    lists = written(lists.where(F.size("o.places") > 0).select("__id", "o.*"), "dedup-open")
+
+    def emit(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text, places, thin, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                h, at = runs_of(words_of(text)[0], np.array(places, np.int64), np.array(thin, bool), list(zip(spans[::2], spans[1::2], strict=True)), length)
+                rows.append((h.view(np.int64), np.full(len(at), doc_id, np.int64), at))
+            yield _columns(rows, "hash doc_id pos", [np.int64, np.int64, np.int32])
+
+    size = 4 * (F.size("places") * 2 + F.size("spans"))
+    return join_lists(docs.where("text is not null"), lists, size).select("doc_id", "text", "places", "thin", "spans").mapInArrow(emit, "hash long, doc_id long, pos int")
 
 
 _REGION = "odoc long, oblock int, doc_id long, diag int, first int, words binary"
@@ -142,24 +229,40 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "odoc", "diag", "first", "words", "ofirst", "owords").mapInArrow(compare, "doc_id long, odoc long, diag int, a int, b int")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(__id, runs: array of (odoc, diag, a, b)) for documents with a verified match
-    to an earlier place."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    prints = written(fingerprints(docs), "dedup-prints")
-    origins = prints.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("o"), F.count("*").alias("n")).where("n > 1").select("hash", F.col("o.doc_id").alias("odoc"), F.col("o.pos").alias("opos"))
-    later = prints.join(origins, "hash").where((F.col("doc_id") != F.col("odoc")) | (F.col("pos") != F.col("opos")))
+def _compared(docs: DataFrame, later: DataFrame, margin: int) -> DataFrame:
+    """(doc_id, odoc, diag, a, b): what is equal within margin words of the places of
+    later (doc_id, pos, odoc, opos)."""
     matches = written(
         later.groupBy("doc_id", "odoc", F.floor(F.col("opos") / BLOCK).cast("int").alias("oblock"), (F.col("pos") - F.col("opos")).alias("diag"))
-        .agg((F.min("pos") - MARGIN).alias("lo"), (F.max("pos") + K + MARGIN).alias("hi")), "dedup-matches",
+        .agg((F.min("pos") - margin).alias("lo"), (F.max("pos") + K + margin).alias("hi")), "dedup-matches",
     )
     asked = matches.groupBy("odoc", "oblock").agg(F.min(F.col("lo") - F.col("diag")).alias("lo"), F.max(F.col("hi") - F.col("diag")).alias("hi")).select(F.col("odoc").alias("doc_id"), "odoc", "oblock", F.lit(0).alias("diag"), "lo", "hi")
     there = _regions(docs, asked).select("odoc", "oblock", F.col("first").alias("ofirst"), F.col("words").alias("owords"))
-    runs = _verified(_regions(docs, matches).join(there, ["odoc", "oblock"])).distinct()
+    return written(_verified(_regions(docs, matches).join(there, ["odoc", "oblock"])).distinct(), "dedup-equal")
+
+
+def _by_document(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("odoc", "diag", "a", "b")).alias("runs"))
 
 
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(__id, runs: array of (odoc, diag, a, b)) for documents with a verified match
+    to an earlier place."""
+    small_batches(docs.sparkSession)
+    length = max(min_words, K + W - 1)  # shorter runs may share no fingerprint
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    prints = written(fingerprints(docs, length), "dedup-prints")
+    first = F.min(F.struct("doc_id", "pos")).alias("o")
+    origins = prints.groupBy("hash").agg(first, F.count("*").alias("n"), F.max("thin").alias("thin")).where("n > 1 or thin").select("hash", F.col("o.doc_id").alias("odoc"), F.col("o.pos").alias("opos"), "thin")
+    marked = written(prints.drop("thin").join(origins, "hash").drop("hash"), "dedup-marked")
+    elsewhere = (F.col("doc_id") != F.col("odoc")) | (F.col("pos") != F.col("opos"))
+    runs = _compared(docs, marked.where(elsewhere), length)
+    whole = written(open_runs(docs, marked, runs, length), "dedup-open")
+    origins = whole.groupBy("hash").agg(first, F.count("*").alias("n")).where("n > 1").select("hash", F.col("o.doc_id").alias("odoc"), F.col("o.pos").alias("opos"))
+    more = _compared(docs, whole.join(origins, "hash").where(elsewhere), length)
+    return _by_document(runs.unionByName(more).distinct())
+
+
 def spans_of(runs, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Merged ranges to delete: pieces of one match are joined before the bound on
     words is applied, so runs of different matches don't add up."""
@@ -195,7 +298,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of docs, text without later repeats (n_chars follows it, where it
     exists), and n_removed (words) and n_runs, which no column may be called."""
-    found = repeats(docs)
+    found = repeats(docs, min_words)
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_runs", T.LongType())])
 
     @F.pandas_udf(kind)
