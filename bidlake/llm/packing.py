@@ -3,7 +3,7 @@
 Documents become token ids once.  They are laid out by a minhash of their ids, so
 that texts with words in common stand side by side, and cut into shards of
 bounded size.  Each shard has a BM25 inverted index over ids, with document
-frequencies of the whole corpus.  A seed document's rarest terms retrieve unused
+frequencies of the whole corpus.  All terms of a seed document retrieve unused
 neighbours, which fill its window one after the other; the one that crosses the
 end is cut there and its rest stays in the pool.  Documents longer than a window
 fill windows of their own first.  What is left at the end of a shard becomes
@@ -33,8 +33,6 @@ WINDOW = 2048
 END = 1
 #: Bounds of a shard: what a task holds at once.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: Terms of the seed that are looked up: those that weigh most.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -107,10 +105,7 @@ class Shard:
 
     def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
         """Free documents by falling score; without a common term in order."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        at = np.searchsorted(self.key, terms)
+        at = np.searchsorted(self.key, self.terms[seed])
         rows = np.concatenate([np.arange(self.first[a], self.first[a + 1]) for a in at])
         score = np.bincount(self.owner[rows], self.weight[rows], minlength=len(free))
         found = np.flatnonzero(free & (score > 0))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from test_contracts import docs, prose
 
-from bidlake.llm import line_dedup
+from bidlake.llm import line_dedup, packing
 
 
 def test_line_dedup_with_earlier_excerpts(spark):
@@ -23,3 +24,21 @@ def test_line_dedup_with_earlier_excerpts(spark):
     for row in line_dedup.dedup(docs(spark, texts)).collect():
         kept = [w for p, w in enumerate(texts[row["doc_id"]].split()) if p not in gone[row["doc_id"]]]
         assert row["text"].split() == kept
+
+
+def test_packing_scores_all_terms():
+    """Neighbours of seeds of hundreds of terms in the order of BM25 over all of them."""
+    r = np.random.default_rng(2)
+    weight = 1 / np.arange(1, 3001)
+    made = [(i, r.choice(3000, n, p=weight / weight.sum()).astype("<u2")) for i, n in enumerate(r.integers(300, 1500, 60))]
+    df = np.bincount(np.concatenate([np.unique(d) for _, d in made]), minlength=3001)
+    idf, mean = np.log(1 + (60 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for _, d in made]))
+    shard = packing.Shard(made, idf, mean, 2048)
+    tf = np.stack([np.bincount(d, minlength=3001) for _, d in made]).astype(float)
+    size = np.array([[len(d)] for _, d in made])
+    bm25 = idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * size / mean))
+    for seed in range(60):
+        free = np.arange(60) != seed
+        score = bm25[:, tf[seed] > 0].sum(axis=1)
+        got = list(shard.neighbours(seed, free))
+        assert len(got) == 59 and np.all(np.diff(score[got]) <= 1e-9)
