@@ -121,17 +121,17 @@ def _any_null(parts: list[Column]) -> Column:
     return out
 
 
-def cluster_batch(records: DataFrame, keys: DataFrame, library: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(record_id, item_id, verdict): CREATED, JOINED, FAILED or NEEDS_REVIEW, as if the
-    records were published one after the other by (created_at, record_id).
+def cluster_batch(records: DataFrame, keys: DataFrame, library: DataFrame) -> DataFrame:
+    """(record_id, item_id, verdict): CREATED, JOINED or FAILED, as if the records were published
+    one after the other by (created_at, record_id).
 
     records: record_id, created_at; keys: record_id, tier (1 global, 2 part number, 3
     model), key; library: tier, key, item_id.  A record follows the items its keys
     already have, of the first tier that has any; two items fail it, and then its
     keys pass to the next holder.  Each round takes the earliest standing holder of
     every key from the round before; a record depends on earlier ones only, so rounds
-    are as many as the longest chain.  Rounds are written, and what still changes after
-    ``max_rounds`` goes to review.
+    are as many as the longest chain.  Rounds are written, and go on until none changes
+    anything.
     """
     order = F.struct("created_at", "record_id")
     held = written(keys.join(records.select("record_id", order.alias("at")), "record_id"), "cluster-keys")
@@ -139,7 +139,7 @@ def cluster_batch(records: DataFrame, keys: DataFrame, library: DataFrame, max_r
     held = written(held.join(owned, ["tier", "key"], "left"), "cluster-keys")
     own = F.concat(F.lit("new-"), F.col("record_id").cast("string"))
     state = written(records.select("record_id", own.alias("item_id"), F.lit("CREATED").alias("verdict"), F.lit(True).alias("changed")), "cluster-state")
-    for _ in range(max_rounds):
+    while True:
         standing = held.join(state.where("verdict <> 'FAILED'").select("record_id", "item_id"), "record_id")
         first = standing.groupBy("tier", "key").agg(F.min(F.struct("at", "item_id")).alias("f"))
         seen = held.join(first, ["tier", "key"], "left")
@@ -153,5 +153,4 @@ def cluster_batch(records: DataFrame, keys: DataFrame, library: DataFrame, max_r
         changed = ~(F.col("item_id").eqNullSafe(F.col("old_item")) & (F.col("verdict") == F.col("old")))
         state = written(new.select("record_id", "item_id", "verdict", changed.alias("changed")), "cluster-state")
         if state.where("changed").isEmpty():
-            break
-    return state.select("record_id", F.when(~F.col("changed"), F.col("item_id")).alias("item_id"), F.when(F.col("changed"), "NEEDS_REVIEW").otherwise(F.col("verdict")).alias("verdict"))
+            return state.select("record_id", "item_id", "verdict")
