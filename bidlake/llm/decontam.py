@@ -9,8 +9,9 @@ collision never marks anything.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words has no window; repeated windows and repeated items all count as
-items of their own id; items without an id are ignored; null ids of documents
-pass through.  Texts are scanned whole, whatever their length.  Of the input
+items of their own id; items without an id are ignored; documents without an id
+are scanned and cut like others, and rows of one id and different texts are kept
+apart.  Texts are scanned whole, whatever their length.  Of the input
 only the two named columns are read, so extra columns cannot clash.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ N = 10
 #: Windows that are broadcast at most (about 100 bytes each).
 MAX_BROADCAST_WINDOWS = 2_000_000
 
-SCAN = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
+SCAN = "doc_id long, row string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
 
 def fold_words(text: str | None) -> list[bytes]:
@@ -104,7 +105,7 @@ def _scan_broadcast(docs: DataFrame, bench: list[tuple[str, str | None]], n: int
         get = windows.words.get
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = fold_words(text)
                 ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
                 spans, items = [], set()
@@ -112,13 +113,13 @@ def _scan_broadcast(docs: DataFrame, bench: list[tuple[str, str | None]], n: int
                     spans.append((start, start + length))
                     items |= found
                 spans = merged(spans)
-                rows.append((doc_id, len(words), sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in spans]))
+                rows.append((doc_id, row, len(words), sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in spans]))
             yield _batch(rows)
 
     return docs.mapInArrow(scan, SCAN)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -142,26 +143,31 @@ def _scan_join(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
     """The way beyond the broadcast bound: a shuffled join on the window's words."""
     items = _windows_df(bench, "item_id", "text", None, n).select(F.col("k").alias("item_id"), "len", "words").distinct()
     lengths = [r[0] for r in items.select("len").distinct().collect()]  # n values at most
-    hit = _windows_df(docs, "doc_id", "text", lengths or [n], n).join(items, ["len", "words"])
-    per = hit.groupBy(F.col("k").alias("doc_id")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))).alias("s"))
+    hit = _windows_df(docs.dropDuplicates(["row"]), "row", "text", lengths or [n], n).join(items, ["len", "words"])
+    per = hit.groupBy(F.col("k").alias("row")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))).alias("s"))
     step = "aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (a, x) -> case when size(a) > 0 and x.start <= a[size(a) - 1].stop then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'stop', greatest(a[size(a) - 1].stop, x.stop)))) else concat(a, array(x)) end)"
     per = per.withColumn("spans", F.expr(step)).drop("s")
     folded = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    count = docs.select("doc_id", F.size(F.filter(F.split(folded, " "), lambda w: w != "")).cast("long").alias("n_words"))
+    count = docs.select("doc_id", "row", F.size(F.filter(F.split(folded, " "), lambda w: w != "")).cast("long").alias("n_words"))
     none = "cast(array() as array<{}>)".format
-    return count.join(per, "doc_id", "left").select(
-        "doc_id", "n_words",
+    return count.join(per, "row", "left").select(
+        "doc_id", "row", "n_words",
         F.expr("coalesce(aggregate(spans, 0L, (a, x) -> a + x.stop - x.start), 0L)").alias("n_hit"),
         F.coalesce("items", F.expr(none("string"))).alias("items"),
         F.coalesce("spans", F.expr(none("struct<start:int,stop:int>"))).alias("spans"),
     )
 
 
+def _row() -> Column:
+    """What tells rows apart, null ids and texts of one id included."""
+    return F.concat_ws(":", F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+
+
 def scan(docs: DataFrame, bench: DataFrame, n: int = N, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (ids of items with occurring
+    """Per document: doc_id, row (id and hash of the text), n_words, n_hit, items (ids of items with occurring
     windows, as strings, sorted) and spans (merged word ranges that are hit)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row().alias("row"))
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     # An upper bound of windows and of the text the driver would hold, from one small aggregate.
     size = bench.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0)).alias("chars"), F.count("*").alias("rows")).first()
@@ -175,8 +181,8 @@ def remove(docs: DataFrame, bench: DataFrame, n: int = N, drop_share: float = 0.
     of the text; a document of whose words more than ``drop_share`` are hit goes.
     ``n_chars``, where it exists, follows the new text."""
     small_batches(docs.sparkSession)
-    found = scan(docs, bench, n, max_broadcast).where("n_hit > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("spans").alias("__spans"), F.first(F.col("n_hit") / F.col("n_words")).alias("__share"))
-    hit = docs.join(found, F.col("doc_id") == F.col("__id"), "left").where(~F.coalesce(F.col("__share") > drop_share, F.lit(False)))
+    found = scan(docs, bench, n, max_broadcast).where("n_hit > 0").groupBy(F.col("row").alias("__row")).agg(F.first("spans").alias("__spans"), F.first(F.col("n_hit") / F.col("n_words")).alias("__share"))
+    hit = docs.join(found, _row() == F.col("__row"), "left").where(~F.coalesce(F.col("__share") > drop_share, F.lit(False)))
     names = docs.columns
     cut = hit.withColumn("text", F.when(F.col("__spans").isNotNull(), _cut("text", "__spans")).otherwise(F.col("text")))
     if "n_chars" in names:

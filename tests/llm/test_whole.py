@@ -3,9 +3,9 @@
 import random
 
 import numpy as np
-from test_contracts import docs, prose
+from test_contracts import SCHEMA, bench, docs, prose
 
-from bidlake.llm import line_dedup, packing
+from bidlake.llm import decontam, line_dedup, packing
 
 
 def test_line_dedup_with_earlier_excerpts(spark):
@@ -42,3 +42,18 @@ def test_packing_scores_all_terms():
         score = bm25[:, tf[seed] > 0].sum(axis=1)
         got = list(shard.neighbours(seed, free))
         assert len(got) == 59 and np.all(np.diff(score[got]) <= 1e-9)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    item = prose(r, 12)
+    dirty, clean = f"{prose(r, 20, 10**6)} {item} {prose(r, 20, 10**6)}", prose(r, 60, 10**6)
+    rows = [(None, dirty), (None, clean), (None, None), (1, clean), (1, dirty), (1, dirty), (2, clean)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    b = bench(spark, [(5, item)])
+    cut = dirty.replace(f"{item} ", "")
+    for most in (10**6, 0):
+        got = sorted((str(x["doc_id"]), x["n_words"], x["n_hit"], x["items"]) for x in decontam.scan(d, b, max_broadcast=most).collect())
+        assert got == sorted((str(i), len((t or "").split()), 12 * (t == dirty), ["5"] * (t == dirty)) for i, t in rows)
+        left = sorted((str(x["doc_id"]), str(x["text"])) for x in decontam.remove(d, b, max_broadcast=most).collect())
+        assert left == sorted((str(i), cut if t == dirty else str(t)) for i, t in rows)
