@@ -10,8 +10,10 @@ fill windows of their own first.  What is left at the end of a shard becomes
 sequences of power-of-two lengths, so nothing is padded.
 
 Defined results: a null or empty text is just its end token; repeated rows are
-documents of their own; an empty table gives no pieces.  Each id lies in exactly
-one piece.  Only ``doc_id`` and ``text`` are read.  Sequence ids hold the number of
+documents of their own, as are rows of one id and different texts; a null id stays null;
+an empty table gives no pieces; texts are encoded whole, whatever their length.  Each id
+lies in exactly one piece.  Of equally good neighbours the earlier in the layout comes
+first.  Only ``doc_id`` and ``text`` are read, so extra columns can't clash.  Sequence ids hold the number of
 the task, so a lost task that runs again gives the same rows.
 """
 
@@ -33,7 +35,12 @@ WINDOW = 2048
 END = 1
 #: Bounds of a shard: what a task holds at once.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
+#: Tokens to a partition of the layout, about; never fewer partitions than the session's.
+PART_TOKENS = 64_000_000
 K1, B = 1.2, 0.75
+#: Terms that more documents of a shard have are scored by a product of matrices, for so
+#: many seeds at once; the others by their postings.
+COMMON, SEEDS = 64, 256
 
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 PIECES_DDL = ", ".join(f"{n} long" for n in PIECES.names)
@@ -88,29 +95,42 @@ class Shard:
 
     def __init__(self, docs: list[tuple[int, np.ndarray]], idf: np.ndarray, mean: float, window: int):
         self.docs, self.idf, self.window = docs, idf, window
-        terms, owners, counts = [], [], []
-        for i, (_, ids) in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owners.append(np.full(len(t), i))
-        self.terms = terms
-        term, owner, tf = (np.concatenate(x) for x in (terms, owners, counts))
         size = np.array([len(ids) for _, ids in docs])
+        both, tf = np.unique(np.repeat(np.arange(len(docs)) << 32, size) | np.concatenate([ids for _, ids in docs]).astype(np.int64), return_counts=True)
+        owner, term = both >> 32, both & 0xFFFFFFFF
+        self.terms = np.split(term, np.searchsorted(owner, np.arange(1, len(docs))))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
         order = np.argsort(term, kind="stable")
-        self.key, first = np.unique(term[order], return_index=True)
+        self.key, first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.first = np.append(first, len(term))
-        self.owner, self.weight = owner[order], weight[order]
+        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
+        # Frequent terms: which documents have them, and with what weight.
+        self.common = df > COMMON
+        column = np.cumsum(self.common) - 1
+        row = np.repeat(np.arange(len(df)), df)
+        often = self.common[row]
+        self.table = np.zeros((len(docs), int(self.common.sum())), np.float32)
+        self.table[self.owner[often], column[row[often]]] = self.weight[often]
+        self.scored = (0, np.zeros((0, 0), np.float32))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed."""
+        begin, block = self.scored
+        if not begin <= seed < begin + len(block):
+            some = self.table[seed : seed + SEEDS]
+            begin, block = self.scored = (seed, (some > 0).astype(np.float32) @ self.table.T)
+        at = np.searchsorted(self.key, self.terms[seed])
+        at = at[~self.common[at]]
+        size = self.first[at + 1] - self.first[at]
+        rows = np.arange(size.sum()) + np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(at) else np.zeros(0, np.int64)
+        return block[seed - begin] + np.bincount(self.owner[rows], self.weight[rows], minlength=len(self.docs))
 
     def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
         """Free documents by falling score; without a common term in order."""
-        at = np.searchsorted(self.key, self.terms[seed])
-        rows = np.concatenate([np.arange(self.first[a], self.first[a + 1]) for a in at])
-        score = np.bincount(self.owner[rows], self.weight[rows], minlength=len(free))
+        score = self.scores(seed)
         found = np.flatnonzero(free & (score > 0))
         yield from found[np.argsort(-score[found], kind="stable")].tolist()
-        yield from np.flatnonzero(free & (score == 0)).tolist()
+        yield from np.flatnonzero(free & (score <= 0)).tolist()
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Each sequence: (document's place, start, length) of its pieces."""
@@ -167,7 +187,7 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, window: int = WI
     tokens = written(tokenised(docs, files, end), "packing-tokens")
     size = encoder(*files).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    total = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    total = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.sum("n").alias("tokens")).first()
     df = document_frequencies(tokens, size)
     idf = np.log(1 + (total["docs"] - df + 0.5) / (df + 0.5))  # as long as the vocabulary
     shared, mean = docs.sparkSession.sparkContext.broadcast(idf), total["mean"] or 1.0
@@ -188,7 +208,8 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, window: int = WI
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(7)], schema=PIECES)
 
     # A range layout splits even a run of equal routes, so no group is too large.
-    laid = tokens.repartitionByRange("route", "doc_id", "n").sortWithinPartitions("route", "doc_id", "n", F.crc32("ids"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["tokens"] or 0) // PART_TOKENS))
+    laid = tokens.repartitionByRange(parts, "route", "doc_id", "n", F.crc32("ids")).sortWithinPartitions("route", "doc_id", "n", F.crc32("ids"))
     return laid.select("doc_id", "ids").mapInArrow(fill, PIECES_DDL)
 
 
