@@ -1,4 +1,9 @@
-"""Sales requests in words: what they ask for, and which customer and items they mean."""
+"""Sales requests in words: what they ask for, and which customer and items they mean.
+
+A request is cut into segments and these into words; each word is of a kind that has a
+letter, so a segment is a short string of kinds, as long as it has words.  What is asked
+is read off the order of the kinds, and off the words at the same places.
+"""
 
 from __future__ import annotations
 
@@ -10,90 +15,196 @@ from pyspark.sql import functions as F
 from ..functions.text import match_key, trim_u
 from .search import contains_join
 
-MAX_LINES, MAX_SHOWN = 20, 5
+MAX_LINES, MAX_SHOWN, MAX_TEXT, MAX_MENTION = 20, 5, 500, 300
 
 # The words, in English and Arabic, by which a request is read.
-AR = {
-    "quote": "عرض\\s+سعر", "company": "لشركة", "client": "العميل", "supply": "توريد", "install": "تركيب", "service": "خدمة", "maintain": "صيانة", "at": "بسعر|سعر|بمبلغ",
-    "units": "قطعة|قطع|حبة|حبات|جهاز|أجهزة|وحة|وحات",
-}
-CAMERAS = "كاميرات|كاميرا"
-CURRENCIES = "KWD|USD|EUR|SAR|AED"
-_NUM = r"\d+(?:\.\d+)?"
-_PRICE = rf"(?:\bat\b|\bprice\b|\bcost\b|{AR['at']})\s*[:=-]?\s*"
-_UNITS = f"units?|pcs?|pieces?|items?|{AR['units']}"
-#: Scope by the first rule that has any of its groups of words; all words of a group.
+KINDS = {
+    "V": "please create prepare make a اعمل أنشئ جهز",  # before the request
+    "Q": "quotation quote عرض",
+    "F": "for للعميل",
+    "K": "customer client لشركة العميل",
+    "D": "needs need requests request",
+    "P": "at price cost بسعر سعر بمبلغ",
+    "U": "unit units pc pcs piece pieces item items قطعة قطع حبة حبات جهاز أجهزة وحدة وحدات",
+    "T": "كاميرات كاميرا",  # a unit that names the item too
+    "C": "kwd usd eur sar aed د.ك",
+    "S": "supply",
+    "s": "توريد",
+    "I": "installation",
+    "i": "تركيب",
+    "M": "maintenance صيانة",
+    "G": "consultation استشارة",
+    "R": "service خدمة",
+    "O": "only فقط",
+    "H": "with مع",
+    "A": "and",
+    "E": ": = -",
+}
+#: Scope by the first kinds that a request has.
 SCOPES = [
-    ("SUPPLY_AND_INSTALLATION", [["supply and installation"], ["with installation"], ["وريد", "ركيب"], ["مع التركيب"], ["مع تركيب"]]),
-    ("SUPPLY_ONLY", [["supply only"], ["توريد فقط"]]),
-    ("INSTALLATION_ONLY", [["installation only"]]),
-    ("MAINTENANCE", [["maintenance"], ["صيانة"]]),
-    ("CONSULTATION", [["consultation"], ["استشارة"]]),
-    ("SERVICE", [["service"], ["خدمة"]]),
-    ("INSTALLATION_ONLY", [["installation"], ["ركيب"]]),
-    ("SUPPLY_ONLY", [["supply"], ["وريد"]]),
-]
+    ("SUPPLY_AND_INSTALLATION", "SAI|H[Ii]|s.*i|i.*s"), ("SUPPLY_ONLY", "[Ss]O"), ("INSTALLATION_ONLY", "IO"), ("MAINTENANCE", "M"),
+    ("CONSULTATION", "G"), ("SERVICE", "R"), ("INSTALLATION_ONLY", "[Ii]"), ("SUPPLY_ONLY", "[Ss]"),
+]
+SERVICES, ENDS = "IiMR", "SsIiMRE"
 
 
-def _has(text: Column, *words: str) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+def _kind(word: Column) -> Column:
+    """The letter of a word: N for a number, W for any word that tells nothing."""
+    known = F.create_map(*[F.lit(x) for letter, words in KINDS.items() for w in words.split() for x in (w, letter)])
+    bare = F.regexp_replace(word, "^و?(?:ال|لل)?", "")
+    return F.when(word.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "N").otherwise(F.coalesce(F.try_element_at(known, word), F.try_element_at(known, bare), F.lit("W")))
 
 
-def scope_type(text: Column) -> Column:
-    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [_has(text, *g) for g in groups]), scope) for scope, groups in SCOPES])
+def _segments(requests: DataFrame) -> DataFrame:
+    """Adds no, segment, words and kinds: a row per segment, one without for a request
+    that has none."""
+    parts = F.filter(F.transform(F.split(trim_u("text"), r"[\n;,،]+"), trim_u), lambda s: s != "")
+    rows = requests.select("*", F.posexplode_outer(F.slice(parts, 1, MAX_LINES)).alias("no", "segment"))
+    glued = "|".join(w for letter in "UC" for w in KINDS[letter].split() if w.isascii())
+    spaced = F.regexp_replace("segment", r"د\s*\.?\s*ك(?!\p{L})|دينار\s+كويتي", "د.ك")
+    spaced = F.regexp_replace(spaced, rf"(?i)(?<=[0-9])(?=(?:{glued})\b)|(?<=\S)(?=[:=](?:\s|$))", " ")
+    rows = rows.withColumn("words", F.coalesce(F.split(spaced, r"(?U)\s+"), F.array().cast("array<string>")))
+    plain = F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"(?<=.)[.!?:=]+$", "")))
+    return rows.withColumn("plain", plain).withColumn("kinds", F.array_join(F.transform("plain", _kind), ""))
 
 
-def currency(text: Column) -> Column:
-    named = F.upper(F.regexp_extract(text, rf"(?i)\b({CURRENCIES})\b", 1))
-    return F.coalesce(F.nullif(named, F.lit("")), F.when(text.rlike(r"د\s*\.?\s*ك") | F.contains(text, F.lit("دينار كويتي")), "KWD"))
+def _found(kinds: str, before: str, inside: str, after: str = "") -> tuple[Column, Column]:
+    """(place, length) of the first such kinds between those before and after, place null if
+    there are none; places are counted from 0."""
+    whole = f"^(.*?{before})({inside}){after}"
+    size = F.length(F.regexp_extract(kinds, whole, 2))
+    return F.when(size > 0, F.length(F.regexp_extract(kinds, whole, 1))), size
 
 
-def customer_mention(text: Column, locale: Column) -> Column:
-    end = r"[,;:\n]|$"
-    ar = rf"(?i)(?:{AR['quote']}\s+(?:ل|لعميل|{AR['company']})|{AR['company']}|{AR['client']})\s+(.+?)(?=\s+(?:{_NUM}|{AR['supply']}|{AR['install']}|{AR['service']}|{AR['maintain']})|{end})"
-    en = [rf"(?i)(?:quotation|quote)\s+for\s+(.+?)(?=\s+(?:supply|installation|service|maintenance|{_NUM}\s*(?:units?|pcs?|pieces?))|{end})", rf"(?i)(?:customer|client)\s+(.+?)(?=\s+(?:needs?|requests?|{_NUM})|{end})"]
-    found = lambda p: F.nullif(trim_u(F.regexp_extract(text, p, 1)), F.lit(""))
-    short = lambda c: F.when(F.length(c) <= 300, c)
-    return F.when(locale == "ar", short(found(ar))).otherwise(F.coalesce(*[short(found(p)) for p in en]))
+def _said(at: Column, size: Column) -> Column:
+    words = F.array_join(F.slice("words", F.coalesce(at, F.lit(0)) + 1, size), " ")
+    return F.when(at.isNotNull() & (F.length(words) <= MAX_MENTION), words)
 
 
-def _line_text(segment: Column, mention: Column) -> Column:
-    at = F.position(mention, segment)
-    cut = F.when(mention.isNotNull() & (at > 0), F.concat(F.substr(segment, F.lit(1), at - 1), F.lit(" "), F.substr(segment, at + F.length(mention)))).otherwise(segment)
-    cut = F.regexp_replace(cut, r"(?i)^(?:please\s+)?(?:create|prepare|make)?\s*(?:a\s+)?(?:quotation|quote)\s*(?:for)?\s*", " ")
-    cut = F.regexp_replace(cut, rf"(?is)^(.*?)(?:اعمل|أنشئ|جهز)?\s*{AR['quote']}\s*(?:{AR['company']}|للعميل)?\s*", "$1 ")
-    cut = F.regexp_replace(cut, rf"(?i){_PRICE}{_NUM}\s*(?:{CURRENCIES}|د\s*\.?\s*ك)?", " ")
-    cut = F.regexp_replace(cut, rf"(?i)^\s*{_NUM}\s*(?:{_UNITS})?\s*", " ")
-    return F.nullif(trim_u(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit(""))
+def _inside(i: Column, at: str, size: str) -> Column:
+    return F.coalesce((i >= F.col(at)) & (i < F.col(at) + F.col(size)), F.lit(False))
 
 
 def extract_intents(requests: DataFrame) -> DataFrame:
-    """requests: request_id, text, locale.  Adds customer_mention, customer_email, subject,
-    scope_type, currency_code and lines: array of (text, quantity, unit_text, price, type)."""
-    r = requests.withColumn("__t", trim_u("text"))
-    t = F.col("__t")
-    r = r.withColumn("customer_mention", customer_mention(t, F.col("locale"))).withColumn("customer_email", F.nullif(F.regexp_extract(t, r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0), F.lit("")))
-    subject = F.when(F.col("customer_mention").isNotNull(), F.concat(F.when(F.col("locale") == "ar", "عرض سعر - ").otherwise("Quotation - "), "customer_mention"))
-    segments = F.slice(F.filter(F.transform(F.split(t, r"[\n;,،]+"), trim_u), lambda s: s != ""), 1, MAX_LINES)
-    mention, locale = F.col("customer_mention"), F.col("locale")
-
-    def line(s: Column) -> Column:
-        quantity = rf"(?i)({_NUM})\s*({_UNITS}|{CAMERAS})?"
-        text = F.substring(F.coalesce(_line_text(s, mention), trim_u(F.substring(s, 1, 500))), 1, 500)
-        service = reduce(lambda a, b: a | b, [_has(text, w) for w in ("service", "maintenance", "installation", AR["service"], AR["maintain"], AR["install"])])
-        kind = F.when(service, "SERVICE").when((locale == "en") | F.contains(text, F.lit(AR["supply"])), "PRODUCT").otherwise("UNKNOWN")
-        number = lambda p, g: F.nullif(F.regexp_extract(s, p, g), F.lit("")).try_cast("double")
-        return F.struct(text.alias("text"), number(quantity, 1).alias("quantity"), F.nullif(F.regexp_extract(s, quantity, 2), F.lit("")).alias("unit_text"), number(rf"(?i){_PRICE}({_NUM})", 1).alias("price"), kind.alias("type"))
-
-    return r.withColumn("subject", subject).withColumn("scope_type", scope_type(t)).withColumn("currency_code", currency(t)).withColumn("lines", F.transform(segments, line)).drop("__t")
-
-
-def validate_intent(raw: Column, allowed: list[str], most_lines: int = MAX_LINES) -> Column:
-    """The first thing wrong with an intent given as JSON text, or null."""
-    keys = F.json_object_keys(raw)
-    n = F.coalesce(F.json_array_length(F.get_json_object(raw, "$.lines")), F.lit(0))
-    return F.coalesce(F.when(keys.isNull(), "NOT_AN_OBJECT"), F.when(F.exists(keys, lambda k: ~k.isin(*allowed)), "UNKNOWN_FIELD"), F.when(n > most_lines, "TOO_MANY_LINES"), F.when(F.length(F.coalesce(F.get_json_object(raw, "$.customerMention"), F.lit(""))) > 300, "MENTION_TOO_LONG"))
+    """requests: request_id (one row each), text, locale.  Adds customer_mention,
+    customer_email, subject, scope_type, currency_code and lines: array of (text, quantity,
+    unit_text, price, type)."""
+    s = _segments(requests.select("request_id", "locale", "text"))
+    arabic = F.col("locale") == "ar"
+    # Whom it is for: behind "quotation for" first, behind "customer" where that says nothing.
+    first = {c: F.when(arabic, a).otherwise(e) for c, a, e in zip(("at", "size"), _found("kinds", "(?:QP?[FK]|K)", ".+?", f"(?=[N{ENDS}]|$)"), _found("kinds", "QP?F", ".+?", f"(?=[{ENDS}]|NU|$)"), strict=True)}
+    second = dict(zip(("at", "size"), _found("kinds", "K", ".+?", "(?=[DNE]|$)"), strict=True))
+    s = s.withColumns({"m1_at": first["at"], "m1": first["size"], "m2_at": F.when(~arabic, second["at"]), "m2": second["size"]})
+    s = s.withColumn("mention1", _said(F.col("m1_at"), F.col("m1"))).withColumn("mention2", _said(F.col("m2_at"), F.col("m2")))
+    of = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("no", c))).alias(c)
+    asked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "kinds"))), lambda x: x["kinds"]), "|")
+    money = F.get(F.col("plain"), F.length(F.regexp_extract("kinds", "^(.*?)C", 1)))
+    s = s.withColumn("money", F.when(F.contains("kinds", F.lit("C")), F.when(money == "د.ك", "KWD").otherwise(F.upper(money))))
+    # How many, and for how much: a number behind a price word is a price.
+    price, many = _found("kinds", "PE?", "N"), _found("kinds", "(?<!P)(?<!PE)", "N")
+    s = s.withColumns({"p_at": price[0], "p_from": F.length(F.regexp_extract("kinds", "^(.*?)PE?N", 1)), "p": F.length(F.regexp_extract("kinds", "^.*?(PE?NC?)", 1)), "q_at": many[0]})
+    s = s.withColumn("unit", F.substring(F.col("kinds"), F.col("q_at") + 2, F.lit(1))).withColumn("lead", F.length(F.regexp_extract("kinds", "^(V*QP?[FK]?)", 1)))
+    number = lambda at: F.get(F.col("plain"), F.col(at)).try_cast("double")
+    per = F.struct("no", "segment", "words", "kinds", "lead", "m1_at", "m1", "m2_at", "m2", "p_from", F.when(F.col("p_at").isNotNull(), F.col("p")).alias("p"), "q_at", "unit", number("q_at").alias("quantity"), number("p_at").alias("price"), F.when(F.col("unit").isin("U", "T"), F.get(F.col("words"), F.col("q_at") + 1)).alias("unit_text"))
+    g = s.groupBy("request_id", "locale").agg(of("mention1"), of("mention2"), asked.alias("asked"), of("money"), F.collect_list(F.when(F.col("segment").isNotNull(), per)).alias("per"))
+    g = g.withColumn("customer_mention", F.coalesce("mention1.mention1", "mention2.mention2")).withColumn("m_no", F.coalesce("mention1.no", "mention2.no"))
+    scope = F.coalesce(*[F.when(F.col("asked").rlike(kinds), name) for name, kinds in SCOPES])
+
+    # The text of a line: the words that are not the request, the mention, the price, or a
+    # number the line begins with.
+    line = g.select("request_id", "locale", "m_no", F.col("mention1").isNotNull().alias("by1"), F.inline("per"))
+    here = F.col("no") == F.col("m_no")
+    line = line.withColumn("m_at", F.when(here, F.when(F.col("by1"), F.col("m1_at")).otherwise(F.col("m2_at")))).withColumn("m", F.when(F.col("by1"), F.col("m1")).otherwise(F.col("m2")))
+    begins = (F.col("q_at") == 0) | (F.col("q_at") == F.col("lead")) | F.coalesce(F.col("q_at") == F.col("m_at") + F.col("m"), F.lit(False))
+    line = line.withColumn("q", F.when(begins, F.when(F.col("unit") == "U", 2).otherwise(1)))
+    left = lambda x, i: (i >= F.col("lead")) & ~_inside(i, "m_at", "m") & ~_inside(i, "p_from", "p") & ~_inside(i, "q_at", "q")
+    cleaned = F.nullif(F.array_join(F.filter("words", left), " "), F.lit(""))
+    line = line.withColumn("of", F.array_join(F.filter(F.split("kinds", ""), left), "")).withColumn("text", F.coalesce(F.substring(cleaned, 1, MAX_TEXT), trim_u(F.substring("segment", 1, MAX_TEXT))))
+    kind = F.when(F.col("of").rlike(f"[{SERVICES}]"), "SERVICE").when((F.col("locale") == "en") | F.contains("of", F.lit("s")), "PRODUCT").otherwise("UNKNOWN")
+    lines = line.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("no", "text", "quantity", "unit_text", "price", kind.alias("type")))).alias("l"))
+    lines = lines.select("request_id", F.transform("l", lambda x: x.dropFields("no")).alias("lines"))
+    found = g.select("request_id", "customer_mention", scope.alias("scope_type"), F.col("money.money").alias("currency_code")).join(lines, "request_id", "left")
+    subject = F.when(F.col("customer_mention").isNotNull(), F.concat(F.when(arabic, "عرض سعر - ").otherwise("Quotation - "), "customer_mention"))
+    email = F.nullif(F.regexp_extract(F.col("text"), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0), F.lit(""))
+    out = requests.join(found, "request_id", "left").withColumn("customer_email", email).withColumn("subject", subject)
+    none = F.array().cast(lines.schema["lines"].dataType)
+    return out.select(*requests.columns, "customer_mention", "customer_email", "subject", "scope_type", "currency_code", F.coalesce("lines", none).alias("lines"))
+
+
+# The fields of an intent and of its lines, the longest text of each, the
+# bounds of numbers, and the names allowed.
+INTENT_TEXTS = {
+    "customerMention": 300, "customerEmail": 320, "customerPhone": 80, "projectName": 300, "subject": 300, "attentionName": 200, "brief": 2000,
+    "scopeOfWork": 2000, "warranty": 1000, "paymentTerms": 1000, "currencyCode": 3, "notes": 2000, "uncertainty": 500,
+}
+LINE_TEXTS = {"text": 500, "description": 1000, "requestedUnitText": 80, "uncertainty": 500}
+LINE_NUMBERS = {"quantity": (0.001, 1_000_000.0), "requestedPrice": (0.0, 1_000_000_000.0)}
+LINE_TYPES = ["PRODUCT", "SERVICE", "CUSTOM", "UNKNOWN"]
+SCOPE_TYPES = ["SUPPLY_ONLY", "SUPPLY_AND_INSTALLATION", "INSTALLATION_ONLY", "SERVICE", "MAINTENANCE", "CONSULTATION"]
+MAX_WARNINGS, WARNING_TEXT = 10, 240
+INTENT_FIELDS = [*INTENT_TEXTS, "sourceLocale", "scopeType", "lines", "warnings"]
+LINE_FIELDS = [*LINE_TEXTS, *LINE_NUMBERS, "typeIntent", "warnings"]
+
+
+def _at(v: Column, field: str) -> Column:
+    return F.try_variant_get(v, f"$.{field}", "variant")
+
+
+def _type(v: Column) -> Column:
+    """null where there is no value; VOID for JSON's null."""
+    return F.schema_of_variant(v)
+
+
+def _text_wrong(v: Column, most: int) -> Column:
+    """A value that is neither absent nor null nor a text within the bound."""
+    text = trim_u(F.try_variant_get(v, "$", "string"))
+    return F.coalesce((_type(v) != "VOID") & ((_type(v) != "STRING") | (F.length(text) > most)), F.lit(False))
+
+
+def _warnings_wrong(v: Column) -> Column:
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    bad = lambda w: (_type(w) != "STRING") | ~F.coalesce(F.length(trim_u(F.try_variant_get(w, "$", "string"))).between(1, WARNING_TEXT), F.lit(False))
+    return F.coalesce(~_type(v).startswith("ARRAY") | (F.size(listed) > MAX_WARNINGS) | F.exists(listed, bad), F.lit(False))
+
+
+def _number_wrong(v: Column, low: float, high: float) -> Column:
+    number = F.try_variant_get(v, "$", "double")
+    return F.coalesce((_type(v) != "VOID") & (~_type(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") | ~F.coalesce(number.between(low, high), F.lit(False))), F.lit(False))
+
+
+def _keys_wrong(v: Column, allowed: list[str]) -> Column:
+    return F.exists(F.json_object_keys(F.to_json(v)), lambda k: ~k.isin(*allowed))
+
+
+def line_error(v: Column) -> Column:
+    """The first thing wrong with a line of an intent (a variant), or null."""
+    text, kind = _at(v, "text"), _at(v, "typeIntent")
+    texts = reduce(lambda a, b: a | b, [_text_wrong(_at(v, f), n) for f, n in LINE_TEXTS.items()])
+    return (
+        F.when(~F.coalesce(_type(v).startswith("OBJECT"), F.lit(False)), "LINE_NOT_AN_OBJECT").when(_keys_wrong(v, LINE_FIELDS), "LINE_UNKNOWN_FIELD")
+        .when(F.coalesce(trim_u(F.try_variant_get(text, "$", "string")), F.lit("")) == "", "LINE_TEXT_MISSING").when(texts, "LINE_TEXT_INVALID")
+        .when(F.coalesce(~F.coalesce(F.try_variant_get(kind, "$", "string").isin(*LINE_TYPES), F.lit(False)) & _type(kind).isNotNull(), F.lit(False)), "LINE_TYPE_INVALID")
+        .when(reduce(lambda a, b: a | b, [_number_wrong(_at(v, f), *b) for f, b in LINE_NUMBERS.items()]), "LINE_NUMBER_INVALID").when(_warnings_wrong(_at(v, "warnings")), "LINE_WARNINGS_INVALID")
+    )
+
+
+def validate_intents(intents: DataFrame, raw: str = "raw", most_lines: int = MAX_LINES) -> DataFrame:
+    """Adds error: the first thing wrong with an intent given as JSON text, or null: of its
+    own fields first, then of its lines in order."""
+    v = F.try_parse_json(raw)
+    lines, locale, scope, currency = (_at(v, f) for f in ("lines", "sourceLocale", "scopeType", "currencyCode"))
+    listed = F.try_variant_get(v, "$.lines", "array<variant>")
+    word = lambda c, f, allowed: F.coalesce(~F.coalesce(F.try_variant_get(c, "$", "string").isin(*allowed), F.lit(False)) & f(c), F.lit(False))
+    texts = reduce(lambda a, b: a | b, [_text_wrong(_at(v, f), n) for f, n in INTENT_TEXTS.items()])
+    code = trim_u(F.try_variant_get(currency, "$", "string"))
+    own = (
+        F.when(~F.coalesce(_type(v).startswith("OBJECT"), F.lit(False)), "NOT_AN_OBJECT").when(_keys_wrong(v, INTENT_FIELDS), "UNKNOWN_FIELD")
+        .when(~F.coalesce(_type(lines).startswith("ARRAY"), F.lit(False)), "LINES_MISSING").when(F.size(listed) > most_lines, "TOO_MANY_LINES").when(texts, "TEXT_INVALID")
+        .when(word(locale, lambda c: _type(c).isNotNull(), ["ar", "en"]), "LOCALE_INVALID").when(word(scope, lambda c: _type(c) != "VOID", SCOPE_TYPES), "SCOPE_INVALID")
+        .when(F.coalesce((code != "") & ~code.rlike("^[A-Za-z]{3}$"), F.lit(False)), "CURRENCY_INVALID").when(_warnings_wrong(_at(v, "warnings")), "WARNINGS_INVALID")
+    )
+    of = F.get(F.filter(F.transform(listed, line_error), lambda e: e.isNotNull()), F.lit(0))
+    return intents.withColumn("error", F.coalesce(own, of))
 
 
 def _resolve(asked: DataFrame, rows: DataFrame, id_column: str, fields: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ def _docs(t: Tables):
         none.alias("brief_ar"), none.alias("brief_en"), none.alias("terms"), none.alias("terms_ar"), none.alias("terms_en"), F.lit("Customer").alias("customer_name"), none.alias("customer_name_ar"), F.when(k % 7 == 0, F.lit("Customer EN")).alias("customer_name_en"),
         F.when(k % 9 == 0, "COMPLETED").alias("localization_status"), F.when(k % 2 == 0, "DRAFT").otherwise("SENT").alias("status"),
     )
-    lines = t.lines().where("position <= 2").select("doc_id", "position", "item_name", none.alias("item_name_ar"), F.when(F.col("part") % 2 == 0, F.col("item_name")).alias("item_name_en"), *[none.alias(f"{f}{x}") for f in ("description", "unit_name") for x in ("", "_ar", "_en")])
+    lines = t.lines().select("doc_id", "position", "item_name", none.alias("item_name_ar"), F.when(F.col("part") % 2 == 0, F.col("item_name")).alias("item_name_en"), *[none.alias(f"{f}{x}") for f in ("description", "unit_name") for x in ("", "_ar", "_en")])
     return q, lines
 
 
@@ -25,7 +25,7 @@ _BASE = f"""{over('lines')}, d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orde
 m AS (SELECT doc_id, locale, 0 AS field_no, 'customer_name' AS key, CASE WHEN locale = 'en' THEN 'Customer EN' END AS text FROM d WHERE k % 7 = 0
  UNION ALL SELECT doc_id, locale, 1, 'project_name', CASE WHEN locale = 'en' THEN CASE WHEN k % 6 = 0 THEN 'Project' WHEN k % 3 = 0 THEN 'Project ' || k END WHEN k % 6 > 0 AND k % 3 = 0 THEN 'Project ' || k END FROM d
  UNION ALL SELECT doc_id, locale, 3, 'subject', CASE WHEN locale = 'en' AND k % 5 = 0 THEN 'Subject' END FROM d UNION ALL SELECT doc_id, locale, 5, 'notes', CASE WHEN k % 4 = 0 THEN 'ملاحظة' END FROM d
- UNION ALL SELECT d.doc_id, locale, 7 + (position - 1) * 3, 'line_' || (position - 1) || '_item_name', CASE WHEN locale = 'en' OR part % 2 > 0 THEN item_name END FROM lines JOIN d USING (doc_id) WHERE position <= 2),
+ UNION ALL SELECT d.doc_id, locale, 7 + (position - 1) * 3, 'line_' || (position - 1) || '_item_name', CASE WHEN locale = 'en' OR part % 2 > 0 THEN item_name END FROM lines JOIN d USING (doc_id)),
 miss AS (SELECT * FROM m WHERE text IS NOT NULL)"""
 
 
@@ -94,12 +94,12 @@ def resolve_customers(spark, sf):
     return r.select("request_id", "status", "id", F.when(F.col("candidates").isNotNull(), F.size("candidates").cast("long")).alias("shown"))
 
 
-@query("resolve_lines", f"""{over('catalog')}, q AS (SELECT p_partkey AS request_id, CAST(p_partkey % 25 AS INT) AS company_id, p_name AS s, CASE WHEN p_partkey % 2 = 0 THEN 'PRODUCT' ELSE 'UNKNOWN' END AS k FROM part WHERE p_partkey % 4 > 0),
+@query("resolve_lines", f"""{over('catalog')}, q AS (SELECT p_partkey AS request_id, CAST(p_partkey % 25 AS INT) AS company_id, p_name AS s, CASE WHEN p_partkey % 2 = 0 THEN 'PRODUCT' ELSE 'UNKNOWN' END AS k FROM part),
 e AS (SELECT request_id, min(item_id) AS lo, max(item_id) AS hi FROM q JOIN catalog c ON q.company_id = c.company_id AND is_active AND name = s AND (k = 'UNKNOWN' OR type = k) GROUP BY 1), n AS (SELECT request_id, count(*) AS n FROM q JOIN catalog c ON q.company_id = c.company_id AND is_active AND contains(name, s) AND (k = 'UNKNOWN' OR type = k) GROUP BY 1)
 SELECT request_id, CASE WHEN lo = hi THEN 'MATCHED' WHEN n > 0 THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status, CASE WHEN lo = hi THEN lo END AS id FROM q LEFT JOIN e USING (request_id) LEFT JOIN n USING (request_id)""")
 def resolve_lines(spark, sf):
     t, k = Tables(spark, sf), F.col("p_partkey")
-    lines = t.raw("part").where("p_partkey % 4 > 0").select(k.alias("request_id"), (k % 25).cast("int").alias("company_id"), F.col("p_name").alias("text"), F.when(k % 2 == 0, "PRODUCT").otherwise("UNKNOWN").alias("type"))
+    lines = t.raw("part").select(k.alias("request_id"), (k % 25).cast("int").alias("company_id"), F.col("p_name").alias("text"), F.when(k % 2 == 0, "PRODUCT").otherwise("UNKNOWN").alias("type"))
     return R.resolve_lines(lines, t.catalog()).select("request_id", "status", "id")
 
 
@@ -111,8 +111,14 @@ def request_proposals(spark, sf):
     return R.proposals(r, lines)
 
 
-@query("intent_validation", """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'NOT_AN_OBJECT' WHEN 1 THEN 'UNKNOWN_FIELD' WHEN 2 THEN 'TOO_MANY_LINES' END AS error FROM customer""")
+@query("intent_validation", """SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'NOT_AN_OBJECT' WHEN 1 THEN 'UNKNOWN_FIELD' WHEN 2 THEN 'TOO_MANY_LINES' WHEN 3 THEN 'TEXT_INVALID' WHEN 4 THEN 'CURRENCY_INVALID' WHEN 5 THEN CASE WHEN c_custkey % 1000000 = 0 THEN 'LINE_NUMBER_INVALID' END
+ WHEN 6 THEN 'LINE_NUMBER_INVALID' WHEN 7 THEN 'LINE_TEXT_MISSING' WHEN 8 THEN 'LINE_TYPE_INVALID' WHEN 9 THEN 'LINE_WARNINGS_INVALID' WHEN 10 THEN 'SCOPE_INVALID' END AS error FROM customer""")
 def intent_validation(spark, sf):
-    k = F.col("c_custkey")
-    raw = F.when(k % 4 == 0, "[1]").when(k % 4 == 1, '{"customerMention": "x", "other": 1}').when(k % 4 == 2, F.concat(F.lit('{"lines": ['), F.repeat(F.lit("{},"), F.lit(20)), F.lit("{}]}"))).otherwise('{"lines": [{}]}')
-    return Tables(spark, sf).raw("customer").select(k.alias("id"), R.validate_intent(raw, ["customerMention", "lines", "currencyCode"]).alias("error"))
+    k, name = F.col("c_custkey"), F.col("c_name")
+    cases = [
+        F.lit("[1]"), F.lit('{"lines": [], "other": 1}'), F.concat(F.lit('{"lines": ['), F.repeat(F.lit('{"text": "a"},'), F.lit(20)), F.lit('{"text": "b"}]}')), F.concat(F.lit('{"lines": [], "subject": "'), F.repeat(name, F.lit(30)), F.lit('"}')),
+        F.lit('{"lines": [], "currencyCode": "K1D"}'), F.concat(F.lit('{"lines": [{"text": "a", "quantity": '), k % 1000000, F.lit("}]}")), F.lit('{"lines": [{"text": "a"}, {"text": "b", "requestedPrice": -1}]}'), F.lit('{"lines": [{"text": " "}]}'),
+        F.lit('{"lines": [{"text": "a", "typeIntent": "GIFT"}]}'), F.lit('{"lines": [{"text": "a", "warnings": [""]}]}'), F.lit('{"lines": [], "scopeType": "ALL"}'), F.concat(F.lit('{"lines": [{"text": "'), name, F.lit('", "quantity": null, "typeIntent": "SERVICE"}], "sourceLocale": "ar", "customerMention": null}')),
+    ]
+    raw = F.element_at(F.array(*cases), (k % 12 + 1).cast("int"))
+    return R.validate_intents(Tables(spark, sf).raw("customer").select(k.alias("id"), raw.alias("raw"))).select("id", "error")
