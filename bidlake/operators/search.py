@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_forms, trim_u
+from ..functions.text import nfc, query_forms, trim_u
 
 
 def _col(c) -> Column:
@@ -174,11 +174,12 @@ def scored(df: DataFrame, semantic: str | None = None) -> DataFrame:
 
 def rank_candidates(df: DataFrame, limit: int = 20) -> DataFrame:
     """Adds rank and total_candidates; per query the first ``limit`` (at most 50) by score,
-    own catalogue first, then name, then id."""
+    own catalogue first, then name in normal form C, then id."""
     own = F.when(F.col("origin") == "COMPANY_CATALOG", 0).otherwise(1)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), own, "display_name", "item_id")
-    out = df.withColumn("rank", F.row_number().over(w)).withColumn("total_candidates", F.count("*").over(Window.partitionBy("query_id")))
-    return out.where(F.col("rank") <= min(max(limit, 1), 50))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), own, "__name", "item_id")
+    name = F.when(F.col("display_name").rlike("[^\\x00-\\x7F]"), nfc("display_name")).otherwise(F.col("display_name"))
+    out = df.withColumn("__name", name).withColumn("rank", F.row_number().over(w)).withColumn("total_candidates", F.count("*").over(Window.partitionBy("query_id")))
+    return out.where(F.col("rank") <= min(max(limit, 1), 50)).drop("__name")
 
 
 def collapse_adopted(candidates: DataFrame, adoptions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -203,11 +204,13 @@ def collapse_adopted(candidates: DataFrame, adoptions: DataFrame, catalog: DataF
     return both.select(*base, F.col("linked_id").isNotNull().alias("is_adopted"), "linked_id").unionByName(plain)
 
 
-def retrieval_metrics(ranked: DataFrame) -> DataFrame:
-    """Per query: final count, exact and partial hits, top score and its reasons."""
-    return ranked.groupBy("query_id").agg(
+def retrieval_metrics(ranked: DataFrame, pools: DataFrame | None = None) -> DataFrame:
+    """Per query: final count, exact and partial hits, top score and its reasons; with
+    pools (query_id, lexical_count, semantic_count) their counts too."""
+    out = ranked.groupBy("query_id").agg(
         F.count("*").alias("final_count"), F.count_if(F.col("score") >= 7000).alias("exact_count"), F.max("score").alias("top_score"), F.min_by("match_reasons", "rank").alias("top_reasons")
     )
+    return out if pools is None else pools.join(out, "query_id", "left").na.fill(0, ["final_count", "exact_count", "top_score"])
 
 
 def first_children(items: DataFrame, children: DataFrame, field: str, name: str, most: int = 20) -> DataFrame:

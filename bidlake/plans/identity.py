@@ -25,7 +25,7 @@ def normalize_identifiers(spark, sf):
 def _feed(t: Tables):
     """Records made of parts, some with other makers, models, names or codes."""
     k = F.col("p_partkey")
-    r = t.raw("part").where("p_partkey % 2 = 0")
+    r = t.raw("part")
     gtin = F.when(k % 10 == 0, F.lpad((k % 1500).cast("string"), 13, "0")).when(k % 10 == 2, F.lpad((k + 500000).cast("string"), 13, "9"))
     codes = F.filter(F.array(F.struct(F.lit("GTIN_13").alias("type"), gtin.alias("value")), F.struct(F.lit("MPN").alias("type"), F.when(k % 6 == 0, F.concat(F.lit("MPN-"), k % 700)).alias("value"))), lambda x: x["value"].isNotNull())
     return r.select(
@@ -43,7 +43,7 @@ def _library(t: Tables):
 
 CASCADE = f"""{over('library')}, act AS (SELECT * FROM library WHERE is_active), r AS (SELECT p_partkey AS record_id, (p_partkey % 4) || '|' || 'x' || (p_partkey % 800) AS src, CASE WHEN p_partkey % 14 > 0 THEN lower(p_brand) END AS maker, lower(p_brand) AS any_maker,
  CASE WHEN p_partkey % 8 = 0 THEN lower(p_type || '-' || p_size) END AS model, lower(p_name) || CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_partkey ELSE '' END AS name,
- CASE p_partkey % 10 WHEN 0 THEN lpad(CAST(p_partkey % 1500 AS VARCHAR), 13, '0') WHEN 2 THEN lpad(CAST(p_partkey + 500000 AS VARCHAR), 13, '9') END AS gtin, CASE WHEN p_partkey % 6 = 0 THEN 'mpn-' || (p_partkey % 700) END AS mpn FROM part WHERE p_partkey % 2 = 0),
+ CASE p_partkey % 10 WHEN 0 THEN lpad(CAST(p_partkey % 1500 AS VARCHAR), 13, '0') WHEN 2 THEN lpad(CAST(p_partkey + 500000 AS VARCHAR), 13, '9') END AS gtin, CASE WHEN p_partkey % 6 = 0 THEN 'mpn-' || (p_partkey % 700) END AS mpn FROM part),
 prev AS (SELECT src, id FROM (SELECT (item_id % 4) || '|' || 'x' || (item_id % 800) AS src, min(item_id) AS id FROM library WHERE item_id % 5 = 0 GROUP BY 1) JOIN act ON act.item_id = id),
 ev AS (SELECT record_id, 1 AS rule, item_id FROM r JOIN act USING (gtin) UNION ALL SELECT record_id, 2, item_id FROM r JOIN act a ON mpn = 'mpn-' || (item_id % 700) AND lower(a.maker) = coalesce(r.maker, any_maker)
  UNION ALL SELECT record_id, 3, item_id FROM r JOIN act a ON lower(a.maker) = r.maker AND lower(a.model_number) = r.model UNION ALL SELECT record_id, 4, id FROM r JOIN prev USING (src) UNION ALL SELECT record_id, 5, item_id FROM r JOIN act a ON lower(a.maker) = r.maker AND lower(a.name) = r.name),
@@ -90,5 +90,5 @@ def batch_clusters(spark, sf):
     feed = _feed(t)
     records = feed.select("record_id", (F.col("record_id") % 1000).alias("created_at"))
     keys = I.record_keys(feed).where(F.col("rule") <= I.MODEL).select("record_id", F.col("rule").alias("tier"), "key")
-    library = _library(t).where((F.col("rule") <= I.MODEL) & (F.col("item_id") % 3 == 0)).select(F.col("rule").alias("tier"), "key", "item_id")
+    library = _library(t).where(F.col("rule") <= I.MODEL).select(F.col("rule").alias("tier"), "key", "item_id")
     return I.cluster_batch(records, keys, library)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import adopt, vectors
+from ..operators import adopt, retrieval, vectors
 from ..operators import search as S
 from .base import Tables, over, query
 
 #: Queries: customers ask for a code, a SKU, a full name, a word of names, or a barcode.
 QUERIES_CTE = """q AS (SELECT c_custkey AS query_id, c_nationkey AS company_id, CASE c_custkey % 5 WHEN 0 THEN 'p-' || (c_custkey * 25 + c_nationkey) WHEN 1 THEN 'sku' || (c_custkey % 900) WHEN 2 THEN p_name WHEN 3 THEN split_part(p_name, ' ', 2) ELSE p_brand END AS query,
- CASE WHEN c_custkey % 2 = 0 THEN 'PRODUCT' END AS q_type, c_custkey % 9 AS q_category_id FROM customer JOIN part ON p_partkey = c_custkey % 2000 WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0)"""
+ CASE WHEN c_custkey % 2 = 0 THEN 'PRODUCT' END AS q_type, c_custkey % 9 AS q_category_id FROM customer JOIN part ON p_partkey = c_custkey % 2000)"""
 
 
 def asked(t: Tables):
     k = F.col("c_custkey")
-    c = t.raw("customer").where("c_custkey % 5 = 0 or c_custkey % 3 = 0").join(t.raw("part"), F.col("p_partkey") == k % 2000)
+    c = t.raw("customer").join(t.raw("part"), F.col("p_partkey") == k % 2000)
     text = F.when(k % 5 == 0, F.concat(F.lit("p-"), k * 25 + F.col("c_nationkey"))).when(k % 5 == 1, F.concat(F.lit("sku"), k % 900)).when(k % 5 == 2, F.col("p_name")).when(k % 5 == 3, F.split("p_name", " ")[1]).otherwise(F.col("p_brand"))
     return c.select(k.alias("query_id"), F.col("c_nationkey").alias("company_id"), text.alias("query"), F.when(k % 2 == 0, "PRODUCT").alias("q_type"), (k % 9).alias("q_category_id"))
 
@@ -145,19 +145,77 @@ def retrieval_metrics(spark, sf):
     return m.select("query_id", "final_count", "exact_count", F.col("top_score").cast("double").alias("top_score"), F.array_join("top_reasons", ",").alias("top_reasons"))
 
 
+_VECTORS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+_POOLS = ", ".join(
+    f"{x}o AS (SELECT query_id, item_id, min((p, r)) AS b FROM (SELECT query_id, item_id, 0 AS p, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS r FROM (SELECT DISTINCT * FROM {x}e) UNION ALL SELECT query_id, item_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, item_id) FROM {x}p) WHERE r <= 10 GROUP BY query_id, item_id), "
+    f"{x}pool AS (SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b, item_id) AS place FROM {x}o) WHERE place <= 10)"
+    for x in "cl"
+)
+#: Both sources, and questions in either way; the customers whose number is a vector's have one.
+HYBRID = f"""{over('catalog', 'library')}, {QUERIES_CTE}, vs AS ({_VECTORS}), qh AS (SELECT query_id, company_id, query, lower(query) AS qq, CASE WHEN query_id % 7 = 0 THEN 'PRODUCT' END AS q_type, CASE WHEN query_id % 3 > 0 AND v IS NOT NULL THEN 'hybrid' ELSE 'lexical' END AS used, v AS qv FROM q LEFT JOIN vs ON vec_id = query_id),
+ad AS (SELECT CAST(p_partkey % 25 AS INT) AS company_id, p_partkey AS lib, p_partkey + 25 * (p_partkey % 4 + 1) AS cat FROM part WHERE p_partkey % 2 = 0),
+cc AS (SELECT catalog.*, v FROM catalog LEFT JOIN vs ON vec_id = item_id), lb AS (SELECT library.*, CASE WHEN item_id % 3 = 0 THEN 'SERVICE' ELSE 'PRODUCT' END AS type, CASE WHEN item_id % 7 = 0 THEN ['Kit ' || name, 'N' || item_id] ELSE CAST([] AS VARCHAR[]) END AS aliases, v FROM library LEFT JOIN vs ON vec_id = item_id),
+ce AS (SELECT query_id, item_id FROM qh JOIN cc USING (company_id) WHERE is_active AND (q_type IS NULL OR type = q_type) AND (lower(code) = qq OR lower(sku) = qq OR lower(barcode) = qq OR lower(name) = qq OR lower(description) = qq)),
+cp AS (SELECT query_id, item_id, created_at FROM qh JOIN cc USING (company_id) WHERE is_active AND (q_type IS NULL OR type = q_type) AND contains(lower(code || chr(1) || sku || chr(1) || barcode || chr(1) || name || chr(1) || description), qq)),
+le AS (SELECT query_id, item_id FROM qh JOIN lb ON is_active AND (q_type IS NULL OR type = q_type) AND (lower(model_number) = qq OR lower(name) = qq OR gtin = qq OR len(list_filter(aliases, lambda x: lower(x) = qq)) > 0)),
+lp AS (SELECT query_id, item_id, created_at FROM qh JOIN lb ON is_active AND (q_type IS NULL OR type = q_type) AND contains(lower(model_number || chr(1) || name || chr(1) || gtin || chr(1) || array_to_string(aliases, chr(1))), qq)),
+{_POOLS},
+sem AS (SELECT query_id, item_id FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, v) DESC, item_id) AS r FROM qh JOIN lb ON used = 'hybrid' AND v IS NOT NULL AND is_active AND (q_type IS NULL OR type = q_type)) WHERE r <= 10),
+lall AS (SELECT query_id, item_id FROM lpool UNION SELECT query_id, item_id FROM sem),
+lk AS (SELECT ad.*, name FROM ad JOIN catalog ON cat = item_id AND catalog.company_id = ad.company_id AND is_active),
+call AS (SELECT query_id, item_id FROM cpool UNION SELECT query_id, cat FROM lall JOIN qh USING (query_id) JOIN lk ON lk.company_id = qh.company_id AND lib = lall.item_id),
+sc AS (SELECT query_id, company_id, 'COMPANY_CATALOG' AS origin, item_id, name, CASE WHEN lower(code) = qq OR lower(sku) = qq THEN 10000 WHEN barcode = qq THEN 9000 WHEN lower(name) = qq THEN 7000 WHEN contains(lower(name), qq) OR contains(lower(description), qq) THEN 4000 ELSE 0 END AS lex,
+  CASE WHEN used = 'hybrid' AND v IS NOT NULL THEN list_cosine_similarity(qv, v) END AS sim, [CASE WHEN lower(code) = qq OR lower(sku) = qq THEN 'EXACT_CODE' END, CASE WHEN barcode = qq OR lower(sku) = qq THEN 'EXACT_IDENTIFIER' END, CASE WHEN lower(name) = qq THEN 'EXACT_NAME' END, CASE WHEN lower(name) <> qq AND (contains(lower(name), qq) OR contains(lower(description), qq)) THEN 'PARTIAL_NAME_MATCH' END, CASE WHEN type = q_type THEN 'TYPE_MATCH' END, 'COMPANY_CATALOG_PRIORITY'] AS rs, CASE WHEN type = q_type THEN 110 ELSE 100 END AS fit FROM call JOIN cc USING (item_id) JOIN (SELECT * EXCLUDE (company_id) FROM qh) USING (query_id)
+ UNION ALL SELECT query_id, qh.company_id, 'UNIVERSAL_LIBRARY', item_id, name, CASE WHEN gtin = qq THEN 9000 WHEN lower(model_number) = qq THEN 8000 WHEN lower(name) = qq THEN 7000 WHEN len(list_filter(aliases, lambda x: lower(x) = qq)) > 0 THEN 6000 WHEN len(list_filter(aliases, lambda x: contains(lower(x), qq))) > 0 THEN 5000 WHEN contains(lower(name), qq) THEN 4000 ELSE 0 END,
+  CASE WHEN used = 'hybrid' AND v IS NOT NULL THEN list_cosine_similarity(qv, v) END, [CASE WHEN gtin = qq THEN 'EXACT_IDENTIFIER' END, CASE WHEN lower(model_number) = qq THEN 'EXACT_MODEL' END, CASE WHEN lower(name) = qq THEN 'EXACT_NAME' END, CASE WHEN len(list_filter(aliases, lambda x: contains(lower(x), qq))) > 0 THEN 'ALIAS_MATCH' END, CASE WHEN lower(name) <> qq AND contains(lower(name), qq) THEN 'PARTIAL_NAME_MATCH' END, CASE WHEN type = q_type THEN 'TYPE_MATCH' END], CASE WHEN type = q_type THEN 10 ELSE 0 END FROM lall JOIN lb USING (item_id) JOIN qh USING (query_id)),
+s2 AS (SELECT query_id, company_id, origin, item_id, name, lex + fit + CASE WHEN lex < 7000 AND sim > 0 THEN least(sim, 1) * 1000 ELSE 0 END AS score, list_filter(list_append(rs, CASE WHEN lex < 7000 AND sim > 0.1 AND NOT list_contains(list_filter(rs, lambda x: x IS NOT NULL), 'ALIAS_MATCH') THEN 'ALIAS_MATCH' END), lambda x: x IS NOT NULL) AS rs FROM sc),
+fo AS (SELECT query_id, s2.company_id, 'COMPANY_CATALOG' AS origin, cat AS item_id, lk.name, score, rs, item_id AS linked, 1 AS o FROM s2 JOIN lk ON lk.company_id = s2.company_id AND lib = item_id WHERE origin = 'UNIVERSAL_LIBRARY' UNION ALL SELECT query_id, company_id, origin, item_id, name, score, rs, NULL, 0 FROM s2 WHERE origin = 'COMPANY_CATALOG'),
+me AS (SELECT query_id, company_id, origin, item_id, arg_min(name, o) AS name, max(score) AS score, coalesce(min(linked), (SELECT min(lib) FROM ad WHERE ad.company_id = fo.company_id AND cat = fo.item_id)) AS linked_id, list_sort(list_distinct(flatten(list(rs)))) AS rs FROM fo GROUP BY query_id, company_id, origin, item_id
+ UNION ALL SELECT query_id, s2.company_id, origin, item_id, name, score, NULL, list_sort(rs) FROM s2 WHERE origin = 'UNIVERSAL_LIBRARY' AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.company_id = s2.company_id AND lib = item_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, origin, name, item_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_candidates FROM me)"""
+
+
+def _hybrid(t: Tables):
+    k, none = F.col("query_id"), F.lit(None).cast("string")
+    v = t.raw("embeddings").select(F.col("vec_id").alias("__vec"), F.col("embedding").alias("vector"))
+    vectored = lambda df: df.join(v, F.col("item_id") == F.col("__vec"), "left").drop("__vec")
+    q = asked(t).join(v, k == F.col("__vec"), "left").select("query_id", "company_id", "query", F.when(k % 3 > 0, "hybrid").otherwise("lexical").alias("strategy"), "vector", F.when(k % 7 == 0, "PRODUCT").alias("q_type"), none.alias("q_category_id"), none.alias("q_manufacturer_id"), none.alias("q_brand_id"), F.lit(None).cast("boolean").alias("q_active"))
+    catalog = retrieval.catalog_to_candidates(vectored(t.catalog()))
+    items = t.library()
+    identifiers = items.select("item_id", F.lit(1).alias("id"), F.col("gtin").alias("normalized_value"))
+    aliases = items.where("item_id % 7 = 0").select("item_id", F.inline(F.array(F.struct(F.lit(1).alias("id"), F.concat(F.lit("Kit "), "name").alias("alias")), F.struct(F.lit(2).alias("id"), F.concat(F.lit("N"), "item_id").alias("alias")))))
+    library = retrieval.library_to_candidates(vectored(items.withColumn("type", F.when(F.col("item_id") % 3 == 0, "SERVICE").otherwise("PRODUCT"))), identifiers, aliases)
+    p = F.col("p_partkey")
+    adoptions = t.raw("part").where("p_partkey % 2 = 0").select((p % 25).cast("int").alias("company_id"), p.alias("universal_item_id"), (p + (p % 4 + 1) * 25).alias("catalog_item_id"))
+    return retrieval.retrieve(q, catalog, library, adoptions, 64, 5)
+
+
+@query("hybrid_retrieval", f"{HYBRID} SELECT query_id, origin, item_id, name AS display_name, round(score, 3) AS score, array_to_string(rs, ',') AS match_reasons, linked_id IS NOT NULL AS is_adopted, linked_id, rank, total_candidates, used AS strategy_used FROM rk JOIN qh USING (query_id) WHERE rank <= 5")
+def hybrid_retrieval(spark, sf):
+    r = _hybrid(Tables(spark, sf))[0]
+    return r.select("query_id", "origin", "item_id", "display_name", F.round("score", 3).alias("score"), F.array_join(F.array_sort("match_reasons"), ",").alias("match_reasons"), "is_adopted", "linked_id", "rank", "total_candidates", "strategy_used")
+
+
+@query("hybrid_metrics", f"{HYBRID} SELECT q.query_id, (SELECT count(*) FROM cpool WHERE cpool.query_id = q.query_id) + (SELECT count(*) FROM lpool WHERE lpool.query_id = q.query_id) AS lexical_count, (SELECT count(*) FROM sem WHERE sem.query_id = q.query_id) AS semantic_count, (SELECT count(*) FROM rk WHERE rk.query_id = q.query_id AND rank <= 5) AS final_count, coalesce((SELECT round(max(score), 3) FROM rk WHERE rk.query_id = q.query_id), 0) AS top_score FROM q")
+def hybrid_metrics(spark, sf):
+    m = S.retrieval_metrics(*_hybrid(Tables(spark, sf)))
+    return m.select("query_id", "lexical_count", "semantic_count", "final_count", F.round("top_score", 3).alias("top_score"))
+
+
 @query("adoption_collapse", f"""{over('catalog')}, c AS (SELECT s_suppkey AS query_id, s_nationkey AS company_id, p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN 'COMPANY_CATALOG' ELSE 'UNIVERSAL_LIBRARY' END AS origin, p_name AS display_name, CAST(1000 + p_partkey % 77 AS DOUBLE) AS score
  FROM supplier JOIN part ON p_partkey % 25 = s_nationkey AND p_partkey % 40 = s_suppkey % 40), a AS (SELECT p_partkey % 25 AS company_id, p_partkey AS lib, p_partkey + 25 * (p_partkey % 4 + 1) AS cat FROM part WHERE p_partkey % 2 = 0),
 l AS (SELECT a.company_id, lib, cat, catalog.name FROM a JOIN catalog ON cat = item_id AND a.company_id = catalog.company_id AND is_active),
 f AS (SELECT query_id, c.company_id, 'COMPANY_CATALOG' AS origin, cat AS item_id, l.name AS display_name, score, lib AS linked, 1 AS o FROM c JOIN l ON c.company_id = l.company_id AND item_id = lib WHERE origin = 'UNIVERSAL_LIBRARY' UNION ALL SELECT query_id, company_id, origin, item_id, display_name, score, NULL, 0 FROM c WHERE origin = 'COMPANY_CATALOG')
-SELECT query_id, company_id, origin, item_id, arg_min(display_name, o) AS display_name, max(score) AS score, min(linked) IS NOT NULL AS is_adopted, min(linked) AS linked_id FROM f GROUP BY query_id, company_id, origin, item_id
-UNION ALL SELECT query_id, c.company_id, origin, item_id, display_name, score, false, NULL FROM c WHERE origin = 'UNIVERSAL_LIBRARY' AND NOT EXISTS (SELECT 1 FROM l WHERE l.company_id = c.company_id AND lib = item_id)""")
+SELECT query_id, company_id, origin, item_id, arg_min(display_name, o) AS display_name, max(score) AS score, min(linked) IS NOT NULL AS is_adopted, min(linked) AS linked_id, concat_ws(',', CASE WHEN min(o) = 0 THEN 'EXACT_CODE,TYPE_MATCH' END, CASE WHEN max(o) = 1 THEN CASE WHEN min(o) = 0 THEN 'EXACT_NAME' ELSE 'EXACT_NAME,TYPE_MATCH' END END) AS match_reasons FROM f GROUP BY query_id, company_id, origin, item_id
+UNION ALL SELECT query_id, c.company_id, origin, item_id, display_name, score, false, NULL, 'EXACT_NAME,TYPE_MATCH' FROM c WHERE origin = 'UNIVERSAL_LIBRARY' AND NOT EXISTS (SELECT 1 FROM l WHERE l.company_id = c.company_id AND lib = item_id)""")
 def adoption_collapse(spark, sf):
     t = Tables(spark, sf)
     s, p, k = t.raw("supplier"), t.raw("part"), F.col("p_partkey")
     c = p.withColumn("s_nationkey", (k % 25).cast("int")).withColumn("m", k % 40).join(s.withColumn("m", F.col("s_suppkey") % 40), ["s_nationkey", "m"])
-    c = c.select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("company_id"), k.alias("item_id"), F.when(k % 3 == 0, "COMPANY_CATALOG").otherwise("UNIVERSAL_LIBRARY").alias("origin"), F.col("p_name").alias("display_name"), (F.lit(1000.0) + k % 77).alias("score"), F.array(F.lit("EXACT_NAME")).alias("match_reasons"))
+    c = c.select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("company_id"), k.alias("item_id"), F.when(k % 3 == 0, "COMPANY_CATALOG").otherwise("UNIVERSAL_LIBRARY").alias("origin"), F.col("p_name").alias("display_name"), (F.lit(1000.0) + k % 77).alias("score"), F.array(F.when(k % 3 == 0, "EXACT_CODE").otherwise("EXACT_NAME"), F.lit("TYPE_MATCH")).alias("match_reasons"))
     a = p.where("p_partkey % 2 = 0").select((k % 25).cast("int").alias("company_id"), k.alias("universal_item_id"), (k + (k % 4 + 1) * 25).alias("catalog_item_id"))
-    return S.collapse_adopted(c, a, t.catalog()).drop("match_reasons")
+    out = S.collapse_adopted(c, a, t.catalog())
+    return out.withColumn("match_reasons", F.array_join("match_reasons", ","))
 
 
 @query("bulk_adoption", f"""{over('library', 'catalog')}, r AS (SELECT l_orderkey * 8 + l_linenumber AS request_id, l_partkey % 25 AS company_id, CASE WHEN l_partkey % 29 = 0 THEN l_partkey + 10000000 ELSE l_partkey END AS lib, CASE l_suppkey % 6 WHEN 0 THEN 'BAD CODE' WHEN 1 THEN 'P-' || l_partkey WHEN 2 THEN 'NEW-' || (l_partkey % 300) ELSE 'UCL-' || CASE WHEN l_partkey % 29 = 0 THEN l_partkey + 10000000 ELSE l_partkey END END AS code,
