@@ -75,6 +75,14 @@ def backfill_summary(classes: DataFrame) -> DataFrame:
     return classes.agg(F.count("*").alias("total"), F.count_if(F.col("new_status") == "PENDING").alias("pending"), F.count_if(F.col("new_status") == "COMPLETED").alias("completed"), F.count_if("broken").alias("broken"), F.count_if("repairable").alias("repairable"))
 
 
+def recovery_summary(outcomes: DataFrame) -> DataFrame:
+    """How the recovered jobs (outcome each) ended: scanned, and the six outcomes; one that
+    is none of the others is a claim that failed."""
+    known = ["COMPLETED", "FAILED", "STALE", "NO_CLAIM", "NOT_FOUND"]
+    other = ~F.coalesce(F.col("outcome").isin(*known), F.lit(False))
+    return outcomes.agg(F.count("*").alias("scanned"), *[F.count_if(F.col("outcome") == k).alias(k.lower()) for k in known], F.count_if(other).alias("claim_failed"))
+
+
 def translate_texts(missing: DataFrame, translate_fn: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """(doc_id, key, text, translation): each distinct (locale, text) is translated once."""
     @F.pandas_udf("string")

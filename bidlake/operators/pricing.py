@@ -61,10 +61,9 @@ def visible_tax_rates(tenants: DataFrame, tax_rates: DataFrame) -> DataFrame:
     display order: system first, then by name."""
     active = tax_rates.where("is_active")
     own = tenants.select("company_id").join(active, "company_id")
-    # The shared rates are a handful, the same for all: a literal list beside each company.
-    shared = active.where("company_id is null and is_system").drop("company_id")
-    listed = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in shared.schema]) for r in shared.collect()]
-    out = own.unionByName(tenants.select("company_id", F.inline(F.array(*listed))).select(*own.columns)) if listed else own
+    # Every company sees every shared rate.
+    shared = active.where("company_id is null and is_system").drop("company_id").withColumn("__all", F.lit(1))
+    out = own.unionByName(tenants.select("company_id", F.lit(1).alias("__all")).join(shared, "__all").select(*own.columns))
     order = Window.partitionBy("company_id").orderBy(F.desc("is_system"), "name", "tax_rate_id")
     return out.withColumn("position", F.row_number().over(order))
 

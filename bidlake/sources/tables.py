@@ -14,10 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and all
+    executors are in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="bidlake-"))
 
 
@@ -64,11 +67,12 @@ def write_published(tables: dict[str, DataFrame], folder: str, run: str) -> str:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{run}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(run, n) for n in sorted(tables)], "run string, name string").coalesce(1).write.mode("append").json(f"{folder}/_runs")
+    spark.createDataFrame([(run, n) for n in sorted(tables)], "run string, name string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{folder}/_runs")
     return f"{folder}/{run}"
 
 
 def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the last run that was written whole."""
-    run = spark.read.schema("run string, name string").json(f"{folder}/_runs").where(F.col("name") == name).agg(F.max("run")).first()[0]
+    """A table of the last run that was written whole: the last to be marked."""
+    runs = spark.read.schema("run string, name string, at timestamp").json(f"{folder}/_runs").where(F.col("name") == name)
+    run = runs.agg(F.max_by("run", F.struct("at", "run"))).first()[0]
     return spark.read.parquet(f"{folder}/{run}/{name}")

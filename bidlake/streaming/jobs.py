@@ -1,8 +1,8 @@
 """The feed, lifecycles and rates as streams.
 
 Each function takes a streaming DataFrame (most take a batch one too); sinks and
-checkpoints are the caller's, but for ``ingest``, whose state is a table that
-``foreachBatch`` merges into.
+checkpoints are the caller's, but for ``ingest``, which appends what each batch changes to
+a folder.
 """
 
 from __future__ import annotations
@@ -26,40 +26,38 @@ def drop_repeats(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["source_id", "external_id", "payload_hash"])
 
 
-class RecordTable:
-    """The record table as versions in a folder: a merge writes the next version, and a
-    batch that was merged before is not merged again."""
+_CHANGE = "stream string, batch long"
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in done if p.getName().startswith("v"))
+def read_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The record table: of what batches appended for a key, the row fetched last."""
+    return _newest(spark.read.schema(f"{schema}, {_CHANGE}").option("basePath", folder).parquet(folder), schema)
 
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{versions[-1]}")
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self._versions():
-            return
-        stored = self.read()
-        after = merge_ingestion(stored, ingest_verdicts(batch, stored))
-        after.select(*stored.columns).write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+def _newest(changes: DataFrame, schema: str) -> DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+    last = F.max_by(F.struct(*columns), F.struct("fetched_at", "batch", "stream")).alias("r")
+    return changes.groupBy("source_id", "external_id").agg(last).select("r.*")
+
+
+def merge_batch(batch: DataFrame, folder: str, schema: str, stream: str, number: int) -> None:
+    """Appends what the batch changes.  A batch that comes again, after a failure, finds the
+    table as it was before and writes the same rows in the same place."""
+    spark = batch.sparkSession
+    before = spark.read.schema(f"{schema}, {_CHANGE}").option("basePath", folder).parquet(folder).where((F.col("stream") != stream) | (F.col("batch") < number))
+    stored = _newest(before, schema)
+    verdicts = ingest_verdicts(batch, stored)
+    changed = merge_ingestion(stored.join(verdicts.select("source_id", "external_id"), ["source_id", "external_id"], "left_semi").select(*stored.columns), verdicts.where("verdict in ('STAGED', 'REJECTED', 'NEEDS_REVIEW')"))
+    keys = verdicts.where("verdict in ('STAGED', 'REJECTED', 'NEEDS_REVIEW')").select("source_id", "external_id")
+    changed.join(keys, ["source_id", "external_id"], "left_semi").select(*stored.columns).write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={number}")
 
 
-def ingest(events: DataFrame, table: RecordTable) -> DataStreamWriter:
+def ingest(events: DataFrame, folder: str, schema: str, stream: str) -> DataStreamWriter:
     """Idempotent ingest: newest record per key of each micro-batch, verdict, merge.
-    events: source_id, external_id, fetched_at, payload_hash, error, resolved."""
-    return events.writeStream.foreachBatch(lambda batch, n: table.merge(batch, n))
+    events: source_id, external_id, fetched_at, payload_hash, error, resolved; schema: the
+    record table's columns; stream: a name of its own for each checkpoint."""
+    events.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch=-1")
+    return events.writeStream.foreachBatch(lambda batch, n: merge_batch(batch, folder, schema, stream, n))
 
 
 def request_rates(runs: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -87,14 +85,14 @@ class _Lifecycle(StatefulProcessor):
             return
         kind, entity = key
         events = pd.concat(frames).sort_values(["at", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for e in events.itertuples():
-            allowed = last is None or last == e.status or e.status in TRANSITIONS.get(kind, {}).get(last, [])
-            out.append((e.id, kind, entity, e.status, last, allowed))
-            last = e.status
-        self.last.update((last,))
-        yield pd.DataFrame(out, columns=["id", "kind", "entity_id", "status", "previous", "allowed"])
+        status = events["status"].reset_index(drop=True)
+        previous = status.shift().astype(object)
+        previous.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        step = previous + ">" + status
+        known = {f"{a}>{b}" for a, after in TRANSITIONS.get(kind, {}).items() for b in after}
+        allowed = previous.isna() | (previous == status) | step.isin(known)
+        self.last.update((status.iloc[-1],))
+        yield pd.DataFrame({"id": events["id"].to_numpy(), "kind": kind, "entity_id": entity, "status": status, "previous": previous, "allowed": allowed})
 
     def close(self) -> None:
         pass

@@ -161,17 +161,21 @@ def test_replay_in_micro_batches_is_one_batch(spark, tmp_path):
     stored = "source_id long, external_id string, payload_hash string, status string, fetched_at timestamp"
     for k in range(3):
         spark.createDataFrame(rows[k * 30 : k * 30 + 30], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
-    live = jobs.RecordTable(spark, f"file://{tmp_path}/table", stored)
+    folder = f"file://{tmp_path}/table"
     s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = jobs.ingest(s, live).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q = jobs.ingest(s, folder, stored, "first").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     newest = {}
     for src, ext, at, h, *_ in rows:
         newest[src, ext] = (at, h)
-    assert {(x["source_id"], x["external_id"]): x["payload_hash"] for x in live.read().collect()} == {k: h for k, (_, h) in newest.items()}
-    before = live._versions()
-    live.merge(spark.createDataFrame(rows, schema), before[-1])  # a batch that was merged already
-    assert live._versions() == before
+    table = lambda: sorted(map(str, jobs.read_records(spark, folder, stored).collect()))
+    assert {(x["source_id"], x["external_id"]): x["payload_hash"] for x in jobs.read_records(spark, folder, stored).collect()} == {k: h for k, (_, h) in newest.items()}
+    before = table()
+    jobs.merge_batch(spark.createDataFrame(rows[60:], schema), folder, stored, "first", 2)  # a batch that was merged already
+    assert table() == before
+    later = [(0, "e0", pd.Timestamp(1_700_001_000, unit="s").to_pydatetime(), "f" * 64, None, "NORMALIZED")]
+    jobs.merge_batch(spark.createDataFrame(later, schema), folder, stored, "second", 0)  # another stream begins to count at 0
+    assert len(set(table()) - set(before)) == 1
 
 
 def test_merge_and_publish(spark, tmp_path):
@@ -182,6 +186,8 @@ def test_merge_and_publish(spark, tmp_path):
     run = uuid.uuid4().hex
     tables.write_published({"items": old, "aliases": new}, str(tmp_path), run)
     assert tables.read_published(spark, str(tmp_path), "items").count() == 3
+    tables.write_published({"items": new}, str(tmp_path), "0 sorts first")
+    assert tables.read_published(spark, str(tmp_path), "items").count() == 4 and tables.read_published(spark, str(tmp_path), "aliases").count() == 4
 
 
 def test_requests(spark):
@@ -202,3 +208,65 @@ def test_locale_of_a_quotation(spark):
     q = spark.createDataFrame([(1, *[None] * len(names)), (2, *[None] * len(names)), (3, *[None] * (len(names) - 1), "en")], "doc_id int, " + ", ".join(f"{n} string" for n in names))
     lines = spark.createDataFrame([(1, "كاميرا", None, None), (2, "Camera", None, None), (3, "كاميرا", None, None)], "doc_id int, item_name string, description string, unit_name string")
     assert {r[0]: r[1] for r in localize.source_locale(q, lines).collect()} == {1: "ar", 2: "en", 3: "en"}
+
+
+def test_reading_and_pages(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k long, v string")
+    df.write.parquet(f"{tmp_path}/t")
+    assert tables.read_table(spark, f"{tmp_path}/t").count() == 20 and tables.read_table(spark, f"{tmp_path}/t", "k long").columns == ["k"]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.json").write_text('{"records": [{"id": "1", "name": "x"},\n {"id": "2", "name": "y"}], "nextCursor": "c"}')
+    (tmp_path / "pages" / "b.json").write_text("[1]")
+    (tmp_path / "pages" / "c.json").write_text("{}")
+    good, bad = feed.split_pages(feed.read_feed_pages(spark, f"{tmp_path}/pages"))
+    assert good.count() == 3 and bad.count() == 1 and feed.to_envelopes(good).where("error is null").count() == 2
+
+
+def test_streams_of_repeats_and_rates(spark, tmp_path):
+    from bidlake.streaming import jobs
+
+    at = lambda n: pd.Timestamp(1_700_000_000 + n, unit="s").to_pydatetime()
+    events = spark.createDataFrame([(1, "a", "h", at(0)), (1, "a", "h", at(5)), (1, "a", "i", at(6)), (2, "a", "h", at(7))], "source_id long, external_id string, payload_hash string, fetched_at timestamp")
+    events.coalesce(1).write.parquet(f"{tmp_path}/e")
+    stream = jobs.drop_repeats(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/e"))
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/o").count() == 3
+    runs = spark.createDataFrame([(1, at(0), 3), (1, at(30), 4), (1, at(300), 5)], "source_id long, created_at timestamp, reserved int")
+    rates = jobs.request_rates(runs).collect()
+    assert max(x["reserved"] for x in rates) == 7 and sum(x["reserved"] == 5 for x in rates) == 6
+
+
+def test_texts_are_translated_once(spark):
+    missing = spark.createDataFrame([(1, "en", "a", "x"), (2, "en", "b", "x"), (3, "ar", "c", "x")], "doc_id int, locale string, key string, text string")
+    got = localize.translate_texts(missing, lambda locale, text: locale + ":" + text)
+    assert sorted((x["doc_id"], x["translation"]) for x in got.collect()) == [(1, "en:x"), (2, "en:x"), (3, "ar:x")]
+    ends = spark.createDataFrame([(x,) for x in ("COMPLETED", "STALE", "STALE", None, "CLAIM_FAILED")], "outcome string")
+    assert localize.recovery_summary(ends).first().asDict() == {"scanned": 5, "completed": 1, "failed": 0, "stale": 2, "no_claim": 0, "not_found": 0, "claim_failed": 2}
+
+
+def test_vector_filters_and_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(i, [r.gauss(0, 1) for _ in range(4)], r.choice("ab")) for i in range(60)]
+    asked = [(i, [r.gauss(0, 1) for _ in range(4)], r.choice(["a", None])) for i in range(9)]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 16)
+    got = vectors.vector_topk(spark.createDataFrame(asked, "query_id long, vector array<double>, type string"), spark.createDataFrame(items, "item_id long, vector array<double>, type string"), 5, ["type"])
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {(i, n + 1): j for i, v, t in asked for n, (_, j) in enumerate(sorted((-cos(v, w), j) for j, w, u in items if t in (None, u))[:5])}
+    assert {(x["query_id"], x["rank"]): x["item_id"] for x in got.collect()} == want
+
+
+def test_request_readings(spark):
+    rows = [
+        (1, "en", "Please make a quote for Blue Star: 3pcs NVR at 45.5 USD, 2 items cable; maintenance"), (2, "en", "client Acme needs 12 cameras with installation"), (3, "ar", "لشركة النور 7 أجهزة بمبلغ 20 دينار كويتي"),
+        (4, "en", "price: 99 for one, 4 units"), (5, "en", "a@b.co " + "x; " * 30), (6, "en", "consultation"),
+    ]
+    got = {r["request_id"]: r for r in requests.extract_intents(spark.createDataFrame(rows, "request_id int, locale string, text string")).collect()}
+    a = got[1]
+    assert a["customer_mention"] == "Blue Star" and a["scope_type"] == "MAINTENANCE" and a["currency_code"] == "USD" and a["subject"] == "Quotation - Blue Star"
+    assert [(x["quantity"], x["unit_text"], x["price"], x["type"]) for x in a["lines"]] == [(3, "pcs", 45.5, "PRODUCT"), (2, "items", None, "PRODUCT"), (None, None, None, "SERVICE")] and a["lines"][1]["text"] == "cable"
+    assert got[2]["customer_mention"] == "Acme" and got[2]["scope_type"] == "SUPPLY_AND_INSTALLATION" and got[2]["lines"][0]["quantity"] == 12
+    assert got[3]["customer_mention"] == "النور" and got[3]["currency_code"] == "KWD" and (got[3]["lines"][0]["quantity"], got[3]["lines"][0]["price"]) == (7, 20)
+    assert got[4]["lines"][0]["price"] == 99 and got[4]["lines"][0]["quantity"] is None and got[4]["lines"][1]["quantity"] == 4
+    assert got[5]["customer_email"] == "a@b.co" and len(got[5]["lines"]) == 20 and got[6]["scope_type"] == "CONSULTATION"
