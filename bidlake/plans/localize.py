@@ -56,6 +56,12 @@ def backfill_summary(spark, sf):
     return L.backfill_summary(backfill_classes(spark, sf))
 
 
+@query("recovery_summary", "SELECT count(*) AS scanned, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS completed, count(*) FILTER (WHERE o_orderkey % 7 = 1) AS failed, count(*) FILTER (WHERE o_orderkey % 7 = 2) AS stale, count(*) FILTER (WHERE o_orderkey % 7 = 3) AS no_claim, count(*) FILTER (WHERE o_orderkey % 7 = 4) AS not_found, count(*) FILTER (WHERE o_orderkey % 7 > 4) AS claim_failed FROM orders")
+def recovery_summary(spark, sf):
+    ends = F.element_at(F.array(*map(F.lit, ["COMPLETED", "FAILED", "STALE", "NO_CLAIM", "NOT_FOUND", "CLAIM_FAILED", "?"])), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return L.recovery_summary(Tables(spark, sf).raw("orders").select(ends.alias("outcome")))
+
+
 @query("translation_write_back", f"{_BASE} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'STALE' WHEN bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 'FAILED' ELSE 'APPLIED' END AS verdict, CASE WHEN doc_id % 10 > 0 AND NOT bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 3 * count(*) END AS cells FROM miss GROUP BY doc_id")
 def translation_write_back(spark, sf):
     q, lines = _docs(Tables(spark, sf))

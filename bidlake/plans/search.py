@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import customer_display_name, localized_name
 from ..operators import adopt, retrieval, vectors
 from ..operators import search as S
 from .base import Tables, over, query
@@ -265,3 +266,41 @@ def first_aliases(spark, sf):
     t = Tables(spark, sf)
     li = t.raw("lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_orderkey").alias("id"), F.concat(F.lit("a"), "l_orderkey").alias("alias"))
     return S.first_children(t.library().select("item_id").join(li.select("item_id").distinct(), "item_id", "left_semi"), li, "alias", "aliases", 3).select("item_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("item_details", """WITH i AS (SELECT p_partkey AS item_id, p_name AS name, p_size % 5 AS category_id, p_brand, p_type, CASE WHEN p_partkey % 10 > 0 THEN p_partkey - p_partkey % 10 END AS parent_id, p_size FROM part),
+b AS (SELECT p_brand, min('M-' || p_brand) AS mfgr FROM part GROUP BY p_brand), f AS (SELECT p_type, min(p_brand) AS brand FROM part GROUP BY p_type), va AS (SELECT parent_id, string_agg(name, ',' ORDER BY item_id) AS v, count(*) AS n FROM i WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT item_id, i.name, r_name AS category, b.mfgr AS manufacturer, i.p_brand || '/' || b.mfgr AS brand, i.p_type || '/' || f.brand AS family, (SELECT name FROM i p WHERE p.item_id = i.parent_id) AS parent, coalesce(v, '') AS variants, CASE WHEN item_id % 7 = 0 THEN 'a' || item_id ELSE '' END AS aliases,
+ 'GTIN_13:' || lpad(CAST(item_id % 1500 AS VARCHAR), 13, '0') AS identifiers, 'Kind:' || p_type || ',Size:' || p_size AS attributes, s_name || ':x' || item_id AS provenances FROM i JOIN b USING (p_brand) JOIN f USING (p_type) LEFT JOIN region ON r_regionkey = category_id LEFT JOIN va ON va.parent_id = item_id LEFT JOIN supplier ON s_suppkey = item_id % 10""")
+def item_details(spark, sf):
+    t, k = Tables(spark, sf), F.col("p_partkey")
+    p = t.raw("part").withColumn("p_mfgr", F.concat(F.lit("M-"), "p_brand"))
+    brands = p.groupBy("p_brand").agg(F.min("p_mfgr").alias("m"))
+    items = p.join(brands, "p_brand").select(k.alias("item_id"), F.col("p_name").alias("name"), (F.col("p_size") % 5).alias("category_id"), F.col("m").alias("manufacturer_id"), F.col("p_brand").alias("brand_id"), F.col("p_type").alias("family_id"), F.when(k % 10 > 0, k - k % 10).alias("parent_id"))
+    dimensions = {
+        "category": t.raw("region").select(F.col("r_regionkey").alias("category_id"), F.col("r_name").alias("name")), "manufacturer": p.select(F.col("p_mfgr").alias("manufacturer_id"), F.col("p_mfgr").alias("name")).distinct(),
+        "brand": brands.select(F.col("p_brand").alias("brand_id"), F.col("p_brand").alias("name"), F.col("m").alias("manufacturer_id")), "family": p.groupBy(F.col("p_type").alias("family_id")).agg(F.first("p_type").alias("name"), F.min("p_brand").alias("brand_id")),
+        "definition": t.spark.createDataFrame([(1, "Size"), (2, "Kind")], "definition_id int, name string"), "source": t.raw("supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name")),
+    }
+    aliases = p.where("p_partkey % 7 = 0").select(k.alias("item_id"), F.concat(F.lit("a"), k).alias("alias"))
+    identifiers = p.select(k.alias("item_id"), F.lit("GTIN_13").alias("identifier_type"), F.lpad((k % 1500).cast("string"), 13, "0").alias("value"))
+    attributes = p.select(k.alias("item_id"), F.inline(F.array(F.struct(F.lit(1).alias("definition_id"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit(2).alias("definition_id"), F.col("p_type").alias("value")))))
+    provenances = p.select(k.alias("item_id"), (k % 10).alias("source_id"), F.concat(F.lit("x"), k).alias("external_id"))
+    d = retrieval.denormalize_items(items, dimensions, aliases, identifiers, attributes, provenances)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f] for f in d.schema[c].dataType.elementType.names])), ",")
+    one = lambda c, f: F.concat_ws("/", f"{c}.name", f"{c}.{f}")
+    return d.select("item_id", "name", "category", "manufacturer", one("brand", "manufacturer").alias("brand"), one("family", "brand").alias("family"), "parent", F.array_join(F.transform("variants", lambda x: x["name"]), ",").alias("variants"), *[said(c).alias(c) for c in ("aliases", "identifiers", "attributes", "provenances")])
+
+
+@query("compact_candidates", f"{RANKED} SELECT query_id, 'COMPANY_CATALOG' AS origin, rk.item_id, type, code, sku, barcode, catalog.name AS display_name, category_id, score, match_reasons FROM rk JOIN catalog USING (item_id) WHERE rank <= 5")
+def compact_candidates(spark, sf):
+    c = S.compact_candidates(_ranked(Tables(spark, sf)))
+    return c.select("query_id", "origin", "item_id", "type", "code", "sku", "barcode", "display_name", "category_id", F.col("score").cast("double").alias("score"), F.array_join("match_reasons", ",").alias("match_reasons"))
+
+
+@query("display_names", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ar ' || c_name ELSE c_name END ELSE CASE WHEN c_custkey % 5 = 0 THEN 'en' ELSE c_name END END AS item_name,
+ CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ar ' || c_name ELSE c_name END ELSE CASE WHEN c_custkey % 5 = 0 THEN 'en' ELSE c_name END END AS customer_name FROM customer""")
+def display_names(spark, sf):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    locale, ar, en = F.when(k % 2 == 0, "ar").otherwise("en"), F.when(k % 3 == 0, F.concat(F.lit("ar "), name)).otherwise("  "), F.when(k % 5 == 0, "en")
+    return Tables(spark, sf).raw("customer").select(k.alias("id"), localized_name(locale, name, ar, en).alias("item_name"), customer_display_name(locale, name, ar, en).alias("customer_name"))
