@@ -1,7 +1,7 @@
 """Similarity join of word shingles by the chosen-path method.
 
 A document is its set of five-word shingles.  Documents with equal sets are one
-class and stand in the join once, by their smallest id.  Each run samples
+class and stand in the join once, by the smallest (id, hash of the text).  Each run samples
 about 1 / threshold shingles of every set with a hash that all documents share, so
 similar sets choose the same ones; every choice is a bucket.  Buckets of more
 than ``BLOCK`` sets are split again by shingles sampled anew, up to ``DEPTH`` times.
@@ -17,9 +17,16 @@ task.  Groups are the connected components of the links.
 Defined results: words are runs of letters and digits, A-Z in lower case, other
 characters beyond ASCII as they are; a text of one to four words is a single
 shingle; a text without words (null, empty, only signs) is a class of its own
-without links; documents without an id get no row; rows of one id count as
-copies of each other only if their texts agree; an empty table gives no rows.
-Sets are compared by 32-bit hashes of their shingles.
+without links; documents without an id get no row; rows of one id and different texts
+are documents of their own, repeated rows are copies of each other; texts are read
+whole, whatever their length, but sets travel only to buckets where they may find a
+partner; an empty table gives no rows.  Only doc_id and text are read (``keep_one`` passes
+the rest through), so no other column can clash.  Sets are compared by 32-bit hashes of
+their shingles.
+
+What grows faster than the input: m different texts that are all near copies of each
+other have about m * m / 2 links, and counting them takes as many comparisons, done as
+products of blocks of ``BLOCK`` sets in tasks of their own.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, join_lists, mix64, small_batches, window_hashes, word_bounds, word_hashes, written
+from .common import FOLD, join_lists, keyed, mix64, salted, small_batches, window_hashes, word_bounds, word_hashes, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 DEPTH, BLOCK = 3, 512
@@ -77,49 +84,47 @@ def _roots(runs: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n, sig, paths): sig names the set, null for a text without words."""
+    """(doc_id, th, n, sig, paths): sig names the set, null for a text without words."""
 
     def sketch(batches):
         roots = _roots(runs)
         for batch in batches:
             n, sig, paths = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 tokens = shingles(text)
                 n.append(len(tokens))
                 sig.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                 paths.append(children(tokens, roots, threshold)[0].view(np.int64) if len(tokens) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "sig", "paths"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, sig binary, paths array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, th long, n long, sig binary, paths array<long>")
 
 
 def _deeper(docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(path, doc_id) one level below the given (path, doc_id)."""
-    lists = written(rows.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("path").alias("paths")), "join-split")
+    """(path, doc_id, th) one level below the given ones."""
+    lists = written(rows.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("path").alias("paths")), "join-split")
 
     def split(batches):
         for batch in batches:
-            out, ids = [_EMPTY], [np.zeros(0, np.int64)]
-            for doc_id, text, paths in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = shingles(text)
-                if not len(tokens):
-                    continue  # another text under the same id
-                got = children(tokens, np.array(paths, np.int64).view(np.uint64), threshold)[0]
+            out, ids, ths = [_EMPTY], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc_id, th, text, paths in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                got = children(shingles(text), np.array(paths, np.int64).view(np.uint64), threshold)[0]
                 out.append(got)
-                ids.append(np.full(len(got), doc_id, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], names=["path", "doc_id"])
+                ids.append(np.full(len(got), doc_id))
+                ths.append(np.full(len(got), th))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths))], names=["path", "doc_id", "th"])
 
-    return join_lists(docs, lists, F.size("paths") * 8).select("doc_id", "text", "paths").mapInArrow(split, "path long, doc_id long").distinct()
+    return join_lists(docs, lists, F.size("paths") * 8).select("doc_id", "th", "text", "paths").mapInArrow(split, "path long, doc_id long, th long").distinct()
 
 
 def buckets(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(path, doc_id, m): the buckets that are compared, of two sets or more."""
-    rows = reps.select(F.explode("paths").alias("path"), F.col("rep").alias("doc_id")).distinct()
+    """(path, doc_id, th, m): the buckets that are compared, of two sets or more."""
+    rows = reps.select(F.explode("paths").alias("path"), "doc_id", "th").distinct()
     done = []
     for level in range(1, depth + 1):
         rows = written(rows, "join-paths")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        sized = written(rows.join(sizes, "path"), "join-buckets")
+        sizes = written(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "join-sizes")
+        sized = written(salted(rows, sizes, sizes.withColumnRenamed("m", "n"), ["path"], rows.count(), by=["doc_id", "th"]), "join-buckets")
         last = level == depth
         done.append(sized if last else sized.where(F.col("m") <= block))
         big = sized.where(F.col("m") > block)
@@ -132,15 +137,15 @@ def buckets(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, dept
     return out
 
 
-_SLOTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("leaves", pa.binary())])
-_SLOTS_DDL = "path long, i int, j int, part int, doc_id long, n long, leaves binary"
-_PARTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("leaves", pa.binary())])
-_PARTS_DDL = "path long, i int, j int, part int, doc_id long, copies long, tokens binary, leaves binary"
+_SLOTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("leaves", pa.binary())])
+_SLOTS_DDL = "path long, i int, j int, part int, doc_id long, th long, n long, leaves binary"
+_PARTS = pa.schema([("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("leaves", pa.binary())])
+_PARTS_DDL = "path long, i int, j int, part int, doc_id long, th long, copies long, tokens binary, leaves binary"
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """The rows of a (bucket, pair of blocks) side by side."""
-    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "doc_id")
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "doc_id", "th")
 
 
 def _groups(batches, width: int):
@@ -158,52 +163,52 @@ def _groups(batches, width: int):
 
 
 def _slots(members: DataFrame, block: int, threshold: float) -> DataFrame:
-    """(doc_id, path, i, j, part, leaves): where a set must be compared.  Of each bucket
+    """(doc_id, th, path, i, j, part, leaves): where a set must be compared.  Of each bucket
     only those sets stay that have a partner of a fitting size which they meet here
     first; this is known without the sets, so few of them have to travel."""
 
     def place(batches):
         for batch in batches:
             rows = []
-            for doc_id, n, inside in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, th, n, inside in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 leaves = np.sort(np.array([x["path"] for x in inside], np.int64)).tobytes()
-                mixed = mix64(np.array([doc_id], np.int64).view(np.uint64))[0]
+                mixed = mix64(np.array([doc_id ^ th], np.int64).view(np.uint64))[0]
                 for x in inside:
                     blocks = -(-x["m"] // block)
                     own = int(mixed % np.uint64(blocks))
-                    rows += [(x["path"], min(own, o), max(own, o), own, doc_id, n, leaves) for o in range(blocks)]
+                    rows += [(x["path"], min(own, o), max(own, o), own, doc_id, th, n, leaves) for o in range(blocks)]
             yield _batch(rows, _SLOTS)
 
     def choose(batches):
         rows = []
-        for (path, i, j), held in _groups(batches, 7):
-            leaves = [np.frombuffer(h[3], np.int64) for h in held]
-            meet = first_here(path, fitting(np.array([h[0] for h in held]), np.array([h[2] for h in held], np.float32), i != j, threshold), leaves)
+        for (path, i, j), held in _groups(batches, 8):
+            leaves = [np.frombuffer(h[4], np.int64) for h in held]
+            meet = first_here(path, fitting(np.array([h[0] for h in held]), np.array([h[3] for h in held], np.float32), i != j, threshold), leaves)
             rows += [(path, i, j, held[x][0], *held[x][1:]) for x in np.flatnonzero(meet.any(1)).tolist()]
             if len(rows) >= 5000:
                 yield _batch(rows, _SLOTS)
                 rows = []
         yield _batch(rows, _SLOTS)
 
-    return _dealt(members.select("__id", "n", "inside").mapInArrow(place, _SLOTS_DDL)).mapInArrow(choose, _SLOTS_DDL)
+    return _dealt(members.select("__id", "__th", "n", "inside").mapInArrow(place, _SLOTS_DDL)).mapInArrow(choose, _SLOTS_DDL)
 
 
 def _parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets themselves, once for each slot; wanted: (__id, copies, slots)."""
+    """The sets themselves, once for each slot; wanted: (__id, __th, copies, slots)."""
 
     def emit(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, copies, slots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc_id, th, text, copies, slots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 tokens = np.unique((shingles(text) >> np.uint64(32)).astype("<u4")).tobytes()
-                rows += [(x["path"], x["i"], x["j"], x["part"], doc_id, copies, tokens, x["leaves"]) for x in slots]
+                rows += [(x["path"], x["i"], x["j"], x["part"], doc_id, th, copies, tokens, x["leaves"]) for x in slots]
                 if len(rows) >= 2000:
                     yield _batch(rows, _PARTS)
                     rows = []
             yield _batch(rows, _PARTS)
 
     size = F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + 40 + F.octet_length(x["leaves"]))
-    return join_lists(docs, wanted, size).select("doc_id", "text", "copies", "slots").mapInArrow(emit, _PARTS_DDL)
+    return join_lists(docs, wanted, size).select("doc_id", "th", "text", "copies", "slots").mapInArrow(emit, _PARTS_DDL)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -265,7 +270,7 @@ def compare(path: int, side: np.ndarray, tokens: list[np.ndarray], leaves: list[
     return first_here(path, near & fits, leaves)
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_FOUND = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "root", "rth", "links")])
 
 
 def trees(near: np.ndarray) -> list[tuple[int, int]]:
@@ -283,26 +288,26 @@ def trees(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _found(parts: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, root, links) for every linked set of a bucket: how many documents it
+    """(doc_id, th, root, rth, links) for every linked set of a bucket: how many documents it
     is linked to there, and the root of its tree."""
 
     def search(batches):
         rows = []
-        for (path, i, j), held in _groups(batches, 8):
-            tokens = [np.frombuffer(h[3], "<u4") for h in held]
-            leaves = [np.frombuffer(h[4], np.int64) for h in held]
+        for (path, i, j), held in _groups(batches, 9):
+            tokens = [np.frombuffer(h[4], "<u4") for h in held]
+            leaves = [np.frombuffer(h[5], np.int64) for h in held]
             near = compare(path, np.array([h[0] for h in held]), tokens, leaves, i != j, threshold)
             if not near.any():
                 continue
-            copies = np.array([h[2] for h in held])
+            copies = np.array([h[3] for h in held])
             count, root = near @ copies, {m: r for r, m in trees(near)}
-            rows += [(held[x][1], held[root.get(x, x)][1], int(count[x])) for x in np.flatnonzero(near.any(1)).tolist()]
+            rows += [(*held[x][1:3], *held[root.get(x, x)][1:3], int(count[x])) for x in np.flatnonzero(near.any(1)).tolist()]
             if len(rows) >= 5000:
                 yield _batch(rows, _FOUND)
                 rows = []
         yield _batch(rows, _FOUND)
 
-    return _dealt(parts).mapInArrow(search, "doc_id long, root long, links long")
+    return _dealt(parts).mapInArrow(search, "doc_id long, th long, root long, rth long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,8 +318,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = undirected(edges)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "stars-low")
+        # The middle of a star may have all other nodes as neighbours.
+        large = salted(both.where("b > a"), low.drop("n"), low.select("a", "n"), ["a"], 2 * edges.count(), by=["b"])
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "stars-large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -325,40 +332,51 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, class_id (the smallest id of its group of linked
-    documents), copy_of (the smallest id with the same set), and n_links (documents
-    with a similarity of ``threshold`` or more, copies included)."""
+def _classes(docs: DataFrame, threshold: float, recall: float, depth: int, block: int) -> DataFrame:
+    """(doc_id, th, class, copy, n_links) per document; class and copy: (doc_id, th)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = keyed(docs).where("doc_id is not null")
+    node = lambda a, b: F.struct(F.col(a).alias("doc_id"), F.col(b).alias("th"))
     sets = written(sketches(docs, runs_for(recall, depth), threshold), "join-sets")
-    classes = written(sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-classes")
-    reps = sets.where("sig is not null").join(classes.select(F.col("sig").alias("__sig"), "rep", "copies"), (F.col("sig") == F.col("__sig")) & (F.col("doc_id") == F.col("rep")))
+    classes = written(sets.where("sig is not null").groupBy("sig").agg(F.min(node("doc_id", "th")).alias("rep"), F.count("*").alias("copies")), "join-classes")
+    by_rep = (F.col("sig") == F.col("__sig")) & (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
+    reps = sets.where("sig is not null").join(classes.select(F.col("sig").alias("__sig"), "rep", "copies"), by_rep)
     leaves = buckets(docs, reps, threshold, depth, block)
-    inside = leaves.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("path", "m")).alias("inside"))
-    sizes = reps.groupBy(F.col("rep").alias("__id")).agg(F.max("n").alias("n"))
-    copies = classes.groupBy(F.col("rep").alias("__id")).agg(F.sum("copies").alias("copies"))
-    members = written(inside.join(sizes, "__id").join(copies, "__id"), "join-members")
-    slots = _slots(members, block, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("path", "i", "j", "part", "leaves")).alias("slots"))
-    wanted = written(slots.join(members.select("__id", "copies"), "__id"), "join-slots")
+    key = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    inside = leaves.groupBy(*key).agg(F.collect_list(F.struct("path", "m")).alias("inside"))
+    sizes = reps.groupBy(*key).agg(F.max("n").alias("n"))
+    copies = classes.select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), "copies")
+    members = written(inside.join(sizes, ["__id", "__th"]).join(copies, ["__id", "__th"]), "join-members")
+    slots = _slots(members, block, threshold).groupBy(*key).agg(F.collect_list(F.struct("path", "i", "j", "part", "leaves")).alias("slots"))
+    wanted = written(slots.join(members.select("__id", "__th", "copies"), ["__id", "__th"]), "join-slots")
     found = written(_found(_parts(docs, wanted), threshold), "join-found")
-    links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy(node("doc_id", "th").alias("rep")).agg(F.sum("links").alias("links"))
+    groups = components(found.select(node("doc_id", "th").alias("a"), node("root", "rth").alias("b")))
     per = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select(F.col("sig").alias("__sig"), "rep", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return sets.join(per, F.col("sig") == F.col("__sig"), "left").select(
-        "doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
-
-
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The columns of docs, one document of each group: the one with its class_id.
-    Rows that share an id are one document and stay together; documents without an
-    id or without words all stay."""
-    groups = join(docs, **parameters)
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    return left
+    per = written(per.select("sig", "rep", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("copies").alias("n")), "join-per")
+    # A group of equal sets may hold a third of all documents.
+    lone = sets.where("sig is null").select("doc_id", "th", node("doc_id", "th").alias("class"), node("doc_id", "th").alias("copy"), F.lit(0).cast("long").alias("n_links"))
+    rest = salted(sets.where("sig is not null").select("doc_id", "th", "sig"), per.drop("n"), per.select("sig", "n"), ["sig"], sets.count(), by=["doc_id", "th"])
+    return lone.unionByName(rest.select("doc_id", "th", F.col("label").alias("class"), F.col("rep").alias("copy"), F.col("links").cast("long").alias("n_links")))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """A row per document: doc_id, class_id (the smallest id of its group of linked
+    documents), copy_of (the smallest id with the same set), and n_links (documents
+    with a similarity of ``threshold`` or more, copies included)."""
+    found = _classes(docs, threshold, recall, depth, block)
+    return found.select("doc_id", F.col("class.doc_id").alias("class_id"), F.col("copy.doc_id").alias("copy_of"), "n_links")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """The columns of docs, one document of each group: the one with its class_id, of
+    several texts of that id the one with the smallest hash.  Rows equal in id and text
+    are one document and stay together; documents without an id or without words all
+    stay."""
+    other = (F.col("class.doc_id") != F.col("doc_id")) | (F.col("class.th") != F.col("th"))
+    gone = _classes(docs, threshold, recall, depth, block).where(other).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    return rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left_anti").select("__row.*")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
