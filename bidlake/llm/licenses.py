@@ -1,20 +1,26 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of a file is a possible header.  Its terms are weighted by how rare they
-are among all lines of the corpus, and its cosine to each licence template is
-summed over the terms both have; terms no template has only lengthen the line.
-Lines that share too little with a template to reach the threshold are never
-scored: each template has probe terms without which its cosine stays below.
-A file's own licence is its best line's.  A file that is a licence text for the
-most part is a licence file: it speaks for its directory and all below that have
-no nearer one, and files without an own licence inherit from the nearest.
-
-Only DataFrame functions are used; what is broadcast is the templates' terms.
+Terms are weighted by how rare they are among all lines of the corpus.  Every line of a
+file is a possible header, as is every run of ``SPAN`` terms of a longer line (each
+begins ``SPAN`` / 2 terms after the one before), and the whole file is a possible licence
+file.  The cosine of each to every template is summed over the terms both have; terms
+that no template has only lengthen it.  What shares too little with a template to reach the
+threshold is never scored: each template has probe terms without which its cosine
+stays below.  A file's own licence is that of its best line, run or whole.  A file
+whose whole reaches the threshold is a licence file: it speaks for its directory and all
+below that have no nearer one, and files without an own licence inherit from the nearest.
+
+Only DataFrame functions are used; what is broadcast is the templates' terms.  Templates are
+a parameter: (licence, text), a statement or a whole licence; the long licences' full
+texts are the caller's to give.
 
 Defined results: a null or empty text has no licence of its own but may inherit;
 of equally similar templates, and of equally good licence files of a directory,
-the first by name stands; rows of one path are one file; a null path stays with no
-licence; an empty table gives no rows; texts are scanned whole.
+the first by name stands; rows of one path are one file, whose licence is the best of its
+texts; a null path stays with no licence; repeated rows each get their row; an empty table
+gives no rows; texts are scanned whole, whatever their length.  The columns of the input but
+text pass through under any name; license, via, cosine and from_dir are the result's own
+and replace others of these names.
 """
 
 from __future__ import annotations
@@ -26,13 +32,16 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted, written
 
 THRESHOLD = 0.6
-#: A licence file: licence lines hold at least this share of its words.
-FILE_SHARE = 0.5
+#: Terms of a run within a long line.
+SPAN = 16
+LONG_LINE = 24
 
-#: The statements and opening words by which public licences are given.
+# The statements and opening words by which public licences are given, and
+# the short licences whole.
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -55,29 +64,41 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Whole licences.
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. " + _AS_IS),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 ]
 
 _TERM = "[a-z0-9]+"
 
 
-def template_terms() -> list[tuple[int, str, Counter]]:
-    return [(i, name, Counter(re.findall(_TERM, text.lower()))) for i, (name, text) in enumerate(TEMPLATES)]
+Templates = list[tuple[str, str]]
+
+
+def template_terms(templates: Templates = TEMPLATES) -> list[tuple[int, str, Counter]]:
+    return [(i, name, Counter(re.findall(_TERM, text.lower()))) for i, (name, text) in enumerate(templates)]
 
 
 def _terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_TERM), F.lit(0))
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, pos, terms) for each line of each file."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return files.select("path", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select("path", "pos", _terms(F.col("line")).alias("terms"))
+    """(path, th, pos, terms) for each line of each file; th tells texts of a path apart."""
+    lines = files.select("path", F.xxhash64(_text()).alias("th"), F.posexplode(F.split(_text(), "\n", -1)).alias("pos", "line"))
+    return lines.select("path", "th", "pos", _terms(F.col("line")).alias("terms"))
 
 
-def term_weights(lines: DataFrame) -> tuple[dict[str, float], float]:
+def term_weights(lines: DataFrame, templates: Templates = TEMPLATES) -> tuple[dict[str, float], float]:
     """Inverse document frequencies of the templates' terms among all lines, and that
     of a term never seen: as many numbers as the templates have terms."""
-    vocabulary = sorted({t for _, _, terms in template_terms() for t in terms})
+    vocabulary = sorted({t for _, _, terms in template_terms(templates) for t in terms})
     known = F.array(*map(F.lit, vocabulary))
     # The empty term counts the lines themselves.
     seen = lines.select(F.explode(F.concat(F.array_intersect(F.col("terms"), known), F.array(F.lit("")))).alias("t")).groupBy("t").count()
@@ -86,11 +107,11 @@ def term_weights(lines: DataFrame) -> tuple[dict[str, float], float]:
     return {t: math.log((n + 1) / (count.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(n + 1) + 1
 
 
-def probes(weights: dict[str, float], threshold: float) -> set[str]:
+def probes(weights: dict[str, float], threshold: float, templates: Templates = TEMPLATES) -> set[str]:
     """For each template, the terms of which a line needs one to reach the threshold:
     the rest together weigh less than that share of the template's length."""
     out: set[str] = set()
-    for _, _, terms in template_terms():
+    for _, _, terms in template_terms(templates):
         square = {t: (n * weights[t]) ** 2 for t, n in terms.items()}
         total, rest = sum(square.values()), 0.0
         for t in sorted(square, key=lambda t: (weights[t], t)):
@@ -100,54 +121,75 @@ def probes(weights: dict[str, float], threshold: float) -> set[str]:
     return out
 
 
-def matches(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, pos, license, cosine, n_terms) for lines that reach the threshold."""
+_UNIT = ["path", "th", "pos", "part"]
+
+
+def units_of(likely: DataFrame, whole: DataFrame) -> DataFrame:
+    """(path, th, pos, part, terms): lines (part 0), runs within long lines (part 1, 2 ...),
+    and whole files (pos -1)."""
+    n = F.size("terms")
+    runs = F.transform(F.sequence(F.lit(1), F.ceil((n - SPAN) / (SPAN // 2)).cast("int") + 1), lambda i: F.struct(i.alias("part"), F.slice("terms", (i - 1) * (SPAN // 2) + 1, SPAN).alias("terms")))
+    runs = likely.where(n > LONG_LINE).select("path", "th", "pos", F.inline(runs))
+    lines = likely.select("path", "th", "pos", F.lit(0).alias("part"), "terms")
+    return lines.unionByName(runs).unionByName(whole.select("path", "th", F.lit(-1).alias("pos"), F.lit(0).alias("part"), "terms"))
+
+
+def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Templates = TEMPLATES) -> DataFrame:
+    """(path, th, pos, part, license, cosine) for what reaches the threshold."""
     spark = files.sparkSession
-    lines = lines_of(files.where("path is not null"))
-    weights, unseen = term_weights(lines)
-    chosen = F.array(*map(F.lit, sorted(probes(weights, threshold))))
-    likely = written(lines.where(F.arrays_overlap(F.col("terms"), chosen)).groupBy("path", "pos").agg(F.first("terms").alias("terms")), "license-lines")
-    tf = likely.select("path", "pos", F.explode("terms").alias("term")).groupBy("path", "pos", "term").agg(F.count("*").alias("tf"))
+    lines = lines_of(files)
+    weights, unseen = term_weights(lines, templates)
+    asked = probes(weights, threshold, templates)
+    chosen = F.array(*map(F.lit, sorted(asked)))
+    likely = written(lines.where(F.arrays_overlap(F.col("terms"), chosen)).dropDuplicates(["path", "th", "pos"]), "license-lines")
+    # A whole file holds a probe term only if one of its lines does.
+    whole = files.select("path", F.xxhash64(_text()).alias("th"), _terms(_text()).alias("terms")).where(F.arrays_overlap(F.col("terms"), chosen)).dropDuplicates(["path", "th"])
+    tf = units_of(likely, whole).select(*_UNIT, F.explode("terms").alias("term")).groupBy(*_UNIT, "term").agg(F.count("*").alias("tf"))
     table = []
-    for i, name, terms in template_terms():
+    for i, name, terms in template_terms(templates):
         norm = math.sqrt(sum((n * weights[t]) ** 2 for t, n in terms.items()))
         table += [(t, i, name, n * weights[t] / norm) for t, n in terms.items()]
     idf = spark.createDataFrame(list(weights.items()), "term string, idf double")
-    of = spark.createDataFrame(table, "term string, template int, license string, share double")
-    tf = tf.join(F.broadcast(idf), "term", "left").select("path", "pos", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"), F.col("tf"))
-    norm = tf.groupBy("path", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_terms"))
-    dot = tf.join(F.broadcast(of), "term").groupBy("path", "pos", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dot.join(norm, ["path", "pos"]).select("path", "pos", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "n_terms")
+    of = spark.createDataFrame(table, "term string, template int, license string, share double").groupBy("term").agg(F.collect_list(F.struct("template", "license", "share")).alias("of"))
+    w = tf.join(F.broadcast(idf), "term", "left").join(F.broadcast(of), "term", "left").select(*_UNIT, "of", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    # Rows with a template add to its product, and all rows to the norm (template -1).
+    norm = F.array(F.struct(F.lit(-1).alias("template"), F.lit("").alias("license"), F.col("w").alias("share")))
+    parts = w.select(*_UNIT, "w", F.inline(F.concat(norm, F.coalesce("of", F.expr("array()").cast("array<struct<template:int,license:string,share:double>>")))))
+    sums = written(parts.groupBy(*_UNIT, "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("sum")), "license-sums")
+    norm = sums.where("template = -1").select(*_UNIT, F.sqrt("sum").alias("norm"))
+    scored = sums.where("template >= 0").join(norm, _UNIT).select(*_UNIT, "license", F.round(F.col("sum") / F.col("norm"), 6).alias("cosine"))
     return scored.where(F.col("cosine") >= threshold)
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
-    """files: (path, text), directories before the last '/'.  A row per input row: path,
-    license, via (own, inherited or null), cosine and from_dir."""
-    found = written(matches(files, threshold), "license-matches")
-    first = lambda c: F.struct((-F.col(c)).alias("less"), F.col("license"))  # noqa: E731  the highest, then the first by name
-    line = found.groupBy("path", "pos").agg(F.min(first("cosine")).alias("b"), F.max("n_terms").alias("n_terms"))
-    own = line.groupBy("path").agg(F.min("b").alias("b"), F.sum("n_terms").alias("licensed"))
-    own = written(own.select("path", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), "licensed"), "license-own")
+def scan(files: DataFrame, threshold: float = THRESHOLD, templates: Templates = TEMPLATES) -> DataFrame:
+    """files: (path, text, ...), directories before the last '/'.  A row per input row: its
+    columns but text, license, via (own, inherited or null), cosine and from_dir."""
+    kept = [c for c in files.columns if c not in ("text", "license", "via", "cosine", "from_dir")]
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    named = rows.where("path is not null")
+    found = written(matches(named.select("path", "text"), threshold, templates), "license-matches")
+    best = F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("b")  # the highest, then the first by name
+    own = written(found.groupBy("path").agg(best).select("path", F.col("b.license").alias("own"), (-F.col("b.less")).alias("cosine")), "license-own")
     up = F.regexp_replace(F.col("path"), "/[^/]*$", "")
-    # Only files with an own licence can be licence files: count the terms of those.
-    words = files.join(own.select(F.col("path").alias("__p")), F.col("path") == F.col("__p"), "left_semi").select("path", F.size(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("terms")).groupBy("path").agg(F.max("terms").alias("terms"))
-    speakers = own.join(words, "path").where(F.col("licensed") >= file_share * F.col("terms"))
-    speakers = speakers.select(up.alias("dir"), F.struct((-F.col("cosine")).alias("c"), F.col("license"), F.col("path")).alias("s")).groupBy("dir").agg(F.min("s").alias("s"))
+    speakers = found.where("pos = -1").groupBy("path").agg(best).select(up.alias("dir"), F.struct(F.col("b.less").alias("c"), F.col("b.license").alias("license"), F.col("path")).alias("s")).groupBy("dir").agg(F.min("s").alias("s"))
     speakers = written(speakers.select(F.col("dir").alias("from_dir"), F.col("s.license").alias("given")), "license-dirs")
     # Distinct directories climb to their ancestors; the deepest that has a licence stands.
-    dirs = files.where("path is not null").select(up.alias("dir")).distinct()
+    # One directory may hold most files, or be above most others.
+    dirs = written(named.groupBy(up.alias("dir")).agg(F.count("*").alias("n")), "license-all-dirs")
     parts = F.split("dir", "/", -1)
-    climb = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("from_dir"))
-    near = climb.join(speakers, "from_dir").groupBy(F.col("dir").alias("__dir")).agg(F.max_by(F.struct("from_dir", "given"), F.length("from_dir")).alias("near"))
-    each = files.select("*", up.alias("__up")).join(own.select(F.col("path").alias("__path"), F.col("license").alias("__own"), "cosine"), F.col("path") == F.col("__path"), "left")
-    each = each.join(near, F.col("__up") == F.col("__dir"), "left")
-    by_own = F.col("__own").isNotNull()
-    kept = [c for c in files.columns if c != "text"]
-    return each.select(
-        *kept, F.coalesce("__own", "near.given").alias("license"), F.when(by_own, "own").when(F.col("near").isNotNull(), "inherited").alias("via"),
+    climb = written(dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("from_dir")), "license-climb")
+    above = written(climb.groupBy("from_dir").agg(F.count("*").alias("n")), "license-above")
+    near = salted(climb, speakers, above, ["from_dir"], climb.count(), by=["dir"]).groupBy("dir").agg(F.max_by(F.struct("from_dir", "given"), F.length("from_dir")).alias("near"))
+    total = dirs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = named.select("__row", "path", up.alias("dir")).join(own, "path", "left")
+    each = salted(each, near, dirs, ["dir"], total, by=["path"], how="left")
+    by_own = F.col("own").isNotNull()
+    done = each.select(
+        "__row.*", F.coalesce("own", "near.given").alias("license"), F.when(by_own, "own").when(F.col("near").isNotNull(), "inherited").alias("via"),
         F.when(by_own, F.col("cosine")).alias("cosine"), F.when(~by_own, F.col("near.from_dir")).alias("from_dir"),
     )
+    nothing = F.lit(None).cast("string")
+    return done.unionByName(rows.where("path is null").select("__row.*", nothing.alias("license"), nothing.alias("via"), F.lit(None).cast("double").alias("cosine"), nothing.alias("from_dir")))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
@@ -171,17 +213,19 @@ def _oracle() -> str:
 WITH files AS (SELECT doc_id, '/' || coalesce(source, 'none') || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '/' || coalesce(lang, 'none') ELSE '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 1000 AS VARCHAR) END AS dir, coalesce(text, '') AS text FROM documents),
 tt AS (SELECT * FROM (VALUES {values}) v(template, license, term, n)),
 lines AS (SELECT doc_id, pos, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM files))),
-tf AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(terms) AS term FROM lines) GROUP BY ALL),
+lt AS (SELECT doc_id, pos, 0 AS part, unnest(terms) AS term FROM lines),
+wt AS (SELECT doc_id, -1 AS pos, 0 AS part, term FROM lt),
+rt AS (SELECT doc_id, pos, part, unnest(terms[(part - 1) * {SPAN // 2} + 1:(part - 1) * {SPAN // 2} + {SPAN}]) AS term FROM (SELECT doc_id, pos, terms, unnest(generate_series(1, CAST(ceil((len(terms) - {SPAN}) / {SPAN / 2}) AS INT) + 1)) AS part FROM lines WHERE len(terms) > {LONG_LINE})),
 n AS (SELECT count(*) AS n FROM lines),
-idf AS (SELECT term, ln((n + 1) / (coalesce(c, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN (SELECT term, count(*) AS c FROM tf GROUP BY term) USING (term), n),
+idf AS (SELECT term, ln((n + 1) / (coalesce(c, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN (SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, pos, term FROM lt) GROUP BY term) USING (term), n),
 tw AS (SELECT template, license, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS share FROM tt JOIN idf USING (term)),
-w AS (SELECT doc_id, pos, tf.term, tf, tf * coalesce(idf, ln(n.n + 1.0) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
-norm AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n_terms FROM w GROUP BY ALL),
-scored AS (SELECT doc_id, pos, license, round(sum(w * share) / any_value(norm), 6) AS cosine, any_value(n_terms) AS n_terms FROM w JOIN tw USING (term) JOIN norm USING (doc_id, pos) GROUP BY doc_id, pos, template, license HAVING cosine >= {THRESHOLD}),
+tf AS (SELECT doc_id, pos, part, term, count(*) AS tf FROM (SELECT * FROM lt UNION ALL SELECT * FROM wt UNION ALL SELECT * FROM rt) GROUP BY ALL),
+w AS (SELECT doc_id, pos, part, tf.term, tf * coalesce(idf, ln(n.n + 1.0) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
+norm AS (SELECT doc_id, pos, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+scored AS (SELECT doc_id, pos, part, license, round(sum(w * share) / any_value(norm), 6) AS cosine FROM w JOIN tw USING (term) JOIN norm USING (doc_id, pos, part) GROUP BY doc_id, pos, part, template, license HAVING cosine >= {THRESHOLD}),
 own AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM scored GROUP BY doc_id),
-lic AS (SELECT doc_id, sum(n_terms) AS licensed FROM (SELECT DISTINCT doc_id, pos, n_terms FROM scored) GROUP BY doc_id),
-size AS (SELECT doc_id, sum(len(terms)) AS terms FROM lines GROUP BY doc_id),
-sp AS (SELECT dir AS from_dir, arg_min(license, (-cosine, license, CAST(doc_id AS VARCHAR))) AS given FROM own JOIN lic USING (doc_id) JOIN size USING (doc_id) JOIN files USING (doc_id) WHERE licensed >= {FILE_SHARE} * terms GROUP BY dir),
+lic AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM scored WHERE pos = -1 GROUP BY doc_id),
+sp AS (SELECT dir AS from_dir, arg_min(license, (-cosine, license, CAST(doc_id AS VARCHAR))) AS given FROM lic JOIN files USING (doc_id) GROUP BY dir),
 near AS (SELECT dir, arg_max(from_dir, length(from_dir)) AS from_dir, arg_max(given, length(from_dir)) AS given FROM (SELECT DISTINCT dir FROM files) d JOIN sp ON d.dir = from_dir OR starts_with(d.dir, from_dir || '/') GROUP BY dir)
 SELECT doc_id, files.dir || '/' || CAST(doc_id AS VARCHAR) AS path, coalesce(license, given) AS license,
        CASE WHEN license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' END AS via, cosine, CASE WHEN license IS NULL THEN from_dir END AS from_dir
