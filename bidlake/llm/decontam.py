@@ -5,32 +5,32 @@ fewer words, but not none, is one window).  While the windows fit a checked
 bound they are broadcast as a hash set and every training token window is
 looked up in it; beyond the bound both sides are joined on the window hash.
 Either way the words of a window are compared before it counts, so a hash
-collision never marks anything.
+collision never marks anything, and both ways give the same rows.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words has no window; repeated windows and repeated items all count as
 items of their own id; items without an id are ignored; documents without an id
-are scanned and cut like others, and rows of one id and different texts are kept
-apart.  Texts are scanned whole, whatever their length.  Of the input
-only the two named columns are read, so extra columns cannot clash.
+are scanned and cut like others, rows of one id and different texts are kept
+apart and repeated rows come out alike; an empty table gives no rows, an empty
+benchmark marks nothing.  Texts are scanned whole, whatever their length.  ``scan`` reads
+only doc_id, item_id and text; ``remove`` passes all columns through under any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, mix64, small_batches, word_bounds
+from .common import FOLD, small_batches, window_hashes, word_bounds, word_hashes
 
 N = 10
-#: Windows that are broadcast at most (about 100 bytes each).
-MAX_BROADCAST_WINDOWS = 2_000_000
+#: Windows that are broadcast at most: of each a hash, the place of its words and its
+#: item, 24 bytes, and the items' words.
+MAX_BROADCAST_WINDOWS = 1_000_000
 
 SCAN = "doc_id long, row string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
@@ -45,46 +45,53 @@ def item_windows(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
+def folded(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded text, where its words start and end, and their hashes."""
+    data = text.encode().translate(FOLD) if text else b""
+    start, end = word_bounds(data)
+    return data, start, end, word_hashes(data, start, end)
+
+
 class WindowSet:
-    """The benchmark's windows: a vocabulary, a sorted array of window hashes
-    for each length, and the words of every window to verify hits."""
+    """The benchmark's windows: for each length the sorted hashes, with the item and the
+    place of each, and the items' words to verify hits."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.words: dict[bytes, int] = {}
-        by: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in fold_words(text)]
-            for w in item_windows(ids, n):
-                by.setdefault(w, set()).add(item_id)
-        self.items = by
+        self.names = [i for i, _ in items]
+        self.texts = [folded(t)[:3] for _, t in items]
+        by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for code, (_, text) in enumerate(items):
+            words = folded(text)[3]
+            if len(words):
+                length = min(n, len(words))
+                h = window_hashes(words, length)
+                by.setdefault(length, []).append((h, np.full(len(h), code), np.arange(len(h))))
         self.lengths = {}
-        for length in sorted({len(w) for w in by}):
-            at = np.array([w for w in by if len(w) == length], dtype=np.uint64)
-            self.lengths[length] = np.unique(self.hashes(at))
-
-    @staticmethod
-    def hashes(rows: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(rows), np.uint64)
-        for j in range(rows.shape[1]):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + rows[:, j]
-        return mix64(total)
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
-        """(start, length, items) of every verified window in word ids; 0 is an
-        unknown word."""
-        known = np.concatenate([[0], np.cumsum(ids != 0)])
-        for length, table in self.lengths.items():
-            if len(ids) < length:
+        for length, rows in sorted(by.items()):
+            h, code, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.lengths[length] = (h[order], code[order].astype(np.int32), at[order].astype(np.int32))
+
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of the text, the places of every verified window, and their items."""
+        data, start, end, words = folded(text)
+        spans, found = [], set()
+        for length, (table, code, at) in self.lengths.items():
+            h = window_hashes(words, length)
+            if not len(h):
                 continue
-            full = np.flatnonzero(known[length:] - known[:-length] == length)
-            if not len(full):
-                continue
-            hashed = self.hashes(np.lib.stride_tricks.sliding_window_view(ids, length)[full])
-            place = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
-            for start in full[table[place] == hashed].tolist():
-                found = self.items.get(tuple(ids[start : start + length].tolist()))
-                if found:
-                    yield start, length, found
+            place = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            for p in np.flatnonzero(table[place] == h).tolist():
+                want = data[start[p] : end[p + length - 1]].split()
+                j = int(place[p])
+                while j < len(table) and table[j] == h[p]:
+                    item, i = int(code[j]), int(at[j])
+                    other, a, b = self.texts[item]
+                    if other[a[i] : b[i + length - 1]].split() == want:
+                        spans.append((p, p + length))
+                        found.add(self.names[item])
+                    j += 1
+        return len(words), spans, found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,23 +109,21 @@ def _scan_broadcast(docs: DataFrame, bench: list[tuple[str, str | None]], n: int
 
     def scan(batches):
         windows = shared.value
-        get = windows.words.get
         for batch in batches:
             rows = []
             for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = fold_words(text)
-                ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-                spans, items = [], set()
-                for start, length, found in windows.hits(ids):
-                    spans.append((start, start + length))
-                    items |= found
-                spans = merged(spans)
-                rows.append((doc_id, row, len(words), sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in spans]))
+                n_words, spans, items = windows.hits(text)
+                rows.append(_scanned(doc_id, row, n_words, spans, items))
             yield _batch(rows)
 
     return docs.mapInArrow(scan, SCAN)
 
 
+def _scanned(doc_id, row: str, n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
+    spans = merged(spans)
+    return doc_id, row, n_words, sum(b - a for a, b in spans), sorted(items), [{"start": a, "stop": b} for a, b in spans]
+
+
 _ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
@@ -126,36 +131,48 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
-def _windows_df(df: DataFrame, key: str, text: str, lengths: list[int] | None, n: int) -> DataFrame:
-    """(key, n_words, pos, words) for windows of every length in ``lengths``; for
-    items (lengths None) of ``n`` or all of their words."""
-    folded = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    words = df.select(F.col(key).alias("k"), F.filter(F.split(folded, " "), lambda w: w != "").alias("w")).withColumn("n_words", F.size("w"))
-    if lengths is None:
-        words = words.withColumn("len", F.least(F.lit(n), "n_words"))
-    else:
-        words = words.withColumn("len", F.explode(F.array(*map(F.lit, lengths))))
-    at = F.explode(F.when((F.col("len") > 0) & (F.col("n_words") >= F.col("len")), F.sequence(F.lit(0), F.col("n_words") - F.col("len"))).otherwise(F.array().cast("array<int>")))
-    return words.withColumn("pos", at).select("k", "pos", "len", F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ").alias("words"))
+_WINDOW = "key string, len int, hash long, pos int, words string"
+
+
+def _windows(rows: DataFrame, lengths: list[int] | None, n: int) -> DataFrame:
+    """The columns of _WINDOW for (key, text): every window of the lengths, or, for items
+    (None), of n or all of their words; words only for items."""
+
+    def cut(batches):
+        for batch in batches:
+            keys, sizes, hashes, at, words = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+            for key, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                data, start, end, of = folded(text)
+                for length in lengths if lengths is not None else [min(n, len(of))] if len(of) else []:
+                    h = window_hashes(of, length)
+                    keys += [key] * len(h)
+                    sizes += [length] * len(h)
+                    hashes.append(h)
+                    at.append(np.arange(len(h)))
+                    words += [None] * len(h) if lengths is not None else [" ".join(data[start[i] : end[i + length - 1]].decode().split()) for i in range(len(h))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(words, pa.string())], names=["key", "len", "hash", "pos", "words"])
+
+    return rows.mapInArrow(cut, _WINDOW)
 
 
 def _scan_join(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
-    """The way beyond the broadcast bound: a shuffled join on the window's words."""
-    items = _windows_df(bench, "item_id", "text", None, n).select(F.col("k").alias("item_id"), "len", "words").distinct()
-    lengths = [r[0] for r in items.select("len").distinct().collect()]  # n values at most
-    hit = _windows_df(docs.dropDuplicates(["row"]), "row", "text", lengths or [n], n).join(items, ["len", "words"])
-    per = hit.groupBy(F.col("k").alias("row")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))).alias("s"))
-    step = "aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (a, x) -> case when size(a) > 0 and x.start <= a[size(a) - 1].stop then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'stop', greatest(a[size(a) - 1].stop, x.stop)))) else concat(a, array(x)) end)"
-    per = per.withColumn("spans", F.expr(step)).drop("s")
-    folded = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    count = docs.select("doc_id", "row", F.size(F.filter(F.split(folded, " "), lambda w: w != "")).cast("long").alias("n_words"))
-    none = "cast(array() as array<{}>)".format
-    return count.join(per, "row", "left").select(
-        "doc_id", "row", "n_words",
-        F.expr("coalesce(aggregate(spans, 0L, (a, x) -> a + x.stop - x.start), 0L)").alias("n_hit"),
-        F.coalesce("items", F.expr(none("string"))).alias("items"),
-        F.coalesce("spans", F.expr(none("struct<start:int,stop:int>"))).alias("spans"),
-    )
+    """The way beyond the broadcast bound: a shuffled join on the hash of the window; then
+    the words are compared where the text is."""
+    items = _windows(bench.select("item_id", "text"), None, n).select(F.col("key").alias("item_id"), "len", "hash", "words").distinct()
+    lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # n values at most
+    hit = _windows(docs.dropDuplicates(["row"]).select("row", "text"), lengths or [n], n).drop("words").join(items, ["len", "hash"])
+    per = hit.groupBy(F.col("key").alias("__row")).agg(F.collect_list(F.struct("pos", "len", "item_id", "words")).alias("likely"))
+
+    def verify(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text, row, likely in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = fold_words(text)
+                good = [x for x in likely or [] if b" ".join(words[x["pos"] : x["pos"] + x["len"]]) == x["words"].encode()]
+                rows.append(_scanned(doc_id, row, len(words), [(x["pos"], x["pos"] + x["len"]) for x in good], {x["item_id"] for x in good}))
+            yield _batch(rows)
+
+    return docs.join(per, F.col("row") == F.col("__row"), "left").select("doc_id", "text", "row", "likely").mapInArrow(verify, SCAN)
 
 
 def _row() -> Column:
@@ -182,12 +199,14 @@ def remove(docs: DataFrame, bench: DataFrame, n: int = N, drop_share: float = 0.
     ``n_chars``, where it exists, follows the new text."""
     small_batches(docs.sparkSession)
     found = scan(docs, bench, n, max_broadcast).where("n_hit > 0").groupBy(F.col("row").alias("__row")).agg(F.first("spans").alias("__spans"), F.first(F.col("n_hit") / F.col("n_words")).alias("__share"))
-    hit = docs.join(found, _row() == F.col("__row"), "left").where(~F.coalesce(F.col("__share") > drop_share, F.lit(False)))
-    names = docs.columns
-    cut = hit.withColumn("text", F.when(F.col("__spans").isNotNull(), _cut("text", "__spans")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), _row().alias("__of"), F.col("text").cast("string").alias("__text"))
+    hit = rows.join(found, F.col("__of") == F.col("__row"), "left").where(~F.coalesce(F.col("__share") > drop_share, F.lit(False)))
+    cut = F.col("__spans").isNotNull()
+    hit = hit.withColumn("__new", F.when(cut, _cut(F.when(cut, F.col("__text")), "__spans")))
+    new = {"text": F.when(cut, F.col("__new")).otherwise(F.col("__all.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__all.n_chars"))
+    return hit.select(*[(new[c] if c in new else F.col(f"__all.`{c}`")).alias(c) for c in docs.columns])
 
 
 @F.pandas_udf(T.StringType())
@@ -201,8 +220,6 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     start, end = word_bounds(data.translate(FOLD))
     out, at = [], 0
     for a, b in spans:
-        if b > len(start):
-            continue  # another text under the same id
         out.append(data[at : start[a]])
         at = int(start[b]) if b < len(start) else int(end[b - 1])
     return b"".join([*out, data[at:]]).decode(errors="ignore")

@@ -8,9 +8,14 @@ to its documents.  A document is kept if it passes the base rules and its host
 passes.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-document without a host is judged by itself; repeated rows each count; an empty
-table gives an empty result.  Words are runs without ASCII white space; texts are
-measured whole.  Only the named columns are read.
+document without a host is judged by itself; repeated rows, and rows of one id, each
+count and are each measured; a null id stays null; a shrunk rate equal to the limit
+passes; an empty table gives an empty result.  Words are runs without ASCII white space;
+texts are measured whole, whatever their length.  Only the named columns are read, so
+extra ones can't clash.
+
+One host may hold most rows: hosts are aggregated before any shuffle, and their verdicts,
+a row each, are joined by the optimizer's choice.
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ ORACLE_SQL = {
     "op2_host_rules": host_rules.ORACLE,
     "op4_licenses": licenses.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op9_decontam": decontam.ORACLE,
     "op10_pii": pii.ORACLE,
 }

@@ -6,8 +6,9 @@ documents and tokens there are, quantiles of the length, and how many tokens
 remain when each document is truncated to the limit.
 
 Defined results: a null or empty text has 0 tokens and is counted; repeated rows
-each count; an empty table gives an empty histogram.  Texts are encoded whole.
-Only ``text`` is read.
+each count, as do rows of one or of no id; an empty table gives an empty histogram.  Texts
+are encoded whole, whatever their length.  Only ``text`` is read, so extra columns can't
+clash.
 """
 
 from __future__ import annotations

@@ -16,9 +16,12 @@ successful task returned are read, so a lost executor leaves no half archive in
 the result.  Folders may be in any store that pyarrow's file systems reach.
 
 Defined results: a null html is an empty payload; smaller or unequal payloads are
-all responses; of repeated page_ids with equal payloads one is the response and
-the rest revisit it; a null url is written as an empty target; an empty table
-gives no archive.  Only page_id, url and html are read.
+all responses; rows of one page_id and equal payloads can't be told apart and come out
+alike, both as the response or both as revisits; a null page_id is never the largest; a
+null url is written as an empty target; an empty table gives no archive; a page is held
+whole in a task, archives are not; a stream that ends early, or an archive with fewer or
+more records than were written, is an error.  Only page_id, url and html are read, so
+extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -161,17 +164,25 @@ def fields(head: bytes) -> dict[str, str]:
 
 def inflated(stream) -> Iterator[bytes]:
     """Pieces of a gzip file of one or more members, inflated."""
-    d = zlib.decompressobj(wbits=31)
+    d, begun = zlib.decompressobj(wbits=31), False
     while chunk := stream.read(CHUNK):
         while chunk:
             piece = d.decompress(chunk)
+            begun = True
             if piece:
                 yield piece
             chunk = d.unused_data
             if d.eof:
-                d = zlib.decompressobj(wbits=31)
+                d, begun = zlib.decompressobj(wbits=31), False
             else:
                 break
+    if begun:
+        raise ValueError("the gzip stream has no end")
+
+
+def complete(name: str, found: int, expected: int) -> None:
+    if found != expected:
+        raise ValueError(f"{name}: {found} records of {expected}")
 
 
 def parsed(record: bytes) -> dict:
@@ -197,7 +208,7 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
         to.create_dir(to_root)
         for batch in batches:
             done = []
-            for name in batch.column(0).to_pylist():
+            for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new = f"{_task()}-{name}"
                 at = count = 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream, to.open_output_stream(f"{to_root}/{new}", compression=None) as out, to.open_output_stream(f"{to_root}/{index_of(new)}") as index:
@@ -209,10 +220,11 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                         out.write(member)
                         index.write(json.dumps(line).encode() + b"\n")
                         at, count = at + len(member), count + 1
+                complete(name, count, expected)
                 done.append((new, count))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["archive", "records"])
 
-    return archives.select("archive").mapInArrow(rewrite, ARCHIVE)
+    return archives.select("archive", "records").mapInArrow(rewrite, ARCHIVE)
 
 
 def read_records(archives: DataFrame, folder: str) -> DataFrame:
@@ -225,7 +237,7 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
     def read(batches):
         fs, root = _store(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 with fs.open_input_stream(f"{root}/{index_of(name)}") as f:
                     index = [json.loads(x) for x in f.read().splitlines()]
@@ -239,11 +251,12 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
                             raise ValueError(f"{name}: {line['id']} differs from its digest")
                         refers = page(record["warc-refers-to"]) if kind == "revisit" else None
                         rows.append((page(record["warc-record-id"]), size, digest, kind, refers, name, line["offset"], line["length"]))
+                complete(name, len(rows), expected)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 names = [c.split()[0] for c in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return archives.select("archive").mapInArrow(read, RECORD)
+    return archives.select("archive", "records").mapInArrow(read, RECORD)
 
 
 def spread(archives: DataFrame) -> DataFrame:

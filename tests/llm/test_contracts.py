@@ -57,7 +57,16 @@ def test_odd_rows_everywhere(spark):
     assert pii.find(d).count() == n
     assert pii.sanitise(d).columns == d.columns
     assert packing.pack(d).agg({"length": "sum"}).first()[0] == token_counts.lengths(d).agg({"n_tokens": "sum"}).first()[0] + n
-    assert licenses.scan(d.selectExpr("doc_id", "concat('/x/', doc_id) as path", "text", "lang as license_")).count() == n
+    names = ["runs", "n_removed", "__id", "__th", "hash", "pos", "places", "copies", "spans", "row", "every", "lines", "value", "term", "n", "near", "cosine", "dir", "own", "part"]
+    more = d.withColumns({c: d["doc_id"] for c in names})
+    assert line_dedup.dedup(more).count() == n and set(line_dedup.dedup(more).columns) == {*more.columns, "n_runs", "n_repeated"}
+    for out in (ngram_join.keep_one(more), decontam.remove(more, b), pii.sanitise(more)):
+        assert out.count() <= n and out.columns == more.columns
+    found = licenses.scan(more.selectExpr("concat('/x/', doc_id) as path", "*"))
+    assert found.count() == n and len(found.columns) == len(set(found.columns))
+    for query in (decontam.scan(more, b), host_rules.judge(more), pii.find(more), ngram_join.join(more), packing.pack(more), langid.identify(more, langid.train([]))):
+        assert query.count() >= n - 1
+    assert licenses.scan(d.selectExpr("doc_id", "concat('/x/', doc_id) as path", "text", "lang as license")).count() == n
 
 
 def test_empty_tables(spark):
@@ -270,8 +279,9 @@ def test_winnowing_guarantee():
     r = random.Random(6)
     for _ in range(30):
         shared = prose(r, 50, 10**6)
-        a, b = (line_dedup.words_of(prose(r, r.randrange(80), 10**6) + " " + shared + " " + prose(r, 40, 10**6))[0] for _ in "ab")
-        assert set(line_dedup.fingerprints_of(a)[0].tolist()) & set(line_dedup.fingerprints_of(b)[0].tolist())
+        units = line_dedup.Units([prose(r, r.randrange(80), 10**6) + " " + shared + " " + prose(r, 40, 10**6) for _ in "ab"])
+        h, text, *_ = line_dedup.winnowed(units.units[line_dedup.WORDS], units.at[line_dedup.WORDS], 50, *line_dedup.SHAPE[line_dedup.WORDS])
+        assert set(h[text == 0].tolist()) & set(h[text == 1].tolist())
 
 
 def test_line_dedup_against_all_runs(spark):
