@@ -11,8 +11,8 @@ Both kinds then take the same way.  The earliest place (doc_id, hash of the text
 position) of a fingerprint is its origin; other places are joined to it, the units
 around both are compared and the match is extended both ways as far as they agree.  The
 origin may hold less of a run than two later texts share: runs around fingerprints that
-this leaves open are hashed whole, and each is joined to its own earliest place and
-compared likewise.  Deleted is what lies in a run of ``LINES`` lines or of ``min_words``
+this leaves open are hashed whole, to 128 bits, and each is joined to its own earliest
+place.  Deleted is what lies in a run of ``LINES`` lines or of ``min_words``
 words that also stands at an earlier place, and nothing else, so the first copy stays.
 
 Defined results: a null text stays null and an empty one empty; documents without an
@@ -166,13 +166,13 @@ def thinned(h: np.ndarray, at: np.ndarray, apart: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def runs_of(h: np.ndarray, places: np.ndarray, thin: np.ndarray, settled: np.ndarray, length: int, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of the runs of ``length`` units outside the settled spans of which
+def runs_of(h: np.ndarray, places: np.ndarray, thin: np.ndarray, settled: np.ndarray, length: int, k: int, w: int) -> np.ndarray:
+    """The starts of the runs of ``length`` units outside the settled spans of which
     one of the places is the smallest of the hashes h, or any with its hash where it is
     thin."""
     n = len(h) + k - length
     if n < 1 or not len(places):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     lowest = _slide(h, w, np.minimum)[:n]
     wanted = np.isin(lowest, h[places[thin]]) if thin.any() else np.zeros(n, bool)
     start = places[:, None] - np.arange(w)
@@ -181,11 +181,7 @@ def runs_of(h: np.ndarray, places: np.ndarray, thin: np.ndarray, settled: np.nda
     wanted[start[inside & (lowest[start] == h[places][:, None])]] = True
     for a, b in settled.tolist():
         wanted[a : max(a, b - length + 1)] = False
-    at = np.flatnonzero(wanted)
-    total = np.zeros(len(at), np.uint64)
-    for j in [*range(0, length - k, k), length - k]:
-        total = mix64(total + h[at + j])
-    return total, at
+    return np.flatnonzero(wanted)
 
 
 def _columns(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -196,6 +192,8 @@ def _columns(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 _PRINTS = f"hash long, {_ID}, place long"
+_RUNS = f"hash long, hash2 long, {_ID}, place long"
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def packed(pos: np.ndarray, first: np.ndarray, last: np.ndarray, thin: np.ndarray, kind: int) -> np.ndarray:
@@ -291,7 +289,8 @@ def _unsettled(marked: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
 
 
 def open_runs(docs: DataFrame, unsettled: DataFrame, min_words: int) -> DataFrame:
-    """The columns of _PRINTS for the runs that are still open."""
+    """The columns of _RUNS for the runs that are still open: two hashes of each, from
+    unlike hashes of its units."""
 
     def emit(batches):
         for batch in batches:
@@ -301,30 +300,32 @@ def open_runs(docs: DataFrame, unsettled: DataFrame, min_words: int) -> DataFram
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, units in together(batch.column(2).to_pylist()):
                 hashes = {kind: window_hashes(units.units[kind], k) for kind, (k, _) in SHAPE.items()}
+                whole = {kind: (window_hashes(u, least(kind, min_words)), window_hashes(mix64(u ^ _SECOND), least(kind, min_words))) for kind, u in units.units.items()}
                 for j in range(len(units.offset) - 1):
                     i = lo + j
                     p, s = ({c: v[o[i] : o[i + 1]] for c, v in f.items()} for o, f in ((at, places), (spans_at, spans)))
                     for kind in np.unique(p["kind"]).tolist():
                         mine, done = p["kind"] == kind, s["kind"] == kind
                         a, b = units.at[kind][j], units.at[kind][j + 1] - SHAPE[kind][0] + 1
-                        h, pos = runs_of(hashes[kind][a : max(a, b)], p["pos"][mine], p["thin"][mine] > 0, np.stack([s["a"][done], s["b"][done]], 1), least(kind, min_words), *SHAPE[kind])
+                        pos = runs_of(hashes[kind][a : max(a, b)], p["pos"][mine], p["thin"][mine] > 0, np.stack([s["a"][done], s["b"][done]], 1), least(kind, min_words), *SHAPE[kind])
                         none = np.zeros(len(pos), np.int64)
-                        rows.append((h.view(np.int64), none + ids[i], none + ths[i], packed(pos, pos, pos, none, kind)))
-            yield _columns(rows, _PRINTS)
+                        one, two = (x[units.at[kind][j] + pos].view(np.int64) for x in whole[kind])
+                        rows.append((one, two, none + ids[i], none + ths[i], packed(pos, pos, pos, none, kind)))
+            yield _columns(rows, _RUNS)
 
     size = 12 * (F.size("places") + F.size("spans"))
-    return join_lists(docs, unsettled, size).select("doc_id", "th", "text", "places", "spans").mapInArrow(emit, _PRINTS)
+    return join_lists(docs, unsettled, size).select("doc_id", "th", "text", "places", "spans").mapInArrow(emit, _RUNS)
 
 
-_REGION = f"odoc long, oth long, kind int, oblock int, {_ID}, diag int, first int, units binary"
+_REGION = f"odoc long, oth long, kind int, oblock int, {_ID}, diag int, side int, first int, units binary"
 
 
 def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The 32-bit unit hashes of the wanted ranges; wanted: doc_id, th, kind, odoc, oth,
-    oblock, diag, lo, hi, of which a document has no more than it has fingerprints."""
-    fields = ["odoc", "oth", "kind", "oblock", "diag", "lo", "hi"]
+    oblock, diag, side, lo, hi, of which a document has no more than it has fingerprints."""
+    fields = ["odoc", "oth", "kind", "oblock", "diag", "side", "lo", "hi"]
     lists = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct(*fields)).alias("ranges"))
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def emit(batches):
         for batch in batches:
@@ -336,9 +337,9 @@ def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for j in range(len(units.offset) - 1):
                     i = begin + j
                     of = {kind: x[units.at[kind][j] : units.at[kind][j + 1]] for kind, x in short.items()}
-                    for odoc, oth, kind, oblock, diag, lo, hi in zip(*(r[f][at[i] : at[i + 1]].tolist() for f in fields), strict=True):
+                    for odoc, oth, kind, oblock, diag, side, lo, hi in zip(*(r[f][at[i] : at[i + 1]].tolist() for f in fields), strict=True):
                         lo = max(0, lo)
-                        rows.append((odoc, oth, kind, oblock, ids[i], ths[i], diag, lo, of[kind][lo:hi].tobytes()))
+                        rows.append((odoc, oth, kind, oblock, ids[i], ths[i], diag, side, lo, of[kind][lo:hi].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _REGION.split(", ")])
 
     lists = written(lists, "dedup-lists")
@@ -385,10 +386,11 @@ def _compared(docs: DataFrame, later: DataFrame, min_words: int) -> DataFrame:
     matches = later.groupBy(*_PLACE, "odoc", "oth", oblock, (F.col("pos") - F.col("opos")).alias("diag")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     matches = written(matches.withColumn("lo", F.col("lo") - margin).withColumn("hi", F.col("hi") + width + margin), "dedup-matches")
     asked = written(matches.groupBy(*_ORIGIN).agg(F.min(F.col("lo") - F.col("diag")).alias("lo"), F.max(F.col("hi") - F.col("diag")).alias("hi"), F.count("*").alias("n")), "dedup-asked")
-    there = _regions(docs, asked.select(F.col("odoc").alias("doc_id"), F.col("oth").alias("th"), *_ORIGIN, F.lit(0).alias("diag"), "lo", "hi"))
-    # Repeated rows give the same piece again.
-    there = written(there.select(*_ORIGIN, F.col("first").alias("ofirst"), F.col("units").alias("ounits")).dropDuplicates(_ORIGIN), "dedup-there")
-    pairs = salted(_regions(docs, matches), there, asked.select(*_ORIGIN, "n"), _ORIGIN, matches.count(), by=["doc_id", "th", "diag"])
+    # One pass over the texts gives both sides; repeated rows give the same piece again.
+    wanted = matches.withColumn("side", F.lit(0)).unionByName(asked.select(F.col("odoc").alias("doc_id"), F.col("oth").alias("th"), *_ORIGIN, F.lit(0).alias("diag"), F.lit(1).alias("side"), "lo", "hi"))
+    regions = written(_regions(docs, wanted), "dedup-regions")
+    there = regions.where("side = 1").select(*_ORIGIN, F.col("first").alias("ofirst"), F.col("units").alias("ounits")).dropDuplicates(_ORIGIN)
+    pairs = salted(regions.where("side = 0").drop("side"), there, asked.select(*_ORIGIN, "n"), _ORIGIN, matches.count(), by=["doc_id", "th", "diag"])
     return written(_verified(pairs).distinct(), "dedup-equal")
 
 
@@ -396,31 +398,33 @@ def _by_document(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("kind", "odoc", "oth", "diag", "a", "b")).alias("runs"))
 
 
-def _origins(rows: DataFrame, *more: Column, where: str = "n > 1") -> DataFrame:
+def _origins(rows: DataFrame, keys: list[str], *more: Column, where: str = "n > 1") -> DataFrame:
     """Per hash that occurs twice: its earliest place, and how many rows have it."""
     first = F.min(F.struct("doc_id", "th", "place")).alias("o")
-    found = rows.groupBy("hash").agg(first, F.count("*").alias("n"), *more).where(where)
-    return written(found.select("hash", "n", F.col("o.doc_id").alias("odoc"), F.col("o.th").alias("oth"), F.shiftright("o.place", 16).cast("int").alias("opos"), *[c for c in found.columns if c == "thin"]), "dedup-origins")
+    found = rows.groupBy(*keys).agg(first, F.count("*").alias("n"), *more).where(where)
+    return written(found.select(*keys, "n", F.col("o.doc_id").alias("odoc"), F.col("o.th").alias("oth"), F.shiftright("o.place", 16).cast("int").alias("opos"), *[c for c in found.columns if c == "thin"]), "dedup-origins")
 
 
-def _joined(rows: DataFrame, origins: DataFrame) -> DataFrame:
-    joined = salted(rows, origins.drop("n"), origins.select("hash", "n"), ["hash"], rows.count(), by=["doc_id", "th", "place"])
-    return unpacked(joined.drop("hash"))
+def _joined(rows: DataFrame, origins: DataFrame, keys: list[str]) -> DataFrame:
+    return unpacked(salted(rows, origins.drop("n"), origins.select(*keys, "n"), keys, rows.count(), by=["doc_id", "th", "place"]).drop(*keys))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__id, __th, runs: array of (kind, odoc, oth, diag, a, b)) for documents with a
-    verified match to an earlier place; __th is the hash of the text."""
+    match to an earlier place; __th is the hash of the text."""
     small_batches(docs.sparkSession)
     docs = keyed(docs).where("doc_id is not null and text is not null")
     prints = written(fingerprints(docs, min_words), "dedup-prints")
     thin = F.max(F.shiftright("place", 1).bitwiseAND(1)).alias("thin")
-    origins = _origins(prints, thin, where="n > 1 or thin = 1").withColumn("any_thin", F.col("thin") == 1).drop("thin")
-    marked = _joined(prints, origins)
-    marked = written(marked.drop("thin").withColumnRenamed("any_thin", "thin"), "dedup-marked")
+    origins = _origins(prints, ["hash"], thin, where="n > 1 or thin = 1").withColumn("any_thin", F.col("thin") == 1).drop("thin")
+    marked = _joined(prints, origins, ["hash"]).drop("thin").withColumnRenamed("any_thin", "thin")
+    marked = written(marked, "dedup-marked")
     runs = _compared(docs, marked.where(_elsewhere()), min_words)
+    keys = ["hash", "hash2"]
     whole = written(open_runs(docs, written(_unsettled(marked, runs, min_words), "dedup-open"), min_words), "dedup-whole")
-    more = _compared(docs, _joined(whole, _origins(whole)).where(_elsewhere()), min_words)
+    later = _joined(whole, _origins(whole, keys), keys).where(_elsewhere())
+    length = F.when(F.col("kind") == LINES_KIND, least(LINES_KIND)).otherwise(least(WORDS, min_words))
+    more = later.select("doc_id", "th", "kind", "odoc", "oth", (F.col("pos") - F.col("opos")).alias("diag"), F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
     return _by_document(runs.unionByName(more))
 
 
