@@ -31,7 +31,7 @@ from .common import small_batches
 #: The sample: about so many documents of each language, so many places in each
 #: text, so many characters at each place.
 SAMPLE_DOCS, PLACES, CHARS = 600, 3, 200
-HIDDEN, SEGMENT, LANES = 16, 128, 1024
+HIDDEN, SEGMENT, LANES = 16, 128, 2048
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
 
 
@@ -69,42 +69,53 @@ class Network:
     def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States (T, B, H) of one direction over bytes (T, B), in reading order of
         that direction; keep gets what backpropagation needs."""
-        W, U = self.p[f"W{d}"], self.p[f"U{d}"]
-        H = U.shape[0]
-        h = np.zeros((x.shape[1], H), np.float32)
-        out = np.empty((*x.shape, H), np.float32)
-        gate, candidate = np.ascontiguousarray(U[:, : 2 * H]), np.ascontiguousarray(U[:, 2 * H :])
+        W, U = ([np.ascontiguousarray(x) for x in np.split(self.p[f"{name}{d}"], 3, axis=1)] for name in "WU")
+        h = np.zeros((x.shape[1], len(U[0])), np.float32)
+        out = np.empty((*x.shape, len(U[0])), np.float32)
         for t, row in enumerate(x):
-            g = np.take(W, row, axis=0)
-            gates = h @ gate
-            gates += g[:, : 2 * H]
-            _squash(gates)
-            gates += 1
-            gates *= 0.5
-            z, r = gates[:, :H], gates[:, H:]
+
+            def unit(i: int, v: np.ndarray) -> np.ndarray:
+                s = v @ U[i]
+                s += np.take(W[i], row, axis=0)
+                return _squash(s)
+
+            z, r = unit(0, h), unit(1, h)
+            for gate in (z, r):
+                gate += 1
+                gate *= 0.5
             rh = r * h
-            n = rh @ candidate
-            n += g[:, 2 * H :]
-            _squash(n)
+            n = unit(2, rh)
             if keep is not None:
                 keep.append((h, z, r, rh, n))
-            h = np.add(h, z * (n - h), out=out[t])
+            step = n - h
+            step *= z
+            h = np.add(h, step, out=out[t])
         return out
 
+    def outputs(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Probabilities (L, T * B) from the states of both directions."""
+        H = f.shape[2]
+        q = self.p["V"][:H].T @ f.reshape(-1, H).T
+        q += self.p["V"][H:].T @ np.ascontiguousarray(b).reshape(-1, H).T
+        q += self.p["c"][:, None]
+        q -= q.max(0)
+        np.exp(q, out=q)
+        q /= q.sum(0)
+        return q
+
     def probabilities(self, x: np.ndarray, keep: tuple | None = None) -> np.ndarray:
         """(T, B, L) for bytes (T, B)."""
         f = self.states(x, "f", keep and keep[0])
         b = self.states(x[::-1], "b", keep and keep[1])[::-1]
-        H = f.shape[2]
-        logits = (f.reshape(-1, H) @ self.p["V"][:H]).reshape(*x.shape, -1)
-        logits += (b.reshape(-1, H) @ self.p["V"][H:]).reshape(*x.shape, -1)
-        logits += self.p["c"]
-        logits -= logits.max(2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(2, keepdims=True)
         if keep is not None:
             keep[2].extend((f, b))
-        return logits
+        return np.ascontiguousarray(self.outputs(f, b).T).reshape(*x.shape, -1)
+
+    def summed(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """(B, L): the probabilities of each row's valid bytes added up."""
+        q = self.outputs(self.states(x, "f"), self.states(x[::-1], "b")[::-1])
+        q *= valid.astype(np.float32).reshape(-1)
+        return q.reshape(-1, *x.shape).sum(1).T
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over valid positions, and its gradient, through time."""
@@ -167,10 +178,7 @@ class Network:
         return [(self.languages[k], float(min(1.0, total[i, k]))) if data[i] else ("und", 0.0) for i, k in enumerate(best.tolist())]
 
     def _add(self, rows: list[bytes], owners: list[int], total: np.ndarray) -> None:
-        x, valid = padded(rows, SEGMENT)
-        q = self.probabilities(x)
-        summed = np.einsum("tbl,tb->bl", q, valid.astype(np.float32))
-        np.add.at(total, owners, summed)
+        np.add.at(total, owners, self.summed(*padded(rows, SEGMENT)))
 
     def positions(self, text: str) -> list[str]:
         """The most probable language at each byte of the lower-case text."""
