@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, host_rules, langid, licenses, line_dedup, ngram_join, packing, pii, token_counts, warc
+from . import alignment, decontam, host_rules, langid, licenses, line_dedup, ngram_join, packing, pii, sharding, token_counts, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontam": decontam.op9_decontam,
     "op10_pii": pii.op10_pii,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 #: A query without an entry can't be said in SQL; its test holds it against brute force.
@@ -26,4 +29,5 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_decontam": decontam.ORACLE,
     "op10_pii": pii.ORACLE,
+    "op11_sharding": sharding.ORACLE,
 }
