@@ -8,6 +8,8 @@ code that thousands of items hold is one row, and "more than one item" stays kno
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,29 +130,85 @@ def cluster_batch(records: DataFrame, keys: DataFrame, library: DataFrame) -> Da
     records: record_id, created_at; keys: record_id, tier (1 global, 2 part number, 3
     model), key; library: tier, key, item_id.  A record follows the items its keys
     already have, of the first tier that has any; two items fail it, and then its
-    keys pass to the next holder.  Each round takes the earliest standing holder of
-    every key from the round before; a record depends on earlier ones only, so rounds
-    are as many as the longest chain.  Rounds are written, and go on until none changes
-    anything.
+    keys pass to the next holder.
+
+    Each pass takes some records as failed (none at first), lets every record follow the
+    earliest standing holder of a key, and finds whom all follow in the end by pointer jumping:
+    the links of a chain are few rounds, and records that have arrived leave the rounds.  Then
+    the holders of all keys of a record are compared, which tells who fails.  Where that
+    is not as taken, the records that share a key with a changed one, and those that follow the
+    same items, go through another pass, and all others are done.  A record depends on earlier
+    ones only, so the state that no pass changes is that of one after the other.
     """
     order = F.struct("created_at", "record_id")
-    held = written(keys.join(records.select("record_id", order.alias("at")), "record_id"), "cluster-keys")
-    owned = library.groupBy("tier", "key").agg(F.min("item_id").alias("lib_lo"), F.max("item_id").alias("lib_hi"))
-    held = written(held.join(owned, ["tier", "key"], "left"), "cluster-keys")
     own = F.concat(F.lit("new-"), F.col("record_id").cast("string"))
-    state = written(records.select("record_id", own.alias("item_id"), F.lit("CREATED").alias("verdict"), F.lit(True).alias("changed")), "cluster-state")
+    owned = library.groupBy("tier", "key").agg(F.min(F.col("item_id").cast("string")).alias("lib_lo"), F.max(F.col("item_id").cast("string")).alias("lib_hi"))
+    held = keys.select("record_id", "tier", "key").distinct().join(records.select("record_id", order.alias("at")), "record_id")
+    held = written(held.join(owned, ["tier", "key"], "left"), "cluster-keys")
+    state = records.select("record_id", F.lit(None).cast("string").alias("item_id"), F.lit("CREATED").alias("verdict"))
+    active = records.select("record_id").distinct()
+    first = True
     while True:
-        standing = held.join(state.where("verdict <> 'FAILED'").select("record_id", "item_id"), "record_id")
-        first = standing.groupBy("tier", "key").agg(F.min(F.struct("at", "item_id")).alias("f"))
-        seen = held.join(first, ["tier", "key"], "left")
-        earlier = F.when(F.col("f.at") < F.col("at"), F.col("f.item_id"))
-        lo, hi = F.coalesce(F.col("lib_lo").cast("string"), earlier), F.coalesce(F.col("lib_hi").cast("string"), earlier)
-        by_tier = seen.groupBy("record_id", "tier").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).where("lo is not null")
-        best = by_tier.groupBy("record_id").agg(F.min(F.struct("tier", "lo", "hi")).alias("b"))
-        new = state.select("record_id", F.col("item_id").alias("old_item"), F.col("verdict").alias("old")).join(best, "record_id", "left")
-        verdict = F.when(F.col("b").isNull(), "CREATED").when(F.col("b.lo") != F.col("b.hi"), "FAILED").otherwise("JOINED")
-        new = new.withColumn("verdict", verdict).withColumn("item_id", F.when(F.col("verdict") == "CREATED", own).when(F.col("verdict") == "JOINED", F.col("b.lo")))
-        changed = ~(F.col("item_id").eqNullSafe(F.col("old_item")) & (F.col("verdict") == F.col("old")))
-        state = written(new.select("record_id", "item_id", "verdict", changed.alias("changed")), "cluster-state")
-        if state.where("changed").isEmpty():
-            return state.select("record_id", "item_id", "verdict")
+        mine = held if first else held.join(active, "record_id", "left_semi")
+        near = held if first else held.join(mine.select("tier", "key").distinct(), ["tier", "key"], "left_semi")
+        standing = near if first else near.join(state.where("verdict = 'FAILED'"), "record_id", "left_anti")
+        holder = standing.groupBy("tier", "key").agg(F.min("at").alias("f"))
+        seen = mine.join(holder, ["tier", "key"], "left")
+        earlier = F.when(F.col("lib_lo").isNull() & (F.col("f") < F.col("at")), F.col("f.record_id"))
+        tiers = seen.select("record_id", "tier", "lib_lo", "lib_hi", earlier.alias("of")).where("lib_lo is not null or of is not null")
+        tiers = tiers.groupBy("record_id", "tier").agg(F.min("lib_lo").alias("lo"), F.max("lib_hi").alias("hi"), F.array_sort(F.collect_set("of")).alias("of"))
+        best = tiers.groupBy("record_id").agg(F.min(F.struct("tier", "lo", "hi", "of")).alias("b")).select("record_id", "b.lo", "b.hi", "b.of")
+        links = active.join(best, "record_id", "left")
+        item = F.when(F.col("lo").isNotNull(), F.col("lo")).when(F.coalesce(F.size("of"), F.lit(0)) < 1, own)
+        links = written(links.withColumn("item_id", item).withColumn("up", F.when(F.col("item_id").isNull(), F.element_at("of", 1))), "cluster-links")
+        settled = state if first else state.join(active, "record_id", "left_anti")
+        items = _arrive(links, None if first else settled)
+        # Who follows two: records with one source need no look.
+        several = links.where("size(of) + if(lo is null, 0, 1) > 1").select("record_id", F.explode("of").alias("__of"))
+        others = items if first else items.unionByName(settled.select("record_id", "item_id"))
+        met = several.join(others.select(F.col("record_id").alias("__of"), F.col("item_id").alias("met")), "__of").groupBy("record_id").agg(F.min("met").alias("least"), F.max("met").alias("most"))
+        new = links.select("record_id", "lo", "hi", "of").join(items, "record_id").join(met, "record_id", "left")
+        clash = (F.coalesce(F.least("lo", "least"), F.col("item_id")) != F.coalesce(F.greatest("hi", "most"), F.col("item_id")))
+        verdict = F.when(F.coalesce(F.col("lo").isNull() & (F.size("of") < 1), F.lit(True)), "CREATED").when(clash, "FAILED").otherwise("JOINED")
+        new = new.select("record_id", F.when(verdict != "FAILED", F.col("item_id")).alias("item_id"), verdict.alias("verdict"))
+        was = state.select("record_id", F.col("item_id").alias("__item"), F.col("verdict").alias("__verdict"))
+        fell = (F.col("verdict") == "FAILED") != (F.col("__verdict") == "FAILED")
+        changed = fell if first else fell | ~F.col("item_id").eqNullSafe(F.col("__item"))
+        new = new.join(was, "record_id").withColumn("changed", changed).select("record_id", "item_id", "verdict", "changed", "__item")
+        now = new if first else new.unionByName(settled.select("record_id", "item_id", "verdict", F.lit(False).alias("changed"), F.col("item_id").alias("__item")))
+        now = written(now, "cluster-state")
+        state = now.select("record_id", "item_id", "verdict")
+        moved = now.where("changed")
+        if moved.isEmpty():
+            return state
+        shared = held.join(moved.select("record_id"), "record_id", "left_semi").select("tier", "key").distinct()
+        touched = held.join(shared, ["tier", "key"], "left_semi").select("record_id").distinct()
+        trees = now.join(touched, "record_id", "left_semi").select(F.explode(F.array("item_id", "__item")).alias("item_id")).where("item_id is not null").distinct()
+        active = written(touched.unionByName(state.join(trees, "item_id", "left_semi").select("record_id")).distinct(), "cluster-active")
+        first = False
+
+
+def _arrive(links: DataFrame, settled: DataFrame | None) -> DataFrame:
+    """(record_id, item_id): the item at the end of each record's chain of ``up``.  A round
+    follows two links of the round before, so links grow threefold; what has an item
+    leaves the rounds."""
+    if settled is not None:
+        known = settled.select(F.col("record_id").alias("up"), F.col("item_id").alias("known"))
+        links = written(links.join(known, "up", "left").withColumn("item_id", F.coalesce("item_id", "known")), "cluster-links")
+    there = [links.where("item_id is not null").select("record_id", "item_id")]
+    open_ = links.where("item_id is null").select("record_id", "item_id", "up")
+    base = there[0]
+    while not open_.isEmpty():
+        step = base.select(F.col("record_id").alias("__at"), F.col("item_id").alias("__item"), F.lit(None).cast(open_.schema["up"].dataType).alias("__up"))
+        step = step.unionByName(open_.select(F.col("record_id").alias("__at"), F.col("item_id").alias("__item"), F.col("up").alias("__up")))
+        for _ in range(2):
+            open_ = open_.join(step, F.col("up") == F.col("__at"), "left").select("record_id", F.coalesce("item_id", "__item").alias("item_id"), F.when(F.coalesce("item_id", "__item").isNull(), F.col("__up")).alias("up"))
+        # Where it stands now may have had an item already; after this, all open ones point to
+        # records that were open too, and the next round needs only those that arrive in this.
+        ends = base.select(F.col("record_id").alias("__at"), F.col("item_id").alias("__item"))
+        open_ = open_.join(ends, F.col("up") == F.col("__at"), "left").select("record_id", F.coalesce("item_id", "__item").alias("item_id"), "up")
+        moved = written(open_, "cluster-jumps")
+        base = moved.where("item_id is not null").select("record_id", "item_id")
+        there.append(base)
+        open_ = moved.where("item_id is null")
+    return reduce(DataFrame.unionByName, there)

@@ -1,8 +1,48 @@
 """Places where a job once did less than the whole."""
 
+import random
+from pathlib import Path
+
+import pytest
 from test_jobs import sequential
 
 from bidlake.operators import identity
+from bidlake.sources.tables import work_root
+
+
+def clusters(spark, records, keys, library):
+    """What cluster_batch says, and how many tables it wrote."""
+    root = Path(work_root(spark).removeprefix("file://"))
+    before = len(list(root.glob("cluster-*")))
+    got = identity.cluster_batch(
+        spark.createDataFrame([(i, c) for c, i in records], "record_id long, created_at long"), spark.createDataFrame([(i, t, k) for i, ks in keys.items() for t, k in ks], "record_id long, tier int, key string"),
+        spark.createDataFrame([(t, k, v) for (t, k), v in library.items()], "tier int, key string, item_id string"),
+    )
+    return {x["record_id"]: (x["item_id"], x["verdict"]) for x in got.collect()}, len(list(root.glob("cluster-*"))) - before
+
+
+def test_batch_clusters_in_few_rounds(spark):
+    """A chain of 2,000 records, each sharing a key with the one before."""
+    n = 2000
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    records = [(i, order[i]) for i in range(n)]
+    keys = {order[i]: {(1, f"k{i}"), (1, f"k{i + 1}")} for i in range(n)}
+    got, rounds = clusters(spark, records, keys, {(2, "none"): "lib"})
+    assert got == sequential(records, keys, {}) and rounds < 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_clusters_with_many_failures(spark, seed):
+    """Long chains, library items, placeholder keys and records that meet two items."""
+    r = random.Random(seed)
+    records = [(r.randrange(200), i) for i in range(400)]
+    keys = {i: {(r.choice((1, 1, 2, 3)), f"k{(i // 7 * 3 + r.randrange(9)) % 150}") for _ in range(r.randrange(4))} for _, i in records}
+    library = {(r.choice((1, 2, 3)), f"k{r.randrange(150)}"): f"lib{i % 5}" for i in range(12)}
+    got, _ = clusters(spark, records, keys, library)
+    want = sequential(records, keys, library)
+    assert sum(v == "FAILED" for _, v in want.values()) > 20
+    assert got == want
 
 
 def test_batch_clusters_in_a_long_chain(spark):
