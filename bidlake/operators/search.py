@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc, query_forms, trim_u
+from ..sources.tables import written
 
 
 def _col(c) -> Column:
@@ -86,29 +87,46 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*passes)))
 
 
-def contains_join(queries: DataFrame, texts: DataFrame, on: list[str] | None = None) -> DataFrame:
+#: A piece in more texts than this is common: longer pieces of the query are looked at.
+COMMON = 256
+
+
+def contains_join(queries: DataFrame, texts: DataFrame, on: list[str] | None = None, common: int = COMMON) -> DataFrame:
     """(query_id, text_id, *on) where the text contains the query, without regard to case.
 
     queries: query_id, query, *on; texts: text_id, text, *on; on: columns that must be
     equal as well (a tenant).  Both sides are cut into pieces of three characters (fewer
     for shorter queries); a query is joined on its piece that the fewest texts have,
-    and the whole is verified.  Empty queries match nothing.
+    and the whole is verified.  A query whose pieces are all common goes on to pieces of
+    twice the length, each being two neighbouring ones in their places, and so on up to its own
+    length; so what is joined stays near what is found, and only queries that need it
+    have longer pieces cut for them.  Empty queries match nothing.  Texts are read once per
+    length in use and once to verify.
     """
     on = on or []
-    q = queries.select("query_id", F.lower("query").alias("q"), *on).where("length(q) > 0").distinct()
-    q = q.withColumn("n", F.least(F.length("q"), F.lit(3)))
+    q = written(queries.select("query_id", F.lower("query").alias("q"), *on).where("length(q) > 0").distinct(), "contains-queries")
     low = texts.select("text_id", F.lower("text").alias("t"), *on).where("t is not null")
-    sizes = [r[0] for r in q.select("n").distinct().collect()]  # 1, 2, 3 at most
-    asked = q.select("*", F.explode(F.when(F.col("n") == 1, _grams(F.col("q"), 1)).when(F.col("n") == 2, _grams(F.col("q"), 2)).otherwise(_grams(F.col("q"), 3))).alias("gram"))
-    # Only pieces that some query has leave the scan, and without the texts.
-    pieces = reduce(DataFrame.unionByName, [low.select("text_id", *on, F.explode(_grams(F.col("t"), n)).alias("gram")) for n in sizes or [3]])
-    pieces = pieces.join(asked.select(*on, "gram").distinct(), [*on, "gram"], "left_semi")
-    count = pieces.groupBy(*on, "gram").agg(F.count("*").alias("c"))
-    # A piece that no text has rules the query out.
-    rare = asked.join(count, [*on, "gram"], "left").groupBy("query_id", "q", *on).agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.col("gram"))).alias("r")).where("r.c > 0")
-    rare = rare.select("query_id", "q", *on, F.col("r.gram").alias("gram"))
-    likely = rare.join(pieces, [*on, "gram"]).select("query_id", "q", "text_id", *on).distinct()
-    return likely.join(low, ["text_id", *on]).where(F.contains(F.col("t"), F.col("q"))).select("query_id", "text_id", *on).distinct()
+    left = q.withColumn("n", F.least(F.length("q"), F.lit(3)))
+    likely = []
+    while True:
+        sizes = [r[0] for r in left.select("n").distinct().collect()]  # 1, 2, 3, or one length
+        if not sizes:
+            break
+        cut = lambda text, n: F.explode(_grams(F.col(text), n)).alias("gram")
+        asked = reduce(DataFrame.unionByName, [left.where(F.col("n") == n).select("*", cut("q", n)) for n in sizes])
+        # Only pieces that some query has leave the scan, and without the texts.
+        pieces = reduce(DataFrame.unionByName, [low.select("text_id", *on, cut("t", n)) for n in sizes])
+        pieces = written(pieces.join(asked.select(*on, "gram").distinct(), [*on, "gram"], "left_semi"), "contains-pieces")
+        count = pieces.groupBy(*on, "gram").agg(F.count("*").alias("c"))
+        # A piece that no text has rules the query out.
+        rare = asked.join(count, [*on, "gram"], "left").groupBy("query_id", "q", "n", *on).agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.col("gram"))).alias("r")).where("r.c > 0")
+        rare = written(rare.select("query_id", "q", "n", *on, F.col("r.gram").alias("gram"), F.col("r.c").alias("c"), ((F.col("r.c") > common) & (F.length("q") >= 2 * F.col("n")) & (F.col("n") > 2)).alias("more")), "contains-rare")
+        likely.append(rare.where("not more").join(pieces, [*on, "gram"]).select("query_id", "q", "text_id", *on))
+        left = rare.where("more").select("query_id", "q", *on, (F.col("n") * 2).alias("n"))
+    if not likely:
+        return q.select("query_id", F.lit(None).cast(texts.schema["text_id"].dataType).alias("text_id"), *on).where("false")
+    found = reduce(DataFrame.unionByName, likely).distinct()
+    return found.join(low, ["text_id", *on]).where(F.contains(F.col("t"), F.col("q"))).select("query_id", "text_id", *on).distinct()
 
 
 def exact_hits(queries: DataFrame, keys: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -118,21 +136,30 @@ def exact_hits(queries: DataFrame, keys: DataFrame, on: list[str] | None = None)
     return forms.join(keys, [*on, "key"]).select("query_id", "item_id", *on).distinct()
 
 
-def pools(exact: DataFrame, partial: DataFrame, items: DataFrame, sizes: DataFrame, exact_most: int) -> DataFrame:
-    """(query_id, item_id, is_exact): per query at most n items, n from sizes (query_id, n):
-    the first min(n, exact_most) exact hits by id, then the newest partial hits."""
-    e = exact.join(sizes, "query_id").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id")))
-    e = e.where(F.col("r") <= F.least("n", F.lit(exact_most))).select("query_id", "item_id", "n", F.lit(0).alias("priority"), "r")
-    newest = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "item_id")
-    p = partial.join(items.select("item_id", "created_at"), "item_id").join(sizes, "query_id").withColumn("r", F.row_number().over(newest))
-    p = p.where("r <= n").select("query_id", "item_id", "n", F.lit(1).alias("priority"), "r")
-    one = e.unionByName(p).groupBy("query_id", "item_id").agg(F.min(F.struct("priority", "r", "n")).alias("b"))
-    place = Window.partitionBy("query_id").orderBy("b.priority", "b.r", "item_id")
-    return one.withColumn("place", F.row_number().over(place)).where("place <= b.n").select("query_id", "item_id", (F.col("b.priority") == 0).alias("is_exact"))
-
-
-def _same(c, q: Column) -> Column:
-    return F.coalesce(F.lower(trim_u(c)) == q, F.lit(False))
+def first_hits(hits: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """The first ``most`` hits of each query, with their place r; each task lets go of others
+    before the rows are shuffled."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return hits.withColumn("r", place).where(F.col("r") <= most)
+
+
+def pools(exact: DataFrame, partial: DataFrame, items: DataFrame, sizes: DataFrame | int, exact_most: int) -> DataFrame:
+    """(query_id, item_id, is_exact): per query at most n items, n from sizes (query_id, n)
+    or one for all: the first min(n, exact_most) exact hits by id, then the newest partial hits."""
+    most = sizes if isinstance(sizes, int) else None
+    e = first_hits(exact, exact_most if most is None else min(most, exact_most), "item_id").select("query_id", "item_id", F.lit(0).alias("priority"), "r")
+    p = partial.join(items.select("item_id", "created_at"), "item_id") if "created_at" not in partial.columns else partial
+    newest = [F.desc("created_at"), "item_id"]
+    p = first_hits(p, most, *newest) if most is not None else p.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*newest)))
+    both = e.unionByName(p.select("query_id", "item_id", F.lit(1).alias("priority"), "r"))
+    if most is None:
+        both = both.join(sizes, "query_id").where("r <= n")
+    # What is left of a query is bounded, so it is put in order in an array.
+    lists = both.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("priority", "r", "item_id"))).alias("l"), *([] if most is not None else [F.first("n").alias("n")]))
+    ids = F.transform("l", lambda x: x["item_id"])
+    kept = F.slice(F.array_distinct(ids), F.lit(1), F.lit(most) if most is not None else F.col("n"))
+    exact_ids = F.transform(F.filter("l", lambda x: x["priority"] == 0), lambda x: x["item_id"])
+    return lists.select("query_id", exact_ids.alias("e"), F.explode(kept).alias("item_id")).select("query_id", "item_id", F.array_contains("e", F.col("item_id")).alias("is_exact"))
 
 
 def scored(df: DataFrame, semantic: str | None = None) -> DataFrame:
@@ -145,31 +172,41 @@ def scored(df: DataFrame, semantic: str | None = None) -> DataFrame:
     q_brand_id.  The best tier counts; similarity adds up to 1000 below the
     exact-name tier only.
     """
-    q = F.nullif(F.lower(trim_u("query")), F.lit(""))
-    forms = F.array(q, F.regexp_replace(q, r"(?U)[\s\-]+", ""), F.upper(F.regexp_replace(q, r"(?U)\s+", " ")))
-    inside = lambda c: F.coalesce(F.contains(F.lower(c), q), F.lit(False))
+    # Step by step, each its own projection, so that a text is folded once and a tier, which
+    # score and reasons both ask for, is found once.
+    folded = {c: F.lower(trim_u(c)) for c in ("code", "sku", "barcode", "model_number", "display_name", "name_ar", "name_en")}
+    lowered = ("description", "description_ar", "description_en")
     none = F.array().cast("array<string>")
-    code = _same("code", q) | _same("sku", q)
-    listed = F.exists(F.coalesce("identifiers", none), lambda x: F.array_contains(forms, trim_u(x)) | F.array_contains(forms, F.lower(trim_u(x))))
-    identifier = _same("barcode", q) | F.coalesce(listed, F.lit(False))
-    model = _same("model_number", q)
-    name = _same("display_name", q) | _same("name_ar", q) | _same("name_en", q)
-    alias = F.coalesce(F.exists(F.coalesce("aliases", none), lambda x: F.lower(trim_u(x)) == q), F.lit(False))
-    alias_part = F.coalesce(F.exists(F.coalesce("aliases", none), lambda x: F.contains(F.lower(trim_u(x)), q)), F.lit(False))
-    part = reduce(lambda a, b: a | b, [inside(c) for c in ("display_name", "name_ar", "name_en", "description", "description_ar", "description_en")]) & ~name
-    asked = q.isNotNull()
-    tiers = [(code, 10000), (identifier, 9000), (model, 8000), (name, 7000), (alias, 6000), (alias_part, 5000), (part, 4000)]
-    lexical = F.when(asked, F.greatest(F.lit(0), *[F.when(c, v).otherwise(0) for c, v in tiers])).otherwise(1000)
+    step = df.withColumns({"__q": F.nullif(F.lower(trim_u("query")), F.lit("")), **{f"__{c}": v for c, v in folded.items()}, **{f"__{c}": F.lower(c) for c in lowered}})
+    step = step.withColumns({
+        "__forms": F.array("__q", F.regexp_replace("__q", r"(?U)[\s\-]+", ""), F.upper(F.regexp_replace("__q", r"(?U)\s+", " "))),
+        "__ids": F.transform(F.coalesce("identifiers", none), lambda x: trim_u(x)), "__aliases": F.transform(F.coalesce("aliases", none), lambda x: F.lower(trim_u(x))),
+    })
+    q = F.col("__q")
+    same = lambda *names: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"__{c}") == q, F.lit(False)) for c in names]), F.lit(False))
+    inside = lambda c: F.coalesce(F.contains(F.col(f"__{c}"), q), F.lit(False))
+    listed = F.coalesce(F.arrays_overlap("__forms", "__ids") | F.arrays_overlap("__forms", F.transform("__ids", lambda x: F.lower(x))), F.lit(False))
     equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
-    fits = [(equal("category_id", "q_category_id"), 20, "CATEGORY_MATCH"), (equal("type", "q_type"), 10, "TYPE_MATCH"), (equal("manufacturer_id", "q_manufacturer_id"), 20, "MANUFACTURER_MATCH"), (equal("brand_id", "q_brand_id"), 20, "BRAND_MATCH"), (F.col("origin") == "COMPANY_CATALOG", 100, "COMPANY_CATALOG_PRIORITY")]
-    structural = reduce(lambda a, b: a + b, [F.when(c, v).otherwise(0) for c, v, _ in fits])
+    tiers = {"code": 10000, "identifier": 9000, "model": 8000, "name": 7000, "alias": 6000, "alias_part": 5000, "part": 4000}
+    step = step.withColumns({
+        "__is_code": same("code", "sku"), "__is_identifier": same("barcode") | listed, "__is_model": same("model_number"), "__is_name": same("display_name", "name_ar", "name_en"),
+        "__is_alias": F.coalesce(F.array_contains("__aliases", q), F.lit(False)), "__is_alias_part": F.coalesce(F.exists("__aliases", lambda x: F.contains(x, q)), F.lit(False)),
+        "__is_part": reduce(lambda a, b: a | b, [inside(c) for c in ("display_name", "name_ar", "name_en", *lowered)]),
+    })
+    step = step.withColumn("__is_part", F.col("__is_part") & ~F.col("__is_name"))
+    tier = {k: F.col(f"__is_{k}") for k in tiers}
+    step = step.withColumn("__lexical", F.when(q.isNotNull(), F.greatest(F.lit(0), *[F.when(tier[k], v).otherwise(0) for k, v in tiers.items()])).otherwise(1000))
     near = F.lit(0.0)
     if semantic:
         s = F.col(semantic).cast("double")
-        near = F.when((lexical < 7000) & s.isNotNull() & ~F.isnan(s) & (s > 0) & (s < float("inf")), F.least(s, F.lit(1.0)) * 1000).otherwise(0.0)
-    said = [(asked & code, "EXACT_CODE"), (asked & identifier, "EXACT_IDENTIFIER"), (asked & model, "EXACT_MODEL"), (asked & name, "EXACT_NAME"), (asked & (alias | alias_part), "ALIAS_MATCH"), (asked & part, "PARTIAL_NAME_MATCH"), *[(c, n) for c, _, n in fits], (near > 100, "ALIAS_MATCH")]
-    reasons = F.array_distinct(F.filter(F.array(*[F.when(c, n) for c, n in said]), lambda x: x.isNotNull()))
-    return df.withColumn("score", lexical + structural + near).withColumn("match_reasons", reasons)
+        near = F.when((F.col("__lexical") < 7000) & s.isNotNull() & ~F.isnan(s) & (s > 0) & (s < float("inf")), F.least(s, F.lit(1.0)) * 1000).otherwise(0.0)
+    step = step.withColumn("__near", near)
+    fits = [(equal("category_id", "q_category_id"), 20, "CATEGORY_MATCH"), (equal("type", "q_type"), 10, "TYPE_MATCH"), (equal("manufacturer_id", "q_manufacturer_id"), 20, "MANUFACTURER_MATCH"), (equal("brand_id", "q_brand_id"), 20, "BRAND_MATCH"), (F.col("origin") == "COMPANY_CATALOG", 100, "COMPANY_CATALOG_PRIORITY")]
+    structural = reduce(lambda a, b: a + b, [F.when(c, v).otherwise(0) for c, v, _ in fits])
+    asked = q.isNotNull()
+    said = [(asked & tier["code"], "EXACT_CODE"), (asked & tier["identifier"], "EXACT_IDENTIFIER"), (asked & tier["model"], "EXACT_MODEL"), (asked & tier["name"], "EXACT_NAME"), (asked & (tier["alias"] | tier["alias_part"]), "ALIAS_MATCH"), (asked & tier["part"], "PARTIAL_NAME_MATCH"), *[(c, n) for c, _, n in fits], (F.col("__near") > 100, "ALIAS_MATCH")]
+    reasons = F.array_distinct(F.array_compact(F.array(*[F.when(c, n) for c, n in said])))
+    return step.select(*[F.col(c) for c in df.columns if c not in ("score", "match_reasons")], (F.col("__lexical") + structural + F.col("__near")).alias("score"), reasons.alias("match_reasons"))
 
 
 def rank_candidates(df: DataFrame, limit: int = 20) -> DataFrame:
@@ -191,17 +228,20 @@ def collapse_adopted(candidates: DataFrame, adoptions: DataFrame, catalog: DataF
     enter with the library row's score; a link to a missing or inactive row is none.
     """
     active = catalog.where("is_active").select("company_id", F.col("item_id").alias("__cat"), F.col("name").alias("__name"))
-    link = adoptions.select("company_id", F.col("universal_item_id").alias("__lib"), F.col("catalog_item_id").alias("__cat")).join(active, ["company_id", "__cat"])
-    lib = candidates.where("origin = 'UNIVERSAL_LIBRARY'").join(link.withColumnRenamed("__lib", "item_id"), ["company_id", "item_id"], "left")
-    base = ["query_id", "company_id", "origin", "item_id", "display_name", "score", "match_reasons"]
-    plain = lib.where("__cat is null").select(*base, F.lit(False).alias("is_adopted"), F.lit(None).cast(candidates.schema["item_id"].dataType).alias("linked_id"))
-    folded = lib.where("__cat is not null").select("query_id", "company_id", F.lit("COMPANY_CATALOG").alias("origin"), F.col("__cat").alias("item_id"), F.col("__name").alias("display_name"), "score", "match_reasons", F.col("item_id").alias("linked_id"), F.lit(1).alias("__o"))
-    own = candidates.where("origin = 'COMPANY_CATALOG'").select(*base, F.lit(None).cast(candidates.schema["item_id"].dataType).alias("linked_id"), F.lit(0).alias("__o"))
-    both = own.unionByName(folded).groupBy("query_id", "company_id", "origin", "item_id").agg(
+    link = adoptions.select("company_id", F.col("universal_item_id").alias("item_id"), F.col("catalog_item_id").alias("__cat")).join(active, ["company_id", "__cat"])
+    link = link.withColumn("origin", F.lit("UNIVERSAL_LIBRARY"))
+    # One row each: a library row with a link stands for its catalogue item.
+    c = candidates.join(link, ["company_id", "origin", "item_id"], "left")
+    folds = F.col("__cat").isNotNull()
+    rows = c.select(
+        "query_id", "company_id", F.when(folds, "COMPANY_CATALOG").otherwise(F.col("origin")).alias("origin"), F.coalesce("__cat", "item_id").alias("item_id"), F.coalesce("__name", "display_name").alias("display_name"), "score", "match_reasons",
+        F.when(folds, F.col("item_id")).alias("linked_id"), folds.cast("int").alias("__o"),
+    )
+    both = rows.groupBy("query_id", "company_id", "origin", "item_id").agg(
         F.min_by("display_name", "__o").alias("display_name"), F.max("score").alias("score"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__o", "linked_id", "match_reasons"))), lambda x: x["match_reasons"]))).alias("match_reasons"), F.min("linked_id").alias("linked_id"),
     )
-    return both.select(*base, F.col("linked_id").isNotNull().alias("is_adopted"), "linked_id").unionByName(plain)
+    return both.select("query_id", "company_id", "origin", "item_id", "display_name", "score", "match_reasons", F.col("linked_id").isNotNull().alias("is_adopted"), "linked_id")
 
 
 def retrieval_metrics(ranked: DataFrame, pools: DataFrame | None = None) -> DataFrame:

@@ -11,12 +11,12 @@ from .base import Tables, over, query
 
 #: Queries: customers ask for a code, a SKU, a full name, a word of names, or a barcode.
 QUERIES_CTE = """q AS (SELECT c_custkey AS query_id, c_nationkey AS company_id, CASE c_custkey % 5 WHEN 0 THEN 'p-' || (c_custkey * 25 + c_nationkey) WHEN 1 THEN 'sku' || (c_custkey % 900) WHEN 2 THEN p_name WHEN 3 THEN split_part(p_name, ' ', 2) ELSE p_brand END AS query,
- CASE WHEN c_custkey % 2 = 0 THEN 'PRODUCT' END AS q_type, c_custkey % 9 AS q_category_id FROM customer JOIN part ON p_partkey = c_custkey % 2000)"""
+ CASE WHEN c_custkey % 2 = 0 THEN 'PRODUCT' END AS q_type, c_custkey % 9 AS q_category_id FROM customer LEFT JOIN part ON p_partkey = c_custkey % 2000)"""
 
 
 def asked(t: Tables):
     k = F.col("c_custkey")
-    c = t.raw("customer").join(t.raw("part"), F.col("p_partkey") == k % 2000)
+    c = t.raw("customer").join(t.raw("part"), F.col("p_partkey") == k % 2000, "left")
     text = F.when(k % 5 == 0, F.concat(F.lit("p-"), k * 25 + F.col("c_nationkey"))).when(k % 5 == 1, F.concat(F.lit("sku"), k % 900)).when(k % 5 == 2, F.col("p_name")).when(k % 5 == 3, F.split("p_name", " ")[1]).otherwise(F.col("p_brand"))
     return c.select(k.alias("query_id"), F.col("c_nationkey").alias("company_id"), text.alias("query"), F.when(k % 2 == 0, "PRODUCT").alias("q_type"), (k % 9).alias("q_category_id"))
 
@@ -153,7 +153,7 @@ _POOLS = ", ".join(
     for x in "cl"
 )
 #: Both sources, and questions in either way; the customers whose number is a vector's have one.
-HYBRID = f"""{over('catalog', 'library')}, {QUERIES_CTE}, vs AS ({_VECTORS}), qh AS (SELECT query_id, company_id, query, lower(query) AS qq, CASE WHEN query_id % 7 = 0 THEN 'PRODUCT' END AS q_type, CASE WHEN query_id % 3 > 0 AND v IS NOT NULL THEN 'hybrid' ELSE 'lexical' END AS used, v AS qv FROM q LEFT JOIN vs ON vec_id = query_id),
+HYBRID = f"""{over('catalog', 'library')}, {QUERIES_CTE}, vs AS ({_VECTORS}), qh AS (SELECT query_id, company_id, query, lower(query) AS qq, CASE WHEN query_id % 7 = 0 THEN 'PRODUCT' END AS q_type, CASE WHEN query_id % 3 > 0 AND v IS NOT NULL AND query <> '' THEN 'hybrid' ELSE 'lexical' END AS used, v AS qv FROM q LEFT JOIN vs ON vec_id = query_id),
 ad AS (SELECT CAST(p_partkey % 25 AS INT) AS company_id, p_partkey AS lib, p_partkey + 25 * (p_partkey % 4 + 1) AS cat FROM part WHERE p_partkey % 2 = 0),
 cc AS (SELECT catalog.*, v FROM catalog LEFT JOIN vs ON vec_id = item_id), lb AS (SELECT library.*, CASE WHEN item_id % 3 = 0 THEN 'SERVICE' ELSE 'PRODUCT' END AS type, CASE WHEN item_id % 7 = 0 THEN ['Kit ' || name, 'N' || item_id] ELSE CAST([] AS VARCHAR[]) END AS aliases, v FROM library LEFT JOIN vs ON vec_id = item_id),
 ce AS (SELECT query_id, item_id FROM qh JOIN cc USING (company_id) WHERE is_active AND (q_type IS NULL OR type = q_type) AND (lower(code) = qq OR lower(sku) = qq OR lower(barcode) = qq OR lower(name) = qq OR lower(description) = qq)),
@@ -181,20 +181,22 @@ def _hybrid(t: Tables):
     v = t.raw("embeddings").select(F.col("vec_id").alias("__vec"), F.col("embedding").alias("vector"))
     vectored = lambda df: df.join(v, F.col("item_id") == F.col("__vec"), "left").drop("__vec")
     q = asked(t).join(v, k == F.col("__vec"), "left").select("query_id", "company_id", "query", F.when(k % 3 > 0, "hybrid").otherwise("lexical").alias("strategy"), "vector", F.when(k % 7 == 0, "PRODUCT").alias("q_type"), none.alias("q_category_id"), none.alias("q_manufacturer_id"), none.alias("q_brand_id"), F.lit(None).cast("boolean").alias("q_active"))
-    catalog = retrieval.catalog_to_candidates(vectored(t.catalog()))
-    items = t.library()
+    named = lambda kind: t.raw("nation").select(F.col("n_nationkey").cast("long").alias(f"{kind}_id"), F.concat(F.lit(f"{kind} "), "n_name").alias("name"))
+    catalog = retrieval.catalog_to_candidates(vectored(t.catalog()), categories=named("category"))
+    items, i = t.library(), F.col("item_id")
+    items = items.withColumns({"manufacturer_id": i % 25, "brand_id": i % 5, "category_id": i % 9})
     identifiers = items.select("item_id", F.lit(1).alias("id"), F.col("gtin").alias("normalized_value"))
     aliases = items.where("item_id % 7 = 0").select("item_id", F.inline(F.array(F.struct(F.lit(1).alias("id"), F.concat(F.lit("Kit "), "name").alias("alias")), F.struct(F.lit(2).alias("id"), F.concat(F.lit("N"), "item_id").alias("alias")))))
-    library = retrieval.library_to_candidates(vectored(items.withColumn("type", F.when(F.col("item_id") % 3 == 0, "SERVICE").otherwise("PRODUCT"))), identifiers, aliases)
+    library = retrieval.library_to_candidates(vectored(items.withColumn("type", F.when(F.col("item_id") % 3 == 0, "SERVICE").otherwise("PRODUCT"))), identifiers, aliases, named("manufacturer"), named("brand"), named("category"))
     p = F.col("p_partkey")
     adoptions = t.raw("part").where("p_partkey % 2 = 0").select((p % 25).cast("int").alias("company_id"), p.alias("universal_item_id"), (p + (p % 4 + 1) * 25).alias("catalog_item_id"))
     return retrieval.retrieve(q, catalog, library, adoptions, 64, 5)
 
 
-@query("hybrid_retrieval", f"{HYBRID} SELECT query_id, origin, item_id, name AS display_name, round(score, 3) AS score, array_to_string(rs, ',') AS match_reasons, linked_id IS NOT NULL AS is_adopted, linked_id, rank, total_candidates, used AS strategy_used FROM rk JOIN qh USING (query_id) WHERE rank <= 5")
+@query("hybrid_retrieval", f"{HYBRID} SELECT query_id, origin, item_id, name AS display_name, round(score, 3) AS score, array_to_string(rs, ',') AS match_reasons, linked_id IS NOT NULL AS is_adopted, linked_id, rank, total_candidates, used AS strategy_used, CASE WHEN origin = 'UNIVERSAL_LIBRARY' THEN 'manufacturer ' || m.n_name END AS manufacturer_name, CASE WHEN origin = 'UNIVERSAL_LIBRARY' THEN 'brand ' || b.n_name END AS brand_name, 'category ' || g.n_name AS category_name FROM rk JOIN qh USING (query_id) JOIN nation m ON m.n_nationkey = item_id % 25 JOIN nation b ON b.n_nationkey = item_id % 5 JOIN nation g ON g.n_nationkey = item_id % 9 WHERE rank <= 5")
 def hybrid_retrieval(spark, sf):
     r = _hybrid(Tables(spark, sf))[0]
-    return r.select("query_id", "origin", "item_id", "display_name", F.round("score", 3).alias("score"), F.array_join(F.array_sort("match_reasons"), ",").alias("match_reasons"), "is_adopted", "linked_id", "rank", "total_candidates", "strategy_used")
+    return r.select("query_id", "origin", "item_id", "display_name", F.round("score", 3).alias("score"), F.array_join(F.array_sort("match_reasons"), ",").alias("match_reasons"), "is_adopted", "linked_id", "rank", "total_candidates", "strategy_used", "manufacturer_name", "brand_name", "category_name")
 
 
 @query("hybrid_metrics", f"{HYBRID} SELECT q.query_id, (SELECT count(*) FROM cpool WHERE cpool.query_id = q.query_id) + (SELECT count(*) FROM lpool WHERE lpool.query_id = q.query_id) AS lexical_count, (SELECT count(*) FROM sem WHERE sem.query_id = q.query_id) AS semantic_count, (SELECT count(*) FROM rk WHERE rk.query_id = q.query_id AND rank <= 5) AS final_count, coalesce((SELECT round(max(score), 3) FROM rk WHERE rk.query_id = q.query_id), 0) AS top_score FROM q")

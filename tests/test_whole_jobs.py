@@ -57,3 +57,27 @@ def test_batch_clusters_in_a_long_chain(spark):
         spark.createDataFrame([(t, k, v) for (t, k), v in library.items()], "tier int, key string, item_id string"),
     )
     assert {x["record_id"]: (x["item_id"], x["verdict"]) for x in got.collect()} == sequential(records, keys, library)
+
+
+def test_contains_join_where_every_piece_is_common(spark, monkeypatch):
+    """Words that most texts share, in orders of their own: what is joined stays near the hits."""
+    from bidlake.operators import search
+
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("steel", "brass", "plain", "round") for b in ("ring", "tube", "lamp", "bolt")]
+    texts = [" ".join(r.sample(words, 10)) for _ in range(400)]
+    queries = [" ".join(r.choice(texts).split()[2:5]) for _ in range(40)] + ["steelring", "no such words here"]
+    seen = []
+    write = search.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "contains-rare":
+            seen.append(out.where("not more").selectExpr("query_id", "c").agg({"c": "sum"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    q, t = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    got = {(x[0], x[1]) for x in search.contains_join(q, t, common=8).collect()}
+    want = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(texts) if a in b}
+    assert got == want and sum(seen) <= 3 * len(want)
