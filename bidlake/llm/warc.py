@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, written
+from .common import new_folder, salted, small_batches, written
 
 MIN_BYTES = 1000
 #: Payload bytes per archive, about; with this a file stays readable by one task.
@@ -54,12 +54,15 @@ ARCHIVE = "archive string, records long"
 def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, html, digest, bytes, refers_to): refers_to is null for a
     response.  The digests are aggregated before the join, so a group of copies is
-    one row there, and the join may split it."""
+    one row there; a large group is dealt to several tasks."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
-    repeated = base.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("__response"), F.count("*").alias("__n")).where("__n > 1")
-    joined = base.join(repeated.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest"), "left")
+    # Small payloads have no response, but their digests may be as frequent.
+    response = F.max(F.when(F.col("bytes") >= min_bytes, F.col("page_id")))
+    repeated = base.groupBy("digest").agg(response.alias("__response"), F.count("*").alias("n")).where("n > 1")
+    repeated = written(repeated, "warc-repeated")
+    joined = salted(base, repeated.drop("n"), repeated.drop("__response"), ["digest"], pages.count(), by=["page_id"], how="left")
     refers = F.when(F.col("__response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__response")), F.col("__response"))
     return joined.select("page_id", "url", "html", "digest", "bytes", refers.alias("refers_to"))
 
