@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, small_batches, window_hashes, word_bounds, word_hashes
+from .common import FOLD, salted, small_batches, window_hashes, word_bounds, word_hashes, written
 
 N = 10
 #: Windows that are broadcast at most: of each a hash, the place of its words and its
@@ -160,7 +160,11 @@ def _scan_join(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
     the words are compared where the text is."""
     items = _windows(bench.select("item_id", "text"), None, n).select(F.col("key").alias("item_id"), "len", "hash", "words").distinct()
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # n values at most
-    hit = _windows(docs.dropDuplicates(["row"]).select("row", "text"), lengths or [n], n).drop("words").join(items, ["len", "hash"])
+    windows = _windows(docs.dropDuplicates(["row"]).select("row", "text"), lengths or [n], n).drop("words")
+    # How often each item's window stands in the documents; a frequent one is dealt to several tasks.
+    sizes = written(windows.groupBy("len", "hash").agg(F.count("*").alias("n")).join(items.select("len", "hash").distinct(), ["len", "hash"]), "decontam-windows")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hit = salted(windows, items, sizes, ["len", "hash"], total, by=["key", "pos"])
     per = hit.groupBy(F.col("key").alias("__row")).agg(F.collect_list(F.struct("pos", "len", "item_id", "words")).alias("likely"))
 
     def verify(batches):
