@@ -1,12 +1,14 @@
 """Lexical retrieval packing.
 
 Documents become token ids once.  They are laid out by a minhash of their ids, so
-that texts with words in common stand side by side, and cut into shards of
-bounded size.  Each shard has a BM25 inverted index over ids, with document
-frequencies of the whole corpus.  All terms of a seed document retrieve unused
+that texts with words in common stand side by side, and cut into shards: a document
+belongs to the shard in which the sum of the sizes before it lies, so shards depend on the
+documents alone, not on the number of tasks.  Each shard has a BM25 inverted index over ids,
+with document frequencies of the whole corpus.  All terms of a seed document retrieve unused
 neighbours, which fill its window one after the other; the one that crosses the
 end is cut there and its rest stays in the pool.  Documents longer than a window
-fill windows of their own first.  What is left at the end of a shard becomes
+fill windows of their own first.  What a shard has left, less than a window, is joined to what
+the shards beside it have left; only the end of a group of GROUP shards becomes
 sequences of power-of-two lengths, so nothing is padded.
 
 Defined results: a null or empty text is just its end token; repeated rows are
@@ -14,7 +16,7 @@ documents of their own, as are rows of one id and different texts; a null id sta
 an empty table gives no pieces; texts are encoded whole, whatever their length.  Each id
 lies in exactly one piece.  Of equally good neighbours the earlier in the layout comes
 first.  Only ``doc_id`` and ``text`` are read, so extra columns can't clash.  Sequence ids hold the number of
-the task, so a lost task that runs again gives the same rows.
+the shard or group, so a lost task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, written
@@ -35,7 +37,9 @@ WINDOW = 2048
 END = 1
 #: Bounds of a shard: what a task holds at once.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: Tokens to a partition of the layout, about; never fewer partitions than the session's.
+#: Shards whose rests are packed together.
+GROUP = 1024
+#: Tokens that a task of the layout sorts, about.
 PART_TOKENS = 64_000_000
 K1, B = 1.2, 0.75
 #: Terms that more documents of a shard have are scored by a product of matrices, for so
@@ -44,6 +48,9 @@ COMMON, SEEDS = 64, 256
 
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 PIECES_DDL = ", ".join(f"{n} long" for n in PIECES.names)
+#: A piece with its shard, and the ids of those whose sequence isn't full.
+FILLED = pa.schema([*PIECES, pa.field("shard", pa.int64()), pa.field("ids", pa.binary())])
+FILLED_DDL = f"{PIECES_DDL}, shard long, ids binary"
 
 
 def tokenised(docs: DataFrame, files: tuple[str, str] | None = None, end: int = END) -> DataFrame:
@@ -133,7 +140,8 @@ class Shard:
         yield from np.flatnonzero(free & (score <= 0)).tolist()
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Each sequence: (document's place, start, length) of its pieces."""
+        """Each sequence: (document's place, start, length) of its pieces; the last one may be
+        shorter than the window."""
         window, n = self.window, len(self.docs)
         start, left = np.zeros(n, np.int64), np.array([len(ids) for _, ids in self.docs])
         for i in np.flatnonzero(left >= window).tolist():
@@ -160,7 +168,7 @@ class Shard:
                         space = take(i, space)
                         if not space:
                             break
-                yield from [pieces] if not space else powers_of_two(pieces)
+                yield pieces
 
 
 def powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -192,39 +200,94 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, window: int = WI
     idf = np.log(1 + (total["docs"] - df + 0.5) / (df + 0.5))  # as long as the vocabulary
     shared, mean = docs.sparkSession.sparkContext.broadcast(idf), total["mean"] or 1.0
 
-    def fill(batches):
-        # Every task has its own range of sequence ids.
-        number = TaskContext.get().partitionId() << 40
-        for shard in shards(batches, kind):
-            index = Shard(shard, shared.value, mean, window)
-            rows = []
-            for pieces in index.sequences():
-                offset = 0
-                for i, start, k in pieces:
-                    doc_id, ids = shard[i]
-                    rows.append((doc_id, start, k, zlib.crc32(ids[start : start + k].astype("<u4").tobytes()), len(ids), number, offset))
-                    offset += k
-                number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(7)], schema=PIECES)
-
-    # A range layout splits even a run of equal routes, so no group is too large.
+    def measure(batches):
+        # Where each document begins in its part, in units of which a shard holds SHARD_TOKENS.
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = np.maximum(batch.column("n").to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS))
+            after = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(np.full(len(n), part, np.int64)), pa.array(after - n), pa.array(after)], names=["doc_id", "ids", "part", "before", "after"])
+            before = int(after[-1]) if len(after) else before
+
+    # A range layout splits even a run of equal documents, so no part is too large.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["tokens"] or 0) // PART_TOKENS))
-    laid = tokens.repartitionByRange(parts, "route", "doc_id", "n", F.crc32("ids")).sortWithinPartitions("route", "doc_id", "n", F.crc32("ids"))
-    return laid.select("doc_id", "ids").mapInArrow(fill, PIECES_DDL)
+    order = ["route", "doc_id", "n", "crc", "row"]
+    laid = tokens.withColumns({"crc": F.crc32("ids"), "row": F.monotonically_increasing_id()})
+    laid = laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    laid = written(laid.mapInArrow(measure, "doc_id long, ids binary, part long, before long, after long"), "packing-layout")
+    ends = laid.groupBy("part").agg(F.max("after").alias("size"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    ends = ends.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("from"))
+    at = (F.col("from") + F.col("before")).alias("at")
+    placed = laid.join(F.broadcast(ends), "part").select("doc_id", "ids", at).withColumn("shard", F.floor(F.col("at") / SHARD_TOKENS))
+
+    def fill(batches):
+        for shard, held in by_shard(batches, kind):
+            index = Shard(held, shared.value, mean, window)
+            yield _filled(shard, [[(held[i][0], start, held[i][1][start : start + k], len(held[i][1])) for i, start, k in pieces] for pieces in index.sequences()], window)
+
+    filled = written(placed.repartition(parts, "shard").sortWithinPartitions("shard", "at").select("doc_id", "ids", "shard").mapInArrow(fill, FILLED_DDL), "packing-filled")
+
+    def join_rests(batches):
+        group, rest = None, []
+        for batch in batches:
+            for g, doc_id, start, n, ids in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "start", "doc_tokens", "ids")), strict=True):
+                if g != group and rest:
+                    yield _rests(group, rest, window)
+                    rest = []
+                group = g
+                rest.append((doc_id, start, np.frombuffer(ids, kind), n))
+        if rest:
+            yield _rests(group, rest, window)
+
+    rests = filled.where("ids is not null").withColumn("group", F.floor(F.col("shard") / GROUP))
+    rests = rests.repartition("group").sortWithinPartitions("group", "shard", "sequence_id", "offset")
+    ends = rests.select("group", "doc_id", "start", "doc_tokens", "ids").mapInArrow(join_rests, FILLED_DDL)
+    return filled.where("ids is null").unionByName(ends).select(*PIECES.names)
+
+
+def _filled(shard: int, sequences: list[list[tuple]], window: int) -> pa.RecordBatch:
+    """The pieces (doc_id, start, ids, tokens of the document) of a shard's sequences."""
+    rows = []
+    for number, pieces in enumerate(sequences):
+        full, offset = sum(len(p[2]) for p in pieces) == window, 0
+        for doc_id, start, ids, n in pieces:
+            rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, (shard << 32) + number, offset, shard, None if full else ids.tobytes()))
+            offset += len(ids)
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(FILLED)], schema=FILLED)
+
+
+def _rests(group: int, rest: list[tuple], window: int) -> pa.RecordBatch:
+    """Windows from the rests of a group of shards, in their order; the last becomes powers of two."""
+    pieces, out, space = [], [], window
+    for i, (_, _, ids, _) in enumerate(rest):
+        at = 0
+        while at < len(ids):
+            k = min(space, len(ids) - at)
+            pieces.append((i, at, k))
+            at, space = at + k, space - k
+            if not space:
+                out.append(pieces)
+                pieces, space = [], window
+    if pieces:
+        out += powers_of_two(pieces)
+    named = [[(rest[i][0], rest[i][1] + at, rest[i][2][at : at + k], rest[i][3]) for i, at, k in s] for s in out]
+    # Beyond all numbers of shards.
+    return _filled((1 << 30) + group, named, window)
 
 
-def shards(batches, kind: str) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Runs of documents up to the bounds of a shard."""
-    held, tokens = [], 0
+def by_shard(batches, kind: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """(shard, its documents in order); a task has whole shards, one after the other."""
+    now, held = None, []
     for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, ids, shard in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if shard != now and held:
+                yield now, held
+                held = []
+            now = shard
             held.append((doc_id, np.frombuffer(ids, kind)))
-            tokens += len(held[-1][1])
-            if len(held) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                yield held
-                held, tokens = [], 0
     if held:
-        yield held
+        yield now, held
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

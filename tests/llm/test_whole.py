@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_contracts import SCHEMA, bench, docs, prose
 
 from bidlake.llm import decontam, line_dedup, packing
@@ -57,3 +58,58 @@ def test_decontamination_of_null_and_repeated_ids(spark):
         assert got == sorted((str(i), len((t or "").split()), 12 * (t == dirty), ["5"] * (t == dirty)) for i, t in rows)
         left = sorted((str(x["doc_id"]), str(x["text"])) for x in decontam.remove(d, b, max_broadcast=most).collect())
         assert left == sorted((str(i), cut if t == dirty else str(t)) for i, t in rows)
+
+
+def test_packing_is_the_same_under_any_partitions(spark, sf_dir, monkeypatch):
+    """Shards depend on the documents alone, and their rests are joined: few short sequences."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 30_000)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    r = random.Random(8)
+    d = given.unionByName(spark.createDataFrame([(10**6 + i % 90, prose(r, 20)) for i in range(300)] + [(7, "the same text")] * 200, "doc_id long, text string"))
+    seen = []
+    for parts in ("4", "64", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            rows = packing.pack(d.repartition(int(parts))).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        seen.append(sorted(map(tuple, rows), key=repr))
+    assert seen[0] == seen[1] == seen[2]
+    size = {}
+    for row in rows:
+        size[row["sequence_id"]] = size.get(row["sequence_id"], 0) + row["length"]
+    # Whatever the number of shards, all are full but for the powers of two of one rest.
+    short = sorted(n for n in size.values() if n < 2048)
+    assert len(size) > 100 and len(short) <= 11 and len(set(short)) == len(short)
+
+
+def test_pii_of_repeated_rows(spark):
+    """Equal rows cost what their number costs: contexts are looked for once."""
+    from bidlake.llm import pii
+
+    text = "\n".join(f"write to someone{i}@example.org about matter number {i}" for i in range(40))
+    one = pii._based(docs(spark, [text]))
+    many = pii._based(docs(spark, [text]).withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(300)))))
+    assert pii._contexts(one, pii.REACH).count() == pii._contexts(many, pii.REACH).count()
+    assert pii.find(docs(spark, [text] * 3).withColumn("doc_id", F.lit(4).cast("long"))).count() == 3
+
+
+def test_decontamination_of_a_hot_window(spark):
+    """A window in most documents is dealt to several tasks, with the rows of the broadcast way."""
+    r = random.Random(13)
+    hot = prose(r, 12)
+    d = docs(spark, [f"{prose(r, 8, 10**6)} {hot} {prose(r, 8, 10**6)}" if i % 3 else prose(r, 30, 10**6) for i in range(400)])
+    b = bench(spark, [(1, hot), (2, f"{hot} and more"), (3, prose(r, 15))])
+    both = [sorted((x["doc_id"], x["n_hit"], x["items"]) for x in decontam.scan(d, b, max_broadcast=most).collect()) for most in (10**6, 0)]
+    assert both[0] == both[1] and sum(x[1] > 0 for x in both[0]) == 266
+
+
+def test_archives_of_a_hot_payload(spark):
+    """A third of all pages are one payload, another third have none."""
+    from bidlake.llm import warc
+
+    big = "x" * 1500
+    pages = spark.createDataFrame([(i, f"u{i}", [big, None, f"{big}{i}"][i % 3]) for i in range(600)], "page_id long, url string, html string")
+    got = {x["page_id"]: x["refers_to"] for x in warc.decided(pages).select("page_id", "refers_to").collect()}
+    assert got == {i: 597 if i % 3 == 0 and i != 597 else None for i in range(600)}
