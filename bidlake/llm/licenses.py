@@ -1,14 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Terms are weighted by how rare they are among all lines of the corpus.  Every line of a
-file is a possible header, as is every run of ``SPAN`` terms of a longer line (each
-begins ``SPAN`` / 2 terms after the one before), and the whole file is a possible licence
-file.  The cosine of each to every template is summed over the terms both have; terms
-that no template has only lengthen it.  What shares too little with a template to reach the
-threshold is never scored: each template has probe terms without which its cosine
-stays below.  A file's own licence is that of its best line, run or whole.  A file
-whose whole reaches the threshold is a licence file: it speaks for its directory and all
-below that have no nearer one, and files without an own licence inherit from the nearest.
+Terms are weighted by how rare they are among all lines of the corpus.  Each template has
+probe terms, without which its cosine to anything stays below the threshold.  Wherever a
+line, of any length, has one, the window of the template's length that puts the term in its
+place in the template is a possible header, so what else stands on the line
+doesn't count; a window ends where the line does.  The whole file is a possible licence file.
+The cosine of a window to its template, and of a file to each, is summed over the terms both
+have; terms that no template has only lengthen it.  A template of fewer than ``SHORT`` terms is
+found only with all of them.  A file's own licence is that of its best window or
+whole.  A file whose whole reaches the threshold is a licence file: it speaks for its directory
+and all below that have no nearer one, and files without an own licence inherit from the nearest.
 
 Only DataFrame functions are used; what is broadcast is the templates' terms.  Templates are
 a parameter: (licence, text), a statement or a whole licence; the long licences' full
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import salted, written
 
 THRESHOLD = 0.6
-#: Terms of a run within a long line.
-SPAN = 16
-LONG_LINE = 24
+#: Templates of fewer terms are found only whole.
+SHORT = 5
+#: Terms of a line that are kept together; windows that begin there have theirs as well.
+PLACE = 512
 
 # The statements and opening words by which public licences are given, and
 # the short licences whole.
@@ -107,31 +109,49 @@ def term_weights(lines: DataFrame, templates: Templates = TEMPLATES) -> tuple[di
     return {t: math.log((n + 1) / (count.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(n + 1) + 1
 
 
-def probes(weights: dict[str, float], threshold: float, templates: Templates = TEMPLATES) -> set[str]:
-    """For each template, the terms of which a line needs one to reach the threshold:
+def anchors(weights: dict[str, float], threshold: float, templates: Templates = TEMPLATES) -> dict[int, set[str]]:
+    """For each template, the terms of which a text needs one to reach the threshold:
     the rest together weigh less than that share of the template's length."""
-    out: set[str] = set()
-    for _, _, terms in template_terms(templates):
+    out: dict[int, set[str]] = {}
+    for i, _, terms in template_terms(templates):
         square = {t: (n * weights[t]) ** 2 for t, n in terms.items()}
         total, rest = sum(square.values()), 0.0
         for t in sorted(square, key=lambda t: (weights[t], t)):
             rest += square[t]
             if math.sqrt(rest / total) >= threshold - 1e-9:
-                out.add(t)
+                out.setdefault(i, set()).add(t)
     return out
 
 
+def probes(weights: dict[str, float], threshold: float, templates: Templates = TEMPLATES) -> set[str]:
+    return set().union(*anchors(weights, threshold, templates).values())
+
+
 _UNIT = ["path", "th", "pos", "part"]
 
 
-def units_of(likely: DataFrame, whole: DataFrame) -> DataFrame:
-    """(path, th, pos, part, terms): lines (part 0), runs within long lines (part 1, 2 ...),
-    and whole files (pos -1)."""
-    n = F.size("terms")
-    runs = F.transform(F.sequence(F.lit(1), F.ceil((n - SPAN) / (SPAN // 2)).cast("int") + 1), lambda i: F.struct(i.alias("part"), F.slice("terms", (i - 1) * (SPAN // 2) + 1, SPAN).alias("terms")))
-    runs = likely.where(n > LONG_LINE).select("path", "th", "pos", F.inline(runs))
-    lines = likely.select("path", "th", "pos", F.lit(0).alias("part"), "terms")
-    return lines.unionByName(runs).unionByName(whole.select("path", "th", F.lit(-1).alias("pos"), F.lit(0).alias("part"), "terms"))
+def windows_of(likely: DataFrame, asked: dict[int, set[str]], templates: Templates = TEMPLATES) -> DataFrame:
+    """(path, th, pos, part, terms, only): the windows of each template around its probe terms;
+    part numbers them, only is the template."""
+    table = []
+    for i, (_, text) in enumerate(templates):
+        words = re.findall(_TERM, text.lower())
+        table += [(t, i, at, len(words)) for at, t in enumerate(words) if t in asked.get(i, ())]
+    longest = max((n for _, _, _, n in table), default=1)
+    spark = likely.sparkSession
+    at = spark.createDataFrame(table, "term string, only int, place int, n int").groupBy("term").agg(F.collect_list(F.struct("only", "place", "n")).alias("at"))
+    # Cuts of a line overlap by the longest template on either side, and own the terms between.
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("terms") - 1) / PLACE).cast("int")), lambda c: F.struct(c.alias("cut"), F.greatest(c * PLACE - longest, F.lit(0)).alias("from"), F.slice("terms", F.greatest(c * PLACE - longest, F.lit(0)) + 1, F.lit(PLACE + 2 * longest)).alias("terms")))
+    cut = written(likely.where(F.size("terms") > 0).select("path", "th", "pos", F.inline(cuts)), "license-cuts")
+    term = cut.select("path", "th", "pos", "cut", "from", F.posexplode("terms").alias("i", "term")).withColumn("i", F.col("i") + F.col("from")).where(F.floor(F.col("i") / PLACE) == F.col("cut"))
+    begin = term.join(F.broadcast(at), "term").select("path", "th", "pos", "cut", "i", F.inline("at"))
+    begin = begin.select("path", "th", "pos", "cut", "only", "n", (F.col("i") - F.col("place")).alias("start")).distinct()
+    found = begin.join(cut, ["path", "th", "pos", "cut"])
+    low = F.greatest("start", F.lit(0))
+    inside = F.slice("terms", (low - F.col("from") + 1).cast("int"), (F.col("start") + F.col("n") - low).cast("int"))
+    # Windows of two cuts may be one; the number tells those of a line apart.
+    part = (F.col("start") + longest).cast("long") * len(templates) + F.col("only") + 1
+    return found.select("path", "th", "pos", part.alias("part"), inside.alias("terms"), "only").dropDuplicates(_UNIT)
 
 
 def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Templates = TEMPLATES) -> DataFrame:
@@ -139,23 +159,28 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Templates
     spark = files.sparkSession
     lines = lines_of(files)
     weights, unseen = term_weights(lines, templates)
-    asked = probes(weights, threshold, templates)
-    chosen = F.array(*map(F.lit, sorted(asked)))
-    likely = written(lines.where(F.arrays_overlap(F.col("terms"), chosen)).dropDuplicates(["path", "th", "pos"]), "license-lines")
+    asked = anchors(weights, threshold, templates)
+    chosen = F.array(*map(F.lit, sorted(set().union(*asked.values()))))
+    likely = lines.where(F.arrays_overlap(F.col("terms"), chosen)).dropDuplicates(["path", "th", "pos"])
     # A whole file holds a probe term only if one of its lines does.
     whole = files.select("path", F.xxhash64(_text()).alias("th"), _terms(_text()).alias("terms")).where(F.arrays_overlap(F.col("terms"), chosen)).dropDuplicates(["path", "th"])
-    tf = units_of(likely, whole).select(*_UNIT, F.explode("terms").alias("term")).groupBy(*_UNIT, "term").agg(F.count("*").alias("tf"))
+    units = windows_of(likely, asked, templates).unionByName(whole.select("path", "th", F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("part"), "terms", F.lit(None).cast("int").alias("only")))
+    tf = units.select(*_UNIT, "only", F.explode("terms").alias("term")).groupBy(*_UNIT, "only", "term").agg(F.count("*").alias("tf"))
     table = []
     for i, name, terms in template_terms(templates):
         norm = math.sqrt(sum((n * weights[t]) ** 2 for t, n in terms.items()))
-        table += [(t, i, name, n * weights[t] / norm) for t, n in terms.items()]
+        # What a sum needs of the template's terms: all of a short one.
+        least = len(terms) if sum(terms.values()) < SHORT else 1
+        table += [(t, i, name, n * weights[t] / norm, least) for t, n in terms.items()]
     idf = spark.createDataFrame(list(weights.items()), "term string, idf double")
-    of = spark.createDataFrame(table, "term string, template int, license string, share double").groupBy("term").agg(F.collect_list(F.struct("template", "license", "share")).alias("of"))
-    w = tf.join(F.broadcast(idf), "term", "left").join(F.broadcast(of), "term", "left").select(*_UNIT, "of", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    of = spark.createDataFrame(table, "term string, template int, license string, share double, least int").groupBy("term").agg(F.collect_list(F.struct("template", "license", "share", "least")).alias("of"))
+    own = F.filter(F.coalesce("of", F.expr("array()").cast("array<struct<template:int,license:string,share:double,least:int>>")), lambda x: F.col("only").isNull() | (x["template"] == F.col("only")))
+    w = tf.join(F.broadcast(idf), "term", "left").join(F.broadcast(of), "term", "left").select(*_UNIT, own.alias("of"), (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
     # Rows with a template add to its product, and all rows to the norm (template -1).
-    norm = F.array(F.struct(F.lit(-1).alias("template"), F.lit("").alias("license"), F.col("w").alias("share")))
-    parts = w.select(*_UNIT, "w", F.inline(F.concat(norm, F.coalesce("of", F.expr("array()").cast("array<struct<template:int,license:string,share:double>>")))))
-    sums = written(parts.groupBy(*_UNIT, "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("sum")), "license-sums")
+    norm = F.array(F.struct(F.lit(-1).alias("template"), F.lit("").alias("license"), F.col("w").alias("share"), F.lit(0).alias("least")))
+    parts = w.select(*_UNIT, "w", F.inline(F.concat(norm, "of")))
+    sums = parts.groupBy(*_UNIT, "template", "license", "least").agg(F.sum(F.col("w") * F.col("share")).alias("sum"), F.count("*").alias("n"))
+    sums = written(sums.where("n >= least"), "license-sums")
     norm = sums.where("template = -1").select(*_UNIT, F.sqrt("sum").alias("norm"))
     scored = sums.where("template >= 0").join(norm, _UNIT).select(*_UNIT, "license", F.round(F.col("sum") / F.col("norm"), 6).alias("cosine"))
     return scored.where(F.col("cosine") >= threshold)
@@ -208,21 +233,23 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     every = template_terms()
-    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, name, terms in every for t, n in terms.items())
+    values = ", ".join(f"({i}, '{name}', '{t}', {n}, {len(terms) if sum(terms.values()) < SHORT else 1})" for i, name, terms in every for t, n in terms.items())
+    places = ", ".join(f"({i}, {at}, '{t}', {len(words)})" for i, words in ((i, re.findall(_TERM, text.lower())) for i, (_, text) in enumerate(TEMPLATES)) for at, t in enumerate(words))
     return rf"""
 WITH files AS (SELECT doc_id, '/' || coalesce(source, 'none') || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '/' || coalesce(lang, 'none') ELSE '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 1000 AS VARCHAR) END AS dir, coalesce(text, '') AS text FROM documents),
-tt AS (SELECT * FROM (VALUES {values}) v(template, license, term, n)),
-lines AS (SELECT doc_id, pos, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM files))),
-lt AS (SELECT doc_id, pos, 0 AS part, unnest(terms) AS term FROM lines),
-wt AS (SELECT doc_id, -1 AS pos, 0 AS part, term FROM lt),
-rt AS (SELECT doc_id, pos, part, unnest(terms[(part - 1) * {SPAN // 2} + 1:(part - 1) * {SPAN // 2} + {SPAN}]) AS term FROM (SELECT doc_id, pos, terms, unnest(generate_series(1, CAST(ceil((len(terms) - {SPAN}) / {SPAN / 2}) AS INT) + 1)) AS part FROM lines WHERE len(terms) > {LONG_LINE})),
+tt AS (SELECT * FROM (VALUES {values}) v(template, license, term, n, least)),
+tp AS (SELECT * FROM (VALUES {places}) v(template, place, term, m)),
+lines AS MATERIALIZED (SELECT doc_id, pos, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM files))),
+lt AS MATERIALIZED (SELECT doc_id, pos, unnest(terms) AS term, unnest(generate_series(0, len(terms) - 1)) AS i FROM lines),
 n AS (SELECT count(*) AS n FROM lines),
 idf AS (SELECT term, ln((n + 1) / (coalesce(c, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN (SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, pos, term FROM lt) GROUP BY term) USING (term), n),
-tw AS (SELECT template, license, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS share FROM tt JOIN idf USING (term)),
-tf AS (SELECT doc_id, pos, part, term, count(*) AS tf FROM (SELECT * FROM lt UNION ALL SELECT * FROM wt UNION ALL SELECT * FROM rt) GROUP BY ALL),
-w AS (SELECT doc_id, pos, part, tf.term, tf * coalesce(idf, ln(n.n + 1.0) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
-norm AS (SELECT doc_id, pos, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-scored AS (SELECT doc_id, pos, part, license, round(sum(w * share) / any_value(norm), 6) AS cosine FROM w JOIN tw USING (term) JOIN norm USING (doc_id, pos, part) GROUP BY doc_id, pos, part, template, license HAVING cosine >= {THRESHOLD}),
+tw AS (SELECT template, license, term, least, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS share, sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template ORDER BY idf, term) / sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS reach FROM tt JOIN idf USING (term)),
+wins AS MATERIALIZED (SELECT DISTINCT doc_id, pos, template, i - place AS start, m FROM lt JOIN tp USING (term) JOIN (SELECT template, term FROM tw WHERE reach >= {THRESHOLD - 1e-9}) USING (template, term)),
+wt AS (SELECT wins.*, term FROM wins JOIN lt ON lt.doc_id = wins.doc_id AND lt.pos = wins.pos AND i >= start AND i < start + m),
+tf AS (SELECT doc_id, pos, start, template AS asked, term, count(*) AS tf FROM wt GROUP BY ALL UNION ALL SELECT doc_id, -1, 0, NULL, term, count(*) FROM lt GROUP BY doc_id, term),
+w AS (SELECT doc_id, pos, start, asked, tf.term, tf * coalesce(idf, ln(n.n + 1.0) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
+norm AS (SELECT doc_id, pos, start, asked, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+scored AS (SELECT w.doc_id, w.pos, license, round(sum(w * share) / any_value(norm), 6) AS cosine FROM w JOIN tw ON w.term = tw.term AND (asked IS NULL OR asked = template) JOIN norm ON norm.doc_id = w.doc_id AND norm.pos = w.pos AND norm.start = w.start AND norm.asked IS NOT DISTINCT FROM w.asked GROUP BY w.doc_id, w.pos, w.start, w.asked, template, license, least HAVING count(*) >= least AND cosine >= {THRESHOLD}),
 own AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM scored GROUP BY doc_id),
 lic AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM scored WHERE pos = -1 GROUP BY doc_id),
 sp AS (SELECT dir AS from_dir, arg_min(license, (-cosine, license, CAST(doc_id AS VARCHAR))) AS given FROM lic JOIN files USING (doc_id) GROUP BY dir),

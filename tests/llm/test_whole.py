@@ -113,3 +113,28 @@ def test_archives_of_a_hot_payload(spark):
     pages = spark.createDataFrame([(i, f"u{i}", [big, None, f"{big}{i}"][i % 3]) for i in range(600)], "page_id long, url string, html string")
     got = {x["page_id"]: x["refers_to"] for x in warc.decided(pages).select("page_id", "refers_to").collect()}
     assert got == {i: 597 if i % 3 == 0 and i != 597 else None for i in range(600)}
+
+
+def test_licence_headers_among_other_words(spark):
+    """A header with 0 to 40 rare words on either side is found; clean lines are not."""
+    from bidlake.llm import licenses
+
+    r = random.Random(15)
+
+    def rare(n):
+        return " ".join(f"q{r.randrange(10**7)}x" for _ in range(n))
+
+    headers = [("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."), ("Proprietary", "All rights reserved.")]
+    rows, want = [], {}
+    for a in (0, 4, 8, 12, 16, 17, 24, 40):
+        for b in (0, 1, 9, 18, 40):
+            for name, header in headers:
+                path = f"/p/{a}/{b}/{name}/f"
+                rows.append((path, f"{rare(a)} {header} {rare(b)}"))
+                want[path] = name
+    rows.append(("/long/f", f"{rare(3000)} {headers[0][1]} {rare(3000)}"))
+    want["/long/f"] = "Apache-2.0"
+    rows += [(f"/clean/{i}", f"the {rare(12)} rights of {rare(3)} version {rare(2)}\n{rare(30)} under the terms") for i in range(40)] + [("/clean/x", "the rights reserved by the members")]
+    got = {x["path"]: (x["license"], x["cosine"]) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    found = [p for p, name in want.items() if got[p][0] == name and got[p][1] > 0.99]
+    assert len(found) >= 0.95 * len(want) and not any(got[p][0] for p in got if p.startswith("/clean"))
