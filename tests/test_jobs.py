@@ -152,30 +152,86 @@ def test_feed_rules(spark):
     assert h[0][0] == h[1][0] and h[2][0] is None
 
 
-def test_replay_in_micro_batches_is_one_batch(spark, tmp_path):
+RECORD = "source_id long, external_id string, fetched_at timestamp, payload_hash string, error string, resolved string, settled string"
+
+
+def moment(n):
+    return pd.Timestamp(1_700_000_000 + n, unit="s").to_pydatetime()
+
+
+def run_ingest(spark, tmp_path, batches, **options):
+    """The changes of one run over batches of rows, a file each, and its progress."""
+    from bidlake.streaming import jobs
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, RECORD).coalesce(1).write.parquet(f"{tmp_path}/in/b{k:03d}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    s = spark.readStream.schema(RECORD).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = jobs.ingest(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out"), q.recentProgress
+
+
+def test_ingest_by_state(spark, tmp_path):
+    """Batches against the rules of one batch after the other; a second run of the stream
+    finds nothing new."""
     from bidlake.streaming import jobs
 
     r = random.Random(3)
-    schema = "source_id long, external_id string, fetched_at timestamp, payload_hash string, error string, resolved string"
-    rows = [(r.randrange(3), f"e{r.randrange(6)}", pd.Timestamp(1_700_000_000 + i, unit="s").to_pydatetime(), f"{r.randrange(3):064x}", None if r.random() < 0.8 else "BAD", "NORMALIZED") for i in range(90)]
-    stored = "source_id long, external_id string, payload_hash string, status string, fetched_at timestamp"
-    for k in range(3):
-        spark.createDataFrame(rows[k * 30 : k * 30 + 30], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
-    folder = f"file://{tmp_path}/table"
+    row = lambda i: (r.randrange(3), f"e{r.randrange(6)}", moment(i + r.randrange(-20, 20)), f"h{r.randrange(3)}", None if r.random() < 0.8 else "BAD", r.choice(["MATCHED", None]), r.choice([None] * 7 + ["PUBLISHED", "FAILED"]))
+    batches = [[row(40 * k + i) for i in range(40)] for k in range(4)]
+    changes, _ = run_ingest(spark, tmp_path, batches)
+    table, verdicts = {}, []
+    for batch in batches:
+        for key in {x[:2] for x in batch}:
+            mine = [x for x in batch if x[:2] == key]
+            for x in sorted((x for x in mine if x[6]), key=lambda x: x[2]):
+                if key in table:
+                    table[key] = (table[key][0], x[6], table[key][2])
+            fed = sorted((x for x in mine if not x[6]), key=lambda x: (-x[2].timestamp(), x[3]))
+            if fed:
+                incoming = spark.createDataFrame([fed[0][:6]], RECORD.removesuffix(", settled string"))
+                stored = spark.createDataFrame([(*key, *table[key])] if key in table else [], "source_id long, external_id string, payload_hash string, status string, fetched_at timestamp")
+                v = feed.ingest_verdicts(incoming, stored).first()
+                verdicts.append((*key, v["verdict"]))
+                if v["verdict"] in ("STAGED", "REJECTED", "NEEDS_REVIEW"):
+                    table[key] = (v["payload_hash"], v["status"], v["fetched_at"])
+    assert sorted((x["source_id"], x["external_id"], x["verdict"]) for x in changes.collect() if x["verdict"] != "SETTLED") == sorted(verdicts)
+    assert {(x["source_id"], x["external_id"]): (x["payload_hash"], x["status"], x["fetched_at"]) for x in jobs.record_table(changes).collect()} == table
+    n = changes.count()
+    assert run_ingest(spark, tmp_path, [])[0].count() == n
+
+
+def test_ingest_reads_no_history(spark, tmp_path):
+    """Over 50 batches, rows read and state asked for stay as they were at first."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        batches = [[(1, f"e{k}-{i}", moment(k), "h", None, None, None) for i in range(5)] for k in range(50)]
+        _, progress = run_ingest(spark, tmp_path, batches)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    some = [p for p in progress if p["numInputRows"]]
+    gets = [p["stateOperators"][0]["customMetrics"]["rocksdbGetCount"] for p in some]
+    assert len(some) == 50 and {p["numInputRows"] for p in some} == {5}
+    assert max(gets[-10:]) <= max(gets[:10]) + 5
+
+
+def test_claims_expire(spark, tmp_path):
+    """Claims, expiry by event and by timer, another claim, and a fourth one refused."""
+    from bidlake.streaming import jobs
+
+    minute = 60
+    events = [(1, 7, "claim", moment(0)), (2, 7, "claim", moment(5 * minute)), (3, 7, "claim", moment(16 * minute)), (4, 7, "fail", moment(17 * minute)), (5, 7, "claim", moment(18 * minute)), (6, 7, "done", moment(40 * minute)), (7, 7, "claim", moment(41 * minute)), (8, 8, "claim", moment(0)), (9, 8, "done", moment(minute)), (10, 8, "claim", moment(2 * minute)), (11, 9, "claim", moment(3 * minute))]
+    schema = "id long, job_id long, kind string, at timestamp"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    for k, some in enumerate((events[:4] + events[7:], events[4:7])):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
     s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = jobs.ingest(s, folder, stored, "first").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    newest = {}
-    for src, ext, at, h, *_ in rows:
-        newest[src, ext] = (at, h)
-    table = lambda: sorted(map(str, jobs.read_records(spark, folder, stored).collect()))
-    assert {(x["source_id"], x["external_id"]): x["payload_hash"] for x in jobs.read_records(spark, folder, stored).collect()} == {k: h for k, (_, h) in newest.items()}
-    before = table()
-    jobs.merge_batch(spark.createDataFrame(rows[60:], schema), folder, stored, "first", 2)  # a batch that was merged already
-    assert table() == before
-    later = [(0, "e0", pd.Timestamp(1_700_001_000, unit="s").to_pydatetime(), "f" * 64, None, "NORMALIZED")]
-    jobs.merge_batch(spark.createDataFrame(later, schema), folder, stored, "second", 0)  # another stream begins to count at 0
-    assert len(set(table()) - set(before)) == 1
+    jobs.claims(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((x["job_id"], x["at"], x["id"], x["verdict"]) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert [(i, v) for j, _, i, v in got if j == 7] == [(1, "GRANTED"), (2, "HELD"), (1, "EXPIRED"), (3, "GRANTED"), (4, "FAILED"), (5, "GRANTED"), (5, "EXPIRED"), (6, "STALE"), (7, "EXHAUSTED")]
+    assert [(i, v) for j, _, i, v in got if j == 8] == [(8, "GRANTED"), (9, "DONE"), (10, "FINISHED")]
+    assert [(i, v) for j, _, i, v in got if j == 9] == [(11, "GRANTED"), (11, "EXPIRED")]
 
 
 def test_merge_and_publish(spark, tmp_path):
@@ -232,6 +288,12 @@ def test_streams_of_repeats_and_rates(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/o").count() == 3
+    # Later than the watermark allows: the stream lets go of it.
+    for k, rows in enumerate(([(3, "z", "h", at(10_000))], [(3, "y", "h", at(100)), (3, "z", "h", at(10_001))])):
+        spark.createDataFrame(rows, events.schema).coalesce(1).write.parquet(f"{tmp_path}/late/b{k}")
+    late = jobs.drop_repeats(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late"))
+    late.writeStream.format("parquet").option("path", f"{tmp_path}/o2").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    assert [r["external_id"] for r in spark.read.parquet(f"{tmp_path}/o2").collect()] == ["z"]
     runs = spark.createDataFrame([(1, at(0), 3), (1, at(30), 4), (1, at(300), 5)], "source_id long, created_at timestamp, reserved int")
     rates = jobs.request_rates(runs).collect()
     assert max(x["reserved"] for x in rates) == 7 and sum(x["reserved"] == 5 for x in rates) == 6
