@@ -226,7 +226,21 @@ def quota_verdicts(requests: DataFrame, runs: DataFrame, sources: DataFrame, now
 
 def rate_usage(runs: DataFrame) -> DataFrame:
     """Adds minute_usage (reserved in the 60 seconds up to the run) and day_usage (requested
-    since UTC midnight up to it). runs: id, source_id, created_at, requested, reserved."""
-    minute = Window.partitionBy("source_id").orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    day = Window.partitionBy("source_id", F.to_date("created_at")).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("minute_usage", F.sum("reserved").over(minute)).withColumn("day_usage", F.sum("requested").over(day))
+    since UTC midnight up to it). runs: id, source_id, created_at, requested, reserved.
+
+    A source's runs are dealt by minute, so a source with most of the runs is many groups.  A
+    run counts for its own minute and the next; of the day's earlier minutes only their
+    sums are needed, a row per minute.
+    """
+    at = F.col("created_at").cast("timestamp")
+    rows = runs.withColumns({"__us": F.unix_micros(at), "__minute": F.floor(F.unix_micros(at) / 60_000_000), "__day": F.to_date("created_at"), "__own": F.lit(True)})
+    later = rows.where("__minute is not null").withColumns({"__minute": F.col("__minute") + 1, "__own": F.lit(False)})
+    group = Window.partitionBy("source_id", "__minute")
+    minute = group.orderBy("__us").rangeBetween(-60_000_000, 0)
+    own = group.orderBy(F.desc("__own"), "created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(later).withColumn("minute_usage", F.sum("reserved").over(minute)).withColumn("__within", F.sum("requested").over(own)).where("__own")
+    before = Window.partitionBy("source_id", "__day").orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source_id", "__day", "__minute").agg(F.sum("requested").alias("__sum")).select(F.col("source_id").alias("__source"), F.col("__minute").alias("__at"), F.sum("__sum").over(before).alias("__before"))
+    found = both.join(sums, F.col("source_id").eqNullSafe(F.col("__source")) & F.col("__minute").eqNullSafe(F.col("__at")), "left")
+    total = F.when(F.col("__within").isNotNull() | F.col("__before").isNotNull(), F.coalesce("__within", F.lit(0)) + F.coalesce("__before", F.lit(0)))
+    return found.select(*runs.columns, "minute_usage", total.alias("day_usage"))

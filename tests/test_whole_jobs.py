@@ -81,3 +81,29 @@ def test_contains_join_where_every_piece_is_common(spark, monkeypatch):
     got = {(x[0], x[1]) for x in search.contains_join(q, t, common=8).collect()}
     want = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(texts) if a in b}
     assert got == want and sum(seen) <= 3 * len(want)
+
+
+def test_rates_of_a_hot_source(spark):
+    """Half of all runs are of one source: its groups are minutes, and the sums are those of a loop."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from bidlake.sources import feed
+
+    r = random.Random(6)
+    start = datetime.datetime(2024, 3, 1, 23, 0)
+    rows = [(i, r.choice([1, 1, 1, 2, 3, None]), start + datetime.timedelta(seconds=r.randrange(7200)), r.randrange(9), r.choice([1, 2, None])) for i in range(600)]
+    runs = spark.createDataFrame(rows, "id long, source_id long, created_at timestamp, requested int, reserved int")
+    for key in ("spark.sql.adaptive.coalescePartitions.enabled",):
+        spark.conf.set(key, "false")
+    try:
+        got = feed.rate_usage(runs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    some = lambda v: sum(x for x in v if x is not None) if any(x is not None for x in v) else None
+    for x in got:
+        minute = [b[4] for b in rows if b[1] == x["source_id"] and 0 <= (x["created_at"] - b[2]).total_seconds() <= 60]
+        day = [b[3] for b in rows if b[1] == x["source_id"] and b[2].date() == x["created_at"].date() and (b[2], b[0]) <= (x["created_at"], x["id"])]
+        assert (x["minute_usage"], x["day_usage"]) == (some(minute), some(day))
+    assert len(got) == 600 and len({x["task"] for x in got if x["source_id"] == 1}) == 4
