@@ -249,13 +249,57 @@ def searchable_text(spark, sf):
     return i.select("item_id", text.alias("text"))
 
 
-@query("vector_topk", """SELECT query_id, item_id, rank, round(s, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)) WHERE rank <= 10""")
-def vector_topk(spark, sf):
+_NEAREST = """SELECT query_id, item_id, rank, round(s, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)) WHERE rank <= 10"""
+
+
+def _nearest(spark, sf, **options):
     e = Tables(spark, sf).raw("embeddings")
-    top = vectors.vector_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10)
+    top = vectors.vector_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, **options)
     return top.select("query_id", "item_id", "rank", F.round("similarity", 3).alias("similarity"))
 
 
+@query("vector_topk", _NEAREST)
+def vector_topk(spark, sf):
+    return _nearest(spark, sf)
+
+
+@query("vector_topk_cells", _NEAREST)
+def vector_topk_cells(spark, sf):
+    return _nearest(spark, sf, cells=16)
+
+
+def _measured(texts):
+    """Stands for an embedding model: a text's length and its counts of three letters."""
+    return [[float(len(t)), float(t.count("a")), float(t.count("e")), float(t.count("i"))] if len(t) % 13 else [float(len(t))] for t in texts]
+
+
+@query("semantic_index", f"""{over('library')}, now AS (SELECT item_id, is_active, name || ' | Model: ' || model_number AS t FROM library),
+was AS (SELECT item_id, sha256(CASE WHEN item_id % 4 = 0 THEN 'old ' || t ELSE t END) AS text_hash, item_id % 6 = 0 AS broken FROM now WHERE item_id % 5 <> 0 UNION ALL SELECT -item_id, sha256(t), false FROM now WHERE item_id % 50 = 0),
+j AS (SELECT coalesce(n.item_id, was.item_id) AS item_id, t, was.item_id AS w, text_hash, broken, n.item_id AS n FROM (SELECT * FROM now WHERE is_active) n FULL JOIN was ON was.item_id = n.item_id)
+SELECT item_id, CASE WHEN n IS NULL THEN 'REMOVED' WHEN text_hash = sha256(t) AND NOT broken THEN 'KEPT' WHEN length(t) % 13 = 0 THEN 'FAILED' WHEN w IS NULL THEN 'NEW' ELSE 'CHANGED' END AS state, CASE WHEN n IS NOT NULL THEN sha256(t) END AS text_hash,
+ CASE WHEN n IS NOT NULL AND length(t) % 13 > 0 THEN length(t) + len(regexp_extract_all(t, '[aei]')) WHEN text_hash = sha256(t) AND NOT broken THEN length(t) + len(regexp_extract_all(t, '[aei]')) END AS total FROM j""")
+def semantic_index(spark, sf):
+    """An index in which some items are missing, some are out of date, some have no valid vector
+    and some are gone from the library, brought up to date."""
+    k = F.col("item_id")
+    items = Tables(spark, sf).library().select("item_id", "is_active", F.concat("name", F.lit(" | Model: "), "model_number").alias("text"))
+    good = F.array(*[F.length(F.regexp_replace("text", f"[^{c}]", "")).cast("float") for c in "aei"])
+    vector = F.concat(F.array(F.length("text").cast("float")), good)
+    was = items.where("item_id % 5 <> 0").select("item_id", F.sha2(F.when(k % 4 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text")), 256).alias("text_hash"), F.when(k % 6 > 0, vector).alias("embedding"))
+    was = was.unionByName(items.where("item_id % 50 = 0").select((-k).alias("item_id"), F.sha2("text", 256).alias("text_hash"), vector.alias("embedding")))
+    index = vectors.refresh_index(items, was, 4, _measured)
+    return index.select("item_id", "state", "text_hash", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+@query("semantic_index_summary", f"""{over('library')}, now AS (SELECT item_id, name || ' | Model: ' || model_number AS t FROM library WHERE is_active)
+SELECT count(*) FILTER (WHERE item_id % 5 <> 0 OR length(t) % 13 > 0) AS indexed, count(*) FILTER (WHERE item_id % 5 = 0 AND length(t) % 13 = 0) AS failed, count(*) FILTER (WHERE item_id % 5 = 0 AND length(t) % 13 > 0) AS new, 0 AS changed, count(*) FILTER (WHERE item_id % 5 <> 0) AS kept, (SELECT count(*) FROM library WHERE NOT is_active AND item_id % 5 <> 0) AS removed FROM now""")
+def semantic_index_summary(spark, sf):
+    k = F.col("item_id")
+    items = Tables(spark, sf).library().select("item_id", "is_active", F.concat("name", F.lit(" | Model: "), "model_number").alias("text"))
+    was = items.where("item_id % 5 <> 0").select("item_id", F.sha2("text", 256).alias("text_hash"), F.array(*[F.lit(1.0).cast("float")] * 4).alias("embedding"))
+    return vectors.refresh_summary(vectors.refresh_index(items, was, 4, _measured))
+
+
 @query("pair_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def pair_cosine(spark, sf):
     e = Tables(spark, sf).raw("embeddings")

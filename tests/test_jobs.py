@@ -143,6 +143,44 @@ def test_vectors(spark):
     assert spark.range(1).select(vectors.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))).first()[0] == 0.0
 
 
+def test_only_changed_texts_are_embedded(spark, tmp_path):
+    def model(texts):
+        (tmp_path / f"{abs(hash(tuple(texts)))}").write_text("|".join(texts))
+        return [[1.0, 2.0] if t != "bad" else [1.0] for t in texts]
+
+    items = spark.createDataFrame([(1, True, "one"), (2, True, "two"), (3, False, "three"), (4, True, "bad"), (5, True, None)], "item_id long, is_active boolean, text string")
+    empty = spark.createDataFrame([], "item_id long, text_hash string, embedding array<float>")
+    first = vectors.refresh_index(items, empty, 2, model)
+    assert {(x["item_id"], x["state"]) for x in first.collect()} == {(1, "NEW"), (2, "NEW"), (4, "FAILED"), (5, "NEW")}
+    kept = spark.createDataFrame(first.collect(), first.schema)
+    for f in tmp_path.iterdir():
+        f.unlink()
+    again = items.withColumn("text", F.when(F.col("item_id") == 2, "deux").otherwise(F.col("text"))).where("item_id <> 1")
+    second = vectors.refresh_index(again, kept, 2, model)
+    assert {(x["item_id"], x["state"]) for x in second.collect()} == {(1, "REMOVED"), (2, "CHANGED"), (4, "FAILED"), (5, "KEPT")}
+    assert sorted(t for f in tmp_path.iterdir() for t in f.read_text().split("|")) == ["bad", "deux"]
+    assert vectors.refresh_summary(second).first().asDict() == {"indexed": 2, "failed": 1, "new": 0, "changed": 1, "kept": 1, "removed": 1}
+
+
+def test_tables_over_jdbc(spark):
+    """Two tables read in parallel from a database, filters and columns in its scan."""
+    from bidlake.sources.tables import read_table
+
+    url = "jdbc:derby:memory:bidlake;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    items = spark.range(1000).selectExpr("id AS ITEM_ID", "concat('item ', id) AS NAME", "id % 7 AS MAKER_ID")
+    makers = spark.range(7).selectExpr("id AS MAKER_ID", "concat('maker ', id) AS MAKER")
+    for name, df in (("ITEMS", items), ("MAKERS", makers)):
+        df.write.format("jdbc").options(url=url, dbtable=name, **driver).mode("overwrite").save()
+    got = read_table(spark, url, dbtable="ITEMS", partitionColumn="ITEM_ID", lowerBound="0", upperBound="1000", numPartitions="4", **driver)
+    assert got.rdd.getNumPartitions() == 4
+    some = got.where("MAKER_ID = 3 AND ITEM_ID < 500").select("NAME", "MAKER_ID")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(MAKER_ID,3)" in plan and "LessThan(ITEM_ID,500)" in plan
+    joined = some.join(read_table(spark, url, dbtable="MAKERS", **driver), "MAKER_ID").collect()
+    assert {(x["NAME"], x["MAKER"]) for x in joined} == {(f"item {i}", "maker 3") for i in range(500) if i % 7 == 3}
+
+
 def test_feed_rules(spark):
     rows = [("s", '{"name":"  A  ","identifiers":[{"identifierType":"GTIN_13","value":" 0123456789012 "},{"identifierType":"MPN","value":"  ds-2cd2143g0-i  "},{"identifierType":"GTIN_13","value":"0123456789012"}],"manufacturerName":"H"}'), ("s", '{"name":"   "}'), ("s", '{"name":"x","identifiers":[{"identifierType":"MPN","value":"1"}]}'), ("s", '{"name":"x","type":"gift"}'), ("s", "[]")]
     got = feed.normalize_payload(spark.createDataFrame(rows, "source_id string, payload string")).collect()

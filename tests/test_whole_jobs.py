@@ -107,3 +107,24 @@ def test_rates_of_a_hot_source(spark):
         day = [b[3] for b in rows if b[1] == x["source_id"] and b[2].date() == x["created_at"].date() and (b[2], b[0]) <= (x["created_at"], x["id"])]
         assert (x["minute_usage"], x["day_usage"]) == (some(minute), some(day))
     assert len(got) == 600 and len({x["task"] for x in got if x["source_id"] == 1}) == 4
+
+
+def test_nearest_vectors_by_cells(spark):
+    """Clustered vectors with filters, ties, repeats and vectors without length: the rows of all
+    pairs, from less than half of them."""
+    import numpy as np
+
+    from bidlake.operators import vectors
+
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(12, 8)) * 3
+    made = [(int(i), [float(x) for x in centres[i % 12] + r.normal(size=8) * 0.3], "ab"[i % 2]) for i in range(600)]
+    made += [(600 + i, made[i][1], "a") for i in range(20)] + [(700, [0.0] * 8, "a"), (701, [0.0] * 8, "b")]
+    items = spark.createDataFrame(made, "item_id long, vector array<double>, type string")
+    asked = [(i, v, None if i % 3 else "a") for i, v, _ in made[::25]] + [(9000, [0.0] * 8, "b"), (9001, [float(x) for x in -centres[0]], "zz")]
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>, type string")
+    rows = lambda df: sorted((x["query_id"], x["rank"], x["item_id"], round(x["similarity"], 9)) for x in df.collect())
+    for k in (3, 80):
+        assert rows(vectors.vector_topk(q, items, k, ["type"], cells=12)) == rows(vectors.vector_topk(q, items, k, ["type"], cells=0))
+    plain = q.where("type is null")
+    assert vectors.compared_share(plain, items, 3, 12) < 0.5
