@@ -1,8 +1,9 @@
 """Sales requests in words: what they ask for, and which customer and items they mean.
 
 A request is cut into segments and these into words; each word is of a kind that has a
-letter, so a segment is a short string of kinds, as long as it has words.  What is asked
-is read off the order of the kinds, and off the words at the same places.
+letter.  A mention begins behind a word that opens one and ends before the nearest that
+closes it, both found by their places.  The scope follows from a few facts about the
+whole request: which works it names, and which of them stand side by side.
 """
 
 from __future__ import annotations
@@ -40,11 +41,8 @@ KINDS = {
     "A": "and",
     "E": ": = -",
 }
-#: Scope by the first kinds that a request has.
-SCOPES = [
-    ("SUPPLY_AND_INSTALLATION", "SAI|H[Ii]|s.*i|i.*s"), ("SUPPLY_ONLY", "[Ss]O"), ("INSTALLATION_ONLY", "IO"), ("MAINTENANCE", "M"),
-    ("CONSULTATION", "G"), ("SERVICE", "R"), ("INSTALLATION_ONLY", "[Ii]"), ("SUPPLY_ONLY", "[Ss]"),
-]
+#: Works that are named by any word which holds the stem: plurals and compounds.
+STEMS = {"S": "supply", "I": "installation", "M": "maintenance صيانة", "G": "consultation استشارة", "R": "service خدمة", "s": "وريد", "i": "ركيب"}
 SERVICES, ENDS = "IiMR", "SsIiMRE"
 
 
@@ -52,12 +50,13 @@ def _kind(word: Column) -> Column:
     """The letter of a word: N for a number, W for any word that tells nothing."""
     known = F.create_map(*[F.lit(x) for letter, words in KINDS.items() for w in words.split() for x in (w, letter)])
     bare = F.regexp_replace(word, "^و?(?:ال|لل)?", "")
-    return F.when(word.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "N").otherwise(F.coalesce(F.try_element_at(known, word), F.try_element_at(known, bare), F.lit("W")))
+    held = [F.when(F.contains(word, F.lit(stem)), letter) for letter, stems in STEMS.items() for stem in stems.split()]
+    return F.when(word.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "N").otherwise(F.coalesce(F.try_element_at(known, word), F.try_element_at(known, bare), *held, F.lit("W")))
 
 
 def _segments(requests: DataFrame) -> DataFrame:
-    """Adds no, segment, words and kinds: a row per segment, one without for a request
-    that has none."""
+    """Adds no, segment, words, kinds and their array: a row per segment, one without for a
+    request that has none."""
     parts = F.filter(F.transform(F.split(trim_u("text"), r"[\n;,،]+"), trim_u), lambda s: s != "")
     rows = requests.select("*", F.posexplode_outer(F.slice(parts, 1, MAX_LINES)).alias("no", "segment"))
     glued = "|".join(w for letter in "UC" for w in KINDS[letter].split() if w.isascii())
@@ -65,7 +64,7 @@ def _segments(requests: DataFrame) -> DataFrame:
     spaced = F.regexp_replace(spaced, rf"(?i)(?<=[0-9])(?=(?:{glued})\b)|(?<=\S)(?=[:=](?:\s|$))", " ")
     rows = rows.withColumn("words", F.coalesce(F.split(spaced, r"(?U)\s+"), F.array().cast("array<string>")))
     plain = F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"(?<=.)[.!?:=]+$", "")))
-    return rows.withColumn("plain", plain).withColumn("kinds", F.array_join(F.transform("plain", _kind), ""))
+    return rows.withColumn("plain", plain).withColumn("each", F.transform("plain", _kind)).withColumn("kinds", F.array_join("each", ""))
 
 
 def _found(kinds: str, before: str, inside: str, after: str = "") -> tuple[Column, Column]:
@@ -76,6 +75,36 @@ def _found(kinds: str, before: str, inside: str, after: str = "") -> tuple[Colum
     return F.when(size > 0, F.length(F.regexp_extract(kinds, whole, 1))), size
 
 
+def _is(i: Column, kinds: str) -> Column:
+    return F.coalesce(F.get(F.col("each"), i).isin(*kinds), F.lit(False))
+
+
+def _between(s: DataFrame, name: str, opens, closes) -> DataFrame:
+    """Adds <name>_at and <name>: where the words behind the first that opens begin, and how many
+    they are up to the nearest that closes, at least one; null and 0 if there are none."""
+    n = F.size("each")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at, end = f"{name}_at", F.col(f"{name}_at")
+    s = s.withColumn(at, F.array_min(F.filter(places, lambda i: (i + 1 < n) & opens(i))) + 1)
+    return s.withColumn(name, F.when(end.isNotNull(), F.coalesce(F.array_min(F.filter(places, lambda i: (i > end) & closes(i))), n) - end).otherwise(0))
+
+
+def _scope(each: str) -> Column:
+    """The scope by what the request names: works together before one of them only, that before
+    works of other kinds, and these before installation and supply alone."""
+    row = F.col(each)
+    beside = F.zip_with(row, F.slice(row, 2, F.size(row)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    named = lambda kinds: F.arrays_overlap(row, F.array(*map(F.lit, kinds)))
+    side = lambda *pairs: F.arrays_overlap(beside, F.array(*map(F.lit, pairs)))
+    linked = F.exists(F.zip_with(beside, F.slice(row, 3, F.size(row)), lambda ab, c: (ab == "SA") & (c == "I")), lambda x: x)
+    facts = {
+        "SUPPLY_AND_INSTALLATION": [(4, linked | side("HI", "Hi") | (named("s") & named("i")))], "SUPPLY_ONLY": [(3.5, side("SO", "sO")), (0.5, named("Ss"))],
+        "INSTALLATION_ONLY": [(3, side("IO")), (1, named("Ii"))], "MAINTENANCE": [(2.5, named("M"))], "CONSULTATION": [(2, named("G"))], "SERVICE": [(1.5, named("R"))],
+    }
+    claims = F.array(*[F.when(F.coalesce(fact, F.lit(False)), F.struct(F.lit(float(weight)).alias("weight"), F.lit(scope).alias("scope"))) for scope, some in facts.items() for weight, fact in some])
+    return F.array_max(claims)["scope"]
+
+
 def _said(at: Column, size: Column) -> Column:
     words = F.array_join(F.slice("words", F.coalesce(at, F.lit(0)) + 1, size), " ")
     return F.when(at.isNotNull() & (F.length(words) <= MAX_MENTION), words)
@@ -92,12 +121,15 @@ def extract_intents(requests: DataFrame) -> DataFrame:
     s = _segments(requests.select("request_id", "locale", "text"))
     arabic = F.col("locale") == "ar"
     # Whom it is for: behind "quotation for" first, behind "customer" where that says nothing.
-    first = {c: F.when(arabic, a).otherwise(e) for c, a, e in zip(("at", "size"), _found("kinds", "(?:QP?[FK]|K)", ".+?", f"(?=[N{ENDS}]|$)"), _found("kinds", "QP?F", ".+?", f"(?=[{ENDS}]|NU|$)"), strict=True)}
-    second = dict(zip(("at", "size"), _found("kinds", "K", ".+?", "(?=[DNE]|$)"), strict=True))
-    s = s.withColumns({"m1_at": first["at"], "m1": first["size"], "m2_at": F.when(~arabic, second["at"]), "m2": second["size"]})
+    quoted = lambda i: _is(i - 1, "Q") | (_is(i - 1, "P") & _is(i - 2, "Q"))
+    opens = lambda i: (_is(i, "F") & quoted(i)) | (arabic & _is(i, "K"))
+    closes = lambda i: _is(i, ENDS) | (_is(i, "N") & (arabic | _is(i + 1, "U")))
+    s = _between(s, "m1", opens, closes)
+    s = _between(s, "m2", lambda i: ~arabic & _is(i, "K"), lambda i: _is(i, "DNE"))
     s = s.withColumn("mention1", _said(F.col("m1_at"), F.col("m1"))).withColumn("mention2", _said(F.col("m2_at"), F.col("m2")))
     of = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("no", c))).alias(c)
-    asked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "kinds"))), lambda x: x["kinds"]), "|")
+    # Segments in order, with a stop behind each, so that words of two aren't side by side.
+    asked = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "each"))), lambda x: F.concat(x["each"], F.array(F.lit("|")))))
     money = F.get(F.col("plain"), F.length(F.regexp_extract("kinds", "^(.*?)C", 1)))
     s = s.withColumn("money", F.when(F.contains("kinds", F.lit("C")), F.when(money == "د.ك", "KWD").otherwise(F.upper(money))))
     # How many, and for how much: a number behind a price word is a price.
@@ -108,7 +140,7 @@ def extract_intents(requests: DataFrame) -> DataFrame:
     per = F.struct("no", "segment", "words", "kinds", "lead", "m1_at", "m1", "m2_at", "m2", "p_from", F.when(F.col("p_at").isNotNull(), F.col("p")).alias("p"), "q_at", "unit", number("q_at").alias("quantity"), number("p_at").alias("price"), F.when(F.col("unit").isin("U", "T"), F.get(F.col("words"), F.col("q_at") + 1)).alias("unit_text"))
     g = s.groupBy("request_id", "locale").agg(of("mention1"), of("mention2"), asked.alias("asked"), of("money"), F.collect_list(F.when(F.col("segment").isNotNull(), per)).alias("per"))
     g = g.withColumn("customer_mention", F.coalesce("mention1.mention1", "mention2.mention2")).withColumn("m_no", F.coalesce("mention1.no", "mention2.no"))
-    scope = F.coalesce(*[F.when(F.col("asked").rlike(kinds), name) for name, kinds in SCOPES])
+    scope = _scope("asked")
 
     # The text of a line: the words that are not the request, the mention, the price, or a
     # number the line begins with.

@@ -74,8 +74,8 @@ def translation_write_back(spark, sf):
 
 def _requests(t: Tables):
     p, k = t.raw("part"), F.col("p_partkey")
-    en = F.concat(F.lit("Create a quotation for Customer "), F.char(k % 26 + 65), F.lit(" supply only "), k % 50 + 1, F.lit(" units "), "p_name", F.lit(" at "), F.col("p_size"), F.lit(" KWD; "), k % 7 + 2, F.lit(" pcs service of "), F.col("p_name"))
-    ar = F.concat(F.lit("اعمل عرض سعر لشركة الكويت "), F.lit("5 كاميرات "), F.col("p_name"), F.lit(" بسعر "), F.col("p_size"), F.lit(" د.ك مع التركيب"))
+    en = F.concat(F.lit("Create a quotation for Customer "), F.char(k % 26 + 65), F.lit(" supply only "), k % 50 + 1, F.lit(" units "), "p_name", F.lit(" at "), F.col("p_size"), F.lit(" KWD; "), k % 7 + 2, F.lit(" pcs "), F.when(k % 3 == 0, "services of ").otherwise("service of "), F.col("p_name"))
+    ar = F.concat(F.lit("اعمل عرض سعر لشركة الكويت "), F.lit("5 كاميرات "), F.col("p_name"), F.lit(" بسعر "), F.col("p_size"), F.when(k % 8 == 0, " د.ك مع التركيبات").otherwise(" د.ك مع التركيب"))
     return p.select(k.alias("request_id"), (k % 25).cast("int").alias("company_id"), F.when(k % 4 == 0, "ar").otherwise("en").alias("locale"), F.when(k % 4 == 0, ar).otherwise(en).alias("text"), "p_name")
 
 

@@ -370,3 +370,18 @@ def test_request_readings(spark):
     assert got[3]["customer_mention"] == "النور" and got[3]["currency_code"] == "KWD" and (got[3]["lines"][0]["quantity"], got[3]["lines"][0]["price"]) == (7, 20)
     assert got[4]["lines"][0]["price"] == 99 and got[4]["lines"][0]["quantity"] is None and got[4]["lines"][1]["quantity"] == 4
     assert got[5]["customer_email"] == "a@b.co" and len(got[5]["lines"]) == 20 and got[6]["scope_type"] == "CONSULTATION"
+
+
+def test_works_in_plural_and_compounds(spark):
+    """(text, scope, types): works named by any form of their words; what stands in two segments is
+    not side by side."""
+    asked = [
+        ("en", "cleaning services", "SERVICE", ["SERVICE"]), ("en", "3 installations of cameras", "INSTALLATION_ONLY", ["SERVICE"]), ("en", "reinstallation only", "INSTALLATION_ONLY", ["SERVICE"]),
+        ("en", "supply and installation of 2 units doors", "SUPPLY_AND_INSTALLATION", ["SERVICE"]), ("en", "supply; installation", "INSTALLATION_ONLY", ["PRODUCT", "SERVICE"]), ("en", "supply only; services", "SUPPLY_ONLY", ["PRODUCT", "SERVICE"]),
+        ("en", "maintenances, consultations", "MAINTENANCE", ["SERVICE", "PRODUCT"]), ("ar", "توريدات وتركيبات", "SUPPLY_AND_INSTALLATION", ["SERVICE"]), ("en", "ten doors", None, ["PRODUCT"]), ("en", None, None, []),
+    ]
+    rows = [(i, *a[:2]) for i, a in enumerate(asked)] + [(100, "en", "Quotation price for Blue Sky services; 4 doors"), (101, "en", "customer"), (102, "en", "quote for")]
+    got = {r["request_id"]: r for r in requests.extract_intents(spark.createDataFrame(rows, "request_id int, locale string, text string")).collect()}
+    for i, (_, _, scope, types) in enumerate(asked):
+        assert (got[i]["scope_type"], [x["type"] for x in got[i]["lines"]]) == (scope, types), asked[i]
+    assert got[100]["customer_mention"] == "Blue Sky" and got[101]["customer_mention"] is None and got[102]["customer_mention"] is None
