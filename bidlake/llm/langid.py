@@ -6,8 +6,10 @@ probability for each language; a document's probabilities are the means over all
 positions of its whole text, in lower case.  The units squash by x / (1 + |x|), which
 costs a fraction of a hyperbolic tangent and has as simple a derivative.
 
-Every label value that the sample's documents have is learned; the model and the sample
-grow with the number of languages, not with the corpus.
+The LANGUAGES most frequent label values are learned; the model and the sample grow with their
+number, not with the corpus.  On request a class of no language is learned too, from
+the sample's texts with their characters in random order, and a bound for it that hardly any
+held-out document reaches.
 
 Defined results: a null text or one without any letter is ``und`` with score 0;
 documents without a label are predicted but not learned from; an empty table, or
@@ -31,6 +33,10 @@ from .common import small_batches
 #: The sample: about so many documents of each language, so many places in each
 #: text, so many characters at each place.
 SAMPLE_DOCS, PLACES, CHARS = 600, 3, 200
+#: Label values that are learned at most: the sample is on the driver.
+LANGUAGES = 100
+#: The class of no language, and the share of a text's positions below which it never goes.
+NONE, LEAST_NONE = "", 0.5
 HIDDEN, SEGMENT, LANES = 16, 128, 2048
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
 
@@ -54,6 +60,7 @@ class Network:
 
     languages: list[str]
     p: dict[str, np.ndarray]
+    none_limit: float = 1.0  # a document of which more is of no language isn't in one
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int = HIDDEN, seed: int = SEED) -> Network:
@@ -160,8 +167,13 @@ class Network:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, mean probability) of each whole text."""
-        if not self.languages:
-            return [("und", 0.0)] * len(texts)
+        return [(language, score) for language, score, _ in self.judged(texts)]
+
+    def judged(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, mean probability, that of no language) of each whole text."""
+        real = [k for k, x in enumerate(self.languages) if x != NONE]
+        if not real:
+            return [("und", 0.0, 0.0)] * len(texts)
         data = [t.lower().encode() if t and any(map(str.isalpha, t)) else b"" for t in texts]
         total = np.zeros((len(texts), len(self.languages)))
         rows, owners = [], []
@@ -172,10 +184,10 @@ class Network:
             while len(rows) >= LANES or rows and i == len(data) - 1:
                 self._add(rows[:LANES], owners[:LANES], total)
                 rows, owners = rows[LANES:], owners[LANES:]
-        sizes = np.array([max(1, len(d)) for d in data])
-        total /= sizes[:, None]
-        best = total.argmax(1)
-        return [(self.languages[k], float(min(1.0, total[i, k]))) if data[i] else ("und", 0.0) for i, k in enumerate(best.tolist())]
+        total /= np.array([max(1, len(d)) for d in data])[:, None]
+        best = total[:, real].argmax(1)
+        none = total[:, self.languages.index(NONE)] if NONE in self.languages else np.zeros(len(texts))
+        return [(self.languages[real[k]], float(min(1.0, total[i, real[k]])), float(none[i])) if data[i] else ("und", 0.0, 0.0) for i, k in enumerate(best.tolist())]
 
     def _add(self, rows: list[bytes], owners: list[int], total: np.ndarray) -> None:
         np.add.at(total, owners, self.summed(*padded(rows, SEGMENT)))
@@ -226,32 +238,48 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH
     return net
 
 
-def fit(docs: DataFrame) -> Network:
-    """Learns from a bounded sample: of each language about SAMPLE_DOCS different documents
-    that are not held out, chosen by a hash of id and text."""
-    usable = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and id is not null").where(~held_out(F.col("id")))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+def sampled(labelled: DataFrame) -> list[tuple[str, str, list[str]]]:
+    """(language, id, texts): of each of the LANGUAGES most frequent label values about
+    SAMPLE_DOCS different documents, chosen by a hash of id and text."""
+    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r[0]: r[1] for r in top.collect()}
     if not counts:
-        return train([])
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, SAMPLE_DOCS / n))])[F.col("lang")]
-    chosen = usable.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share * (1 << 20))
+        return []
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, SAMPLE_DOCS / n))])
+    chosen = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
     places = [F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - CHARS)) + 1).cast("int"), F.lit(CHARS)) for k in range(PLACES)]
     rows = chosen.select("id", "lang", F.array(*places).alias("texts")).distinct().collect()
-    rows.sort(key=lambda r: (r["lang"], r["id"], r["texts"]))
-    return train([(t, r["lang"]) for r in rows for t in r["texts"]])
+    return sorted((r["lang"], r["id"], r["texts"]) for r in rows)
+
+
+def fit(docs: DataFrame, none: bool = False) -> Network:
+    """Learns from a bounded sample of the labelled documents that are not held out; with
+    ``none`` a class of no language too, whose limit is the most that a sample of
+    held-out documents has, LEAST_NONE at least."""
+    labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
+    samples = [(t, lang) for lang, _, texts in sampled(labelled.where(~held_out(F.col("id")))) for t in texts]
+    if not none or not samples:
+        return train(samples)
+    r = np.random.default_rng(SEED)
+    order = r.permutation(len(samples))[: -(-len(samples) // len({lang for _, lang in samples}))]
+    mixed = ["".join(np.array(list(samples[i][0]))[r.permutation(len(samples[i][0]))].tolist()) if samples[i][0] else "" for i in order]
+    net = train(samples + [(t, NONE) for t in mixed])
+    apart = [" ".join(texts) for _, _, texts in sampled(labelled.where(held_out(F.col("id"))))]
+    net.none_limit = max([LEAST_NONE, *(x[2] for x in net.judged(apart))])
+    return net
 
 
-_PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+_PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("none", T.DoubleType())])
 
 
 def predictor(spark: SparkSession, net: Network):
-    """A column function text -> (lang_pred, score)."""
+    """A column function text -> (lang_pred, score, none)."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf(_PREDICTION)
     def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(shared.value.documents(text.tolist()), columns=["lang_pred", "score"])
+        return pd.DataFrame(shared.value.judged(text.tolist()), columns=["lang_pred", "score", "none"])
 
     return predict
 
