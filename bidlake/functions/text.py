@@ -20,6 +20,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfc_all(texts: pd.Series) -> pd.Series:
+    """Canonical composition of all texts of an array, in one call."""
+    return texts.map(lambda a: [x if x is None else unicodedata.normalize("NFC", x) for x in a], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition."""
@@ -42,6 +48,12 @@ def clean_text(c) -> Column:
     return squeeze(F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(nfc(c)))
 
 
+def composed(texts: Column) -> Column:
+    """An array of texts in NFC; the helper sees only arrays with a text beyond ASCII."""
+    plain = F.forall(texts, lambda x: x.isNull() | x.rlike(r"^\p{ASCII}*$"))
+    return F.when(plain, texts).otherwise(nfc_all(F.when(~plain, texts)))
+
+
 def clean_code(c) -> Column:
     return F.upper(clean_text(c))
 

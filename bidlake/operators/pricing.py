@@ -61,9 +61,12 @@ def visible_tax_rates(tenants: DataFrame, tax_rates: DataFrame) -> DataFrame:
     display order: system first, then by name."""
     active = tax_rates.where("is_active")
     own = tenants.select("company_id").join(active, "company_id")
-    # Every company sees every shared rate.
-    shared = active.where("company_id is null and is_system").drop("company_id").withColumn("__all", F.lit(1))
-    out = own.unionByName(tenants.select("company_id", F.lit(1).alias("__all")).join(shared, "__all").select(*own.columns))
+    # Every company sees every shared rate: by nature a row for each pair, in as many tasks
+    # as there are companies dealt by a hash, each with the shared rates once.
+    deals = int(tenants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = active.where("company_id is null and is_system").drop("company_id").withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    dealt = tenants.select("company_id", F.pmod(F.xxhash64("company_id"), F.lit(deals)).cast("int").alias("__deal"))
+    out = own.unionByName(dealt.join(shared, "__deal").select(*own.columns))
     order = Window.partitionBy("company_id").orderBy(F.desc("is_system"), "name", "tax_rate_id")
     return out.withColumn("position", F.row_number().over(order))
 

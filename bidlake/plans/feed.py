@@ -97,11 +97,11 @@ def merge_ingestion(spark, sf):
     return S.merge_ingestion(stored, S.ingest_verdicts(incoming, stored)).select("source_id", "external_id", "payload_hash", "status")
 
 
-@query("merge_by_key", "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(s_name, c_name) AS name, CASE WHEN s_name IS NULL THEN c_nationkey ELSE CASE WHEN c_name IS NOT NULL THEN 0 ELSE s_nationkey END END AS n FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN supplier ON c_custkey = s_suppkey")
+@query("merge_by_key", "SELECT coalesce(c_custkey, s_suppkey * 2) AS k, coalesce(s_name, c_name) AS name, CASE WHEN s_name IS NULL THEN c_nationkey ELSE CASE WHEN c_name IS NOT NULL THEN 0 ELSE s_nationkey END END AS n FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2")
 def merge_tables(spark, sf):
     t = Tables(spark, sf)
-    old = t.raw("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
-    return merge_by_key(old, t.raw("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("n")), ["k"], {"n": 0})
+    old = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
+    return merge_by_key(old, t.raw("supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("n")), ["k"], {"n": 0})
 
 
 @query("ingestion_summary", "SELECT user_id AS batch_id, count(*) AS processed, count(*) FILTER (WHERE event_type = 'click') AS published, count(*) FILTER (WHERE event_type = 'view') AS needs_review, count(*) FILTER (WHERE event_type = 'error') AS rejected, count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'error')) AS failed FROM events GROUP BY 1")

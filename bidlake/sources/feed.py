@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_unit, clean_code, clean_text, normalize_identifier, squeeze, trim_u
+from ..functions.text import canonical_unit, composed, normalize_identifier, squeeze, trim_u
 from .tables import merge_by_key
 
 #: The fields kept of a record, and the allowed names.
@@ -88,44 +88,64 @@ _RAW = """struct<name:string,nameAr:string,nameEn:string,description:string,desc
 familyName:string,familyCode:string,modelNumber:string,variantName:string,identifiers:array<struct<identifierType:string,value:string>>,aliases:array<struct<alias:string,locale:string,aliasType:string>>,attributes:array<struct<code:string,name:string,dataType:string,unit:string,value:variant>>>"""
 
 
-def _first_by(items: Column, key) -> Column:
-    """The items whose key has not come before, in order."""
-    keys = F.transform(items, key)
+def _first_by(items: str, keys: str) -> Column:
+    """The items whose key has not come before, in order; both are array columns."""
     return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
+_TEXTS = ("name", "nameAr", "nameEn", "description", "descriptionAr", "descriptionEn", "categoryName", "manufacturerName", "brandName", "familyName", "modelNumber", "variantName")
+_CODES = ("categoryCode", "manufacturerCode", "brandCode", "familyCode")
+
+
 def normalize_payload(records: DataFrame) -> DataFrame:
     """records: source_id, payload (JSON), ...  Adds data (struct) and error: the first of
-    name, type, identifiers, aliases, attributes that is wrong; data is null then."""
+    name, type, identifiers, aliases, attributes that is wrong; data is null then.
+
+    Each step is a projection of its own: all texts are composed in one call, entries of the
+    arrays are folded once before rules ask for them, and so are the keys that tell repeats."""
     r = F.from_json("payload", _RAW)
     d = records.withColumn("__r", r)
     g = lambda f: F.col(f"__r.{f}")
-    text = {f: clean_text(g(f)) for f in ("name", "nameAr", "nameEn", "description", "descriptionAr", "descriptionEn", "categoryName", "manufacturerName", "brandName", "familyName", "modelNumber", "variantName")}
-    codes = {f: clean_code(g(f)) for f in ("categoryCode", "manufacturerCode", "brandCode", "familyCode")}
-    d = d.withColumn("__t", F.struct(*[v.alias(k) for k, v in {**text, **codes}.items()]))
+    d = d.withColumn("__c", composed(F.array(*[g(f) for f in (*_TEXTS, *_CODES)])))
+    cleaned = {f: squeeze(F.get("__c", F.lit(i))) for i, f in enumerate((*_TEXTS, *_CODES))}
+    d = d.withColumn("__t", F.struct(*[(F.upper(v) if f in _CODES else v).alias(f) for f, v in cleaned.items()]))
     t = lambda f: F.col(f"__t.{f}")
     upper = lambda c: F.upper(trim_u(c))
     name = F.coalesce(t("name"), t("nameEn"), t("nameAr"))
     kind = F.when(F.coalesce(g("type"), F.lit("")) == "", "PRODUCT").otherwise(upper(g("type")))
     maker = F.coalesce(t("manufacturerCode"), t("manufacturerName"))
+    listed = lambda f, kinds: F.coalesce(g(f), F.expr("array()").cast(f"array<struct<{kinds}>>"))
+
+    folded = F.transform(listed("identifiers", "identifierType:string,value:string"), lambda x: F.struct(upper(x["identifierType"]).alias("type"), x["value"].alias("value"), trim_u(x["value"]).alias("raw")))
 
     def identifier(x):
-        n = normalize_identifier(upper(x["identifierType"]), x["value"], maker, F.col("source_id").cast("string"))
-        return F.struct(upper(x["identifierType"]).alias("type"), trim_u(x["value"]).alias("raw"), n["value"].alias("value"), n["error"].alias("error"))
+        n = normalize_identifier(x["type"], x["value"], maker, F.col("source_id").cast("string"))
+        return F.struct(x["type"].alias("type"), x["raw"].alias("raw"), n.alias("n"))
 
-    ids = F.transform(F.coalesce(g("identifiers"), F.expr("array()").cast("array<struct<identifierType:string,value:string>>")), identifier)
-    locale = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.lit(None)).when(upper(x).isin("EN", "ENGLISH"), "EN").when(upper(x).isin("AR", "ARABIC"), "AR").otherwise("?")
+    ids = F.transform(F.transform(folded, identifier), lambda x: F.struct(x["type"].alias("type"), x["raw"].alias("raw"), x["n"]["value"].alias("value"), x["n"]["error"].alias("error")))
     typed = lambda x, default, known: F.when(F.coalesce(x, F.lit("")) == "", default).when(upper(x).isin(*known), upper(x)).otherwise("?")
-    al = F.transform(F.filter(F.coalesce(g("aliases"), F.expr("array()").cast("array<struct<alias:string,locale:string,aliasType:string>>")), lambda x: squeeze(x["alias"]).isNotNull()), lambda x: F.struct(squeeze(x["alias"]).alias("alias"), locale(x["locale"]).alias("locale"), typed(x["aliasType"], "SYNONYM", ALIAS_TYPES).alias("type")))
+    named = F.transform(listed("aliases", "alias:string,locale:string,aliasType:string"), lambda x: F.struct(squeeze(x["alias"]).alias("alias"), upper(x["locale"]).alias("locale"), typed(x["aliasType"], "SYNONYM", ALIAS_TYPES).alias("type")))
+    locale = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.lit(None)).when(x.isin("EN", "ENGLISH"), "EN").when(x.isin("AR", "ARABIC"), "AR").otherwise("?")
+    al = F.transform(F.filter(named, lambda x: x["alias"].isNotNull()), lambda x: F.struct(x["alias"].alias("alias"), locale(x["locale"]).alias("locale"), x["type"].alias("type")))
+
+    coded = F.transform(
+        listed("attributes", "code:string,name:string,dataType:string,unit:string,value:variant"),
+        lambda x: F.struct(F.upper(squeeze(x["code"])).alias("code"), squeeze(x["name"]).alias("name"), typed(x["dataType"], "STRING", DATA_TYPES).alias("dataType"), F.coalesce(F.schema_of_variant(x["value"]), F.lit("VOID")).alias("holds"), F.to_json(x["value"]).alias("value"), squeeze(x["unit"]).alias("unit")),
+    )
 
     def attribute(x):
-        kind, v = typed(x["dataType"], "STRING", DATA_TYPES), F.coalesce(F.schema_of_variant(x["value"]), F.lit("VOID"))
+        kind, v = x["dataType"], x["holds"]
         number = v.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
         fits = F.when(kind.isin("NUMBER", "DECIMAL"), number).when(kind == "BOOLEAN", v == "BOOLEAN").when(kind.isin("STRING", "SELECT"), v == "STRING").when(kind == "JSON", v.startswith("OBJECT")).otherwise(False)
-        return F.struct(F.upper(squeeze(x["code"])).alias("code"), squeeze(x["name"]).alias("name"), kind.alias("dataType"), F.to_json(x["value"]).alias("value"), canonical_unit(squeeze(x["unit"])).alias("unit"), fits.alias("fits"))
-
-    at = F.transform(F.filter(F.coalesce(g("attributes"), F.expr("array()").cast("array<struct<code:string,name:string,dataType:string,unit:string,value:variant>>")), lambda x: squeeze(x["code"]).isNotNull()), attribute)
-    d = d.withColumn("__i", ids).withColumn("__a", al).withColumn("__v", _first_by(at, lambda x: x["code"]))
+        return F.struct(x["code"].alias("code"), x["name"].alias("name"), kind.alias("dataType"), x["value"].alias("value"), canonical_unit(x["unit"]).alias("unit"), fits.alias("fits"))
+
+    at = F.transform(F.filter(coded, lambda x: x["code"].isNotNull()), attribute)
+    d = d.withColumns({"__i": ids, "__a": al, "__w": at})
+    d = d.withColumns({
+        "__ik": F.transform("__i", lambda x: F.concat_ws(":", x["type"], x["value"])), "__ak": F.transform("__a", lambda x: F.concat_ws(":", F.lower(x["alias"]), F.coalesce(x["locale"], F.lit("ALL")), x["type"])),
+        "__wk": F.transform("__w", lambda x: x["code"]),
+    })
+    d = d.withColumn("__v", _first_by("__w", "__wk"))
     many = lambda f: F.size(F.coalesce(g(f), F.array())) > MAX_ENTRIES
     bad_id = F.get(F.filter("__i", lambda x: x["error"].isNotNull() | x["raw"].isNull()), F.lit(0))
     bad_alias = F.get(F.filter("__a", lambda x: (F.coalesce(x["locale"], F.lit("")) == "?") | (x["type"] == "?")), F.lit(0))
@@ -135,10 +155,10 @@ def normalize_payload(records: DataFrame) -> DataFrame:
         F.when(bad_id.isNotNull(), F.coalesce(bad_id["error"], F.lit("IDENTIFIER_MALFORMED"))), F.when(many("aliases"), "TOO_MANY_ALIASES"), F.when(bad_alias.isNotNull(), F.when(bad_alias["locale"] == "?", "ALIAS_LOCALE_UNSUPPORTED").otherwise("ALIAS_TYPE_UNSUPPORTED")),
         F.when(many("attributes"), "TOO_MANY_ATTRIBUTES"), F.when(bad_attr.isNotNull(), F.when(bad_attr["dataType"] == "?", "DATA_TYPE_UNSUPPORTED").otherwise("ATTRIBUTE_VALUE_INVALID")),
     )
-    slim = F.transform(_first_by(F.col("__i"), lambda x: F.concat_ws(":", x["type"], x["value"])), lambda x: F.struct(x["type"].alias("type"), x["raw"].alias("raw"), x["value"].alias("value")))
-    aliases = _first_by(F.col("__a"), lambda x: F.concat_ws(":", F.lower(x["alias"]), F.coalesce(x["locale"], F.lit("ALL")), x["type"]))
+    slim = F.transform(_first_by("__i", "__ik"), lambda x: F.struct(x["type"].alias("type"), x["raw"].alias("raw"), x["value"].alias("value")))
+    aliases = _first_by("__a", "__ak")
     attributes = F.transform("__v", lambda x: F.struct(*[x[c].alias(c) for c in ("code", "name", "dataType", "value", "unit")]))
-    data = F.struct(name.alias("name"), kind.alias("type"), *[t(f).alias(f) for f in [*text, *codes] if f != "name"], F.upper(t("modelNumber")).alias("normalizedModelNumber"), slim.alias("identifiers"), aliases.alias("aliases"), attributes.alias("attributes"))
+    data = F.struct(name.alias("name"), kind.alias("type"), *[t(f).alias(f) for f in (*_TEXTS, *_CODES) if f != "name"], F.upper(t("modelNumber")).alias("normalizedModelNumber"), slim.alias("identifiers"), aliases.alias("aliases"), attributes.alias("attributes"))
     d = d.withColumn("error", error).withColumn("data", data)
     return d.select(*records.columns, F.when(F.col("error").isNull(), F.col("data")).alias("data"), "error")
 
