@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import feed as S
-from ..sources.tables import merge_by_key
+from ..sources.tables import merge_by_key, read_published, work_root, write_published
 from .base import Tables, query
 
 _K = "p_partkey"
@@ -38,19 +40,50 @@ def payload_hashes(spark, sf):
     return p.select(F.col(_K).alias("id"), S.payload_hash(raw).alias("hash"))
 
 
-@query("feed_records", """WITH p AS (SELECT s_suppkey AS page, s_suppkey % 4 AS kind FROM supplier), r AS (SELECT page, kind, i AS position FROM p, (SELECT unnest([0, 1, 2]) AS i) WHERE kind < 3)
+_FEED = """WITH p AS (SELECT s_suppkey AS page, s_suppkey % 4 AS kind FROM supplier), r AS (SELECT page, kind, i AS position FROM p, (SELECT unnest([0, 1, 2]) AS i) WHERE kind < 3)
 SELECT page, position, CASE WHEN position < 2 THEN 'r' || page || '-' || position END AS external_id, CASE WHEN position = 2 THEN CASE WHEN kind = 0 THEN 'IDENTITY_INVALID' WHEN kind = 1 THEN 'NAME_INVALID' ELSE 'RECORD_INVALID' END END AS error, CASE WHEN kind = 1 THEN 'c' || page END AS next_cursor FROM r
-UNION ALL SELECT page, NULL, NULL, 'RECORDS_ARRAY_MISSING', NULL FROM p WHERE kind = 3""")
-def feed_records(spark, sf):
+UNION ALL SELECT page, NULL, NULL, 'RECORDS_ARRAY_MISSING', NULL FROM p WHERE kind = 3"""
+
+
+def _pages(t: Tables):
     k = F.col("s_suppkey")
     row = lambda i: F.concat(F.lit('{"id":" r'), k, F.lit(f'-{i} ","name":"n","junk":1}}'))
     last = F.when(k % 4 == 0, '{"name":"n"}').when(k % 4 == 1, '{"externalId":"e","name":5}').otherwise("7")
     rows = F.concat(F.lit("["), row(0), F.lit(","), row(1), F.lit(","), last, F.lit("]"))
     body = F.when(k % 4 == 3, '{"items":[]}').when(k % 4 == 1, F.concat(F.lit('{"records":'), rows, F.lit(',"nextCursor":"c'), k, F.lit('"}'))).otherwise(rows)
-    good, bad = S.split_pages(Tables(spark, sf).raw("supplier").select(k.alias("page"), body.alias("body")))
+    return t.raw("supplier").select(k.alias("page"), body.alias("body"))
+
+
+def _envelopes(pages):
+    good, bad = S.split_pages(pages)
     return S.to_envelopes(good).select("page", "position", "external_id", "error", "next_cursor").unionByName(bad, allowMissingColumns=True)
 
 
+@query("feed_records", _FEED)
+def feed_records(spark, sf):
+    return _envelopes(_pages(Tables(spark, sf)))
+
+
+@query("feed_files", _FEED)
+def feed_files(spark, sf):
+    """The pages as files of a folder, one each, read by the file adapter."""
+    folder = f"{work_root(spark)}/pages-{uuid.uuid4().hex}"
+    _pages(Tables(spark, sf)).repartition("page").write.partitionBy("page").text(folder)
+    read = S.read_feed_pages(spark, f"{folder}/*")
+    return _envelopes(read.withColumn("page", F.regexp_extract("page", r"page=(\d+)", 1).cast("long")))
+
+
+@query("published_tables", "SELECT c_custkey AS id, c_name AS name, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def published_tables(spark, sf):
+    """Two tables of two runs; a reader has those of the run that was marked last."""
+    t, folder = Tables(spark, sf), f"{work_root(spark)}/published-{uuid.uuid4().hex}"
+    customers = t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_nationkey")
+    nations = t.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    write_published({"customers": customers.withColumn("name", F.lit("an earlier run")), "nations": nations}, folder, "a")
+    write_published({"customers": customers, "nations": nations}, folder, "b")
+    return read_published(spark, folder, "customers").join(read_published(spark, folder, "nations"), "c_nationkey").select("id", "name", "nation")
+
+
 @query("page_bounds", """SELECT l_suppkey AS page, CASE WHEN count(*) > 600 THEN 'TOO_MANY_RECORDS' WHEN bool_or(l_orderkey % 300 = 0) THEN 'ORIGIN_MISMATCH' WHEN bool_or(l_partkey % 400 = 0) THEN 'NAME_INVALID' END AS error FROM lineitem GROUP BY 1""")
 def page_bounds(spark, sf):
     li = Tables(spark, sf).raw("lineitem")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import localize as L
 from ..operators import requests as R
+from ..streaming import jobs
 from .base import Tables, over, query
 
 
@@ -56,12 +57,6 @@ def backfill_summary(spark, sf):
     return L.backfill_summary(backfill_classes(spark, sf))
 
 
-@query("recovery_summary", "SELECT count(*) AS scanned, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS completed, count(*) FILTER (WHERE o_orderkey % 7 = 1) AS failed, count(*) FILTER (WHERE o_orderkey % 7 = 2) AS stale, count(*) FILTER (WHERE o_orderkey % 7 = 3) AS no_claim, count(*) FILTER (WHERE o_orderkey % 7 = 4) AS not_found, count(*) FILTER (WHERE o_orderkey % 7 > 4) AS claim_failed FROM orders")
-def recovery_summary(spark, sf):
-    ends = F.element_at(F.array(*map(F.lit, ["COMPLETED", "FAILED", "STALE", "NO_CLAIM", "NOT_FOUND", "CLAIM_FAILED", "?"])), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    return L.recovery_summary(Tables(spark, sf).raw("orders").select(ends.alias("outcome")))
-
-
 @query("translation_write_back", f"{_BASE} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'STALE' WHEN bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 'FAILED' ELSE 'APPLIED' END AS verdict, CASE WHEN doc_id % 10 > 0 AND NOT bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 3 * count(*) END AS cells FROM miss GROUP BY doc_id")
 def translation_write_back(spark, sf):
     q, lines = _docs(Tables(spark, sf))
@@ -72,6 +67,35 @@ def translation_write_back(spark, sf):
     return L.write_back(missing, results, then, now).select("doc_id", "verdict", F.when(F.col("values").isNotNull(), F.size("values")).alias("cells"))
 
 
+_WRITTEN = f"""{_BASE}, v AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'STALE' WHEN bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 'FAILED' ELSE 'COMPLETED' END AS outcome FROM miss GROUP BY doc_id)"""
+
+
+@query("recovery_summary", f"{_WRITTEN} SELECT count(*) AS scanned, count(*) FILTER (WHERE outcome = 'COMPLETED') AS completed, count(*) FILTER (WHERE outcome = 'FAILED') AS failed, count(*) FILTER (WHERE outcome = 'STALE') AS stale, count(*) FILTER (WHERE outcome IS NULL) AS no_claim, 0 AS not_found, 0 AS claim_failed FROM orders LEFT JOIN v ON doc_id = o_orderkey")
+def recovery_summary(spark, sf):
+    """What came of taking up the translation of every order: what was written back, and orders
+    that had nothing to translate."""
+    done = translation_write_back(spark, sf).select("doc_id", F.when(F.col("verdict") == "APPLIED", "COMPLETED").otherwise(F.col("verdict")).alias("outcome"))
+    orders = Tables(spark, sf).raw("orders").select(F.col("o_orderkey").alias("doc_id"))
+    return L.recovery_summary(orders.join(done, "doc_id", "left").select(F.coalesce("outcome", F.lit("NO_CLAIM")).alias("outcome")))
+
+
+@query("translated_texts", f"{_BASE} SELECT doc_id, key, text, locale || ' of ' || length(text) || ': ' || reverse(text) AS translation FROM miss")
+def translated_texts(spark, sf):
+    """Stands for a translator: the locale, and the text backwards."""
+    q, lines = _docs(Tables(spark, sf))
+    missing = L.missing_translations(q, lines, L.source_locale(q, lines))
+    return L.translate_texts(missing, lambda locale, text: locale + " of " + text.str.len().astype(str) + ": " + text.str[::-1])
+
+
+@query("stale_results", f"{_BASE} SELECT doc_id, CASE WHEN bool_or(key = 'notes') THEN 'STALE' ELSE 'CURRENT' END AS verdict FROM miss GROUP BY doc_id HAVING bool_or(key <> 'notes')")
+def stale_results(spark, sf):
+    """Results made before the notes were there: out of date where an order has notes now."""
+    q, lines = _docs(Tables(spark, sf))
+    missing = L.missing_translations(q, lines, L.source_locale(q, lines))
+    token = F.concat(F.lit("claim-"), "doc_id").alias("token")
+    return jobs.current_results(L.signatures(missing.where("key <> 'notes'")).select("doc_id", "signature", token), L.signatures(missing).select("doc_id", "signature", token)).select("doc_id", "verdict")
+
+
 def _requests(t: Tables):
     p, k = t.raw("part"), F.col("p_partkey")
     en = F.concat(F.lit("Create a quotation for Customer "), F.char(k % 26 + 65), F.lit(" supply only "), k % 50 + 1, F.lit(" units "), "p_name", F.lit(" at "), F.col("p_size"), F.lit(" KWD; "), k % 7 + 2, F.lit(" pcs "), F.when(k % 3 == 0, "services of ").otherwise("service of "), F.col("p_name"))

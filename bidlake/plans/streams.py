@@ -94,11 +94,3 @@ def stream_repeats(spark, sf):
     """Each event once to three times, in any order; none is later than the watermark allows."""
     e = _events(Tables(spark, sf)).select((F.col("user_id") % 10).alias("source_id"), F.col("event_id").alias("external_id"), F.col("event_type").alias("payload_hash"), F.col("ts").cast("timestamp").alias("fetched_at"), F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)).alias("copy"))
     return _drained(jobs.drop_repeats(e.drop("copy"))).withColumn("fetched_at", F.unix_micros("fetched_at"))
-
-
-@query("stale_results", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'STALE' ELSE 'CURRENT' END AS verdict FROM orders")
-def stale_results(spark, sf):
-    k = F.col("o_orderkey")
-    o = Tables(spark, sf).raw("orders")
-    results = o.select(k.alias("doc_id"), F.lit("s").alias("signature"), F.when(k % 3 == 0, "old").otherwise("t").alias("token"))
-    return jobs.current_results(results, o.where("o_orderkey % 5 > 0").select(k.alias("doc_id"), F.lit("s").alias("signature"), F.lit("t").alias("token"))).select("doc_id", "verdict")
