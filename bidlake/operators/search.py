@@ -88,7 +88,7 @@ def _grams(text: Column, n: int) -> Column:
 
 
 #: A piece in more texts than this is common: longer pieces of the query are looked at.
-COMMON = 256
+COMMON = 1000
 
 
 def contains_join(queries: DataFrame, texts: DataFrame, on: list[str] | None = None, common: int = COMMON) -> DataFrame:
@@ -162,6 +162,25 @@ def pools(exact: DataFrame, partial: DataFrame, items: DataFrame, sizes: DataFra
     return lists.select("query_id", exact_ids.alias("e"), F.explode(kept).alias("item_id")).select("query_id", "item_id", F.array_contains("e", F.col("item_id")).alias("is_exact"))
 
 
+_DESCRIBED = ("description", "description_ar", "description_en")
+
+
+def fold_items(df: DataFrame) -> DataFrame:
+    """Adds the texts of candidates as ``scored`` compares them; done once per item where many
+    queries meet it."""
+    none = F.array().cast("array<string>")
+    folded = {f"__{c}": F.lower(trim_u(c)) for c in ("code", "sku", "barcode", "model_number", "display_name", "name_ar", "name_en")}
+    ids = F.transform(F.coalesce("identifiers", none), lambda x: trim_u(x))
+    df = df.withColumns({**folded, **{f"__{c}": F.lower(c) for c in _DESCRIBED}, "__ids": ids, "__aliases": F.transform(F.coalesce("aliases", none), lambda x: F.lower(trim_u(x)))})
+    return df.withColumn("__ids", F.concat("__ids", F.transform("__ids", lambda x: F.lower(x))))
+
+
+def fold_queries(df: DataFrame) -> DataFrame:
+    """Adds the query as ``scored`` compares it, and its forms."""
+    df = df.withColumn("__q", F.nullif(F.lower(trim_u("query")), F.lit("")))
+    return df.withColumn("__forms", F.array("__q", F.regexp_replace("__q", r"(?U)[\s\-]+", ""), F.upper(F.regexp_replace("__q", r"(?U)\s+", " "))))
+
+
 def scored(df: DataFrame, semantic: str | None = None) -> DataFrame:
     """Adds score and match_reasons.
 
@@ -172,26 +191,20 @@ def scored(df: DataFrame, semantic: str | None = None) -> DataFrame:
     q_brand_id.  The best tier counts; similarity adds up to 1000 below the
     exact-name tier only.
     """
-    # Step by step, each its own projection, so that a text is folded once and a tier, which
-    # score and reasons both ask for, is found once.
-    folded = {c: F.lower(trim_u(c)) for c in ("code", "sku", "barcode", "model_number", "display_name", "name_ar", "name_en")}
-    lowered = ("description", "description_ar", "description_en")
-    none = F.array().cast("array<string>")
-    step = df.withColumns({"__q": F.nullif(F.lower(trim_u("query")), F.lit("")), **{f"__{c}": v for c, v in folded.items()}, **{f"__{c}": F.lower(c) for c in lowered}})
-    step = step.withColumns({
-        "__forms": F.array("__q", F.regexp_replace("__q", r"(?U)[\s\-]+", ""), F.upper(F.regexp_replace("__q", r"(?U)\s+", " "))),
-        "__ids": F.transform(F.coalesce("identifiers", none), lambda x: trim_u(x)), "__aliases": F.transform(F.coalesce("aliases", none), lambda x: F.lower(trim_u(x))),
-    })
+    # Step by step, each its own projection, so that a tier, which score and reasons both ask
+    # for, is found once.
+    step = df if "__code" in df.columns else fold_items(df)
+    step = step if "__q" in df.columns else fold_queries(step)
     q = F.col("__q")
     same = lambda *names: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"__{c}") == q, F.lit(False)) for c in names]), F.lit(False))
     inside = lambda c: F.coalesce(F.contains(F.col(f"__{c}"), q), F.lit(False))
-    listed = F.coalesce(F.arrays_overlap("__forms", "__ids") | F.arrays_overlap("__forms", F.transform("__ids", lambda x: F.lower(x))), F.lit(False))
+    listed = F.coalesce(F.arrays_overlap("__forms", "__ids"), F.lit(False))
     equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     tiers = {"code": 10000, "identifier": 9000, "model": 8000, "name": 7000, "alias": 6000, "alias_part": 5000, "part": 4000}
     step = step.withColumns({
         "__is_code": same("code", "sku"), "__is_identifier": same("barcode") | listed, "__is_model": same("model_number"), "__is_name": same("display_name", "name_ar", "name_en"),
         "__is_alias": F.coalesce(F.array_contains("__aliases", q), F.lit(False)), "__is_alias_part": F.coalesce(F.exists("__aliases", lambda x: F.contains(x, q)), F.lit(False)),
-        "__is_part": reduce(lambda a, b: a | b, [inside(c) for c in ("display_name", "name_ar", "name_en", *lowered)]),
+        "__is_part": reduce(lambda a, b: a | b, [inside(c) for c in ("display_name", "name_ar", "name_en", *_DESCRIBED)]),
     })
     step = step.withColumn("__is_part", F.col("__is_part") & ~F.col("__is_name"))
     tier = {k: F.col(f"__is_{k}") for k in tiers}
