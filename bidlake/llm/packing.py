@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, written
+from .common import MAX_BROADCAST_BYTES, mix64, small_batches, written
 from .tokens import default_files, encoder
 
 WINDOW = 2048
@@ -39,8 +39,9 @@ END = 1
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: Shards whose rests are packed together.
 GROUP = 1024
-#: Tokens that a task of the layout sorts, about.
+#: Tokens that a task packs, about, and bytes of a document's place.
 PART_TOKENS = 64_000_000
+PLACE_BYTES = 64
 K1, B = 1.2, 0.75
 #: Terms that more documents of a shard have are scored by a product of matrices, for so
 #: many seeds at once; the others by their postings.
@@ -192,7 +193,8 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int
 def pack(docs: DataFrame, files: tuple[str, str] | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
     """One row per piece, the columns of PIECES."""
     files = files or default_files()
-    tokens = written(tokenised(docs, files, end), "packing-tokens")
+    tokens = tokenised(docs, files, end).withColumns({"crc": F.crc32("ids"), "row": F.monotonically_increasing_id()})
+    tokens = written(tokens, "packing-tokens")
     size = encoder(*files).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
     total = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.sum("n").alias("tokens")).first()
@@ -206,20 +208,22 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, window: int = WI
         for batch in batches:
             n = np.maximum(batch.column("n").to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS))
             after = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(np.full(len(n), part, np.int64)), pa.array(after - n), pa.array(after)], names=["doc_id", "ids", "part", "before", "after"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(n), part, np.int64)), pa.array(after - n), pa.array(after)], names=["row", "part", "before", "after"])
             before = int(after[-1]) if len(after) else before
 
-    # A range layout splits even a run of equal documents, so no part is too large.
+    # Rows are put in order without their ids.  A range layout splits even a run of equal
+    # documents, so no part is too large.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["tokens"] or 0) // PART_TOKENS))
     order = ["route", "doc_id", "n", "crc", "row"]
-    laid = tokens.withColumns({"crc": F.crc32("ids"), "row": F.monotonically_increasing_id()})
-    laid = laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
-    laid = written(laid.mapInArrow(measure, "doc_id long, ids binary, part long, before long, after long"), "packing-layout")
+    laid = tokens.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("row", "n")
+    laid = written(laid.mapInArrow(measure, "row long, part long, before long, after long"), "packing-layout")
     ends = laid.groupBy("part").agg(F.max("after").alias("size"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     ends = ends.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("from"))
-    at = (F.col("from") + F.col("before")).alias("at")
-    placed = laid.join(F.broadcast(ends), "part").select("doc_id", "ids", at).withColumn("shard", F.floor(F.col("at") / SHARD_TOKENS))
+    places = laid.join(F.broadcast(ends), "part").select("row", (F.col("from") + F.col("before")).alias("at"))
+    # Few places are broadcast, so that ids are shuffled once; many are joined.
+    small = total["docs"] * PLACE_BYTES <= MAX_BROADCAST_BYTES
+    placed = tokens.join(F.broadcast(places) if small else places, "row").withColumn("shard", F.floor(F.col("at") / SHARD_TOKENS))
 
     def fill(batches):
         for shard, held in by_shard(batches, kind):
