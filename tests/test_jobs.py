@@ -326,8 +326,8 @@ def test_streams_of_repeats_and_rates(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/o").count() == 3
-    # Later than the watermark allows: the stream lets go of it.
-    for k, rows in enumerate(([(3, "z", "h", at(10_000))], [(3, "y", "h", at(100)), (3, "z", "h", at(10_001))])):
+    # Later than the watermark of the batch before allows: the stream lets go of it.
+    for k, rows in enumerate(([(3, "z", "h", at(10_000))], [(3, "z", "h", at(10_001))], [(3, "y", "h", at(100)), (3, "z", "h", at(10_002))])):
         spark.createDataFrame(rows, events.schema).coalesce(1).write.parquet(f"{tmp_path}/late/b{k}")
     late = jobs.drop_repeats(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late"))
     late.writeStream.format("parquet").option("path", f"{tmp_path}/o2").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
