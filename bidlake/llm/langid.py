@@ -8,8 +8,8 @@ costs a fraction of a hyperbolic tangent and has as simple a derivative.
 
 The LANGUAGES most frequent label values are learned; the model and the sample grow with their
 number, not with the corpus.  On request a class of no language is learned too, from
-the sample's texts with their characters in random order, and a bound for it that hardly any
-held-out document reaches.
+the sample's texts with their characters in random order, and a bound for it from held-out
+documents, few of which reach it even where some of them are mislabelled themselves.
 
 Defined results: a null text or one without any letter is ``und`` with score 0;
 documents without a label are predicted but not learned from; an empty table, or
@@ -35,8 +35,9 @@ from .common import small_batches
 SAMPLE_DOCS, PLACES, CHARS = 600, 3, 200
 #: Label values that are learned at most: the sample is on the driver.
 LANGUAGES = 100
-#: The class of no language, and the share of a text's positions below which it never goes.
-NONE, LEAST_NONE = "", 0.5
+#: The class of no language; the share of a text's positions below which it never goes, and
+#: the share of held-out documents below the bound; bytes of texts that say too little.
+NONE, LEAST_NONE, MOST_BELOW, SHORT_TEXT = "", 0.75, 0.95, 100
 HIDDEN, SEGMENT, LANES = 16, 128, 2048
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
 
@@ -187,6 +188,7 @@ class Network:
         total /= np.array([max(1, len(d)) for d in data])[:, None]
         best = total[:, real].argmax(1)
         none = total[:, self.languages.index(NONE)] if NONE in self.languages else np.zeros(len(texts))
+        none = np.where([len(d) < SHORT_TEXT for d in data], 0.0, none)
         return [(self.languages[real[k]], float(min(1.0, total[i, real[k]])), float(none[i])) if data[i] else ("und", 0.0, 0.0) for i, k in enumerate(best.tolist())]
 
     def _add(self, rows: list[bytes], owners: list[int], total: np.ndarray) -> None:
@@ -254,8 +256,8 @@ def sampled(labelled: DataFrame) -> list[tuple[str, str, list[str]]]:
 
 def fit(docs: DataFrame, none: bool = False) -> Network:
     """Learns from a bounded sample of the labelled documents that are not held out; with
-    ``none`` a class of no language too, whose limit is the most that a sample of
-    held-out documents has, LEAST_NONE at least."""
+    ``none`` a class of no language too, whose limit is what MOST_BELOW of a sample of
+    held-out documents stay below, LEAST_NONE at least."""
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
     samples = [(t, lang) for lang, _, texts in sampled(labelled.where(~held_out(F.col("id")))) for t in texts]
     if not none or not samples:
@@ -265,7 +267,7 @@ def fit(docs: DataFrame, none: bool = False) -> Network:
     mixed = ["".join(np.array(list(samples[i][0]))[r.permutation(len(samples[i][0]))].tolist()) if samples[i][0] else "" for i in order]
     net = train(samples + [(t, NONE) for t in mixed])
     apart = [" ".join(texts) for _, _, texts in sampled(labelled.where(held_out(F.col("id"))))]
-    net.none_limit = max([LEAST_NONE, *(x[2] for x in net.judged(apart))])
+    net.none_limit = max(LEAST_NONE, float(np.quantile([x[2] for x in net.judged(apart)], MOST_BELOW))) if apart else LEAST_NONE
     return net
 
 
