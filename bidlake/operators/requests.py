@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key, trim_u
-from .search import contains_join
+from .search import contains_shared
 
 MAX_LINES, MAX_SHOWN, MAX_TEXT, MAX_MENTION = 20, 5, 500, 300
 
@@ -244,14 +244,17 @@ def _resolve(asked: DataFrame, rows: DataFrame, id_column: str, fields: list[str
     a field equal by match key; else AMBIGUOUS with the ids of the newest rows that
     contain the text (5 at most), or MISSING. Equality is tested over all rows."""
     each = rows.select("company_id", F.col(id_column).alias("id"), "created_at", F.explode(F.array(*fields)).alias("text")).where("text is not null")
-    keyed = asked.withColumn("key", match_key("search")).where("key <> ''")
-    exact = keyed.join(each.select("company_id", "id", match_key("text").alias("key")).distinct(), ["company_id", "key"])
-    one = exact.groupBy("request_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    near = contains_join(asked.select(F.col("request_id").alias("query_id"), "company_id", F.col("search").alias("query")), each.select("company_id", F.col("id").alias("text_id"), "text"), ["company_id"])
-    near = near.select(F.col("query_id").alias("request_id"), F.col("text_id").alias("id")).distinct().join(rows.select(F.col(id_column).alias("id"), "created_at"), "id")
-    few = near.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("created_at"), "id"))).where(F.col("n") <= MAX_SHOWN)
-    shown = few.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("candidates"))
-    out = asked.select("request_id").join(one, "request_id", "left").join(shown, "request_id", "left")
+    # What many requests ask of one company is looked up once; a key that many rows have is one row.
+    askers = asked.select("request_id", F.struct("company_id", "search").alias("ask"))
+    asks = askers.select("ask", "ask.*").distinct()
+    keyed = asks.withColumn("key", match_key("search")).where("key <> ''")
+    keys = each.groupBy("company_id", match_key("text").alias("key")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    one = keyed.join(keys, ["company_id", "key"]).select("ask", "lo", "hi")
+    near = contains_shared(asks.select(F.col("ask").alias("query_id"), "company_id", F.col("search").alias("query")), each.select("company_id", F.col("id").alias("text_id"), "text"), ["company_id"])
+    near = near.select(F.col("query_id").alias("ask"), F.col("text_id").alias("id")).distinct().join(rows.select(F.col(id_column).alias("id"), "created_at"), "id")
+    few = near.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("created_at"), "id"))).where(F.col("n") <= MAX_SHOWN)
+    shown = few.groupBy("ask").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("candidates"))
+    out = askers.join(one, "ask", "left").join(shown, "ask", "left")
     match = F.col("lo") == F.col("hi")
     return out.select(
         "request_id", F.when(match, "MATCHED").when(F.col("candidates").isNotNull() | F.col("lo").isNotNull(), "AMBIGUOUS").otherwise("MISSING").alias("status"), F.when(match, F.col("lo")).alias("id"),
