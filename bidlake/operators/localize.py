@@ -97,11 +97,13 @@ def write_back(missing: DataFrame, results: DataFrame, signed: DataFrame, curren
     """(doc_id, verdict, values): APPLIED with a map of columns to write; FAILED if a needed
     key came back blank; STALE if the texts changed meanwhile. signed: the signature
     the results were made for; current: today's."""
-    j = missing.join(results.select("doc_id", "key", "translation"), ["doc_id", "key"], "left").join(signed.withColumnRenamed("signature", "__then"), "doc_id", "left").join(current.withColumnRenamed("signature", "__now"), "doc_id", "left")
+    j = missing.join(results.select("doc_id", "key", "translation"), ["doc_id", "key"], "left")
     filled = _text("translation")
     other = F.when(F.col("locale") == "ar", "en").otherwise("ar")
     entry = lambda name, value: F.struct(name.alias("key"), value.alias("value"))
     cell = F.array(entry(F.concat_ws("_", "key", "locale"), F.col("text")), entry(F.concat_ws("_", F.col("key"), other), filled), entry(F.concat_ws("_", F.col("key")), F.col("text")))
-    g = j.groupBy("doc_id").agg(F.bool_and(filled.isNotNull()).alias("ok"), F.bool_and(F.coalesce(F.col("__then") == F.col("__now"), F.lit(False))).alias("fresh"), F.collect_list(F.when(filled.isNotNull(), cell)).alias("cells"))
-    verdict = F.when(~F.col("fresh"), "STALE").when(~F.col("ok"), "FAILED").otherwise("APPLIED")
+    g = j.groupBy("doc_id").agg(F.bool_and(filled.isNotNull()).alias("ok"), F.collect_list(F.when(filled.isNotNull(), cell)).alias("cells"))
+    g = g.join(signed.withColumnRenamed("signature", "__then"), "doc_id", "left").join(current.withColumnRenamed("signature", "__now"), "doc_id", "left")
+    fresh = F.coalesce(F.col("__then") == F.col("__now"), F.lit(False))
+    verdict = F.when(~fresh, "STALE").when(~F.col("ok"), "FAILED").otherwise("APPLIED")
     return g.select("doc_id", verdict.alias("verdict"), F.when(verdict == "APPLIED", F.map_from_entries(F.flatten("cells"))).alias("values"))

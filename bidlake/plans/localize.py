@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import localize as L
 from ..operators import requests as R
+from ..sources.tables import spread, written
 from ..streaming import jobs
 from .base import Tables, over, query
 
@@ -18,8 +19,15 @@ def _docs(t: Tables):
         none.alias("brief_ar"), none.alias("brief_en"), none.alias("terms"), none.alias("terms_ar"), none.alias("terms_en"), F.lit("Customer").alias("customer_name"), none.alias("customer_name_ar"), F.when(k % 7 == 0, F.lit("Customer EN")).alias("customer_name_en"),
         F.when(k % 9 == 0, "COMPLETED").alias("localization_status"), F.when(k % 2 == 0, "DRAFT").otherwise("SENT").alias("status"),
     )
-    lines = t.lines().select("doc_id", "position", "item_name", none.alias("item_name_ar"), F.when(F.col("part") % 2 == 0, F.col("item_name")).alias("item_name_en"), *[none.alias(f"{f}{x}") for f in ("description", "unit_name") for x in ("", "_ar", "_en")])
-    return q, lines
+    # Lines tell the language and are looked through: they are put in order once.
+    lines = written(t.lines().select("doc_id", "position", "item_name", none.alias("item_name_ar"), F.when(F.col("part") % 2 == 0, F.col("item_name")).alias("item_name_en"), *[none.alias(f"{f}{x}") for f in ("description", "unit_name") for x in ("", "_ar", "_en")]), "quotation-lines")
+    return q, spread(lines, "doc_id")
+
+
+def _missing(t: Tables):
+    """What lacks in all quotations, written, since it is joined with what is made of it."""
+    q, lines = _docs(t)
+    return spread(written(L.missing_translations(q, lines, L.source_locale(q, lines)), "missing"), "doc_id")
 
 
 _BASE = f"""{over('lines')}, d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 50 = 0 THEN 'en' WHEN o_orderkey % 4 = 0 THEN 'ar' ELSE 'en' END AS locale, o_orderkey AS k FROM orders),
@@ -38,8 +46,7 @@ def missing_translations(spark, sf):
 
 @query("localization_signatures", f"""{_BASE} SELECT doc_id, sha256('{{"sourceLocale":"' || locale || '","items":[' || string_agg('{{"key":"' || key || '","text":"' || text || '"}}', ',' ORDER BY field_no) || ']}}') AS signature FROM miss GROUP BY doc_id, locale""")
 def localization_signatures(spark, sf):
-    q, lines = _docs(Tables(spark, sf))
-    return L.signatures(L.missing_translations(q, lines, L.source_locale(q, lines)))
+    return L.signatures(_missing(Tables(spark, sf)))
 
 
 _CLASS = f"""{_BASE}, n AS (SELECT doc_id, count(*) AS n FROM miss GROUP BY doc_id), c AS (SELECT doc_id, CASE WHEN k % 9 > 0 THEN CASE WHEN n > 0 THEN 'PENDING' ELSE 'COMPLETED' END END AS new_status, CASE WHEN k % 9 > 0 AND n > 0 THEN locale END AS new_locale, k % 9 = 0 AND coalesce(n, 0) > 0 AS broken, k % 9 = 0 AND coalesce(n, 0) > 0 AND k % 2 = 0 AS repairable FROM d LEFT JOIN n USING (doc_id))"""
@@ -59,8 +66,7 @@ def backfill_summary(spark, sf):
 
 @query("translation_write_back", f"{_BASE} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'STALE' WHEN bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 'FAILED' ELSE 'APPLIED' END AS verdict, CASE WHEN doc_id % 10 > 0 AND NOT bool_or(doc_id % 3 = 0 AND key = 'project_name') THEN 3 * count(*) END AS cells FROM miss GROUP BY doc_id")
 def translation_write_back(spark, sf):
-    q, lines = _docs(Tables(spark, sf))
-    missing = L.missing_translations(q, lines, L.source_locale(q, lines))
+    missing = _missing(Tables(spark, sf))
     results = missing.select("doc_id", "key", F.when((F.col("doc_id") % 3 == 0) & (F.col("key") == "project_name"), " ").otherwise(F.concat(F.lit("tr "), "text")).alias("translation"))
     now = L.signatures(missing)
     then = now.withColumn("signature", F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("signature")))
@@ -82,16 +88,14 @@ def recovery_summary(spark, sf):
 @query("translated_texts", f"{_BASE} SELECT doc_id, key, text, locale || ' of ' || length(text) || ': ' || reverse(text) AS translation FROM miss")
 def translated_texts(spark, sf):
     """Stands for a translator: the locale, and the text backwards."""
-    q, lines = _docs(Tables(spark, sf))
-    missing = L.missing_translations(q, lines, L.source_locale(q, lines))
+    missing = _missing(Tables(spark, sf))
     return L.translate_texts(missing, lambda locale, text: locale + " of " + text.str.len().astype(str) + ": " + text.str[::-1])
 
 
 @query("stale_results", f"{_BASE} SELECT doc_id, CASE WHEN bool_or(key = 'notes') THEN 'STALE' ELSE 'CURRENT' END AS verdict FROM miss GROUP BY doc_id HAVING bool_or(key <> 'notes')")
 def stale_results(spark, sf):
     """Results made before the notes were there: out of date where an order has notes now."""
-    q, lines = _docs(Tables(spark, sf))
-    missing = L.missing_translations(q, lines, L.source_locale(q, lines))
+    missing = _missing(Tables(spark, sf))
     token = F.concat(F.lit("claim-"), "doc_id").alias("token")
     return jobs.current_results(L.signatures(missing.where("key <> 'notes'")).select("doc_id", "signature", token), L.signatures(missing).select("doc_id", "signature", token)).select("doc_id", "verdict")
 
