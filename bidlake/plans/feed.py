@@ -68,8 +68,8 @@ def feed_records(spark, sf):
 def feed_files(spark, sf):
     """The pages as files of a folder, one each, read by the file adapter."""
     folder = f"{work_root(spark)}/pages-{uuid.uuid4().hex}"
-    _pages(Tables(spark, sf)).repartition("page").write.partitionBy("page").text(folder)
-    read = S.read_feed_pages(spark, f"{folder}/*")
+    S.write_feed_pages(_pages(Tables(spark, sf)), folder)
+    read = S.read_feed_pages(spark, folder)
     return _envelopes(read.withColumn("page", F.regexp_extract("page", r"page=(\d+)", 1).cast("long")))
 
 

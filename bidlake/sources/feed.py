@@ -16,9 +16,22 @@ DATA_TYPES = ["STRING", "NUMBER", "BOOLEAN", "DECIMAL", "SELECT", "JSON"]
 FIELD_BYTES, MAX_ENTRIES = 64_000, 100
 
 
+#: Files one task writes.
+PAGES_PER_TASK = 200
+
+
+def write_feed_pages(pages: DataFrame, folder: str, per_task: int = PAGES_PER_TASK) -> None:
+    """pages: (page, body), one file each in a folder page=<page>. Making a file takes longer than
+    its bytes do, so tasks go by the number of pages, and put their files in place themselves."""
+    n = max(1, -(-pages.count() // per_task))
+    dealt = pages.repartition(n, "page").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    dealt.partitionBy("page").text(folder)
+
+
 def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page, body): each file is one page."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.col("value").alias("body"))
+    """(page, body): each file under the path is one page; folders are listed in parallel and
+    their names are no columns."""
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("page"), F.col("value").alias("body"))
 
 
 def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
