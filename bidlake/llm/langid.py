@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on segments of a
-bounded, documented sample of labelled documents.  It gives every byte position a
+The network is trained in numpy by backpropagation through time: it starts from a bounded sample
+of labelled documents, and then every labelled document is learned from, one segment of
+every STRETCH bytes of its text.  These segments are dealt by hash to groups of a
+fixed number, whatever the table's partitions; each group goes on from the same start and the
+mean of what they come to is the network.  It gives every byte position a
 probability for each language; a document's probabilities are the means over all
 positions of its whole text, in lower case.  The units squash by x / (1 + |x|), which
 costs a fraction of a hyperbolic tangent and has as simple a derivative.
 
 The LANGUAGES most frequent label values are learned; the model and the sample grow with their
 number, not with the corpus.  On request a class of no language is learned too, from
-the sample's texts with their characters in random order, and a bound for it from held-out
+texts with their characters in random order, and a bound for it from all held-out
 documents, few of which reach it even where some of them are mislabelled themselves.
 
 Defined results: a null text or one without any letter is ``und`` with score 0;
@@ -24,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import mix64, small_batches
 
 #: The sample: about so many documents of each language, so many places in each
 #: text, so many characters at each place.
@@ -40,6 +44,15 @@ LANGUAGES = 100
 NONE, LEAST_NONE, MOST_BELOW, SHORT_TEXT = "", 0.75, 0.95, 100
 HIDDEN, SEGMENT, LANES = 16, 128, 2048
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
+#: All documents: a segment of each so many bytes, about so many segments in a group (whose
+#: memory this bounds), so many in a step; every REPLAY-th as many again are of the start's
+#: sample, equally of each language, so that no group forgets what it doesn't hold.  A group
+#: of few segments sees them again up to so many steps.
+STRETCH, GROUP, STEP, REPLAY, LEAST_STEPS = 512, 16_384, 128, 8, 128
+#: Sums of what groups come to that reach the driver.
+SUMS = 64
+#: Steps in which shares of no language are counted.
+BINS = 10_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,12 +138,14 @@ class Network:
         q *= valid.astype(np.float32).reshape(-1)
         return q.reshape(-1, *x.shape).sum(1).T
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over valid positions, and its gradient, through time."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, share: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over valid positions (of rows that count by their share), and its
+        gradient, through time."""
         keep = ([], [], [])
         q = self.probabilities(x, keep)
         at = (np.arange(x.shape[0])[:, None], np.arange(x.shape[1])[None, :], y[None, :])
-        weight = (valid / valid.sum()).astype(np.float32)
+        weight = valid if share is None else valid * share
+        weight = (weight / weight.sum()).astype(np.float32)
         loss = float(-(np.log(q[at] + 1e-9) * weight).sum())
         dl = q
         dl[at] -= 1
@@ -163,7 +178,10 @@ class Network:
             dg[t, :, : 2 * H], dg[t, :, 2 * H :] = dzr, dn
             dh = dh * (1 - z) + drh * r + dzr @ U[:, : 2 * H].T
         dW = np.zeros((256, 3 * H), np.float32)
-        np.add.at(dW, x.reshape(-1), dg.reshape(-1, 3 * H))
+        order = np.argsort(x, axis=None, kind="stable")
+        seen = x.reshape(-1)[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(seen, prepend=-1))
+        dW[seen[first]] = np.add.reduceat(dg.reshape(-1, 3 * H)[order], first, axis=0)
         return dW, dU
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -211,35 +229,141 @@ def padded(rows: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.arange(size)[:, None] < np.array([len(r) for r in rows])[None, :]
 
 
+class Adam:
+    """Steps of one network; gradients are cut to length 1."""
+
+    def __init__(self, net: Network):
+        self.net, self.steps = net, 0
+        self.m, self.v = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
+        for k, g in grad.items():
+            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+            self.net.p[k] = (self.net.p[k] - rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def _drawn(by: list[list[bytes]], y: np.ndarray, r: np.random.Generator) -> list[bytes]:
+    """A random segment of a random text of each language in y."""
+    rows = []
+    for k in y:
+        data = by[k][r.integers(len(by[k]))]
+        at = r.integers(max(1, len(data) - TRAIN_SEGMENT // 2))
+        rows.append(data[at : at + TRAIN_SEGMENT] or b" ")
+    return rows
+
+
+def _by_language(samples: list[tuple[str, str]], languages: list[str]) -> list[list[bytes]]:
+    return [[t.lower().encode() for t, lang in samples if lang == x and t] or [b" "] for x in languages]
+
+
 def train(samples: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, seed: int = SEED) -> Network:
     """Adam on random segments of (text, language) samples, every language as often."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Network([], {})
     net, r = Network.fresh(languages), np.random.default_rng(seed)
-    by = [[t.lower().encode() for t, lang in samples if lang == x and t] for x in languages]
-    by = [b or [b" "] for b in by]
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
+    by, adam = _by_language(samples, languages), Adam(net)
     for step in range(1, steps + 1):
         y = r.integers(0, len(languages), batch)
-        rows = []
-        for k in y:
-            data = by[k][r.integers(len(by[k]))]
-            at = r.integers(max(1, len(data) - TRAIN_SEGMENT // 2))
-            rows.append(data[at : at + TRAIN_SEGMENT] or b" ")
-        x, valid = padded(rows, TRAIN_SEGMENT)
-        _, grad = net.gradients(x, y, valid)
-        norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
-        rate = RATE * (1 - step / (steps + 1)) ** 0.5
-        for k, g in grad.items():
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v2[k] = 0.999 * v2[k] + 0.001 * g * g
-            net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        x, valid = padded(_drawn(by, y, r), TRAIN_SEGMENT)
+        adam.step(net.gradients(x, y, valid)[1], RATE * (1 - step / (steps + 1)) ** 0.5)
     return net
 
 
+def learned(net: Network, rows: list[bytes], y: np.ndarray, by: list[list[bytes]], seed: int) -> dict[str, np.ndarray]:
+    """What the network comes to on these segments, each at least once, in the order given."""
+    mine, r = Network(net.languages, dict(net.p)), np.random.default_rng(seed)
+    adam, once = Adam(mine), -(-len(rows) // STEP)
+    steps = once * -(-LEAST_STEPS // once)
+    for i in range(steps):
+        at = i % once * STEP
+        again = r.integers(0, len(by), max(1, min(STEP, len(rows)) // REPLAY))
+        of = np.concatenate([y[at : at + STEP], again])
+        x, valid = padded(rows[at : at + STEP] + _drawn(by, again, r), TRAIN_SEGMENT)
+        # Every language of the step counts alike, however many segments it has.
+        share = 1 / np.maximum(1, np.bincount(of))
+        adam.step(mine.gradients(x, of, valid, share[of])[1], RATE * (1 - i / steps))
+    return mine.p
+
+
+def _segments(labelled: DataFrame, languages: list[str], groups: int) -> DataFrame:
+    """(group, place, y, segment): of every STRETCH bytes of each text in lower case one segment,
+    from a place that a hash gives; where no language is learned too, one in as many as there are
+    languages is there once more with its characters in random order."""
+    number, none = {x: i for i, x in enumerate(languages)}, languages.index(NONE) if NONE in languages else None
+
+    def cut(batches):
+        for batch in batches:
+            places, ys, rows = [], [], []
+            for h, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.lower().encode() or b" "
+                starts = np.arange(0, len(data), STRETCH)
+                own = mix64(starts.astype(np.uint64) + np.uint64(h & (1 << 64) - 1))
+                room = np.maximum(1, np.minimum(STRETCH, len(data) - starts) - TRAIN_SEGMENT)
+                for at, place in zip((starts + (own >> np.uint64(8)).astype(np.int64) % room).tolist(), own.view(np.int64).tolist(), strict=True):
+                    row = data[at : at + TRAIN_SEGMENT]
+                    found = [(number[lang], row)]
+                    if none is not None and place % max(1, len(languages) - 1) == 0:
+                        chars = np.array(list(row.decode(errors="ignore")) or [" "])
+                        found.append((none, "".join(chars[np.random.default_rng(place & (1 << 64) - 1).permutation(len(chars))].tolist()).encode()))
+                    for y, x in found:
+                        places.append(place)
+                        ys.append(y)
+                        rows.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array([(p >> 20) % groups for p in places], pa.int32()), pa.array(places, pa.int64()), pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], names=["group", "place", "y", "segment"])
+
+    return labelled.select(F.xxhash64("id", "text"), "text", "lang").mapInArrow(cut, "group int, place long, y int, segment binary")
+
+
+def refined(labelled: DataFrame, net: Network, samples: list[tuple[str, str]]) -> Network:
+    """The network after it has seen every labelled document: the mean, by segments, of what it
+    comes to in each group."""
+    spark = labelled.sparkSession
+    small_batches(spark)
+    known = labelled.where(F.col("lang").isin([x for x in net.languages if x != NONE]))
+    size = known.agg(F.sum(F.ceil(F.length("text") / STRETCH))).first()[0] or 0
+    shared = spark.sparkContext.broadcast((net, _by_language(samples, net.languages)))
+    names = sorted(net.p)
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "y", "segment"])
+        net, by = shared.value
+        p = learned(net, rows["segment"].tolist(), rows["y"].to_numpy(), by, int(rows["group"].iloc[0]))
+        return pd.DataFrame({"group": [int(rows["group"].iloc[0])], "n": [len(rows)], "p": [np.concatenate([p[k].reshape(-1) for k in names]).tobytes()]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("group")
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows["p"], rows["n"], strict=True))
+        return pd.DataFrame({"part": [int(rows["group"].iloc[0]) % SUMS], "n": [int(rows["n"].sum())], "p": [total.tobytes()]})
+
+    # Rows that repeat in id and text are learned from once.
+    segments = _segments(known, net.languages, max(1, -(-int(size) // GROUP))).distinct()
+    found = segments.groupBy("group").applyInPandas(group, "group int, n long, p binary")
+    sums = sorted(found.groupBy(F.col("group") % SUMS).applyInPandas(added, "part int, n long, p binary").collect(), key=lambda r: r["part"])
+    if not sums:
+        return net
+    total, n = sum(np.frombuffer(r["p"], np.float64) for r in sums), sum(r["n"] for r in sums)
+    ends = np.cumsum([net.p[k].size for k in names])[:-1]
+    parts = np.split((total / n).astype(np.float32), ends)
+    return Network(net.languages, {k: x.reshape(net.p[k].shape) for k, x in zip(names, parts, strict=True)})
+
+
+def none_limit(judged: DataFrame) -> float:
+    """What MOST_BELOW of the shares ``none`` stay below, up to 1 / BINS, LEAST_NONE at least:
+    all of them are counted, by steps of that size."""
+    bins = sorted(tuple(r) for r in judged.groupBy(F.ceil(F.col("none") * BINS).alias("b")).count().collect())
+    most, seen = MOST_BELOW * sum(n for _, n in bins), 0
+    for b, n in bins:
+        seen += n
+        if seen >= most:
+            return max(LEAST_NONE, b / BINS)
+    return LEAST_NONE
+
+
 def sampled(labelled: DataFrame) -> list[tuple[str, str, list[str]]]:
     """(language, id, texts): of each of the LANGUAGES most frequent label values about
     SAMPLE_DOCS different documents, chosen by a hash of id and text."""
@@ -255,19 +379,22 @@ def sampled(labelled: DataFrame) -> list[tuple[str, str, list[str]]]:
 
 
 def fit(docs: DataFrame, none: bool = False) -> Network:
-    """Learns from a bounded sample of the labelled documents that are not held out; with
-    ``none`` a class of no language too, whose limit is what MOST_BELOW of a sample of
-    held-out documents stay below, LEAST_NONE at least."""
+    """Learns from all labelled documents that are not held out, starting from a sample of
+    them; with ``none`` a class of no language too, whose limit is what MOST_BELOW of all
+    labelled held-out documents stay below, LEAST_NONE at least."""
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
-    samples = [(t, lang) for lang, _, texts in sampled(labelled.where(~held_out(F.col("id")))) for t in texts]
-    if not none or not samples:
+    learn = labelled.where(~held_out(F.col("id")))
+    samples = [(t, lang) for lang, _, texts in sampled(learn) for t in texts]
+    if not samples:
         return train(samples)
-    r = np.random.default_rng(SEED)
-    order = r.permutation(len(samples))[: -(-len(samples) // len({lang for _, lang in samples}))]
-    mixed = ["".join(np.array(list(samples[i][0]))[r.permutation(len(samples[i][0]))].tolist()) if samples[i][0] else "" for i in order]
-    net = train(samples + [(t, NONE) for t in mixed])
-    apart = [" ".join(texts) for _, _, texts in sampled(labelled.where(held_out(F.col("id"))))]
-    net.none_limit = max(LEAST_NONE, float(np.quantile([x[2] for x in net.judged(apart)], MOST_BELOW))) if apart else LEAST_NONE
+    if none:
+        r = np.random.default_rng(SEED)
+        order = r.permutation(len(samples))[: -(-len(samples) // len({lang for _, lang in samples}))]
+        samples += [("".join(np.array(list(samples[i][0]))[r.permutation(len(samples[i][0]))].tolist()) if samples[i][0] else "", NONE) for i in order]
+    net = refined(learn, train(samples), samples)
+    if none:
+        judge = predictor(docs.sparkSession, net)
+        net.none_limit = none_limit(labelled.where(held_out(F.col("id"))).select(judge(F.col("text")).alias("p")).select("p.none"))
     return net
 
 

@@ -1,12 +1,13 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 from test_contracts import SCHEMA, bench, docs, prose
 
-from bidlake.llm import decontam, line_dedup, packing
+from bidlake.llm import decontam, langid, line_dedup, packing
 
 
 def test_line_dedup_with_earlier_excerpts(spark):
@@ -139,3 +140,27 @@ def test_licence_headers_among_other_words(spark):
     got = {x["path"]: (x["license"], x["cosine"]) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     found = [p for p, name in want.items() if got[p][0] == name and got[p][1] > 0.99]
     assert len(found) >= 0.95 * len(want) and not any(got[p][0] for p in got if p.startswith("/clean"))
+
+
+def test_languages_are_learned_from_all_documents(spark, monkeypatch):
+    """The start's sample shows half of what each language is written in."""
+    r = random.Random(5)
+    write = lambda letters: "".join(r.choice(letters) for _ in range(1500))
+    kinds = [("a", "abcd "), ("b", "pqrs "), ("a", "ghij "), ("b", "wxyz ")]
+    rows = [(i, write(kinds[i % 4][1]), kinds[i % 4][0]) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    some = [(lang, str(i), [text[:200], text[300:500]]) for i, text, lang in rows[:120] if i % 4 < 2]
+    monkeypatch.setattr(langid, "sampled", lambda labelled: some)
+    apart = [(text, lang) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2 and i % 4 > 1]
+    started = langid.train([(t, lang) for lang, _, texts in some for t in texts]).documents([t for t, _ in apart])
+    assert sum(x[0] == lang for x, (_, lang) in zip(started, apart, strict=True)) < 0.9 * len(apart)
+    net = langid.fit(d)
+    assert [x[0] for x in net.documents([t for t, _ in apart])] == [lang for _, lang in apart]
+    again = langid.fit(d.unionByName(d).repartition(7))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
+
+
+def test_bound_of_no_language_counts_all(spark):
+    d = spark.range(4000).select((F.col("id") / 4000).alias("none"))
+    assert langid.none_limit(d) == 0.9498  # 3800 of 4000 are 0.94975 or less
+    assert langid.none_limit(d.where("none < 0.1")) == langid.none_limit(d.where("none > 1")) == langid.LEAST_NONE
