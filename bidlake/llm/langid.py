@@ -42,7 +42,7 @@ LANGUAGES = 100
 #: The class of no language; the share of a text's positions below which it never goes, and
 #: the share of held-out documents below the bound; bytes of texts that say too little.
 NONE, LEAST_NONE, MOST_BELOW, SHORT_TEXT = "", 0.75, 0.95, 100
-HIDDEN, SEGMENT, LANES = 16, 128, 2048
+HIDDEN, SEGMENT, LANES = 16, 128, 1024
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
 #: All documents: a segment of each so many bytes, about so many segments in a group (whose
 #: memory this bounds), so many in a step; every REPLAY-th as many again are of the start's
@@ -59,12 +59,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|), in place."""
-    size = np.abs(x)
+def _squash(x: np.ndarray, size: np.ndarray) -> None:
+    """x / (1 + |x|), in place; size: an array of that shape to work in."""
+    np.abs(x, out=size)
     size += 1
     x /= size
-    return x
 
 
 @dataclass
@@ -87,62 +86,66 @@ class Network:
         p["c"] = np.zeros(len(languages), np.float32)
         return cls(languages, p)
 
-    def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H) of one direction over bytes (T, B), in reading order of
-        that direction; keep gets what backpropagation needs."""
-        W, U = ([np.ascontiguousarray(x) for x in np.split(self.p[f"{name}{d}"], 3, axis=1)] for name in "WU")
-        h = np.zeros((x.shape[1], len(U[0])), np.float32)
-        out = np.empty((*x.shape, len(U[0])), np.float32)
-        for t, row in enumerate(x):
-
-            def unit(i: int, v: np.ndarray) -> np.ndarray:
-                s = v @ U[i]
-                s += np.take(W[i], row, axis=0)
-                return _squash(s)
-
-            z, r = unit(0, h), unit(1, h)
-            for gate in (z, r):
-                gate += 1
-                gate *= 0.5
-            rh = r * h
-            n = unit(2, rh)
-            if keep is not None:
-                keep.append((h, z, r, rh, n))
-            step = n - h
-            step *= z
-            h = np.add(h, step, out=out[t])
+    def gates(self, name: str) -> np.ndarray:
+        """The rows of W or U by gate (update, reset, new) and direction: (3, 2, rows, H)."""
+        return np.ascontiguousarray(np.stack([np.stack(np.split(self.p[f"{name}{d}"], 3, axis=1)) for d in "fb"], axis=1))
+
+    def states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """States (T, B, H) of one direction over bytes (T, B), in the order of the text."""
+        W, U = (self.gates(name)[:, "fb".index(d)] for name in "WU")
+        H = U.shape[2]
+        h = np.zeros((x.shape[1], H), np.float32)
+        out = np.empty((*x.shape, H), np.float32)
+        # The same few arrays for every byte, which stay near the core.
+        g, size = (np.empty((2, *h.shape), np.float32) for _ in range(2))
+        z, r = g
+        rows, n = np.empty_like(h), np.empty_like(h)
+        at = x.astype(np.intp)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            for i in range(2):
+                np.matmul(h, U[i], out=g[i])
+                g[i] += np.take(W[i], at[t], axis=0, out=rows, mode="clip")
+            _squash(g, size)
+            g += 1
+            g *= 0.5
+            np.matmul(np.multiply(r, h, out=r), U[2], out=n)
+            n += np.take(W[2], at[t], axis=0, out=rows, mode="clip")
+            _squash(n, size[0])
+            n -= h
+            n *= z
+            h = np.add(h, n, out=out[t])
         return out
 
     def outputs(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Probabilities (L, T * B) from the states of both directions."""
         H = f.shape[2]
         q = self.p["V"][:H].T @ f.reshape(-1, H).T
-        q += self.p["V"][H:].T @ np.ascontiguousarray(b).reshape(-1, H).T
+        q += self.p["V"][H:].T @ b.reshape(-1, H).T
         q += self.p["c"][:, None]
         q -= q.max(0)
         np.exp(q, out=q)
         q /= q.sum(0)
         return q
 
-    def probabilities(self, x: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(T, B, L) for bytes (T, B)."""
-        f = self.states(x, "f", keep and keep[0])
-        b = self.states(x[::-1], "b", keep and keep[1])[::-1]
-        if keep is not None:
-            keep[2].extend((f, b))
-        return np.ascontiguousarray(self.outputs(f, b).T).reshape(*x.shape, -1)
+        q = self.outputs(self.states(x, "f"), self.states(x, "b"))
+        return np.ascontiguousarray(q.T).reshape(*x.shape, -1)
 
     def summed(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """(B, L): the probabilities of each row's valid bytes added up."""
-        q = self.outputs(self.states(x, "f"), self.states(x[::-1], "b")[::-1])
+        q = self.outputs(self.states(x, "f"), self.states(x, "b"))
         q *= valid.astype(np.float32).reshape(-1)
         return q.reshape(-1, *x.shape).sum(1).T
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, share: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over valid positions (of rows that count by their share), and its
-        gradient, through time."""
-        keep = ([], [], [])
-        q = self.probabilities(x, keep)
+        gradient, through time.  Both directions go side by side: arrays are (T, 2, B, H),
+        each direction in its reading order."""
+        both = np.stack([x, x[::-1]], axis=1)
+        h, g, rh, n = self._kept(both)
+        f, b = h[1:, 0], h[:0:-1, 1]
+        q = np.ascontiguousarray(self.outputs(f, b).T).reshape(*x.shape, -1)
         at = (np.arange(x.shape[0])[:, None], np.arange(x.shape[1])[None, :], y[None, :])
         weight = valid if share is None else valid * share
         weight = (weight / weight.sum()).astype(np.float32)
@@ -150,39 +153,69 @@ class Network:
         dl = q
         dl[at] -= 1
         dl *= weight[:, :, None]
-        f, b = keep[2]
         H, L = f.shape[2], dl.shape[2]
         flat = dl.reshape(-1, L)
         grad = {"V": np.concatenate([f.reshape(-1, H), b.reshape(-1, H)], 1).T @ flat, "c": flat.sum(0)}
-        down = dl @ self.p["V"].T
-        for d, seen, kept, dh in (("f", x, keep[0], down[:, :, :H]), ("b", x[::-1], keep[1], down[::-1, :, H:])):
-            grad[f"W{d}"], grad[f"U{d}"] = self._through_time(d, seen, kept, dh)
+        down = (flat @ self.p["V"].T).reshape(*x.shape, 2 * H)
+        dg = self._through_time(h, g, n, np.stack([down[:, :, :H], down[::-1, :, H:]], axis=1))
+        for i, d in enumerate("fb"):
+            rows = dg[:, :, i].transpose(0, 2, 1, 3).reshape(-1, 3 * H)
+            before = h[:-1, i].reshape(-1, H)
+            grad[f"U{d}"] = np.concatenate([before.T @ rows[:, : 2 * H], rh[:, i].reshape(-1, H).T @ rows[:, 2 * H :]], 1)
+            order = np.argsort(both[:, i], axis=None, kind="stable")
+            seen = both[:, i].reshape(-1)[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(seen, prepend=-1))
+            grad[f"W{d}"] = np.zeros((256, 3 * H), np.float32)
+            grad[f"W{d}"][seen[first]] = np.add.reduceat(rows[order], first, axis=0)
         return loss, grad
 
-    def _through_time(self, d: str, x: np.ndarray, kept: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        U = self.p[f"U{d}"]
-        H = U.shape[0]
-        dU, dg = np.zeros_like(U), np.empty((*x.shape, 3 * H), np.float32)
-        dh = np.zeros((x.shape[1], H), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            h, z, r, rh, n = kept[t]
-            dh = dh + dout[t]
-            # The slope of x / (1 + |x|) is the square of 1 - |its value|.
-            dn = dh * z * (1 - np.abs(n)) ** 2
-            dz = dh * (n - h) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            drh = dn @ U[:, 2 * H :].T
-            dr = drh * h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-            dzr = np.concatenate([dz, dr], 1)
-            dU[:, 2 * H :] += rh.T @ dn
-            dU[:, : 2 * H] += h.T @ dzr
-            dg[t, :, : 2 * H], dg[t, :, 2 * H :] = dzr, dn
-            dh = dh * (1 - z) + drh * r + dzr @ U[:, : 2 * H].T
-        dW = np.zeros((256, 3 * H), np.float32)
-        order = np.argsort(x, axis=None, kind="stable")
-        seen = x.reshape(-1)[order].astype(np.int64)
-        first = np.flatnonzero(np.diff(seen, prepend=-1))
-        dW[seen[first]] = np.add.reduceat(dg.reshape(-1, 3 * H)[order], first, axis=0)
-        return dW, dU
+    def _kept(self, both: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What backpropagation needs of bytes (T, 2, B): states (from before the first byte),
+        gates (T, 2, 2, B, H), reset states and new ones."""
+        W, U = self.gates("W"), self.gates("U")
+        H = U.shape[3]
+        place = both[:, None].astype(np.intp) + (np.arange(6) * 256).reshape(1, 3, 2, 1)
+        given = np.take(W.reshape(-1, H), place, axis=0)
+        h = np.zeros((len(both) + 1, *both.shape[1:], H), np.float32)
+        g, rh, n = given[:, :2], np.empty_like(h[1:]), given[:, 2]
+        size, product = (np.empty(g.shape[1:], np.float32) for _ in range(2))
+        for t in range(len(both)):
+            gate, new = g[t], n[t]
+            gate += np.matmul(h[t], U[:2], out=product)
+            _squash(gate, size)
+            gate += 1
+            gate *= 0.5
+            new += np.matmul(np.multiply(gate[1], h[t], out=rh[t]), U[2], out=product[0])
+            _squash(new, size[0])
+            step = np.subtract(new, h[t], out=size[0])
+            step *= gate[0]
+            np.add(h[t], step, out=h[t + 1])
+        return h, g, rh, n
+
+    def _through_time(self, h: np.ndarray, g: np.ndarray, n: np.ndarray, dout: np.ndarray) -> np.ndarray:
+        """The gradient of the gates' inputs, (T, 3, 2, B, H), from that of the states."""
+        U = np.ascontiguousarray(self.gates("U").swapaxes(2, 3))
+        z, r, h = g[:, 0], g[:, 1], h[:-1]
+        # The slope of x / (1 + |x|) is the square of 1 - |its value|.
+        of_new = z * (1 - np.abs(n)) ** 2
+        of_z = (n - h) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        of_r = h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+        rest = 1 - z
+        dg = np.empty((len(h), 3, *h.shape[1:]), np.float32)
+        dh, drh = np.zeros(h.shape[1:], np.float32), np.empty(h.shape[1:], np.float32)
+        product = np.empty((2, *h.shape[1:]), np.float32)
+        for t in range(len(h) - 1, -1, -1):
+            dh += dout[t]
+            np.multiply(dh, of_z[t], out=dg[t, 0])
+            np.matmul(np.multiply(dh, of_new[t], out=dg[t, 2]), U[2], out=drh)
+            np.multiply(drh, of_r[t], out=dg[t, 1])
+            dh *= rest[t]
+            drh *= r[t]
+            dh += drh
+            np.matmul(dg[t, :2], U[:2], out=product)
+            dh += product[0]
+            dh += product[1]
+        return dg
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, mean probability) of each whole text."""
