@@ -57,8 +57,9 @@ class Units:
         joined = b"\n".join(data)
         self.start, self.end = word_bounds(joined)
         words = word_hashes(joined, self.start, self.end)
-        line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), self.start)
-        first = np.flatnonzero(np.diff(line, prepend=-1))
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        first = np.unique(np.append(0, np.searchsorted(self.start, breaks)))
+        first = first[first < len(words)]
         #: First word of each line that has one, and the number of words.
         self.first = np.append(first, len(words))
         lines = words
