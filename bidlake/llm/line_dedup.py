@@ -26,13 +26,15 @@ name, but for n_removed, n_runs and n_repeated, which the result's own replace.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_lists, keyed, list_fields, mix64, powers, salted, small_batches, window_hashes, word_bounds, word_hashes, written
+from .common import HOT, join_lists, keyed, list_fields, mix64, powers, salted, small_batches, window_hashes, word_bounds, word_hashes, written
 
 WORDS, LINES_KIND = 0, 1
 K, W = 25, 26
@@ -56,20 +58,24 @@ class Units:
         self.offset = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
         joined = b"\n".join(data)
         self.start, self.end = word_bounds(joined)
-        words = word_hashes(joined, self.start, self.end)
+        self.joined = joined
         breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
         first = np.unique(np.append(0, np.searchsorted(self.start, breaks)))
-        first = first[first < len(words)]
+        first = first[first < len(self.start)]
         #: First word of each line that has one, and the number of words.
-        self.first = np.append(first, len(words))
+        self.first = np.append(first, len(self.start))
+        at = np.searchsorted(self.start, self.offset)
+        #: First unit of each text, and the number of units.
+        self.at = {WORDS: at, LINES_KIND: np.searchsorted(first, at)}
+
+    @cached_property
+    def units(self) -> dict[int, np.ndarray]:
+        words, first = word_hashes(self.joined, self.start, self.end), self.first[:-1]
         lines = words
         if len(words):
             place = np.arange(len(words)) - np.repeat(first, np.diff(self.first))
             lines = mix64(np.add.reduceat(words * powers(int(place.max()) + 1)[place], first))
-        self.units = {WORDS: words, LINES_KIND: lines}
-        at = np.searchsorted(self.start, self.offset)
-        #: First unit of each text, and the number of units.
-        self.at = {WORDS: at, LINES_KIND: np.searchsorted(first, at)}
+        return {WORDS: words, LINES_KIND: lines}
 
     def of(self, kind: int, i: int) -> np.ndarray:
         return self.units[kind][self.at[kind][i] : self.at[kind][i + 1]]
@@ -224,24 +230,23 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.mapInArrow(winnow, _PRINTS)
 
 
-def _merged_runs(runs: dict[str, np.ndarray], lo: int, hi: int, min_words: int) -> dict[int, list[tuple[int, int]]]:
-    """Per kind the spans of one document, whose runs are rows lo .. hi, in runs of
-    min_words words or LINES lines."""
-    out: dict[int, list[tuple[int, int]]] = {}
+def _matches(runs: dict[str, np.ndarray], lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(kind, a, b): the matches of one document, whose runs are rows lo .. hi.  Pieces of one
+    match are joined before any bound is applied, so runs of different matches don't add up."""
     by: dict[tuple[int, int, int, int], list[list[int]]] = {}
-    rows = sorted(zip(*(runs[c][lo:hi].tolist() for c in ("kind", "odoc", "oth", "diag", "a", "b")), strict=True))
-    for kind, odoc, oth, diag, a, b in rows:
-        # Pieces of one match are joined before the bound is applied, so runs of
-        # different matches don't add up.
-        at = by.setdefault((kind, odoc, oth, diag), [])
+    for *match, a, b in sorted(zip(*(runs[c][lo:hi].tolist() for c in ("kind", "odoc", "oth", "diag", "a", "b")), strict=True)):
+        at = by.setdefault(tuple(match), [])
         if at and a <= at[-1][1]:
             at[-1][1] = max(b, at[-1][1])
         else:
             at.append([a, b])
-    for kind in SHAPE:
-        bound = LINES if kind == LINES_KIND else min_words
-        out[kind] = merged((a, b) for (of, *_), at in by.items() if of == kind for a, b in at if b - a >= bound)
-    return out
+    return [(kind, a, b) for (kind, *_), at in by.items() for a, b in at]
+
+
+def _merged_runs(matches: list[tuple[int, int, int]], min_words: int) -> dict[int, list[tuple[int, int]]]:
+    """Per kind the spans of one document in matches of min_words words or LINES lines."""
+    bound = {WORDS: min_words, LINES_KIND: LINES}
+    return {kind: merged((a, b) for of, a, b in matches if of == kind and b - a >= bound[kind]) for kind in SHAPE}
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -268,7 +273,7 @@ def _unsettled(marked: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
             runs_at, runs = list_fields(batch.column(3))
             ids, ths, places, spans = [], [], [], []
             for i, (doc_id, th) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                settled = _merged_runs(runs, runs_at[i], runs_at[i + 1], min_words)
+                settled = _merged_runs(_matches(runs, runs_at[i], runs_at[i + 1]), min_words)
                 mine = {c: v[at[i] : at[i + 1]] for c, v in p.items()}
                 keep = np.zeros(len(mine["pos"]), bool)
                 for kind, found in settled.items():
@@ -347,10 +352,25 @@ def _regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return join_lists(docs, lists, F.size("ranges") * 40).select("doc_id", "th", "text", "ranges").mapInArrow(emit, _REGION)
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Ranges of at least k places in which both are equal throughout."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (a == b).view(np.int8), [0]])))
-    return [(s, e) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if e - s >= k]
+def equal_runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, from, to) of the places in which a and b, rows of values between the bounds
+    ``at``, are equal throughout, for at least k[row] places."""
+    size = np.diff(at)
+    # A place that is not equal behind each row.
+    same = np.zeros(len(a) + len(size) + 1, np.int8)
+    same[np.arange(1, len(a) + 1) + np.repeat(np.arange(len(size)), size)] = a == b
+    edge = np.flatnonzero(np.diff(same))
+    s, e = edge[::2], edge[1::2]
+    begin = at[:-1] + np.arange(len(size))
+    row = np.searchsorted(begin, s, "right") - 1
+    long = e - s >= k[row]
+    return row[long], (s - begin[row])[long], (e - begin[row])[long]
+
+
+def _pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binary arrays of 32-bit values: all values, and the bounds of each row's."""
+    pieces = column.to_pylist()
+    return np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(np.array([0, *(len(x) // 4 for x in pieces)]))
 
 
 _RUN = f"{_ID}, kind int, odoc long, oth long, diag int, a int, b int"
@@ -358,18 +378,19 @@ _RUN = f"{_ID}, kind int, odoc long, oth long, diag int, a int, b int"
 
 def _verified(pairs: DataFrame) -> DataFrame:
     """The columns of _RUN: ranges of a document equal to its origin's, shifted by diag."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def compare(batches):
         for batch in batches:
-            rows = []
-            for doc_id, th, kind, odoc, oth, diag, first, units, ofirst, ounits in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                x, y = np.frombuffer(units, "<u4"), np.frombuffer(ounits, "<u4")
-                shift = ofirst + diag  # where the origin's piece starts in the document
-                lo, hi = max(first, shift), min(first + len(x), shift + len(y))
-                if hi > lo:
-                    rows += [(doc_id, th, kind, odoc, oth, diag, lo + s, lo + e) for s, e in equal_runs(x[lo - first : hi - first], y[lo - shift : hi - shift], SHAPE[kind][0])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _RUN.split(", ")])
+            doc_id, th, kind, odoc, oth, diag, first, ofirst = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 6, 8))
+            (x, x_at), (y, y_at) = _pieces(batch.column(7)), _pieces(batch.column(9))
+            shift = ofirst + diag  # where the origin's piece starts in the document
+            lo = np.maximum(first, shift)
+            size = np.maximum(0, np.minimum(first + np.diff(x_at), shift + np.diff(y_at)) - lo)
+            at = np.append(0, np.cumsum(size))
+            place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+            k = np.where(kind == LINES_KIND, SHAPE[LINES_KIND][0], SHAPE[WORDS][0])
+            row, a, b = equal_runs(x[np.repeat(x_at[:-1] + lo - first, size) + place], y[np.repeat(y_at[:-1] + lo - shift, size) + place], at, k)
+            yield _columns([(doc_id[row], th[row], kind[row], odoc[row], oth[row], diag[row], lo[row] + a, lo[row] + b)], _RUN)
 
     return pairs.select("doc_id", "th", "kind", "odoc", "oth", "diag", "first", "units", "ofirst", "ounits").mapInArrow(compare, _RUN)
 
@@ -399,15 +420,84 @@ def _by_document(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("kind", "odoc", "oth", "diag", "a", "b")).alias("runs"))
 
 
-def _origins(rows: DataFrame, keys: list[str], *more: Column, where: str = "n > 1") -> DataFrame:
-    """Per hash that occurs twice: its earliest place, and how many rows have it."""
-    first = F.min(F.struct("doc_id", "th", "place")).alias("o")
-    found = rows.groupBy(*keys).agg(first, F.count("*").alias("n"), *more).where(where)
-    return written(found.select(*keys, "n", F.col("o.doc_id").alias("odoc"), F.col("o.th").alias("oth"), F.shiftright("o.place", 16).cast("int").alias("opos"), *[c for c in found.columns if c == "thin"]), "dedup-origins")
-
-
-def _joined(rows: DataFrame, origins: DataFrame, keys: list[str]) -> DataFrame:
-    return unpacked(salted(rows, origins.drop("n"), origins.select(*keys, "n"), keys, rows.count(), by=["doc_id", "th", "place"]).drop(*keys))
+_MARKED = f"{_ID}, place long, odoc long, oth long, opos int, any_thin boolean"
+#: Rows by which keys that many rows have are found, and rows that are looked through together.
+LOOKED_AT, TOGETHER_ROWS = 200_000, 1 << 14
+
+
+def _last(keys: list[np.ndarray]) -> int:
+    """Where the rows of the last key begin."""
+    return max(int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1]) for key in keys)
+
+
+def _shared_keys(columns: list[np.ndarray], n_keys: int) -> list[np.ndarray]:
+    """The columns of _MARKED for rows (keys, doc_id, th, place) that lie together by key."""
+    doc_id, th, place = columns[n_keys:]
+    new = np.ones(len(place), bool)
+    new[1:] = False
+    for key in columns[:n_keys]:
+        new[1:] |= key[1:] != key[:-1]
+    start = np.flatnonzero(new)
+    count = np.diff(start, append=len(place))
+    thin = np.maximum.reduceat(place >> 1 & 1, start) > 0
+    some = (count > 1) | thin
+    rows, count, thin = np.flatnonzero(np.repeat(some, count)), count[some], thin[some]
+    doc_id, th, place, of = doc_id[rows], th[rows], place[rows], np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((place, th, doc_id, of))
+    first = order[np.cumsum(count) - count][of]
+    odoc, oth, opos, thin = doc_id[first], th[first], place[first] >> 16, thin[of]
+    keep = thin | (doc_id != odoc) | (th != oth) | (place >> 16 != opos)
+    return [x[keep] for x in (doc_id, th, place, odoc, oth, opos, thin)]
+
+
+def _by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of _MARKED; the rows of a key go through one task."""
+
+    def batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return _columns([tuple(columns)], _MARKED)
+
+    def mark(batches):
+        held, n, enough = [], 0, TOGETHER_ROWS
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            n += b.num_rows
+            if n >= enough:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                # The last key's rows may go on.
+                last = _last(columns[: len(keys)])
+                if last:
+                    yield batch(_shared_keys([c[:last] for c in columns], len(keys)))
+                held, n = [[c[last:] for c in columns]], n - last
+                enough = TOGETHER_ROWS + 2 * n
+        if n:
+            yield batch(_shared_keys([np.concatenate(c) for c in zip(*held, strict=True)], len(keys)))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(mark, _MARKED)
+
+
+def _marked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows (keys, doc_id, th, place), a table in a folder, those whose keys also stand at an
+    earlier place, with the earliest one, and all rows of keys of which some are thin.  Keys
+    that many rows have, found among about LOOKED_AT rows by chance, are summed up
+    in part before they meet and their few origins broadcast; each row of another key is
+    shuffled once."""
+    total = rows.count()
+    often = rows.sample(LOOKED_AT / total, 7) if total > LOOKED_AT else rows
+    hot = written(often.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LOOKED_AT * HOT / 2).select(*keys), "dedup-hot")
+    rows = rows.select(*keys, "doc_id", "th", "place")
+    if hot.isEmpty():
+        return _places(_by_key(rows, keys))
+    mine = rows.join(F.broadcast(hot), keys)
+    first, thin = F.min(F.struct("doc_id", "th", "place")).alias("o"), F.max(F.shiftright("place", 1).bitwiseAND(1)).alias("thin")
+    origins = written(mine.groupBy(*keys).agg(first, thin), "dedup-origins")
+    origins = origins.select(*keys, F.col("o.doc_id").alias("odoc"), F.col("o.th").alias("oth"), F.shiftright("o.place", 16).cast("int").alias("opos"), (F.col("thin") == 1).alias("any_thin"))
+    met = mine.join(F.broadcast(origins), keys).drop(*keys)
+    met = met.where(F.col("any_thin") | (F.col("doc_id") != F.col("odoc")) | (F.col("th") != F.col("oth")) | (F.shiftright("place", 16) != F.col("opos")))
+    return _places(_by_key(rows.join(F.broadcast(hot), keys, "left_anti"), keys).unionByName(met))
+
+
+def _places(marked: DataFrame) -> DataFrame:
+    return unpacked(marked).drop("thin").withColumnRenamed("any_thin", "thin")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -416,14 +506,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = keyed(docs).where("doc_id is not null and text is not null")
     prints = written(fingerprints(docs, min_words), "dedup-prints")
-    thin = F.max(F.shiftright("place", 1).bitwiseAND(1)).alias("thin")
-    origins = _origins(prints, ["hash"], thin, where="n > 1 or thin = 1").withColumn("any_thin", F.col("thin") == 1).drop("thin")
-    marked = _joined(prints, origins, ["hash"]).drop("thin").withColumnRenamed("any_thin", "thin")
-    marked = written(marked, "dedup-marked")
+    marked = written(_marked(prints, ["hash"]), "dedup-marked")
     runs = _compared(docs, marked.where(_elsewhere()), min_words)
-    keys = ["hash", "hash2"]
     whole = written(open_runs(docs, written(_unsettled(marked, runs, min_words), "dedup-open"), min_words), "dedup-whole")
-    later = _joined(whole, _origins(whole, keys), keys).where(_elsewhere())
+    later = _marked(whole, ["hash", "hash2"]).where(_elsewhere())
     length = F.when(F.col("kind") == LINES_KIND, least(LINES_KIND)).otherwise(least(WORDS, min_words))
     more = later.select("doc_id", "th", "kind", "odoc", "oth", (F.col("pos") - F.col("opos")).alias("diag"), F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
     return _by_document(runs.unionByName(more))
@@ -453,12 +539,15 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         at, of = list_fields(runs)
         given = text.to_pylist()
         texts, removed, count, repeated = list(given), [0] * len(given), [0] * len(given), [0] * len(given)
-        spans_of = lambda units, i, j, least: merged(x for k, s in _merged_runs(of, at[i], at[i + 1], least).items() for x in units.word_spans(k, j, s))
+        spans_of = lambda units, found, j, least: merged(x for k, s in _merged_runs(found, least).items() for x in units.word_spans(k, j, s))
         for lo, units in together(given):
             for j in range(len(units.offset) - 1):
                 i = lo + j
-                spans = spans_of(units, i, j, min_words)
-                repeated[i] = sum(b - a for a, b in spans_of(units, i, j, K))
+                found = _matches(of, at[i], at[i + 1])
+                if not found:
+                    continue
+                spans = spans_of(units, found, j, min_words)
+                repeated[i] = sum(b - a for a, b in spans_of(units, found, j, K))
                 if spans:
                     texts[i], removed[i], count[i] = cut(given[i], spans, *units.words(j)), sum(b - a for a, b in spans), len(spans)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(repeated, pa.int64())], names=["text", "n_removed", "n_runs", "n_repeated"])

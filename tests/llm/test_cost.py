@@ -64,3 +64,50 @@ def test_lines_begin_at_the_first_word_after_each_break():
     assert units.first.tolist() == [0, 2, 3, 4, 6]
     assert [len(units.of(line_dedup.LINES_KIND, i)) for i in range(5)] == [2, 0, 0, 0, 2]
     assert line_dedup.Units(["", None]).first.tolist() == [0]
+
+
+def _prints(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = [(int(h), int(d), int(d % 3), int(p) << 16 | int(t) << 1) for h, d, p, t in zip(r.integers(0, 900, 1500), r.integers(0, 50, 1500), r.integers(0, 9, 1500), r.random(1500) < 0.02, strict=True)]
+    rows += [(7, d, 0, 1 << 16) for d in range(60, 400)]
+    return rows, spark.createDataFrame(rows, "hash long, doc_id long, th long, place long")
+
+
+def test_places_of_a_hash_and_the_earliest_one(spark):
+    rows, prints = _prints(spark, 1)
+    by = {}
+    for h, *row in rows:
+        by.setdefault(h, []).append(row)
+    want = []
+    for of in by.values():
+        first, thin = min(of), any(p >> 1 & 1 for *_, p in of)
+        want += [(d, th, p >> 16, first[0], first[1], first[2] >> 16, thin) for d, th, p in of if thin or (d, th, p >> 16) != (*first[:2], first[2] >> 16)]
+    prints = common.written(prints.repartition(5), "test-prints")
+    got = line_dedup._marked(prints, ["hash"]).select("doc_id", "th", "pos", "odoc", "oth", "opos", "thin").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_keys_are_shuffled_once(spark):
+    _, prints = _prints(spark, 2)
+    prints = common.written(prints.where("hash <> 7").limit(200), "test-prints")
+    plan = line_dedup._marked(prints, ["hash"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+def test_the_rows_of_a_key_go_on_over_batches():
+    columns = [np.array(x, np.int64) for x in ([1, 1, 2, 2, 2], [5, 3, 9, 8, 8], [0] * 5, [1 << 16] * 5)]
+    assert line_dedup._last(columns[:1]) == 2 and line_dedup._last(columns[:2]) == 3
+    doc_id, *_, odoc, _, _, thin = line_dedup._shared_keys(columns, 1)
+    assert doc_id.tolist() == [5, 9] and odoc.tolist() == [3, 8] and not thin.any()
+
+
+def test_equal_runs_of_many_pieces_at_once():
+    a, b = np.array([1, 2, 3, 4, 4, 4, 9]), np.array([1, 2, 0, 4, 4, 4, 9])
+    found = line_dedup.equal_runs(a, b, np.array([0, 2, 2, 5, 7]), np.array([2, 1, 2, 3]))
+    assert [x.tolist() for x in found] == [[0, 2], [0, 1], [2, 3]]
+
+
+def test_cutting_needs_no_hashes():
+    units = line_dedup.Units(["a b\nc", "d"])
+    assert [len(x) for x in units.words(0)] == [3, 3] and units.word_spans(line_dedup.LINES_KIND, 0, [(1, 2)]) == [(2, 3)]
+    assert "units" not in vars(units)
