@@ -42,13 +42,15 @@ LANGUAGES = 100
 #: The class of no language; the share of a text's positions below which it never goes, and
 #: the share of held-out documents below the bound; bytes of texts that say too little.
 NONE, LEAST_NONE, MOST_BELOW, SHORT_TEXT = "", 0.75, 0.95, 100
-HIDDEN, SEGMENT, LANES = 16, 128, 1024
+HIDDEN, SEGMENT, LANES = 16, 128, 512
 STEPS, BATCH, TRAIN_SEGMENT, RATE, SEED = 400, 192, 64, 0.01, 7
 #: All documents: a segment of each so many bytes, about so many segments in a group (whose
 #: memory this bounds), so many in a step; every REPLAY-th as many again are of the start's
 #: sample, equally of each language, so that no group forgets what it doesn't hold.  A group
 #: of few segments sees them again up to so many steps.
 STRETCH, GROUP, STEP, REPLAY, LEAST_STEPS = 512, 16_384, 128, 8, 128
+#: Bytes of all lanes whose probabilities and slopes are worked out together.
+NEAR = 8
 #: Sums of what groups come to that reach the driver.
 SUMS = 64
 #: Steps in which shares of no language are counted.
@@ -66,6 +68,18 @@ def _squash(x: np.ndarray, size: np.ndarray) -> None:
     x /= size
 
 
+class Work:
+    """Arrays that are used again from step to step, so that their memory isn't asked for anew."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, *shape: int) -> np.ndarray:
+        if name not in self.kept or self.kept[name].shape != shape:
+            self.kept[name] = np.empty(shape, np.float32)
+        return self.kept[name]
+
+
 @dataclass
 class Network:
     """Two GRUs (forward, backward) and a softmax over both states at each byte.
@@ -92,41 +106,49 @@ class Network:
 
     def states(self, x: np.ndarray, d: str) -> np.ndarray:
         """States (T, B, H) of one direction over bytes (T, B), in the order of the text."""
-        W, U = (self.gates(name)[:, "fb".index(d)] for name in "WU")
-        H = U.shape[2]
-        h = np.zeros((x.shape[1], H), np.float32)
-        out = np.empty((*x.shape, H), np.float32)
+        (Wz, Wr, Wn), (Uz, Ur, Un) = (self.gates(name)[:, "fb".index(d)] for name in "WU")
+        h = np.zeros((x.shape[1], Uz.shape[1]), np.float32)
+        out = np.empty((*x.shape, Uz.shape[1]), np.float32)
         # The same few arrays for every byte, which stay near the core.
         g, size = (np.empty((2, *h.shape), np.float32) for _ in range(2))
         z, r = g
         rows, n = np.empty_like(h), np.empty_like(h)
         at = x.astype(np.intp)
+        # Gates are (1 + g) / 2; the halves are taken with what they are multiplied by.
+        half = np.float32(0.5)
+        Un = Un * half
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            for i in range(2):
-                np.matmul(h, U[i], out=g[i])
-                g[i] += np.take(W[i], at[t], axis=0, out=rows, mode="clip")
+            np.matmul(h, Uz, out=z)
+            z += Wz.take(at[t], 0, rows, "clip")
+            np.matmul(h, Ur, out=r)
+            r += Wr.take(at[t], 0, rows, "clip")
             _squash(g, size)
             g += 1
-            g *= 0.5
-            np.matmul(np.multiply(r, h, out=r), U[2], out=n)
-            n += np.take(W[2], at[t], axis=0, out=rows, mode="clip")
+            r *= h
+            np.matmul(r, Un, out=n)
+            n += Wn.take(at[t], 0, rows, "clip")
             _squash(n, size[0])
             n -= h
             n *= z
+            n *= half
             h = np.add(h, n, out=out[t])
         return out
 
-    def outputs(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Probabilities (L, T * B) from the states of both directions."""
-        H = f.shape[2]
-        q = self.p["V"][:H].T @ f.reshape(-1, H).T
-        q += self.p["V"][H:].T @ b.reshape(-1, H).T
+    def shares(self, q: np.ndarray) -> np.ndarray:
+        """Probabilities (L, n) from the products (L, n) of states and V, in place."""
         q += self.p["c"][:, None]
         q -= q.max(0)
         np.exp(q, out=q)
         q /= q.sum(0)
         return q
 
+    def outputs(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Probabilities (L, T * B) from the states of both directions."""
+        H = f.shape[2]
+        q = self.p["V"][:H].T @ f.reshape(-1, H).T
+        q += self.p["V"][H:].T @ b.reshape(-1, H).T
+        return self.shares(q)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(T, B, L) for bytes (T, B)."""
         q = self.outputs(self.states(x, "f"), self.states(x, "b"))
@@ -134,18 +156,29 @@ class Network:
 
     def summed(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """(B, L): the probabilities of each row's valid bytes added up."""
-        q = self.outputs(self.states(x, "f"), self.states(x, "b"))
-        q *= valid.astype(np.float32).reshape(-1)
-        return q.reshape(-1, *x.shape).sum(1).T
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, share: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        f, b = self.states(x, "f"), self.states(x, "b")
+        total = np.zeros((len(self.languages), x.shape[1]), np.float32)
+        for t in range(0, len(x), NEAR):
+            q = self.outputs(f[t : t + NEAR], b[t : t + NEAR])
+            own = valid[t : t + NEAR]
+            if not own.all():
+                q *= own.reshape(-1)
+            total += q.reshape(len(q), len(own), -1).sum(1)
+        return total.T
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, share: np.ndarray | None = None, work: Work | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over valid positions (of rows that count by their share), and its
-        gradient, through time.  Both directions go side by side: arrays are (T, 2, B, H),
+        gradient, through time.  Both directions go side by side: arrays are (2, T, B, H),
         each direction in its reading order."""
-        both = np.stack([x, x[::-1]], axis=1)
-        h, g, rh, n = self._kept(both)
-        f, b = h[1:, 0], h[:0:-1, 1]
-        q = np.ascontiguousarray(self.outputs(f, b).T).reshape(*x.shape, -1)
+        work = Work() if work is None else work
+        both = np.stack([x, x[::-1]])
+        h, z, r, rh, n = self._kept(both, work)
+        H, V = h.shape[3], self.p["V"]
+        states = work.array("states", *x.shape, 2 * H)
+        states[:, :, :H] = h[0, 1:]
+        states[:, :, H:] = h[1, :0:-1]
+        states = states.reshape(-1, 2 * H)
+        q = np.ascontiguousarray(self.shares(V.T @ states.T).T).reshape(*x.shape, -1)
         at = (np.arange(x.shape[0])[:, None], np.arange(x.shape[1])[None, :], y[None, :])
         weight = valid if share is None else valid * share
         weight = (weight / weight.sum()).astype(np.float32)
@@ -153,68 +186,82 @@ class Network:
         dl = q
         dl[at] -= 1
         dl *= weight[:, :, None]
-        H, L = f.shape[2], dl.shape[2]
-        flat = dl.reshape(-1, L)
-        grad = {"V": np.concatenate([f.reshape(-1, H), b.reshape(-1, H)], 1).T @ flat, "c": flat.sum(0)}
-        down = (flat @ self.p["V"].T).reshape(*x.shape, 2 * H)
-        dg = self._through_time(h, g, n, np.stack([down[:, :, :H], down[::-1, :, H:]], axis=1))
+        flat = dl.reshape(-1, dl.shape[2])
+        grad = {"V": states.T @ flat, "c": flat.sum(0)}
+        dout = work.array("dout", *both.shape, H)
+        np.matmul(dl, V[:H].T, out=dout[0])
+        np.matmul(dl, V[H:].T, out=dout[1, ::-1])
+        dg = self._through_time(h, z, r, n, dout, work)
         for i, d in enumerate("fb"):
-            rows = dg[:, :, i].transpose(0, 2, 1, 3).reshape(-1, 3 * H)
-            before = h[:-1, i].reshape(-1, H)
-            grad[f"U{d}"] = np.concatenate([before.T @ rows[:, : 2 * H], rh[:, i].reshape(-1, H).T @ rows[:, 2 * H :]], 1)
-            order = np.argsort(both[:, i], axis=None, kind="stable")
-            seen = both[:, i].reshape(-1)[order].astype(np.int64)
+            rows = dg[i].reshape(-1, 3 * H)
+            grad[f"U{d}"] = np.concatenate([h[i, :-1].reshape(-1, H).T @ rows[:, : 2 * H], rh[i].reshape(-1, H).T @ rows[:, 2 * H :]], 1)
+            order = np.argsort(both[i], axis=None, kind="stable")
+            seen = both[i].reshape(-1)[order].astype(np.int64)
             first = np.flatnonzero(np.diff(seen, prepend=-1))
             grad[f"W{d}"] = np.zeros((256, 3 * H), np.float32)
-            grad[f"W{d}"][seen[first]] = np.add.reduceat(rows[order], first, axis=0)
+            grad[f"W{d}"][seen[first]] = np.add.reduceat(rows.take(order, 0, work.array("rows", *rows.shape), "clip"), first, axis=0)
         return loss, grad
 
-    def _kept(self, both: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What backpropagation needs of bytes (T, 2, B): states (from before the first byte),
-        gates (T, 2, 2, B, H), reset states and new ones."""
+    def _kept(self, both: np.ndarray, work: Work) -> tuple[np.ndarray, ...]:
+        """What backpropagation needs of bytes (2, T, B): states (from before the first byte),
+        gates, reset states and new ones."""
         W, U = self.gates("W"), self.gates("U")
-        H = U.shape[3]
-        place = both[:, None].astype(np.intp) + (np.arange(6) * 256).reshape(1, 3, 2, 1)
-        given = np.take(W.reshape(-1, H), place, axis=0)
-        h = np.zeros((len(both) + 1, *both.shape[1:], H), np.float32)
-        g, rh, n = given[:, :2], np.empty_like(h[1:]), given[:, 2]
-        size, product = (np.empty(g.shape[1:], np.float32) for _ in range(2))
-        for t in range(len(both)):
-            gate, new = g[t], n[t]
-            gate += np.matmul(h[t], U[:2], out=product)
+        H, T = U.shape[3], both.shape[1]
+        place = both[None].astype(np.intp) + (np.arange(6) * 256).reshape(3, 2, 1, 1)
+        given = W.reshape(-1, H).take(place, 0, work.array("given", *place.shape, H), "clip")
+        g, n = given[:2], given[2]
+        h, rh = work.array("h", 2, T + 1, both.shape[2], H), work.array("rh", *both.shape, H)
+        h[:, 0] = 0
+        size, product = (np.empty((2, 2, both.shape[2], H), np.float32) for _ in range(2))
+        for t in range(T):
+            gate, new, now = g[:, :, t], n[:, t], h[:, t]
+            gate += np.matmul(now, U[:2], out=product)
             _squash(gate, size)
             gate += 1
             gate *= 0.5
-            new += np.matmul(np.multiply(gate[1], h[t], out=rh[t]), U[2], out=product[0])
+            new += np.matmul(np.multiply(gate[1], now, out=rh[:, t]), U[2], out=product[0])
             _squash(new, size[0])
-            step = np.subtract(new, h[t], out=size[0])
+            step = np.subtract(new, now, out=size[0])
             step *= gate[0]
-            np.add(h[t], step, out=h[t + 1])
-        return h, g, rh, n
-
-    def _through_time(self, h: np.ndarray, g: np.ndarray, n: np.ndarray, dout: np.ndarray) -> np.ndarray:
-        """The gradient of the gates' inputs, (T, 3, 2, B, H), from that of the states."""
-        U = np.ascontiguousarray(self.gates("U").swapaxes(2, 3))
-        z, r, h = g[:, 0], g[:, 1], h[:-1]
-        # The slope of x / (1 + |x|) is the square of 1 - |its value|.
-        of_new = z * (1 - np.abs(n)) ** 2
-        of_z = (n - h) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-        of_r = h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-        rest = 1 - z
-        dg = np.empty((len(h), 3, *h.shape[1:]), np.float32)
-        dh, drh = np.zeros(h.shape[1:], np.float32), np.empty(h.shape[1:], np.float32)
-        product = np.empty((2, *h.shape[1:]), np.float32)
-        for t in range(len(h) - 1, -1, -1):
-            dh += dout[t]
-            np.multiply(dh, of_z[t], out=dg[t, 0])
-            np.matmul(np.multiply(dh, of_new[t], out=dg[t, 2]), U[2], out=drh)
-            np.multiply(drh, of_r[t], out=dg[t, 1])
-            dh *= rest[t]
-            drh *= r[t]
-            dh += drh
-            np.matmul(dg[t, :2], U[:2], out=product)
-            dh += product[0]
-            dh += product[1]
+            np.add(now, step, out=h[:, t + 1])
+        return h, g[0], g[1], rh, n
+
+    def _through_time(self, h: np.ndarray, z: np.ndarray, r: np.ndarray, n: np.ndarray, dout: np.ndarray, work: Work) -> np.ndarray:
+        """The gradient of the gates' inputs, (2, T, B, 3H), from that of the states."""
+        U = self.gates("U").swapaxes(2, 3)
+        of_gates, of_state = np.ascontiguousarray(np.concatenate([U[0], U[1]], 1)), np.ascontiguousarray(U[2])
+        T, H = dout.shape[1], dout.shape[3]
+        dg = work.array("dg", *dout.shape[:3], 3 * H)
+        dh, drh, product = (np.zeros((2, *dout.shape[2:]), np.float32) for _ in range(3))
+        for end in range(T, 0, -NEAR):
+            # The slopes of a few bytes, which stay near the core.  That of x / (1 + |x|) is the
+            # square of 1 - |its value|; of a gate it is twice that of the smaller part.
+            start = max(0, end - NEAR)
+            part = np.s_[:, start:end]
+            rest = 1 - z[part]
+            of_new = np.abs(n[part])
+            np.subtract(1, of_new, out=of_new)
+            of_new *= of_new
+            of_new *= z[part]
+            of_z = np.minimum(z[part], rest)
+            of_z *= of_z
+            of_z *= 2
+            of_z *= n[part] - h[part]
+            of_r = np.minimum(r[part], 1 - r[part])
+            of_r *= of_r
+            of_r *= 2
+            of_r *= h[part]
+            for k in range(end - start - 1, -1, -1):
+                t = start + k
+                dh += dout[:, t]
+                now = dg[:, t]
+                np.multiply(dh, of_z[:, k], out=now[:, :, :H])
+                np.matmul(np.multiply(dh, of_new[:, k], out=now[:, :, 2 * H :]), of_state, out=drh)
+                np.multiply(drh, of_r[:, k], out=now[:, :, H : 2 * H])
+                dh *= rest[:, k]
+                drh *= r[:, t]
+                dh += drh
+                dh += np.matmul(now[:, :, : 2 * H], of_gates, out=product)
         return dg
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -298,19 +345,19 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Network([], {})
-    net, r = Network.fresh(languages), np.random.default_rng(seed)
+    net, r, work = Network.fresh(languages), np.random.default_rng(seed), Work()
     by, adam = _by_language(samples, languages), Adam(net)
     for step in range(1, steps + 1):
         y = r.integers(0, len(languages), batch)
         x, valid = padded(_drawn(by, y, r), TRAIN_SEGMENT)
-        adam.step(net.gradients(x, y, valid)[1], RATE * (1 - step / (steps + 1)) ** 0.5)
+        adam.step(net.gradients(x, y, valid, work=work)[1], RATE * (1 - step / (steps + 1)) ** 0.5)
     return net
 
 
 def learned(net: Network, rows: list[bytes], y: np.ndarray, by: list[list[bytes]], seed: int) -> dict[str, np.ndarray]:
     """What the network comes to on these segments, each at least once, in the order given."""
     mine, r = Network(net.languages, dict(net.p)), np.random.default_rng(seed)
-    adam, once = Adam(mine), -(-len(rows) // STEP)
+    adam, once, work = Adam(mine), -(-len(rows) // STEP), Work()
     steps = once * -(-LEAST_STEPS // once)
     for i in range(steps):
         at = i % once * STEP
@@ -319,7 +366,7 @@ def learned(net: Network, rows: list[bytes], y: np.ndarray, by: list[list[bytes]
         x, valid = padded(rows[at : at + STEP] + _drawn(by, again, r), TRAIN_SEGMENT)
         # Every language of the step counts alike, however many segments it has.
         share = 1 / np.maximum(1, np.bincount(of))
-        adam.step(mine.gradients(x, of, valid, share[of])[1], RATE * (1 - i / steps))
+        adam.step(mine.gradients(x, of, valid, share[of], work)[1], RATE * (1 - i / steps))
     return mine.p
 
 

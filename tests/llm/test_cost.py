@@ -66,6 +66,20 @@ def test_lines_begin_at_the_first_word_after_each_break():
     assert line_dedup.Units(["", None]).first.tolist() == [0]
 
 
+def test_a_learning_step_asks_for_little_memory():
+    net, work, r = langid.Network.fresh(["a", "b", "c", "d"]), langid.Work(), np.random.default_rng(1)
+    x, y = r.integers(97, 123, (64, 144)).astype(np.uint8), r.integers(0, 4, 144)
+    assert _peak(lambda: net.gradients(x, y, np.ones(x.shape, bool), work=work)) < 4
+    fresh, again = net.gradients(x, y, x > 99), net.gradients(x, y, x > 99, work=work)
+    assert fresh[0] == again[0] and all((fresh[1][k] == again[1][k]).all() for k in fresh[1])
+
+
+def test_probabilities_are_worked_out_a_few_bytes_at_a_time():
+    net = langid.Network.fresh([str(i) for i in range(40)])
+    text = "a text of some words " * 25_000
+    assert _peak(lambda: net.judged([text])) < 25
+
+
 def _prints(spark, seed):
     r = np.random.default_rng(seed)
     rows = [(int(h), int(d), int(d % 3), int(p) << 16 | int(t) << 1) for h, d, p, t in zip(r.integers(0, 900, 1500), r.integers(0, 50, 1500), r.integers(0, 9, 1500), r.random(1500) < 0.02, strict=True)]
