@@ -43,6 +43,8 @@ from .common import FOLD, join_lists, keyed, mix64, salted, small_batches, windo
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 DEPTH, BLOCK = 3, 512
+#: Values of a matrix that are worked on together: it bounds a worker's memory.
+TOGETHER = 500_000
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -70,7 +72,7 @@ def children(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndar
     rate = 1.0 / (threshold * len(tokens))
     bound = np.uint64(min(1.0, rate) * (2**64 - 2**12))
     out, of = [], []
-    step = max(1, 2_000_000 // len(tokens))
+    step = max(1, TOGETHER // len(tokens))
     for at in range(0, len(paths), step):
         keys = mix64(paths[at : at + step])
         i, j = np.nonzero(tokens[None, :] * (keys | np.uint64(1))[:, None] < bound)
@@ -230,7 +232,7 @@ def _overlap(values: list[np.ndarray]) -> np.ndarray:
     if not len(token):
         return total
     token = np.unique(token, return_inverse=True)[1]  # sorted: the tokens of a chunk lie together
-    width = max(1, min(int(token[-1]) + 1, 4_000_000 // m))
+    width = max(1, min(int(token[-1]) + 1, TOGETHER // m))
     for lo in range(0, int(token[-1]) + 1, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         has = np.zeros((m, width), np.float32)

@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from bidlake.llm import common, langid, line_dedup
+from bidlake.llm import common, langid, line_dedup, ngram_join
 
 
 def _peak(f) -> float:
@@ -125,3 +125,13 @@ def test_cutting_needs_no_hashes():
     units = line_dedup.Units(["a b\nc", "d"])
     assert [len(x) for x in units.words(0)] == [3, 3] and units.word_spans(line_dedup.LINES_KIND, 0, [(1, 2)]) == [(2, 3)]
     assert "units" not in vars(units)
+
+
+def test_comparing_sets_takes_little_memory():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 40_000, 100)) for _ in range(256)]
+    got = ngram_join._overlap(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in r.integers(0, 256, (200, 2)))
+    assert _peak(lambda: ngram_join._overlap(sets)) < 10
+    tokens, paths = r.integers(0, 1 << 62, 3000).astype(np.uint64), r.integers(0, 1 << 62, 900).astype(np.uint64)
+    assert _peak(lambda: ngram_join.children(tokens, paths, 0.8)) < 15
